@@ -220,6 +220,13 @@ class Counter:
         return out
 
 
+def _counter(table: MergeTable) -> Counter:
+    """One counter for each worker process: what it remembers serves all its tasks."""
+    if not hasattr(table, "counter"):
+        table.counter = Counter(table)
+    return table.counter
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, text_col: str = "text", drop_text: bool = False) -> DataFrame:
     """Adds n_bytes, n_tokens (long) and over_limit (n_tokens > limit) to each row.
 
@@ -229,7 +236,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, text_col:
     table = docs.sparkSession.sparkContext.broadcast(MergeTable.load(vocabulary))
 
     def make() -> Callable:
-        count = Counter(table.value)
+        count = _counter(table.value)
 
         def work(texts: list[str]) -> dict:
             n = count(texts)
