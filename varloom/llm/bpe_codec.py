@@ -29,7 +29,7 @@ from varloom.llm.base import map_texts
 from varloom.llm.token_counts import byte_symbols
 
 #: Remembered units and words in a task, and remembered pairs of tokens; emptied when full, which only costs time.
-CACHE_UNITS = 120_000
+CACHE_UNITS = 100_000
 CACHE_PAIRS = 400_000
 #: Longest unit or word that is remembered.
 CACHE_CHARS = 48
@@ -37,6 +37,25 @@ CACHE_CHARS = 48
 _FAR = 1 << 60
 
 
+class Recent(dict):
+    """Remembers what `make` gives for a key, for the last CACHE_UNITS to 2 * CACHE_UNITS different keys."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str):
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= CACHE_UNITS:
+                self.older = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 def suffix_automaton(strings: Iterable[tuple[int, ...]], width: int) -> tuple[dict[int, int], list[int], list[int]]:
     """Suffix automaton of several strings: transitions (state * width + symbol), suffix links, longest lengths."""
     step: list[dict[int, int]] = [{}]
@@ -81,8 +100,7 @@ class PrefixTables:
     step: dict[int, int]
     link: list[int]
     longest: list[int]
-    ends: dict[int, list[tuple[int, int]]]  # tokens of a state: (length, id), longest first
-    up: list[int]  # the next state with tokens on the way of the suffix links, or 0
+    ends: list[list[tuple[int, int]]]  # tokens that are suffixes in a state: (length, id), longest first
     rank: dict[int, int]  # of a pair of ids, a * size + b
     right: list[list[tuple[int, int]]]  # a token's last parts and when each is merged away
     left: list[list[tuple[int, int]]]
@@ -124,25 +142,21 @@ class PrefixTables:
             a, b = split[whole]
             right[whole] += [(x, min(up, at[whole])) for x, up in right[b]]
             left[whole] += [(x, min(up, at[whole])) for x, up in left[a]]
-        tables = PrefixTables({}, [], [], {}, [], rank, right, left, size, names, special, _pattern(data), mark)
+        tables = PrefixTables({}, [], [], [], rank, right, left, size, names, special, _pattern(data), mark)
         sound: set[int] = set(spelled) - set(split)  # tokens that encode to themselves; others never come out
         for whole in sorted(split, key=at.get):
             a, b = split[whole]
             if a in sound and b in sound and tables.first_crossing(a, b) == at[whole]:
                 sound.add(whole)
         tables.step, tables.link, tables.longest = suffix_automaton((spelled[i] for i in sorted(sound)), 512)
+        tables.ends = [[] for _ in tables.link]
         for i in sound:
             state = 0
             for c in spelled[i]:
                 state = tables.step[state * 512 + c]
-            tables.ends.setdefault(state, []).append((len(spelled[i]), i))
-        for tokens in tables.ends.values():
-            tokens.sort(reverse=True)
-        order = sorted(range(len(tables.link)), key=tables.longest.__getitem__)
-        tables.up = [0] * len(order)
-        for s in order[1:]:
-            p = tables.link[s]
-            tables.up[s] = p if p in tables.ends else tables.up[p] if p > 0 else 0
+            tables.ends[state].append((len(spelled[i]), i))
+        for s in sorted(range(1, len(tables.link)), key=tables.longest.__getitem__):
+            tables.ends[s] = sorted(tables.ends[s], reverse=True) + tables.ends[tables.link[s]]
         return tables
 
     def first_crossing(self, a: int, b: int) -> int:
@@ -174,8 +188,7 @@ class Encoder:
         self.special = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")").split if marks else None
         self.marks = marks
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.units: dict[str, tuple[int, str, str]] = {}
+        self.words, self.units = Recent(self.word), Recent(self.unit)
         self.odd = re.compile("[\x1c-\x1f]").search
         self.space = re.compile(r"[\x20\x09-\x0D\x85\xa0]+").split
 
@@ -185,39 +198,34 @@ class Encoder:
         symbols = list(word.encode())
         if t.mark:
             symbols[-1] += 256
-        step, link, longest, ends, up, size, pairs = t.step, t.link, t.longest, t.ends, t.up, t.size, self.pairs
+        step, link, longest, ends, size, pairs, crossing = t.step, t.link, t.longest, t.ends, t.size, self.pairs, t.first_crossing
         if len(pairs) > CACHE_PAIRS:
             pairs.clear()
-        last, back = [-1] * (len(symbols) + 1), [0] * (len(symbols) + 1)
-        state = length = 0
-        for end, c in enumerate(symbols, 1):
-            to = step.get(state * 512 + c)
-            while to is None:
+        last, back = [-1], [0]
+        state = length = end = 0
+        for c in symbols:
+            key = state * 512 + c
+            while key not in step:
                 state = link[state]
                 if state < 0:
                     raise ValueError("a byte is missing from the vocabulary")
                 length = longest[state]
-                to = step.get(state * 512 + c)
-            state, length = to, length + 1
-            at = state
-            found = False
-            while at and not found:
-                for n, token in ends.get(at, ()):
-                    if n > length:
-                        continue
-                    start = end - n
-                    if start:
-                        before = last[start]
-                        key = before * size + token
-                        good = pairs.get(key)
-                        if good is None:
-                            good = pairs[key] = t.first_crossing(before, token) == _FAR
-                        if not good:
-                            continue
-                    last[end], back[end] = token, start
-                    found = True
+                key = state * 512 + c
+            state = step[key]
+            length += 1
+            end += 1
+            for n, token in ends[state]:
+                if n > length:
+                    continue
+                if n == end:
+                    break
+                key = last[end - n] * size + token
+                if key not in pairs:
+                    pairs[key] = crossing(last[end - n], token) == _FAR
+                if pairs[key]:
                     break
-                at = up[at]
+            last.append(token)
+            back.append(end - n)
         out, at = [], len(symbols)
         while at:
             out.append(last[at])
@@ -229,16 +237,9 @@ class Encoder:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma when lower-casing
         out: list[int] = []
-        known = self.words
+        words = self.words
         for w in self.find(text.lower()):
-            ids = known.get(w)
-            if ids is None:
-                ids = self.word(w)
-                if len(w) <= CACHE_CHARS:
-                    if len(known) > CACHE_UNITS:
-                        known.clear()
-                    known[w] = ids
-            out += ids
+            out += words[w]
         return out
 
     def unit(self, unit: str) -> tuple[int, str, str]:
@@ -256,18 +257,8 @@ class Encoder:
                 elif p:
                     out += self.parts(p)
             return out
-        known, out = self.units, []
-        if len(known) > CACHE_UNITS:
-            known.clear()
-        for u in self.space(text) if self.odd(text) else text.split():
-            got = known.get(u)
-            if got is None:
-                got = self.unit(u)
-                if len(u) <= CACHE_CHARS:
-                    known[u] = got
-            if got[0]:
-                out.append(got)
-        return out
+        units = self.units
+        return [p for p in [units[u] for u in (self.space(text) if self.odd(text) else text.split())] if p[0]]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for p in self.parts(text) for i in p[1].split(" ")]
