@@ -15,11 +15,13 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 NOT_SPACE_CLASS = r"[^\x20\x09-\x0D]"
 
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small: texts may be long, so few rows (and, where Spark has the setting, bytes) go at once."""
+    """Keep Arrow batches small: texts may be long, so few rows and few bytes go at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_texts(
