@@ -29,7 +29,7 @@ from varloom.llm.base import map_texts
 from varloom.llm.token_counts import byte_symbols
 
 #: Remembered units and words in a task, and remembered pairs of tokens; emptied when full, which only costs time.
-CACHE_UNITS = 100_000
+CACHE_UNITS = 200_000
 CACHE_PAIRS = 400_000
 #: Longest unit or word that is remembered.
 CACHE_CHARS = 48
@@ -49,12 +49,15 @@ class Recent(dict):
         if got is None:
             got = self.make(key)
         if len(key) <= CACHE_CHARS:
-            if len(self) >= CACHE_UNITS:
-                self.older = dict(self)
-                self.clear()
-            self[key] = got
+            self.put(key, got)
         return got
 
+    def put(self, key: str, got) -> None:
+        if len(self) >= CACHE_UNITS:
+            self.older = dict(self)
+            self.clear()
+        self[key] = got
+
 
 def suffix_automaton(strings: Iterable[tuple[int, ...]], width: int) -> tuple[dict[int, int], list[int], list[int]]:
     """Suffix automaton of several strings: transitions (state * width + symbol), suffix links, longest lengths."""
@@ -194,51 +197,101 @@ class Encoder:
 
     def word(self, word: str) -> tuple[int, ...]:
         """Ids of one word."""
+        return self.sorted_words([word])[0]
+
+    def sorted_words(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of words in sorted order: a word goes on from what it has in common with the one before."""
         t = self.t
-        symbols = list(word.encode())
-        if t.mark:
-            symbols[-1] += 256
         step, link, longest, ends, size, pairs, crossing = t.step, t.link, t.longest, t.ends, t.size, self.pairs, t.first_crossing
         if len(pairs) > CACHE_PAIRS:
             pairs.clear()
-        last, back = [-1], [0]
-        state = length = end = 0
-        for c in symbols:
-            key = state * 512 + c
-            while key not in step:
-                state = link[state]
-                if state < 0:
-                    raise ValueError("a byte is missing from the vocabulary")
-                length = longest[state]
-                key = state * 512 + c
-            state = step[key]
-            length += 1
-            end += 1
-            for n, token in ends[state]:
-                if n > length:
-                    continue
-                if n == end:
+        mark = 256 if t.mark else 0
+        out, before = [], b""
+        # for each prefix: its last token, where that begins, the automaton's state and the length matched there
+        last, back, states, lengths = [-1], [0], [0], [0]
+        for word in words:
+            symbols = word.encode()
+            top = len(symbols) - 1
+            end = 0
+            for x, y in zip(before, symbols):
+                if x != y or end == top:
                     break
-                key = last[end - n] * size + token
-                if key not in pairs:
-                    pairs[key] = crossing(last[end - n], token) == _FAR
-                if pairs[key]:
-                    break
-            last.append(token)
-            back.append(end - n)
-        out, at = [], len(symbols)
-        while at:
-            out.append(last[at])
-            at = back[at]
-        return tuple(reversed(out))
+                end += 1
+            end = min(end, len(last) - 1)
+            del last[end + 1 :], back[end + 1 :], states[end + 1 :], lengths[end + 1 :]
+            state, length = states[end], lengths[end]
+            before = symbols
+            for c in symbols[end:]:
+                if end == top:
+                    c += mark
+                key = state * 512 + c
+                while key not in step:
+                    state = link[state]
+                    if state < 0:
+                        raise ValueError("a byte is missing from the vocabulary")
+                    length = longest[state]
+                    key = state * 512 + c
+                state = step[key]
+                length += 1
+                end += 1
+                for n, token in ends[state]:
+                    if n > length:
+                        continue
+                    if n == end:
+                        break
+                    key = last[end - n] * size + token
+                    if key not in pairs:
+                        pairs[key] = crossing(last[end - n], token) == _FAR
+                    if pairs[key]:
+                        break
+                last.append(token)
+                back.append(end - n)
+                states.append(state)
+                lengths.append(length)
+            ids = []
+            while end:
+                ids.append(last[end])
+                end = back[end]
+            ids.reverse()
+            out.append(tuple(ids))
+            # the last symbol of a word is another one than the same byte inside a word
+            last.pop(), back.pop(), states.pop(), lengths.pop()
+        return out
 
-    def piece(self, text: str) -> list[int]:
-        """Ids of text without white space to split at or special strings."""
+    def learn(self, texts: list[str]) -> None:
+        """Encode the words of many texts that are not remembered yet in sorted order."""
+        units: set[str] = set()
+        for text in texts:
+            units.update(text.split())
+        known, older = self.units, self.units.older
+        split = {u: self.find(self.normal(u)) for u in units if u not in known and u not in older and len(u) <= CACHE_CHARS}
+        new = {w for ws in split.values() for w in ws}
+        known, older = self.words, self.words.older
+        got = {}
+        for w in new:
+            ids = known.get(w) or older.get(w)
+            if ids:
+                got[w] = ids
+        new = sorted(new.difference(got), key=str.encode)
+        for w, ids in zip(new, self.sorted_words(new)):
+            got[w] = ids
+            known.put(w, ids)
+        names, put = self.t.names, self.units.put
+        for u, ws in split.items():
+            ids = got[ws[0]] if len(ws) == 1 else [i for w in ws for i in got[w]]
+            put(u, (len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids])))
+
+    @staticmethod
+    def normal(text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma when lower-casing
+        return text.lower()
+
+    def piece(self, text: str) -> list[int]:
+        """Ids of text without white space to split at or special strings."""
         out: list[int] = []
         words = self.words
-        for w in self.find(text.lower()):
+        for w in self.find(self.normal(text)):
             out += words[w]
         return out
 
@@ -284,7 +337,12 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: st
 
     def make() -> Callable:
         e = _encoder(tables.value)
-        return lambda texts: {ids_col: [e.encode(t) for t in texts]}
+
+        def work(texts: list[str]) -> dict:
+            e.learn(texts)
+            return {ids_col: [e.encode(t) for t in texts]}
+
+        return work
 
     return map_texts(docs, make, f"`{ids_col}` array<int>", text_col, drop_text)
 
@@ -313,6 +371,7 @@ def codec_digests(docs: DataFrame, vocabulary: str, text_col: str = "text", drop
 
         def work(texts: list[str]) -> dict:
             n, ids, decoded = [], [], []
+            e.learn(texts)
             for t in texts:
                 parts = e.parts(t)
                 n.append(sum([p[0] for p in parts]))
