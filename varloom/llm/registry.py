@@ -4,7 +4,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that hold QUERIES and ORACLE_SQL.
-MODULES = ("queries_quality", "queries_tokens", "queries_chat", "queries_warc", "queries_decontam", "queries_dedup")
+MODULES = ("queries_quality", "queries_tokens", "queries_chat", "queries_warc", "queries_decontam", "queries_dedup", "queries_lm")
 
 
 def queries() -> dict:
