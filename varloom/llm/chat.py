@@ -55,19 +55,21 @@ def reply_paths(messages: DataFrame, tree: str, node: str, parent: str, score: s
     rows = messages.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("anc"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("sum"))
     known = rows.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     on = lambda a: a["tree"].eqNullSafe(F.col("t")) & (a["anc"] == F.col("n"))
-    rows = rows.join(known, on(rows), "left").select("tree", "node", F.col("n").alias("anc"), "sum")
-    jumps = [written(rows, "chat-jumps")]
+    rows = written(rows.join(known, on(rows), "left").select("tree", "node", F.col("n").alias("anc"), "sum"), "chat-jumps")
+    # messages whose jump is past the root are done and not joined again
+    done, live = rows.where("anc is null"), rows.where("anc is not null")
+    jumps = []
     for _ in range(MAX_ROUNDS):
-        now = jumps[-1]
-        if now.where("anc is not null").isEmpty():
+        if live.isEmpty():
             break
-        step = now.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("anc").alias("next"), F.col("sum").alias("more"))
-        far = now.join(step, on(now), "left")
-        jumps.append(written(far.select("tree", "node", F.col("next").alias("anc"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum")), "chat-jumps"))
+        jumps.append(live)
+        step = done.unionByName(live).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("anc").alias("next"), F.col("sum").alias("more"))
+        far = written(live.join(step, on(live)).select("tree", "node", F.col("next").alias("anc"), (F.col("sum") + F.col("more")).alias("sum")), "chat-jumps")
+        done, live = done.unionByName(far.where("anc is null")), far.where("anc is not null")
     else:
         raise ValueError("parents form a cycle")
-    parents = jumps[0].where("anc is not null").select(F.col("tree").alias("t"), F.col("anc").alias("n")).distinct()
-    sums = jumps[-1]
+    parents = rows.where("anc is not null").select(F.col("tree").alias("t"), F.col("anc").alias("n")).distinct()
+    sums = done
     leaves = sums.join(parents, sums["tree"].eqNullSafe(F.col("t")) & (sums["node"] == F.col("n")), "left_anti")
     if paths == 1:
         best = leaves.groupBy("tree").agg(F.min(F.struct((-F.col("sum")).alias("s"), F.col("node").alias("node"))).alias("b")).select("tree", F.col("b.node").alias("path"))
@@ -75,8 +77,8 @@ def reply_paths(messages: DataFrame, tree: str, node: str, parent: str, score: s
         rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("sum"), "node"))
         best = leaves.withColumn("r", rank).where(F.col("r") <= paths).select("tree", F.col("node").alias("path"))
     chosen = best.select("tree", "path", F.col("path").alias("node"), F.lit(0).cast("long").alias("back"))
-    for k, jump in enumerate(jumps[:-1]):
-        step = jump.where("anc is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "anc")
+    for k, jump in enumerate(jumps):
+        step = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), "anc")
         up = chosen.join(step, chosen["tree"].eqNullSafe(F.col("t")) & (chosen["node"] == F.col("n")))
         chosen = written(chosen.unionByName(up.select("tree", "path", F.col("anc").alias("node"), (F.col("back") + (1 << k)).alias("back"))), "chat-paths")
     return chosen
