@@ -361,8 +361,8 @@ def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str
     return map_texts(joined, make, f"`{out_col}` string", "_ids", True)
 
 
-def codec_digests(docs: DataFrame, vocabulary: str, text_col: str = "text", drop_text: bool = False) -> DataFrame:
-    """Adds n_tokens, ids_sha256 (of the decimal ids joined by a space) and decoded_sha256 to each row."""
+def codec_digests(docs: DataFrame, vocabulary: str, text_col: str = "text", drop_text: bool = False, with_ids: bool = False) -> DataFrame:
+    """Adds n_tokens, ids_sha256 (of the decimal ids joined by a space) and decoded_sha256 to each row, and ids if asked."""
     tables = _broadcast(docs, vocabulary)
 
     def make() -> Callable:
@@ -377,8 +377,11 @@ def codec_digests(docs: DataFrame, vocabulary: str, text_col: str = "text", drop
                 n.append(sum([p[0] for p in parts]))
                 ids.append(sha(parts, 1))
                 decoded.append(sha(parts, 2))
-            return {"n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}
+            out = {"n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}
+            if with_ids:
+                out["ids"] = [e.encode(t) for t in texts]
+            return out
 
         return work
 
-    return map_texts(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", text_col, drop_text)
+    return map_texts(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, text_col, drop_text)

@@ -10,6 +10,7 @@ order; an empty table gives an empty table and keeps the rules' own order; repea
 """
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass
 
@@ -74,7 +75,7 @@ class Rule:
 #: Thresholds of the rules.  The first two are the contract's base rules.
 RULES = (
     Rule("too_short", "size(words) < 20"),
-    Rule("repeated_windows", f"100 * ({covered_words(window_hashes('words'))}) > 30 * size(words)"),
+    Rule("repeated_windows", f"100 * transform(array({window_hashes('words')}), win -> {covered_words('win')})[0] > 30 * size(words)"),
     Rule("symbols", f"10 * ({n_symbols('text')}) > size(words)"),
     Rule("exclamations", "2 * length(regexp_replace(text, '[^!]+', '')) > size(words)"),
     Rule("upper_case", "10 * length(regexp_replace(text, '[^A-Z]+', '')) > 4 * length(text)"),
@@ -84,7 +85,7 @@ RULES = (
 )
 
 
-def prepared(df: DataFrame, text_col: str = "text", **more: str) -> DataFrame:
+def prepared(df: DataFrame, text_col: str = "text") -> DataFrame:
     """One struct column per row of what rules read, so that words and lines are split once."""
     return df.withColumn("_q", F.expr(f"struct(coalesce(`{text_col}`, '') as text, {words(f'`{text_col}`')} as words, {word_lines(f'`{text_col}`')} as lines)"))
 
@@ -94,11 +95,6 @@ class QualityCascade:
         self.rules = tuple(rules)
         self.estimates: dict[str, tuple[float, float]] = {}
 
-    @staticmethod
-    def _on(rule: Rule) -> Column:
-        """The rule over the struct column `_q`."""
-        return F.expr(f"transform(array(_q), q -> {_qualified(rule.reject)})[0]")
-
     def fit(self, df: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> QualityCascade:
         """Estimate cost and rejection rate of each rule on a sample; returns a cascade in the order of their ratio."""
         total = df.count()
@@ -137,8 +133,6 @@ def _verdict(rule: Rule) -> Column:
 
 
 def _qualified(sql: str) -> str:
-    import re
-
     return re.sub(r"\b(text|words|lines)\b(?!\s*\()", r"_q.\1", sql)
 
 

@@ -138,13 +138,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of each near-duplicate group: the least id (null last), then the least hash of the text; columns as in `docs`.
+
+    Texts are not moved by group: the kept rows' ids and text hashes are joined to the documents.
+    """
+    key = F.xxhash64(F.col(f"`{text_col}`"))
+    light = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), key.alias("_key"))
+    marked = written(add_fingerprints(light, "_text", True), "simhash-docs")
+    group = grouped(marked, "_id", radius)
+    best = group.groupBy("group_fp").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"))).alias("b"))
+    kept = written(best.select(F.col("b.id").alias("_id"), F.col("b.key").alias("_key")).distinct(), "simhash-kept")
+    rows = docs.withColumn("_row_key", key)
+    rows = rows.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")), "left_semi")
+    return rows.dropDuplicates([id_col, "_row_key"]).select(*[f"`{c}`" for c in docs.columns])
+
+
 def grouped(marked: DataFrame, id_col: str, radius: int = RADIUS) -> DataFrame:
-    """Adds component_id, the least id of all documents that links lead to, to rows with a column fp."""
+    """Adds component_id, the least id of all documents that links lead to, and group_fp, the least fingerprint of these."""
     least = written(marked.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "simhash-distinct")
     edges = written(links(least, radius), "simhash-links")
     # only fingerprints with a link need a component
     member = components(edges, "simhash-components").join(least.select(F.col("fp").alias("node"), "least"), "node")
     group = member.groupBy("component").agg(F.min("least").alias("group_least"))
-    linked = member.join(group, "component").select(F.col("node").alias("fp"), "group_least")
-    named = written(least.join(linked, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id")), "simhash-groups")
+    linked = member.join(group, "component").select(F.col("node").alias("fp"), "component", "group_least")
+    named = least.join(linked, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id"), F.coalesce("component", "fp").alias("group_fp"))
+    named = written(named, "simhash-groups")
     return marked.join(named, "fp")
