@@ -1,6 +1,7 @@
 """What several text operators share: whole-text batches, scratch folders, byte classes."""
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -82,6 +83,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of steps that are over: they go when the JVM collects what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete_scratch(spark: SparkSession, path: str) -> None:
     """Remove a folder that `scratch` named, by Hadoop's file system API."""
     jvm = spark.sparkContext._jvm

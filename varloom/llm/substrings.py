@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.base import bounded_batches, scratch
+from varloom.llm.base import bounded_batches, release, scratch
 
 LENGTH = 50
 #: Bytes of the strings whose least hash is a window's minimizer.
@@ -222,7 +222,7 @@ def _rows(n: int, **columns) -> pa.RecordBatch:
 
 
 def _cut_runs(bits: int, length: int):
-    """Rows of kind 1: a group's different runs by bucket; of kind 2: its documents with the runs they hold."""
+    """Rows of kind 1: a group's different runs by bucket; of kind 2: its documents with the runs they hold; 3: without any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = None
@@ -275,7 +275,7 @@ class _Group:
         held = []
         for low, chunk in _chunks(texts):
             held += self.cut(chunk, ids[low : low + len(chunk)])
-        yield _rows(len(texts), g=[self.g] * len(texts), kind=[2] * len(texts), id=ids, text=column, data=held)
+        yield _rows(len(texts), g=[self.g] * len(texts), kind=[2 if h else 3 for h in held], id=ids, text=column, data=held)
 
     def cut(self, texts: list[bytes], ids: np.ndarray) -> list[bytes]:
         m, doc, at, n = runs(texts, self.length)
@@ -583,10 +583,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = rows.selectExpr("g", "1 as kind", "id", "text", "cast(null as int) as bucket", "cast(null as binary) as data")
     both = shared.unionByName(whole).repartition(parts, "g").sortWithinPartitions("g", "kind")
     path = scratch(spark, "substring-runs")
-    both.mapInArrow(_cut_runs(bits, length), ROW).write.option("compression", "zstd").parquet(path)
+    both.mapInArrow(_cut_runs(bits, length), ROW).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    del both, shared, sent
+    release(spark)
     cut = spark.read.schema(ROW).parquet(path)
     entries = cut.where("kind = 1").select("bucket", "g", "data")
     answers = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(length), ROW)
     last = answers.unionByName(cut.where("kind = 2")).repartition(parts, "g").sortWithinPartitions("g", "kind")
     out = last.mapInArrow(_remove(length), "id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
+    # documents that share nothing stay where they are
+    whole = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    untouched = cut.where("kind = 3").select("id", F.length(whole).cast("long").alias("n_bytes"), whole.alias("kept"), F.expr("cast(array() as array<struct<start: long, end: long>>)").alias("spans"))
+    out = out.unionByName(untouched)
     return out.select(F.nullif("id", F.lit(int(_LAST))).alias(id_col), "n_bytes", "kept", "spans")
