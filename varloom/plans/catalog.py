@@ -1,9 +1,290 @@
-"""The registry of this library's own queries."""
+"""Queries of this library on the shared tables, and the SQL that must give the same rows.
 
+`calls` is a call table made of lineitem: two runs, two samples, natural contig names, text cells with nulls.
+"""
+from __future__ import annotations
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from varloom import functions as V
+from varloom.operators import annotate, calls as C, catalog as K
+from varloom.plans import cql
+from varloom.plans.query import Filter, Query, Range, Sort
 
-def oracle_sql():
-    return {}
+RUN, TRUTH = 1, 2
+TYPES = {"info:DP": "integer", "info:AF": "float", "position": "integer"}
+COLUMNS = ["reference", "alternates", "contig", "position", "sample_name", "info:DP", "info:AF"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.expr("cast(case when l_linestatus = 'F' then 1 else 2 end as long)").alias("vcf_id"),
+        F.expr("case when l_returnflag = 'A' then 'NORMAL' else 'TUMOR' end").alias("sample_name"),
+        F.expr("case when l_suppkey % 25 < 22 then concat('chr', cast(l_suppkey % 25 + 1 as string)) when l_suppkey % 25 = 22 then 'chrX' when l_suppkey % 25 = 23 then 'chrY' else 'GT05182' end").alias("contig"),
+        F.col("l_partkey").cast("int").alias("position"),
+        F.expr("case when l_linenumber % 2 = 0 then 'A' else 'C' end").alias("reference"),
+        F.expr("case when l_linenumber % 2 = 0 then 'G' else 'T' end").alias("alternates"),
+        F.expr("case when l_tax = 0.0 then null else cast(cast(l_quantity as int) as string) end").alias("info:DP"),
+        F.col("l_discount").cast("string").alias("info:AF"),
+        "l_orderkey", "l_partkey", "l_suppkey",
+    )
+
+
+_CALLS = """calls AS (SELECT CAST(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END AS BIGINT) AS vcf_id,
+  CASE WHEN l_returnflag = 'A' THEN 'NORMAL' ELSE 'TUMOR' END AS sample_name,
+  CASE WHEN l_suppkey % 25 < 22 THEN concat('chr', CAST(l_suppkey % 25 + 1 AS VARCHAR)) WHEN l_suppkey % 25 = 22 THEN 'chrX' WHEN l_suppkey % 25 = 23 THEN 'chrY' ELSE 'GT05182' END AS contig,
+  CAST(l_partkey AS INTEGER) AS position,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'C' END AS reference, CASE WHEN l_linenumber % 2 = 0 THEN 'G' ELSE 'T' END AS alternates,
+  CASE WHEN l_tax = 0.0 THEN NULL ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS "info:DP", CAST(l_discount AS VARCHAR) AS "info:AF",
+  l_orderkey, l_partkey, l_suppkey FROM lineitem)"""
+
+_ALL = 'vcf_id, sample_name, contig, position, reference, alternates, "info:DP", "info:AF", l_orderkey, l_partkey, l_suppkey'
+_NUMBER = "CASE WHEN regexp_matches(contig, '^(chr)?[0-9]+') THEN CAST(regexp_extract(contig, '([0-9]+)', 1) AS INTEGER) ELSE 10000 END"
+_NATURAL = f"{_NUMBER} ASC NULLS LAST, length(contig) ASC NULLS LAST, contig ASC NULLS LAST"
+_TIES = "position ASC NULLS LAST, reference ASC NULLS LAST, alternates ASC NULLS LAST, sample_name ASC NULLS LAST"
+_UNIQUE = "l_orderkey, l_partkey, l_suppkey"
+
+
+def _with(sql: str) -> str:
+    return f"WITH {_CALLS} {sql}"
+
+
+def _query(*filters: Filter, range: Range = Range(), sort: tuple[Sort, ...] = (), page: int = 0, limit: int | None = None, truth: int | None = None) -> Query:
+    return Query(filters, range, sort, page, limit, truth, TYPES)
+
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, sql: str | None):
+    def put(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# scans, filters, ranges
+
+_add("scan_run", _with(f"SELECT {_ALL} FROM calls WHERE vcf_id = 1"))(lambda s, d: C.run_calls(calls(s, d), RUN))
+
+_DP = 'TRY_CAST("info:DP" AS INTEGER)'
+for _name, _op, _sql in (("eq", "=", "="), ("ne", "!=", "<>"), ("lt", "<", "<"), ("gt", ">", ">"), ("le", "<=", "<="), ("ge", ">=", ">=")):
+    _add(f"filter_{_name}", _with(f"SELECT {_ALL} FROM calls WHERE vcf_id = 1 AND {_DP} {_sql} 25"))(
+        lambda s, d, op=_op: C.filtered(calls(s, d), RUN, _query(Filter("info:DP", op, "25")))
+    )
+for _name, _op, _sql in (
+    ("isnull", Filter("info:DP", "NULL"), '"info:DP" IS NULL'),
+    ("notnull", Filter("info:DP", "NOT NULL"), '"info:DP" IS NOT NULL'),
+    ("like", Filter("contig", "LIKE", "chr1_"), "contig LIKE 'chr1_'"),
+    ("rlike", Filter("contig", "RLIKE", "^CHR[xy]$|gt0"), "regexp_matches(contig, '(?i)^CHR[xy]$|gt0')"),
+    ("float", Filter("info:AF", "<=", "0.05"), 'TRY_CAST("info:AF" AS DOUBLE) <= 0.05'),
+    ("text", Filter("sample_name", "=", "TUMOR"), "sample_name = 'TUMOR'"),
+):
+    _add(f"filter_{_name}", _with(f"SELECT {_ALL} FROM calls WHERE vcf_id = 1 AND {_sql}"))(lambda s, d, f=_op: C.filtered(calls(s, d), RUN, _query(f)))
+
+_add("range_contig", _with(f"SELECT {_ALL} FROM calls WHERE vcf_id = 1 AND contig = 'chrX'"))(lambda s, d: C.filtered(calls(s, d), RUN, _query(range=Range("chrX"))))
+_add("range_half_open", _with(f"SELECT {_ALL} FROM calls WHERE vcf_id = 1 AND contig = 'chr2' AND position >= 100 AND position < 1200"))(
+    lambda s, d: C.filtered(calls(s, d), RUN, _query(range=Range("chr2", 100, 1200)))
+)
+_add(
+    "cql_compound",
+    _with(f"SELECT {_ALL} FROM calls WHERE vcf_id = 1 AND contig = 'chr12' AND position >= 10 AND position < 15000 AND {_DP} <= 30 AND sample_name LIKE 'TUM%' AND \"info:AF\" IS NOT NULL"),
+)(lambda s, d: C.query_calls(calls(s, d), RUN, cql.parse("info:DP <= 30 AND chr12:10-15,000 AND sample_name LIKE 'TUM%' AND info:AF IS NOT NULL ORDER BY info:DP DESC, contig", COLUMNS).typed(TYPES, COLUMNS)))
+
+# orders and pages: the place in the order is part of the rows
+
+
+def _placed(df: DataFrame, order: list, n: int) -> DataFrame:
+    """The first n rows of an order, with their places."""
+    from pyspark.sql import Window
+
+    top = df.orderBy(*order).limit(n)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def _order_sql(order: str, n: int = 500) -> str:
+    return _with(f"SELECT {_ALL}, row_number() OVER (ORDER BY {order}) AS place FROM calls WHERE vcf_id = 1 QUALIFY place <= {n}")
+
+
+def _sorted(*sort: Sort):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        q = _query(sort=sort)
+        return _placed(C.filtered(calls(spark, sf_dir), RUN, q), [*C.order_columns(q), *_UNIQUE.split(", ")], 500)
+
+    return run
+
+
+_add("sort_typed", _order_sql(f"{_DP} ASC NULLS LAST, {_NATURAL}, {_TIES}, {_UNIQUE}"))(_sorted(Sort("info:DP")))
+_add("sort_typed_desc_nulls", _order_sql(f"{_DP} DESC NULLS FIRST, {_NATURAL}, {_TIES}, {_UNIQUE}"))(_sorted(Sort("info:DP", True)))
+_add("sort_contig_natural", _order_sql(f"{_NATURAL}, {_TIES}, {_UNIQUE}"))(_sorted(Sort("contig")))
+_add("sort_contig_natural_desc", _order_sql(f"{_NUMBER} ASC NULLS LAST, length(contig) DESC NULLS FIRST, contig DESC NULLS FIRST, {_NATURAL}, {_TIES}, {_UNIQUE}"))(_sorted(Sort("contig", True)))
+
+
+@_add("page_limit_offset", _with(f"SELECT {_ALL} FROM calls WHERE vcf_id = 1 ORDER BY {_NATURAL}, {_TIES}, {_UNIQUE} LIMIT 250 OFFSET 500"))
+def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _query(sort=(Sort("contig"),), page=2, limit=250)
+    return C.page(C.filtered(calls(spark, sf_dir), RUN, q).orderBy(*C.order_columns(q), *_UNIQUE.split(", ")), q)
+
+
+@_add("export_order", _order_sql(f"length(contig) NULLS LAST, contig NULLS LAST, {_TIES}, {_UNIQUE}"))
+def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = [F.length("contig").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in C.CALL_KEY], *_UNIQUE.split(", ")]
+    return _placed(C.run_calls(calls(spark, sf_dir), RUN), order, 500)
+
+
+# comparison with the truth run
+
+_ON = " AND ".join(f"t.{c} = r.{c}" for c in C.CALL_KEY)
+_RALL = ", ".join(f"r.{c.strip()}" for c in _ALL.split(","))
+_add("compare_left_tag", _with(f'SELECT {_RALL}, t.contig IS NOT NULL AS "tag:true-positive" FROM calls r LEFT JOIN (SELECT * FROM calls WHERE vcf_id = 2) t ON {_ON} WHERE r.vcf_id = 1'))(
+    lambda s, d: C.compared(calls(s, d), RUN, _query(truth=TRUTH))
+)
+_add("compare_true_positives", _with(f"SELECT {_RALL} FROM calls r JOIN calls t ON {_ON} WHERE r.vcf_id = 1 AND t.vcf_id = 2"))(
+    lambda s, d: C.true_positives(calls(s, d), RUN, _query(truth=TRUTH))
+)
+
+
+def _stats_sql(run: str, truth: str) -> str:
+    return _with(f"""SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1score FROM (
+  SELECT *, CASE WHEN number_of_records > 0 THEN CAST(true_positives AS DOUBLE) / number_of_records ELSE 0.0 END AS precision,
+    CASE WHEN total_truth_records > 0 THEN CAST(true_positives AS DOUBLE) / total_truth_records ELSE 0.0 END AS recall,
+    number_of_records - true_positives AS false_positives, total_truth_records - true_positives AS false_negatives
+  FROM (SELECT (SELECT count(*) FROM calls r WHERE vcf_id = 1 AND {run}) AS number_of_records, (SELECT count(*) FROM calls WHERE vcf_id = 1) AS total_unfiltered_count,
+    (SELECT count(*) FROM calls r JOIN calls t ON {_ON} WHERE r.vcf_id = 1 AND t.vcf_id = 2 AND {run} AND {truth}) AS true_positives,
+    (SELECT count(*) FROM calls t WHERE vcf_id = 2 AND {truth}) AS total_truth_records))""")
+
+
+_add("stats_full", _stats_sql("true", "true"))(lambda s, d: C.statistics(calls(s, d), RUN, _query(truth=TRUTH)))
+_add("stats_filtered", _stats_sql("r.sample_name = 'TUMOR' AND TRY_CAST(r.\"info:DP\" AS INTEGER) > 10", "t.sample_name = 'TUMOR'"))(
+    lambda s, d: C.statistics(calls(s, d), RUN, _query(Filter("sample_name", "=", "TUMOR"), Filter("info:DP", ">", "10"), truth=TRUTH))
+)
+_add("stats_range", _stats_sql("r.contig = 'chr2' AND r.position < 1500", "t.contig = 'chr2' AND t.position < 1500"))(
+    lambda s, d: C.statistics(calls(s, d), RUN, _query(range=Range("chr2", 0, 1500), truth=TRUTH))
+)
+_add("stats_no_truth", _with("SELECT count(*) FILTER (WHERE sample_name = 'TUMOR') AS number_of_records, count(*) AS total_unfiltered_count FROM calls WHERE vcf_id = 1"))(
+    lambda s, d: C.statistics(calls(s, d), RUN, _query(Filter("sample_name", "=", "TUMOR")))
+)
+_add("record_closure_semi", _with(f"SELECT {_RALL} FROM calls r WHERE vcf_id = 1 AND EXISTS (SELECT 1 FROM calls k WHERE k.vcf_id = 1 AND TRY_CAST(k.\"info:DP\" AS INTEGER) > 45 AND k.contig = r.contig AND k.position = r.position AND k.reference = r.reference AND k.alternates = r.alternates)"))(
+    lambda s, d: C.record_closure(calls(s, d), RUN, _query(Filter("info:DP", ">", "45")))
+)
+
+# what is known about runs
+
+_add("contig_list", _with("SELECT DISTINCT contig FROM calls WHERE vcf_id = 1"))(lambda s, d: C.contigs(calls(s, d), RUN))
+_add("sample_list", _with("SELECT DISTINCT sample_name FROM calls WHERE vcf_id = 1"))(lambda s, d: C.samples(calls(s, d), RUN))
+_add("sample_count", _with("SELECT count(DISTINCT sample_name) AS n FROM calls WHERE vcf_id = 1"))(lambda s, d: C.run_calls(calls(s, d), RUN).agg(F.countDistinct("sample_name").alias("n")))
+_add(
+    "extant_columns",
+    _with("""SELECT vcf_id, concat_ws(',', CASE WHEN count("info:DP") > 0 THEN 'info:DP' END, CASE WHEN count("info:AF") > 0 THEN 'info:AF' END, CASE WHEN count(none) > 0 THEN 'info:GQ' END) AS extant
+  FROM (SELECT *, NULL AS none FROM calls) GROUP BY vcf_id"""),
+)(lambda s, d: C.extant_columns(calls(s, d).withColumn("info:GQ", F.lit(None).cast("string")), ["info:DP", "info:AF", "info:GQ"]).select("vcf_id", F.array_join("extant_columns", ",").alias("extant")))
+_add("genotype_count", _with("SELECT vcf_id, count(*) AS genotype_count FROM calls GROUP BY vcf_id"))(lambda s, d: C.call_counts(calls(s, d)))
+
+
+# the small tables, on the shared ones: orders are runs, lineitem comments, customer projects, events tasks
+
+
+def _runs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id"))
+
+
+def _comments(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("vcf_id"))
+
+
+_add("comment_counts", "SELECT o_orderkey AS id, o_custkey AS project_id, coalesce(n, 0) AS num_comments FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")(
+    lambda s, d: K.comment_counts(_runs(s, d), _comments(s, d))
+)
+
+
+@_add("attach_dims", "SELECT c_custkey, c_name, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def _dims(s: SparkSession, d: str) -> DataFrame:
+    # nation and region have a fixed number of rows
+    nation, region = table(s, d, "nation"), table(s, d, "region")
+    rows = table(s, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return rows.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "c_name", "n_name", "r_name")
+
+
+@_add("nest_children", "SELECT c_custkey, coalesce(k, '') AS run_ids, newest FROM customer LEFT JOIN (SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey DESC) AS k, max(o_orderkey) AS newest FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def _nest(s: SparkSession, d: str) -> DataFrame:
+    runs = _runs(s, d).groupBy("project_id").agg(F.sort_array(F.collect_list("id"), asc=False).alias("ids"), F.max("id").alias("newest"))
+    rows = table(s, d, "customer").join(runs, F.col("c_custkey") == F.col("project_id"), "left")
+    return rows.select("c_custkey", F.coalesce(F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("")).alias("run_ids"), "newest")
+
+
+def _tasks(s: SparkSession, d: str) -> DataFrame:
+    states = F.when(F.col("event_type") == "purchase", "FAILURE").when(F.col("event_type") == "view", "SUCCESS").otherwise("STARTED")
+    return table(s, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("vcf_id"), states.alias("state"), F.concat(F.lit("workers.genotype."), "event_type", F.lit(".run")).alias("type"))
+
+
+_STATE = "CASE event_type WHEN 'purchase' THEN 'FAILURE' WHEN 'view' THEN 'SUCCESS' ELSE 'STARTED' END"
+_add("task_states_distinct", f"SELECT c_custkey AS id, coalesce(s, '') AS task_states FROM customer LEFT JOIN (SELECT user_id, string_agg(DISTINCT {_STATE}, ',' ORDER BY {_STATE}) AS s FROM events GROUP BY 1) ON user_id = c_custkey")(
+    lambda s, d: K.with_task_states(table(s, d, "customer").select(F.col("c_custkey").alias("id")), _tasks(s, d)).select("id", F.array_join("task_states", ",").alias("task_states"))
+)
+_add("tasks_unfinished", f"SELECT event_id AS id, user_id AS vcf_id, {_STATE} AS state, concat('workers.genotype.', event_type, '.run') AS type FROM events WHERE {_STATE} NOT IN ('SUCCESS', 'FAILURE')")(
+    lambda s, d: K.unfinished(_tasks(s, d))
+)
+_add("task_labels", "SELECT event_id AS id, concat('genotype.', event_type) AS label FROM events")(lambda s, d: _tasks(s, d).select("id", V.task_label(F.col("type")).alias("label")))
+_add("latest_n", "SELECT event_id AS id, ts AS created, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 5")(
+    lambda s, d: K.latest(table(s, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created"), "user_id"))
+)
+
+
+@_add("star_overlay", "SELECT c_custkey, coalesce(starred, false) AS starred FROM customer LEFT JOIN (SELECT user_id, arg_max(event_type = 'purchase', (ts, event_id)) AS starred FROM events GROUP BY 1) ON user_id = c_custkey")
+def _stars(s: SparkSession, d: str) -> DataFrame:
+    events = table(s, d, "events")
+    now = events.groupBy("user_id").agg(F.max_by(F.col("event_type") == "purchase", F.struct("ts", "event_id")).alias("starred"))
+    rows = table(s, d, "customer").join(now, F.col("c_custkey") == F.col("user_id"), "left")
+    return rows.select("c_custkey", F.coalesce("starred", F.lit(False)).alias("starred"))
+
+
+_GENES = "SELECT CASE WHEN p_partkey % 25 < 22 THEN concat('chr', CAST(p_partkey % 25 + 1 AS VARCHAR)) ELSE 'chrX' END AS contig, p_partkey AS s, p_partkey + p_size AS e, p_size AS pr, p_name AS g, p_brand AS t FROM part"
+
+
+@_add(
+    "annotate_update",
+    _with(f"SELECT contig, position, reference, alternates, b.g AS gene_name, b.t AS transcript FROM (SELECT contig, position, reference, alternates, min(struct_pack(p := -pr, g := g, t := t)) AS b FROM (SELECT DISTINCT contig, position, reference, alternates FROM calls WHERE vcf_id = 1) v JOIN ({_GENES}) m USING (contig) WHERE position BETWEEN s AND e GROUP BY ALL)"),
+)
+def _annotate(s: SparkSession, d: str) -> DataFrame:
+    contig = F.expr("case when p_partkey % 25 < 22 then concat('chr', cast(p_partkey % 25 + 1 as string)) else 'chrX' end")
+    genes = table(s, d, "part").select(
+        contig.alias("contig"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"), F.col("p_size").alias("priority"),
+        F.col("p_name").alias("annotations:gene_name"), F.col("p_brand").alias("annotations:transcript"), F.lit(None).cast("string").alias("annotations:effect_notation"), F.lit(None).cast("string").alias("annotations:effect_type"),
+    )
+    found = annotate.annotations(C.run_calls(calls(s, d), RUN), genes, 1 << 8)
+    return found.select(*C.RECORD_KEY, V.cell("annotations:gene_name").alias("gene_name"), V.cell("annotations:transcript").alias("transcript"))
+
+
+# scalar functions
+
+_add("epoch_ts", "SELECT event_id, epoch_us(ts) / 1e6 AS seconds FROM events")(lambda s, d: table(s, d, "events").select("event_id", V.epoch_seconds(F.col("ts")).alias("seconds")))
+_add("effect_type_humanize", "SELECT p_partkey, regexp_replace(concat('Frame', 'Shift', replace(p_name, ' ', '')), '([a-z])([A-Z])', '\\1 \\2', 'g') AS effect FROM part")(
+    lambda s, d: table(s, d, "part").select("p_partkey", V.effect_words(F.concat(F.lit("FrameShift"), F.replace("p_name", F.lit(" "), F.lit("")))).alias("effect"))
+)
+_add("row_key", _with(f"SELECT {_UNIQUE}, concat(contig, ':', position, '::', reference, '->', alternates) AS row_key FROM calls"))(lambda s, d: calls(s, d).select(*_UNIQUE.split(", "), V.row_key().alias("row_key")))
+_add("vcf_format_cells", _with(f"SELECT {_UNIQUE}, coalesce(\"info:DP\", '.') AS dp, concat(coalesce(\"info:DP\", '.'), ',', \"info:AF\") AS both FROM calls"))(
+    lambda s, d: calls(s, d).select(*_UNIQUE.split(", "), V.vcf_cell(V.cell("info:DP")).alias("dp"), V.vcf_cell(F.concat(F.lit("["), F.coalesce(V.cell("info:DP"), F.lit(".")), F.lit(", "), V.cell("info:AF"), F.lit("]"))).alias("both"))
+)
+_add("comment_links", _with(f"SELECT {_UNIQUE}, concat(contig, ':', position, '-', position + 1) AS link, position - 25 AS low, position + 25 AS high FROM calls WHERE vcf_id = 1"))(
+    lambda s, d: C.run_calls(calls(s, d), RUN).select(*_UNIQUE.split(", "), V.comment_link(F.col("contig"), F.col("position")).alias("link"), V.pileup_window(F.col("position")).start.alias("low"), V.pileup_window(F.col("position")).end.alias("high"))
+)
+_add("reads_overlap", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey < 600 AND l_partkey + l_quantity > 500 AND l_linestatus = 'F'")(
+    lambda s, d: C.overlapping(table(s, d, "lineitem").withColumns({"contig": F.col("l_linestatus"), "start": F.col("l_partkey"), "end": F.col("l_partkey") + F.col("l_quantity")}), "F", 500, 600).select("l_orderkey", "l_linenumber", "l_partkey")
+)

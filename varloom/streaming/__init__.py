@@ -1,0 +1,33 @@
+"""Runs that arrive as files in a folder, and stars that arrive as events."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from varloom.schema import CALL_KEY
+from varloom.sources.vcf import ingest
+
+#: Files of one micro-batch; each is one run.
+FILES = 16
+
+
+def watch_folder(spark: SparkSession, folder: str, table: str, checkpoint: str, run_of=None, files: int = FILES) -> StreamingQuery:
+    """Ingests each new .vcf file of a folder as a run's partition.  A batch that is tried again replaces the same partitions.
+
+    `run_of` names a file's run id; by default the digits that end its name.
+    """
+    run_of = run_of or (lambda path: int("".join(c for c in path.rpartition("/")[2].removesuffix(".vcf") if c.isdigit())))
+
+    def each(batch: DataFrame, _: int) -> None:
+        for row in batch.select("path").distinct().limit(files).collect():
+            ingest(batch.sparkSession, row["path"], run_of(row["path"]), table)
+
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    source = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.vcf").load(folder)
+    return source.select("path").writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_stars(events: DataFrame) -> DataFrame:
+    """The star of each call, by its latest event; for streams (complete or update mode) and for tables."""
+    return events.groupBy("vcf_id", *CALL_KEY).agg(F.max_by("starred", F.struct("at", "seq")).alias("starred"))
