@@ -571,7 +571,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups, bits = 8 * parts, max(4, (4 * parts - 1).bit_length())
+    # a row of packed runs per group and bucket: few enough of both
+    groups, bits = 2 * parts, max(4, (parts - 1).bit_length())
     rows = docs.select(
         F.expr(f"cast(pmod(xxhash64(`{id_col}`, length(`{text_col}`)), {groups}) as int)").alias("g"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))).alias("id"),
