@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -84,9 +85,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of steps that are over: they go when the JVM collects what refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have Spark delete the shuffle files of steps that are over: they go when the JVM collects what refers to them.
+
+    The first collection frees what the second needs gone, as events of the step may still be on their way.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def delete_scratch(spark: SparkSession, path: str) -> None:
