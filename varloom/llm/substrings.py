@@ -57,6 +57,12 @@ def _gram_hashes(x: np.ndarray, gram: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _spread(m: np.ndarray) -> np.ndarray:
+    """Minimizers hashed once more (one to one): as minima they are small numbers, which would meet in few buckets."""
+    m = (m ^ (m >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return m ^ (m >> np.uint64(29))
+
+
 def _least(h: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each `width` consecutive values."""
     have = 1
@@ -87,7 +93,7 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.nd
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
     new = np.r_[True, (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])]
     first = np.flatnonzero(new)
-    return m[first], doc[first], at[first], np.diff(np.r_[first, len(m)])
+    return _spread(m[first]), doc[first], at[first], np.diff(np.r_[first, len(m)])
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
