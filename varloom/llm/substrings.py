@@ -40,7 +40,7 @@ HOT = 4096
 #: Bytes of joined runs in one transform, if no single minimizer has more.
 TRANSFORM_BYTES = 1 << 20
 #: Bytes of documents whose minimizers are computed at once.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _LAST = np.int64(2**63 - 1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
