@@ -585,18 +585,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col(text_col).alias("text"),
     )
     sent = rows.select("g", "text").mapInArrow(_send_minimizers(bits, length), "bucket int, data binary")
-    shared = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_find_shared(hot), ROW)
+    shared = sent.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_find_shared(hot), ROW)
     # a group's shared minimizers (kind 0) come before its documents (kind 1)
     whole = rows.selectExpr("g", "1 as kind", "id", "text", "cast(null as int) as bucket", "cast(null as binary) as data")
-    both = shared.unionByName(whole).repartition(parts, "g").sortWithinPartitions("g", "kind")
+    both = shared.unionByName(whole).repartitionById(parts, "g").sortWithinPartitions("g", "kind")
     path = scratch(spark, "substring-runs")
     both.mapInArrow(_cut_runs(bits, length), ROW).write.option("compression", "zstd").parquet(path)
     del both, shared, sent
     release(spark)
     cut = spark.read.schema(ROW).parquet(path)
     entries = cut.where("kind = 1").select("bucket", "g", "data")
-    answers = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(length), ROW)
-    last = answers.unionByName(cut.where("kind = 2")).repartition(parts, "g").sortWithinPartitions("g", "kind")
+    answers = entries.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(length), ROW)
+    last = answers.unionByName(cut.where("kind = 2")).repartitionById(parts, "g").sortWithinPartitions("g", "kind")
     out = last.mapInArrow(_remove(length), "id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
     # documents that share nothing stay where they are
     whole = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
