@@ -73,6 +73,13 @@ def test_decontamination_rows_are_those_of_the_sql(spark, tmp_path, monkeypatch,
     same_rows(got, *from_sql(queries_decontam.OP9_SQL, documents=("doc_id bigint, text varchar", rows), benchmark=("item_id varchar, text varchar", ITEMS)))
 
 
+def test_blocks_of_items_keep_all_columns(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 5)
+    docs = spark.createDataFrame([(1, "short item and x", "k")], "doc_id long, text string, `a b` string").selectExpr("struct(doc_id, `a b`) as _doc", "text")
+    row = decontam.find_contamination(docs, spark.createDataFrame(ITEMS, "item_id string, text string")).first()
+    assert row["_doc"].asDict() == {"doc_id": 1, "a b": "k"} and (row["n_hit"], row["n_items"], row["text"]) == (3, 3, "short item and x")
+
+
 def test_decontamination_without_rows(spark):
     docs = spark.createDataFrame([(1, "a b", 3)], "doc_id long, text string, n_words long")
     none = spark.createDataFrame([], "item_id string, text string")

@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from varloom.llm.base import map_texts, written
 
@@ -206,5 +207,6 @@ def _in_blocks(docs, first, second, blocks, text_col, drop_text) -> DataFrame:
             made = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([a for _, a in kept] + made, names=[c for c, _ in kept] + new)
 
-    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields if f.name not in ("_row", "_spans", "_items") and not (drop_text and f.name == text_col)] + [RESULT])
+    kept_fields = [f for f in both.schema.fields if f.name not in ("_row", "_spans", "_items") and not (drop_text and f.name == text_col)]
+    shape = StructType(kept_fields + StructType.fromDDL(RESULT).fields)
     return both.mapInArrow(judge, shape)
