@@ -29,8 +29,8 @@ from varloom.llm.base import map_texts
 from varloom.llm.token_counts import byte_symbols
 
 #: Remembered units and words in a task, and remembered pairs of tokens; emptied when full, which only costs time.
-CACHE_UNITS = 200_000
-CACHE_PAIRS = 400_000
+CACHE_UNITS = 120_000
+CACHE_PAIRS = 200_000
 #: Longest unit or word that is remembered.
 CACHE_CHARS = 48
 
