@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.base import bounded_batches, release, scratch
+from varloom.llm.base import bounded_batches, release, scratch, written
 
 LENGTH = 50
 #: Bytes of the strings whose least hash is a window's minimizer.
@@ -346,23 +346,36 @@ def _string_hash(s: bytes) -> int:
 # step 3: least ids of equal windows
 
 
-def suffix_order(x: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of x in the order of their first `depth` bytes (as if zeros followed the end)."""
-    n = len(x)
+def _words(x: np.ndarray, width: int) -> np.ndarray:
+    """The `width` (1, 2, 4 or 8) bytes from each place on as a number; zeros follow the end."""
     w, have = x.astype(np.uint64), 1
-    while have < 8:
-        w = (w << np.uint64(8 * have)) | np.r_[w[have:], np.zeros(min(have, n), np.uint64)][:n]
+    while have < width:
+        w <<= np.uint64(8 * have)
+        w[:-have] |= w[have:] >> np.uint64(8 * have)
         have *= 2
+    return w
+
+
+def suffix_order(x: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes of x in the order of their first `depth` bytes (as if zeros followed the end)."""
+    n, have = len(x), 8
+    w = _words(x, have)
     while True:
         order = np.argsort(w)
         if have >= depth:
             return order
         sorted_ = w[order]
         rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.r_[True, sorted_[1:] != sorted_[:-1]]).astype(np.uint64)
-        step = min(have, depth - have)
-        w = rank * np.uint64(n + 1) + np.r_[rank[step:], np.zeros(min(step, n), np.uint64)][:n]
-        have += step
+        rank[order] = np.cumsum(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]), dtype=np.uint64)
+        # three ranks fit one number where 21 bits hold each
+        ways = 3 if n < (1 << 21) - 1 else 2
+        last = min(have * ways, depth) - have
+        w = rank * np.uint64(n + 1)
+        w[: -min(have, last)] += rank[min(have, last) :]
+        if ways == 3 and last > have:
+            w *= np.uint64(n + 1)
+            w[:-last] += rank[last:]
+        have += last
 
 
 def expand_intervals(x: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
@@ -370,25 +383,27 @@ def expand_intervals(x: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray
 
     `ahead` maps a place of the transform's first column to that of the suffix one byte shorter; it is the inverse of
     the mapping from last to first column.  Two neighbours with the same first byte belong to one interval for prefixes of
-    k + 1 bytes if their images belong to one for k bytes.  All intervals of one prefix length are derived at once, and
-    neighbours that are apart already are not looked at again.
+    k + 1 bytes if their images belong to one for k bytes.  All intervals of one prefix length are derived at once, from
+    those of 8 bytes (1 byte where `depth` is less) on, and neighbours that are apart already are not looked at again.
     """
-    n = len(x)
-    place = np.empty(n + 1, np.int64)
-    place[order] = np.arange(n)
+    n, seed = len(x), 8 if depth >= 8 else 1
+    place = np.empty(n + 1, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     place[n] = n  # the empty suffix has an interval of its own
     ahead = place[order + 1]
-    first = x[order]
+    first = _words(x, seed)[order]
     apart = np.ones(n + 1, bool)
     apart[1:n] = first[1:] != first[:-1]
-    live = np.flatnonzero(~apart)
-    for _ in range(depth - 1):
+    live = np.flatnonzero(~apart).astype(np.int32)
+    own, other = ahead[live], ahead[live - 1]
+    for _ in range(depth - seed):
         if not len(live):
             break
         interval = np.cumsum(apart, dtype=np.int32)
-        new = interval[ahead[live]] != interval[ahead[live - 1]]
-        apart[live[new]] = True
-        live = live[~new]
+        same = interval[own] == interval[other]
+        if not same.all():
+            apart[live[~same]] = True
+            live, own, other = live[same], own[same], other[same]
     return apart[:n]
 
 
@@ -596,6 +611,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = spark.read.schema(ROW).parquet(path)
     entries = cut.where("kind = 1").select("bucket", "g", "data")
     answers = entries.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(length), ROW)
+    answers = written(answers, "substring-answers")
+    release(spark)
     last = answers.unionByName(cut.where("kind = 2")).repartitionById(parts, "g").sortWithinPartitions("g", "kind")
     out = last.mapInArrow(_remove(length), "id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
     # documents that share nothing stay where they are
