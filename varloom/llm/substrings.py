@@ -121,6 +121,15 @@ def _short(m: np.ndarray, bits: int) -> np.ndarray:
     return ((m << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
 
 
+def _squeezed(data: bytes) -> bytes:
+    """Runs are text, of which Spark's shuffle compression alone leaves most."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(memoryview(data)[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 # step 1: which minimizers are in two documents
 
 
@@ -323,7 +332,7 @@ class _Group:
             e = order[lo:hi]
             some = [strings[i] for i in e]
             data = b"".join([np.uint32(len(e)).tobytes(), e.astype(np.uint32).tobytes(), np.array([len(s) for s in some], np.uint32).tobytes(), keys[e].tobytes(), least[e].tobytes(), *some])
-            rows.append((int(b[e[0]]), data))
+            rows.append((int(b[e[0]]), _squeezed(data)))
         for i in range(0, len(rows), 500):
             part = rows[i : i + 500]
             yield _rows(len(part), g=[self.g] * len(part), kind=[1] * len(part), bucket=[r[0] for r in part], data=[r[1] for r in part])
@@ -436,6 +445,7 @@ def _settle_bucket(bucket: int, rows: list[tuple], length: int) -> Iterator[pa.R
     least: list[int] = []
     owners = []  # (group, entry numbers there, numbers here)
     for g, data in rows:
+        data = _unsqueezed(data)
         n = int(np.frombuffer(data, np.uint32, 1)[0])
         e, sizes = np.frombuffer(data, np.uint32, n, 4), np.frombuffer(data, np.uint32, n, 4 + 4 * n)
         keys, ids = np.frombuffer(data, np.uint64, n, 4 + 8 * n).tolist(), np.frombuffer(data, np.int64, n, 4 + 16 * n).tolist()
