@@ -202,3 +202,55 @@ def test_class_probabilities_sum_to_one():
     before = lm.log_classes(w, rows)[np.arange(50), classes].sum()
     lm.update(w, np.zeros(lm.FEATURES + 1, np.float32), rows, classes)
     assert lm.log_classes(w, rows)[np.arange(50), classes].sum() > before
+
+
+def test_word_pairs_grow_with_the_text(spark):
+    """Each of many rare words has its own successor, all of one class: only counts by history word tell them apart."""
+    r = random.Random(3)
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 10 == 0][:40]
+    pairs = [(f"h{i}xyz", f"w{i}abc") for i in range(3000)]
+    text = lambda some: " ".join(x for p in some for x in p)
+    train = [(i, text(r.sample(pairs, 100))) for i in range(4000) if zlib.crc32(str(i).encode()) % 10][:1500]
+    right, wrong = [], []
+    for i in held:
+        some = r.sample(pairs, 50)
+        (right if i < held[20] else wrong).append((i, text(some if i < held[20] else [(a, b) for (a, _), (_, b) in zip(some, some[1:] + some[:1])])))
+    got = {x["doc_id"]: x["score"] / x["n_tokens"] for x in lm.score_texts(spark.createDataFrame(train + right + wrong, SCHEMA)).collect()}
+    mean = lambda rows: sum(got[i] for i, _ in rows) / len(rows)
+    assert mean(right) > mean(wrong) + 0.5
+
+
+def test_features_of_words_and_pairs():
+    assert lm.TOP == lm.SUFFIXES == 32 and lm.FEATURES == 8192
+    words, classes, first = np.array([5, 6, 7, 5, 9, 7], np.uint64), np.zeros(6, np.int64), np.arange(6) % 3 == 0
+    rows = lm.features(words, classes, first)
+    assert len(rows) == 4 and rows[2][2] != rows[2][5] and rows[3][2] == rows[3][5]
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 3])
+def test_pair_counts_of_groups(monkeypatch, chunk):
+    monkeypatch.setattr(lm, "PAIR_TOKENS", chunk)
+    texts = {0: [("a b a b", False), ("b c", True)], 1: [("A b", False), (None, False)]}
+    want = Counter()
+    sent = {}
+    for g, rows in texts.items():
+        seen = lm._Seen()
+        for t, out in rows:
+            seen.add(t, out)
+            w = [lm.END, *lm.tokens_of(t)]
+            for p in zip(w, w[1:]):
+                want[p] += not out
+        for b, data in seen.packed(3):
+            sent.setdefault(b, []).append((g, data))
+    import pyarrow as pa
+
+    rows = [(b, g, data) for b in sorted(sent) for g, data in sent[b]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["bucket", "g", "data"])
+    got = {}
+    for out in lm._add_up(iter([batch])):
+        for kind, data in zip(out.column("kind").to_pylist(), out.column("data").to_pylist()):
+            if kind == 0:
+                _, _, keys, counts = lm._unpacked(data)
+                got |= dict(zip(keys.tolist(), counts.tolist()))
+    key = lambda p: int(lm.pair_keys(*(np.array([lm.token_hash(x)], np.uint64) for x in p))[0])
+    assert got == {key(p): c for p, c in want.items() if c}

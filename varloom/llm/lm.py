@@ -1,13 +1,16 @@
-"""A hashed maximum-entropy language model with class-factored softmax.
+"""A hashed maximum-entropy language model with class-factored softmax, and counts of word pairs.
 
-log P(word | history) = log P(class | history) + log P(word | class).  The TOP most frequent training tokens are a class
+log M(word | history) = log P(class | history) + log P(word | class).  The TOP most frequent training tokens are a class
 each; all other words fall into SUFFIXES classes by a hash of their last letters, so that also words never seen have one.
 P(class | history) is a maximum-entropy model over hashed features of the history: the word before, the one before that
-(skip), and the n-gram of both words' classes.  P(word | class) is the smoothed share of the word in its class.
+(skip), both as an n-gram, and the n-gram of both words' classes.  P(word | class) is the smoothed share of the word in
+its class.  The score is P(word | history) = (c(before, word) + PRIOR M(word | history)) / (c(before) + PRIOR), with the
+counts c of training documents; the word before the first is the end.  A training document's own pairs are counted too.
 
-Counting.  Documents are dealt into groups by id.  A group sends each different token once, with its count in training
-documents, to the token's bucket; buckets add up and answer each group with the tokens' counts.  The vocabulary is thus
-never in one place; the driver gets sums by class and the few most frequent tokens.
+Counting.  Documents are dealt into groups by id.  A group sends each different token and each different pair of words
+(a hash of 48 bits) once, with its count in training documents, to the token's or pair's bucket; buckets add up and
+answer each group with the counts of its own.  Vocabulary and pairs, which grow with the input, are thus never in one
+place; the driver gets sums by class and the few most frequent tokens.
 
 Training.  ROUNDS rounds, each over another share of the training documents, all of which are used once.  In a round each
 partition starts from the common weights (a few MB, of fixed size), makes gradient updates in mini-batches of sparse
@@ -19,8 +22,8 @@ documents (crc32 0: held out); with no training tokens all counts are 0 and clas
 """
 from __future__ import annotations
 
+import hashlib
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -32,13 +35,17 @@ from pyspark.sql import functions as F
 
 from varloom.llm.base import bounded_batches, scratch
 
-TOP = 24
-SUFFIXES = 24
+TOP = 32
+SUFFIXES = 32
 CLASSES = TOP + SUFFIXES
 #: Rows of the feature table (two bytes name one).
-FEATURE_BITS = 12
+FEATURE_BITS = 13
 FEATURES = 1 << FEATURE_BITS
 SMOOTH = 0.1
+#: Counts that the class model is worth beside those of word pairs (chosen on held-out documents of even ids of sf0.1).
+PRIOR = 200.0
+#: Tokens of a group whose pairs are summed at once.
+PAIR_TOKENS = 1 << 20
 ROUNDS = 3
 RATE = 0.15
 MINIBATCH = 8192
@@ -63,6 +70,34 @@ def suffix_class(token: bytes) -> int:
     return TOP + zlib.crc32(token[-3:].rstrip(b".,;:!?")) % SUFFIXES
 
 
+def token_hash(token: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(token, digest_size=8).digest(), "little")
+
+
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """48 bits for each pair of words, of which the token hashes are given."""
+    with np.errstate(over="ignore"):
+        k = before * _M + words
+        k = (k ^ (k >> np.uint64(31))) * _M
+        k = (k ^ (k >> np.uint64(29))) * _M
+    return k >> np.uint64(16)
+
+
+def before_each(at: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
+    """The number of the token before each; before the first of a text that is the end's."""
+    out = np.roll(at, 1)
+    out[first] = end
+    return out
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.add.reduceat(counts[order], starts) if len(keys) else counts
+
+
 def held_out(id_col: str) -> str:
     """SQL: whether the document is held out."""
     return f"(crc32(coalesce(cast(`{id_col}` as string), '')) % 10 = 0)"
@@ -104,7 +139,7 @@ def features(words: np.ndarray, classes: np.ndarray, first: np.ndarray) -> np.nd
     c1, c2 = np.roll(classes, 1) + 1, np.roll(classes, 2) + 1
     c1[since < 1], c2[since < 2] = 0, 0
     with np.errstate(over="ignore"):
-        keys = (one * _M + np.uint64(1), two * _M + np.uint64(2), (c1 * 997 + c2).astype(np.uint64) * _M + np.uint64(3))
+        keys = (one * _M + np.uint64(1), two * _M + np.uint64(2), (one * _M + two) * _M + np.uint64(3), (c1 * 997 + c2).astype(np.uint64) * _M + np.uint64(4))
         out = np.empty((len(keys), len(words)), np.int16)
         for i, k in enumerate(keys):
             k = (k ^ (k >> np.uint64(31))) * _M
@@ -150,44 +185,110 @@ def _rows(n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _ROW.items()], names=list(_ROW))
 
 
-def _packed(tokens: list[bytes], counts) -> bytes:
-    return np.uint32(len(tokens)).tobytes() + np.asarray(counts, np.int64).tobytes() + b"\n".join(tokens)
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The lower bytes of integers, byte by byte: in order or small, they compress well."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def _unpacked(data: bytes) -> tuple[list[bytes], np.ndarray]:
-    n = int(np.frombuffer(data, np.uint32, 1)[0])
-    return data[4 + 8 * n :].split(b"\n"), np.frombuffer(data, np.int64, n, 4)
+def _of_planes(data: bytes, n: int, width: int, at: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+    return out.view("<u8").ravel()
 
 
-def _send_counts(buckets: int):
-    """Rows of sorted groups -> (bucket, g, data): a group's different tokens and their counts in training documents."""
+_NO_PAIRS = np.zeros(0, np.uint64)
+
+
+def _packed(tokens: list[bytes], counts, keys: np.ndarray = _NO_PAIRS, pairs: np.ndarray = _NO_PAIRS) -> bytes:
+    """Tokens and keys of pairs with their counts (those of pairs in five bytes)."""
+    sizes = np.array([len(tokens), len(keys)], np.uint32).tobytes()
+    return sizes + np.asarray(counts, np.int64).tobytes() + _planes(keys, 6) + _planes(pairs, 5) + b"\n".join(tokens)
 
-    def sent(g: int, seen: Counter) -> Iterator[pa.RecordBatch]:
-        tokens = list(seen)
+
+def _unpacked(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    n, m = np.frombuffer(data, np.uint32, 2).tolist()
+    at = 8 + 8 * n
+    keys, pairs = _of_planes(data, m, 6, at), _of_planes(data, m, 5, at + 6 * m).astype(np.int64)
+    return data[at + 11 * m :].split(b"\n") if n else [], np.frombuffer(data, np.int64, n, 8), keys, pairs
+
+
+class _Numbers(dict):
+    """Tokens in the order in which they came."""
+
+    def __missing__(self, token: bytes) -> int:
+        self[token] = n = len(self)
+        return n
+
+
+class _Seen:
+    """A group's different tokens and pairs with their counts in training documents."""
+
+    def __init__(self):
+        self.numbers = _Numbers()
+        self.end = self.numbers[END]
+        self.counts = np.zeros(0, np.int64)
+        self.texts: dict[bool, list[np.ndarray]] = {False: [], True: []}
+        self.waiting = 0
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, text: str | None, out: bool) -> None:
+        tokens = tokens_of(text)
+        self.texts[out].append(np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens)))
+        self.waiting += len(tokens)
+        if self.waiting >= PAIR_TOKENS:
+            self.settle()
+
+    def settle(self) -> None:
+        self.counts = np.r_[self.counts, np.zeros(len(self.numbers) - len(self.counts), np.int64)]
+        for out, texts in self.texts.items():
+            if texts:
+                sizes = np.array([len(x) for x in texts])
+                at, first = np.concatenate(texts), np.zeros(int(sizes.sum()), bool)
+                first[np.cumsum(sizes) - sizes] = True
+                keys, n = np.unique(before_each(at, first, self.end) << 32 | at, return_counts=True)
+                self.pairs.append((keys, n * (not out)))
+                if not out:
+                    self.counts += np.bincount(at, minlength=len(self.counts))
+        if len(self.pairs) > 1:
+            self.pairs = [summed(*map(np.concatenate, zip(*self.pairs)))]
+        self.texts, self.waiting = {False: [], True: []}, 0
+
+    def packed(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        """(bucket, data) of each bucket that holds some of them."""
+        self.settle()
+        tokens = list(self.numbers)
+        hashes = np.array([token_hash(t) for t in tokens], np.uint64)
         b = np.array([zlib.crc32(t) for t in tokens], np.int64) % buckets
-        order = np.argsort(b, kind="stable")
-        counts = np.array(list(seen.values()), np.int64)
-        cut = np.flatnonzero(np.r_[True, np.diff(b[order]) != 0])
-        data, names = [], []
-        for lo, hi in zip(cut, np.r_[cut[1:], len(order)]):
-            some = order[lo:hi]
-            names.append(int(b[some[0]]))
-            data.append(_packed([tokens[i] for i in some], counts[some]))
+        by_bucket = np.argsort(b, kind="stable")
+        token_cut = np.searchsorted(b[by_bucket], np.arange(buckets + 1))
+        pairs, n = self.pairs[0]
+        keys = pair_keys(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF])
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        # buckets are ranges of keys
+        pair_cut = np.searchsorted((keys >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+        for k in range(buckets):
+            some, part = by_bucket[token_cut[k] : token_cut[k + 1]], slice(pair_cut[k], pair_cut[k + 1])
+            if len(some) or part.start < part.stop:
+                yield k, _packed([tokens[i] for i in some], self.counts[some], keys[part], n[part])
+
+
+def _send_counts(buckets: int):
+    """Rows of sorted groups -> (bucket, g, data): a group's different tokens and pairs, and their counts in training documents."""
+
+    def sent(g: int, seen: _Seen) -> Iterator[pa.RecordBatch]:
+        names, data = zip(*seen.packed(buckets))
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([g] * len(names), pa.int32()), pa.array(data, pa.binary())], names=["bucket", "g", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen = None, Counter()
+        now, seen = None, _Seen()
         for batch in batches:
             for g, text, out in zip(*[batch.column(c).to_pylist() for c in ("g", "text", "held_out")]):
                 if now is not None and g != now:
                     yield from sent(now, seen)
-                    seen = Counter()
+                    seen = _Seen()
                 now = g
-                if out:
-                    for t in set(tokens_of(text)):
-                        seen[t] += 0
-                else:
-                    seen.update(tokens_of(text))
+                seen.add(text, out)
         if now is not None:
             yield from sent(now, seen)
 
@@ -195,19 +296,24 @@ def _send_counts(buckets: int):
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's sums: to each group its tokens and their counts (kind 0); sums by class and top tokens (kind 2)."""
+    """A bucket's sums: to each group its tokens and pairs with their counts (kind 0); sums by class and top tokens (kind 2)."""
 
     def settled(bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
         total: dict[bytes, int] = {}
+        some = []
         for _, data in rows:
-            tokens, counts = _unpacked(data)
+            tokens, counts, keys, pairs = _unpacked(data)
             for t, c in zip(tokens, counts.tolist()):
                 total[t] = total.get(t, 0) + c
+            some.append((keys, pairs))
+        all_keys, all_pairs = summed(*map(np.concatenate, zip(*some)))
+        del some
         for i in range(0, len(rows), 200):
             part, out = rows[i : i + 200], []
             for _, data in part:
-                tokens, _ = _unpacked(data)
-                out.append(_packed(tokens, [total[t] for t in tokens]))
+                tokens, _, keys, _ = _unpacked(data)
+                pairs = all_pairs[np.searchsorted(all_keys, keys)] if len(keys) else _NO_PAIRS
+                out.append(_packed(tokens, [total[t] for t in tokens], keys[pairs > 0], pairs[pairs > 0]))
             yield _rows(len(part), g=[g for g, _ in part], kind=[0] * len(part), bucket=[bucket] * len(part), data=out)
         sums = np.zeros((2, CLASSES), np.int64)
         for t, c in total.items():
@@ -235,7 +341,7 @@ def _model(stats: Iterator) -> Model:
     for row in stats:
         data = bytes(row["data"])
         sums += np.frombuffer(data, np.int64, 2 * CLASSES).reshape(2, CLASSES)
-        tokens, counts = _unpacked(data[16 * CLASSES :])
+        tokens, counts, _, _ = _unpacked(data[16 * CLASSES :])
         best = sorted([*best, *zip((-counts).tolist(), tokens)])[:TOP]
     total, distinct = int(sums[0].sum()), int(sums[1].sum())
     sums = sums.astype(np.float64)
@@ -349,8 +455,14 @@ def fit(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def with_pairs(own: np.ndarray, before: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """log10 P(word | history) from the class model's log10 probability and the counts of the word before and of the pair."""
+    pairs = np.minimum(pairs, before)
+    return np.log10(pairs + PRIOR * 10.0**own) - np.log10(before + PRIOR)
+
+
 def score_batch(model: Model, words: np.ndarray, classes: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(base, model) log10 probability of each token."""
+    """(base, class model) log10 probability of each token."""
     rows = features(words, classes, first)
     chosen = np.empty(len(words))
     for i in range(0, len(words), MINIBATCH):
@@ -360,24 +472,26 @@ def score_batch(model: Model, words: np.ndarray, classes: np.ndarray, counts: np
 
 
 def _score(shared):
-    """Rows of a group: first its tokens' counts (kind 0), then its documents (kind 1)."""
+    """Rows of a group: first its tokens' and pairs' counts by bucket (kind 0), then its documents (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         top = model.class_of()
-        now, number, counts, words, classes = None, {}, None, None, None
-        held: list[tuple[list[bytes], np.ndarray]] = []
+        now, number, counts, words, classes, hashes, keys, pairs = None, {}, None, None, None, None, None, None
+        held: list[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             kinds, groups, data = (batch.column(c).to_pylist() for c in ("kind", "g", "data"))
             docs: list[int] = []
 
             def scored() -> Iterator[pa.RecordBatch]:
-                nonlocal counts, words, classes, held
+                nonlocal counts, words, classes, hashes, keys, pairs, held
                 if not docs:
                     return
                 if counts is None:
-                    tokens = [t for ts, _ in held for t in ts]
-                    counts = np.concatenate([c for _, c in held])
+                    tokens = [t for x in held for t in x[0]]
+                    counts, keys, pairs = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+                    keys, pairs = np.r_[keys, np.uint64(1 << 63)], np.r_[pairs, 0]
+                    hashes = np.array([token_hash(t) for t in tokens], np.uint64)
                     number.update(zip(tokens, range(len(tokens))))
                     words = np.array([zlib.crc32(t) for t in tokens], np.uint64) + np.uint64(1)
                     classes = np.array([top[t] if t in top else suffix_class(t) for t in tokens], np.int64)
@@ -390,6 +504,10 @@ def _score(shared):
                 first = np.zeros(len(at), bool)
                 first[starts] = True
                 base, own = score_batch(model, words[at], classes[at], counts[at], first)
+                before = before_each(at, first, number[END])
+                wanted = pair_keys(hashes[before], hashes[at])
+                found = np.searchsorted(keys, wanted)
+                own = with_pairs(own, counts[before], np.where(keys[found] == wanted, pairs[found], 0))
                 known = np.add.reduceat((counts[at] > 0).astype(np.int64), starts)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("held_out"), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), model.total)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(own, starts))],
@@ -429,5 +547,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = spark.sparkContext.broadcast(model)
     whole = rows.selectExpr("g", "1 as kind", "id", "text", "cast(null as int) as bucket", "cast(null as binary) as data", "held_out")
     both = counted.where("kind = 0").withColumn("held_out", F.lit(None).cast("boolean")).unionByName(whole)
-    out = both.repartitionById(parts, "g").sortWithinPartitions("g", "kind").mapInArrow(_score(shared), SCORES)
+    out = both.repartitionById(parts, "g").sortWithinPartitions("g", "kind", "bucket").mapInArrow(_score(shared), SCORES)
     return out.withColumnRenamed("id", id_col)
