@@ -160,3 +160,29 @@ def test_snake_case(camel, snake):
 
 def test_camel_case():
     assert [V.camel_case(x) for x in ("camel_case", "http_request", "camel_bi1g_cases_run1")] == ["camelCase", "httpRequest", "camelBi1gCasesRun1"]
+
+
+def test_orders_return_the_whole_run(spark):
+    from varloom.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    run = C.run_calls(catalog.calls(spark, d), catalog.RUN).collect()
+    key = lambda r: (r["l_orderkey"], r["l_partkey"], r["l_suppkey"])
+    none = lambda x: (x is None, 0 if x is None else x)
+    rest = lambda r: (*[none(r[c]) for c in ("contig", "position", "reference", "alternates", "sample_name")], *key(r))
+    got = sorted(catalog.queries()["export_order_all"](spark, d).collect(), key=lambda r: r["place"])
+    assert len(run) > 500 and [r["place"] for r in got] == list(range(1, len(run) + 1))
+    assert [key(r) for r in got] == [key(r) for r in sorted(run, key=lambda r: (len(r["contig"]), *rest(r)))]
+    got = sorted(catalog.queries()["sort_typed_all"](spark, d).collect(), key=lambda r: r["place"])
+    nulls = sum(r["info:DP"] is None for r in run)
+    assert len(got) == len(run) and nulls and all((r["info:DP"] is None) == (i >= len(run) - nulls) for i, r in enumerate(got))
+
+
+def test_places_over_many_ranges(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v")).repartition(7)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    placed = C.with_places(rows.orderBy("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert placed.rdd.getNumPartitions() > 1 and placed.where("place != v + 1").count() == 0 and placed.count() == 5000
+    assert C.with_places(rows.limit(0).orderBy("v")).count() == 0

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,9 +140,25 @@ def record_closure(calls: DataFrame, run: int, query: Query) -> DataFrame:
     return rows.join(keys, reduce(lambda a, b: a & b, [rows[c].eqNullSafe(keys[f"k_{c}"]) for c in RECORD_KEY]), "left_semi")
 
 
-def export_order(df: DataFrame) -> DataFrame:
-    """Length of the contig, contig, position, reference, alternates, sample."""
-    return df.orderBy(F.length("contig").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in CALL_KEY])
+def export_order(df: DataFrame, *ties: str) -> DataFrame:
+    """Length of the contig, contig, position, reference, alternates, sample; then the columns that settle ties."""
+    return df.orderBy(F.length("contig").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in CALL_KEY], *ties)
+
+
+def with_places(ordered: DataFrame) -> DataFrame:
+    """All rows of an ordered frame with their places, from 1: the row's number in its range of the order, after the
+    rows of the ranges before.  The driver gets one count for each range.
+
+    The ordered rows are kept on the executors' disks, so that counts and rows are of the same ranges.
+    """
+    kept = ordered.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)).persist(StorageLevel.DISK_ONLY)
+    offsets, before = [], 0
+    for r in sorted(kept.groupBy("_range").count().collect()):
+        offsets.append((r["_range"], before))
+        before += r["count"]
+    first = ordered.sparkSession.createDataFrame(offsets, "_range long, _before long")
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return kept.join(F.broadcast(first), "_range").withColumn("place", place).drop("_range", "_at", "_before")
 
 
 def contigs(calls: DataFrame, run: int) -> DataFrame:

@@ -111,30 +111,37 @@ _add(
 # orders and pages: the place in the order is part of the rows
 
 
-def _placed(df: DataFrame, order: list, n: int) -> DataFrame:
-    """The first n rows of an order, with their places."""
-    from pyspark.sql import Window
+def _order_sql(order: str, n: int = 500) -> str:
+    return _with(f"SELECT {_ALL}, row_number() OVER (ORDER BY {order}) AS place FROM calls WHERE vcf_id = 1 QUALIFY place <= {n}")
 
-    top = df.orderBy(*order).limit(n)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
+def _whole_order_sql(order: str) -> str:
+    return _with(f"SELECT {_ALL}, row_number() OVER (ORDER BY {order}) AS place FROM calls WHERE vcf_id = 1")
 
-def _order_sql(order: str, n: int = 500) -> str:
-    return _with(f"SELECT {_ALL}, row_number() OVER (ORDER BY {order}) AS place FROM calls WHERE vcf_id = 1 QUALIFY place <= {n}")
+
+def _add_order(name: str, order: str):
+    """An order of the whole run as NAME_all; as NAME its first 500 places."""
+
+    def put(f):
+        _add(f"{name}_all", _whole_order_sql(order))(f)
+        _add(name, _order_sql(order))(lambda s, d: f(s, d).where("place <= 500"))
+        return f
+
+    return put
 
 
 def _sorted(*sort: Sort):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         q = _query(sort=sort)
-        return _placed(C.filtered(calls(spark, sf_dir), RUN, q), [*C.order_columns(q), *_UNIQUE.split(", ")], 500)
+        return C.with_places(C.filtered(calls(spark, sf_dir), RUN, q).orderBy(*C.order_columns(q), *_UNIQUE.split(", ")))
 
     return run
 
 
-_add("sort_typed", _order_sql(f"{_DP} ASC NULLS LAST, {_NATURAL}, {_TIES}, {_UNIQUE}"))(_sorted(Sort("info:DP")))
-_add("sort_typed_desc_nulls", _order_sql(f"{_DP} DESC NULLS FIRST, {_NATURAL}, {_TIES}, {_UNIQUE}"))(_sorted(Sort("info:DP", True)))
-_add("sort_contig_natural", _order_sql(f"{_NATURAL}, {_TIES}, {_UNIQUE}"))(_sorted(Sort("contig")))
-_add("sort_contig_natural_desc", _order_sql(f"{_NUMBER} ASC NULLS LAST, length(contig) DESC NULLS FIRST, contig DESC NULLS FIRST, {_NATURAL}, {_TIES}, {_UNIQUE}"))(_sorted(Sort("contig", True)))
+_add_order("sort_typed", f"{_DP} ASC NULLS LAST, {_NATURAL}, {_TIES}, {_UNIQUE}")(_sorted(Sort("info:DP")))
+_add_order("sort_typed_desc_nulls", f"{_DP} DESC NULLS FIRST, {_NATURAL}, {_TIES}, {_UNIQUE}")(_sorted(Sort("info:DP", True)))
+_add_order("sort_contig_natural", f"{_NATURAL}, {_TIES}, {_UNIQUE}")(_sorted(Sort("contig")))
+_add_order("sort_contig_natural_desc", f"{_NUMBER} ASC NULLS LAST, length(contig) DESC NULLS FIRST, contig DESC NULLS FIRST, {_NATURAL}, {_TIES}, {_UNIQUE}")(_sorted(Sort("contig", True)))
 
 
 @_add("page_limit_offset", _with(f"SELECT {_ALL} FROM calls WHERE vcf_id = 1 ORDER BY {_NATURAL}, {_TIES}, {_UNIQUE} LIMIT 250 OFFSET 500"))
@@ -143,10 +150,9 @@ def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.page(C.filtered(calls(spark, sf_dir), RUN, q).orderBy(*C.order_columns(q), *_UNIQUE.split(", ")), q)
 
 
-@_add("export_order", _order_sql(f"length(contig) NULLS LAST, contig NULLS LAST, {_TIES}, {_UNIQUE}"))
+@_add_order("export_order", f"length(contig) NULLS LAST, contig NULLS LAST, {_TIES}, {_UNIQUE}")
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = [F.length("contig").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in C.CALL_KEY], *_UNIQUE.split(", ")]
-    return _placed(C.run_calls(calls(spark, sf_dir), RUN), order, 500)
+    return C.with_places(C.export_order(C.run_calls(calls(spark, sf_dir), RUN), *_UNIQUE.split(", ")))
 
 
 # comparison with the truth run
