@@ -140,3 +140,16 @@ def test_spans_and_redaction(spark):
 def test_patterns_take_linear_time():
     model = pii.train(600)
     pii.all_spans(model, ["a" * 300_000, "1" * 300_000, "1." * 100_000, "a@" * 100_000, "+1" * 100_000, "key=" * 50_000, "AB12 " * 50_000, "x(at)" * 50_000, "+1" + " " * 300_000])
+
+
+@pytest.mark.parametrize("block", [decontam.BLOCK_WORDS, 30])
+def test_items_without_an_id_count_for_hits(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+    items = [*ITEMS, (None, "nothing here"), (None, "zz zz"), (None, "short item"), (None, None)]
+    rows = list(enumerate(DOCS))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries_decontam.op9_decontamination(spark, str(tmp_path))
+    row = got.where("doc_id = 8").first()
+    assert (row["n_hit"], row["n_items"], row["contaminated"]) == (2, 0, True)
+    same_rows(got, *from_sql(queries_decontam.OP9_SQL, documents=("doc_id bigint, text varchar", rows), benchmark=("item_id varchar, text varchar", items)))

@@ -11,8 +11,8 @@ Items are read from Spark in blocks of bounded size (BLOCK_WORDS words of window
 searched in one pass over the documents.  A benchmark of one block (the usual case) needs no shuffle at all; with
 more, the hits of all blocks are brought together by document.
 
-Defined results: null texts and items have no words; an item without words has no window; a repeated item id
-counts once; equal windows of several items count for each of them; repeated documents are judged one by one.
+Defined results: null texts and items have no words; an item without words has no window; an item without an id counts
+for n_hit and contaminated, but not for n_items and items_sha256; a repeated item id counts once; equal windows of several items count for each of them; repeated documents are judged one by one.
 """
 from __future__ import annotations
 
@@ -95,7 +95,7 @@ def _items_in_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterat
     """Items as words, in blocks of at most BLOCK_WORDS words of windows (or one item)."""
     block: dict[object, list[bytes]] = {}
     held = 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null").dropDuplicates()
+    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).dropDuplicates()
     for row in rows.sortWithinPartitions("i").toLocalIterator():
         words = text_words(row["t"])
         cost = len(words) * min(len(words), WINDOW)
@@ -119,6 +119,11 @@ def _union(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _names(owners) -> set[str]:
+    """The items' ids; items without one have no name."""
+    return {n for i in owners if (n := i[0] if isinstance(i, tuple) else i) is not None}
+
+
 def _judged(n_words: int, spans: list[tuple[int, int]], items: set[str]) -> tuple:
     n_hit = sum(b - a for a, b in spans)
     digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
@@ -128,10 +133,6 @@ def _judged(n_words: int, spans: list[tuple[int, int]], items: set[str]) -> tupl
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _name(item) -> str:
-    return item[0] if isinstance(item, tuple) else item
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_text: str = "text", text_col: str = "text", drop_text: bool = False) -> DataFrame:
     """Adds n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0 and 20 * n_hit >= n_words) to each row."""
     context = docs.sparkSession.sparkContext
@@ -148,7 +149,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "ite
                 for t in texts:
                     words = text_words(t)
                     hits = list(search.find(words))
-                    items = {_name(i) for *_, w in hits for i in search.owners[w]}
+                    items = _names(i for *_, w in hits for i in search.owners[w])
                     rows.append((len(words), *_judged(len(words), _union([h[:2] for h in hits]), items)))
                 return dict(zip(("n_words", "n_hit", "n_items", "items_sha256", "contaminated"), map(list, zip(*rows)) if rows else [[]] * 5))
 
@@ -173,12 +174,12 @@ def _in_blocks(docs, first, second, blocks, text_col, drop_text) -> DataFrame:
                 for t in texts:
                     found = list(s.find(text_words(t)))
                     spans.append([x for h in _union([h[:2] for h in found]) for x in h])
-                    items.append(sorted({_name(i) for *_, w in found for i in s.owners[w]}))
+                    items.append(sorted(_names(i for *_, w in found for i in s.owners[w])))
                 return {"_spans": spans, "_items": items}
 
             return work
 
-        return map_texts(keyed.select("_row", F.col(text_col).alias("text")), make, "_spans array<int>, _items array<string>", "text", True).where("size(_items) > 0")
+        return map_texts(keyed.select("_row", F.col(text_col).alias("text")), make, "_spans array<int>, _items array<string>", "text", True).where("size(_spans) > 0")
 
     parts.append(written(hits(first), "decontam-hits"))
     block = second
