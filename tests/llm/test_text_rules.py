@@ -153,3 +153,12 @@ def test_items_without_an_id_count_for_hits(spark, tmp_path, monkeypatch, block)
     row = got.where("doc_id = 8").first()
     assert (row["n_hit"], row["n_items"], row["contaminated"]) == (2, 0, True)
     same_rows(got, *from_sql(queries_decontam.OP9_SQL, documents=("doc_id bigint, text varchar", rows), benchmark=("item_id varchar, text varchar", items)))
+
+
+def test_long_secrets_are_covered_to_their_end():
+    r = random.Random(5)
+    model = pii.train()
+    for n in (63, 201, 400, 900):
+        secret = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-") for _ in range(n))
+        text = f'the token = "{secret}" is'
+        assert [s for s in pii.all_spans(model, [text])[1][0] if s[1] == pii.KINDS.index("secret")] == [(13, pii.KINDS.index("secret"), 13 + n)]

@@ -43,7 +43,7 @@ _NATIONAL = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]{1,63}){1,4}", re.I)
-_SECRET = re.compile(r"(?i)(?<![a-z])(?:access[_-]?|api[_-]?|auth[_-]?|secret[_-]?)?(?:token|secret|key|passwd|password|pwd)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([A-Za-z0-9_+/=.-]{12,200})")
+_SECRET = re.compile(r"(?i)(?<![a-z])(?:access[_-]?|api[_-]?|auth[_-]?|secret[_-]?)?(?:token|secret|key|passwd|password|pwd)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([A-Za-z0-9_+/=.-]{12,}+)")
 _HINT = re.compile(r"(?i)phone|tel|call|fax|ssn|social|iban|account|bank|mail|contact|token|secret|key|password")
 _DIGIT_OR_AT = re.compile("[0-9@]").search
 
@@ -243,8 +243,8 @@ def examples(rows: int = TRAIN_ROWS, seed: int = SEED) -> tuple[np.ndarray, np.n
         if kind == "email":
             name, host = letters(int(r.integers(3, 10))), letters(int(r.integers(3, 10)))
             return f"{name} {pick('(at)', '[at]')} {host} {pick('(dot)', '[dot]')} {pick('com', 'org', 'net')}" if good else f"{pick('look', 'meet', 'x')}{pick('(at)', '[at]')}{digits(2)}.{digits(2)}"
-        n = int(r.integers(20, 64))
-        return letters(n, pick("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")) if good else pick(letters(int(r.integers(12, 24))), "-" * n, letters(2) * 8, "example.value.here")
+        n = int(r.integers(20, 64) if r.random() < 0.75 else r.integers(64, 901))
+        return letters(n, pick("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-.")) if good else pick(letters(int(r.integers(12, 24))), "-" * n, letters(2) * 8, letters(2) * (n // 2), "example.value.here")
 
     x, kinds, y = [], [], []
     while len(y) < rows:
