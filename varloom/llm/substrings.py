@@ -10,8 +10,8 @@ ones meet, in four steps; only the bytes that other documents may share travel.
    own hash, so that no bucket has to hold all surroundings of a common passage.
 3. A bucket has all windows of its minimizers.  Runs of which no other version exists are settled by their least id.  The
    others are joined to one text, its suffixes are put in order and give its Burrows-Wheeler transform.  Intervals of
-   suffixes with a common prefix are then derived for prefixes of 1, 2, 3 ... bytes: the interval of c + w is the image,
-   under the transform's mapping, of the places of c in the interval of w.  That stops at `length`; what is still one interval
+   suffixes with a common prefix are read off for prefixes of 8 bytes (1 where `length` is less) and then derived for 9, 10,
+   11 ... bytes: the interval of c + w is the image, under the transform's mapping, of the places of c in the interval of w.  That stops at `length`; what is still one interval
    then are equal windows, and gets the least id of its documents.
 4. Groups get these ids back, and each document removes what windows of a smaller id cover.
 
