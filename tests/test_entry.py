@@ -1,3 +1,8 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -31,3 +36,20 @@ def test_entry(spark):
     assert row["number_of_records"] == row["true_positives"] + row["false_positives"]
     assert row["total_truth_records"] == row["true_positives"] + row["false_negatives"]
     assert set(catalog.queries()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("with_pipeline, leftovers", [(True, False), (False, False), (True, True)])
+def test_the_rest_works_without_the_text_operators(tmp_path, with_pipeline, leftovers):
+    """A whole copy without the subpackage on training text and its tests, with and without the pipeline's file."""
+    root, copy = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns("llm", "__pycache__", ".git", ".pytest_cache"))
+    if leftovers:
+        (copy / "varloom" / "llm" / "__pycache__").mkdir(parents=True)
+    pipeline = copy / "corpus_pipeline.py"
+    if with_pipeline:
+        pipeline.touch() if pipeline.exists() else pipeline.write_text("import varloom.llm.base\n")
+    elif pipeline.exists():
+        pipeline.unlink()
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=env)
