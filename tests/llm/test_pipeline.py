@@ -1,10 +1,6 @@
-"""The pipeline, stage by stage, against brute force on small documents; and what is left without this subpackage."""
+"""The pipeline, stage by stage, against brute force on small documents."""
 import hashlib
-import os
 import re
-import shutil
-import subprocess
-import sys
 
 import public_tokenizers as P
 from tokenizers import Tokenizer
@@ -13,7 +9,6 @@ import corpus_pipeline
 from tests.llm.test_groups import close, groups, near_copies, plain_fingerprint
 from tests.llm.test_text_rules import TEXTS, plain_spans
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my nu xi omicron"
 
 
@@ -102,10 +97,3 @@ def test_run_and_empty_documents(spark, tmp_path):
         spark.createDataFrame([("b", ITEM)], "item_id string, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/some").count() > 10
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
-
-
-def test_the_rest_works_without_this_subpackage(tmp_path):
-    shutil.copytree(f"{ROOT}/varloom", tmp_path / "varloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(n.startswith('op') for n in q); assert e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})

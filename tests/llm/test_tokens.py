@@ -56,10 +56,15 @@ def test_ids_and_decoding_are_the_library_s(tables, monkeypatch):
     together.learn(some)
     assert [together.encode(t) for t in some] == want
     assert [one.decode(i) for i in want] == [library.decode(i, skip_special_tokens=False) for i in want]
-    monkeypatch.setattr(bpe_codec, "CACHE_UNITS", 2)
-    monkeypatch.setattr(bpe_codec, "CACHE_PAIRS", 2)
+    for name, value in (("CACHE_UNITS", 2), ("CACHE_WORDS", 2), ("CACHE_PAIRS", 2), ("LOCKSTEP", 3)):
+        monkeypatch.setattr(bpe_codec, name, value)
     small = bpe_codec.Encoder(tables)
-    assert [small.encode(t) for t in some[:300]] == want[:300]
+    for i in range(0, 300, 20):
+        small.learn(some[i : i + 20])
+        assert [small.encode(t) for t in some[i : i + 20]] == want[i : i + 20]
+    monkeypatch.setattr(bpe_codec, "LONG", 1)
+    alone = bpe_codec.Encoder(tables)
+    assert [alone.encode(t) for t in some[:600]] == want[:600]
 
 
 def test_queries_on_rows(spark):

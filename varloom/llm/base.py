@@ -21,9 +21,26 @@ BATCH_BYTES = 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small: texts may be long, so few rows and few bytes go at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Keep Arrow batches small: texts may be long, so few rows and few bytes go at once.
+
+    Spark reads these two settings of the session when a plan runs.  They are only ever lowered, and no result depends on them.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+#: Estimates from here on mean that the planner does not know.
+UNKNOWN_BYTES = 1 << 55
+
+
+def shares(df: DataFrame, size: int) -> int:
+    """Into how many parts rows are dealt: the shuffle partitions of the session, or more where the planner's estimate of
+    the input holds that many times `size` bytes."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-estimate // size)) if estimate < UNKNOWN_BYTES else least
 
 
 def map_texts(
@@ -65,13 +82,15 @@ def map_texts(
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which all executors of a cluster share.
 
-    Only where the setting is missing (tests on one machine) is a default set.
+    Where the setting is missing a default is set on one machine; on a cluster that is an error.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
         root = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ are the vocabulary's tokens that end there: a suffix automaton of the whole voca
 the state of the longest suffix that is part of a token, and its suffix links lead to all shorter ones.  A candidate is the
 right one if the token stored for the prefix before it is compatible with it, that is, if merging by rank would never join
 symbols across the border of the two.  Back-pointers from the whole word give the ids.  This takes time linear in the
-word's length, however long the word is.
+word's length, however long the word is.  The new words of a batch go through their prefixes in lockstep, in numpy arrays.
 
 Words come from the tokenizer file's own steps: special-token strings are cut out of the raw text; the rest is normalized
 (NFC, lower case), white space falls away, and the file's pattern gives the words; each word's last byte is the symbol
@@ -22,41 +22,46 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from varloom.llm.base import map_texts
 from varloom.llm.token_counts import byte_symbols
 
-#: Remembered units and words in a task, and remembered pairs of tokens; emptied when full, which only costs time.
-CACHE_UNITS = 120_000
-CACHE_PAIRS = 200_000
+#: Remembered units and words of a worker; at twice as many the older half is forgotten, which only costs time.
+CACHE_UNITS = 200_000
+CACHE_WORDS = 100_000
+#: Slots for remembered pairs of tokens (a power of two).
+CACHE_PAIRS = 1 << 20
+#: Words whose prefixes are settled together, and the bytes beyond which a word is encoded alone.
+LOCKSTEP = 1 << 14
+LONG = 256
 #: Longest unit or word that is remembered.
 CACHE_CHARS = 48
 
-_FAR = 1 << 60
+_FAR = 2**31 - 1
 
 
 class Recent(dict):
-    """Remembers what `make` gives for a key, for the last CACHE_UNITS to 2 * CACHE_UNITS different keys."""
+    """Ids of recent strings, packed; those of the generation before are in `older`."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, size: int):
         super().__init__()
-        self.make, self.older = make, {}
-
-    def __missing__(self, key: str):
-        got = self.older.get(key)
-        if got is None:
-            got = self.make(key)
-        if len(key) <= CACHE_CHARS:
-            self.put(key, got)
-        return got
-
-    def put(self, key: str, got) -> None:
-        if len(self) >= CACHE_UNITS:
+        self.size, self.older = size, {}
+
+    def unknown(self, strings: set[str]) -> set[str]:
+        """Those not remembered; others of the generation before are taken over into this one."""
+        if len(self) > self.size:
             self.older = dict(self)
             self.clear()
-        self[key] = got
+        missing = strings.difference(self)
+        again = missing.intersection(self.older)
+        self.update({s: self.older[s] for s in again})
+        return missing - again
 
 
 def suffix_automaton(strings: Iterable[tuple[int, ...]], width: int) -> tuple[dict[int, int], list[int], list[int]]:
@@ -96,17 +101,58 @@ def suffix_automaton(strings: Iterable[tuple[int, ...]], width: int) -> tuple[di
     return {s * width + c: t for s, edges in enumerate(step) for c, t in edges.items()}, link, longest
 
 
+class IntTable:
+    """Numbers by keys (both not negative) in an open-addressed hash table; a key that is not there gives -1."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.mask = (1 << int(np.ceil(np.log2(max(2, len(keys)) * 2.5)))) - 1
+        self.keys, self.values = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, -1, np.int32)
+        left, slot = np.arange(len(keys)), slots(keys, self.mask)
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            left = np.setdiff1d(left, put)
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = slots(keys, self.mask)
+        there = self.keys[slot]
+        out = self.values[slot]
+        out[there != keys] = -1
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            there = self.keys[slot[open_]]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return out
+
+
+def slots(keys: np.ndarray, mask: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & mask
+
+
+def _flat(lists: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of pairs, one after another: where each begins (and the last ends), and both members."""
+    at = np.cumsum([0, *map(len, lists)])
+    both = np.fromiter(chain.from_iterable(chain.from_iterable(lists)), np.int64, 2 * int(at[-1])).reshape(-1, 2)
+    return at, both[:, 0].astype(np.int32), np.minimum(both[:, 1], _FAR).astype(np.int32)
+
+
 @dataclass
 class PrefixTables:
     """What encoding needs of a tokenizer file; some tens of MB, bounded by the file."""
 
-    step: dict[int, int]
-    link: list[int]
-    longest: list[int]
-    ends: list[list[tuple[int, int]]]  # tokens that are suffixes in a state: (length, id), longest first
-    rank: dict[int, int]  # of a pair of ids, a * size + b
-    right: list[list[tuple[int, int]]]  # a token's last parts and when each is merged away
-    left: list[list[tuple[int, int]]]
+    step: IntTable  # state * 512 + symbol -> state
+    link: np.ndarray
+    longest: np.ndarray
+    ends: tuple[np.ndarray, np.ndarray, np.ndarray]  # tokens that are suffixes in a state, longest first: length, id
+    rank: IntTable  # of a pair of ids, a * size + b
+    right: tuple[np.ndarray, np.ndarray, np.ndarray]  # a token's last parts and when each is merged away
+    left: tuple[np.ndarray, np.ndarray, np.ndarray]
     size: int
     names: list[str]
     special: dict[str, int]
@@ -145,33 +191,53 @@ class PrefixTables:
             a, b = split[whole]
             right[whole] += [(x, min(up, at[whole])) for x, up in right[b]]
             left[whole] += [(x, min(up, at[whole])) for x, up in left[a]]
-        tables = PrefixTables({}, [], [], [], rank, right, left, size, names, special, _pattern(data), mark)
+        def first_crossing(a: int, b: int) -> int:
+            """Rank of the first merge across the border of tokens a and b, or far off."""
+            found = [r for x, x_up in right[a] for y, y_up in left[b] if (r := rank.get(x * size + y, _FAR)) < x_up and r <= y_up]
+            return min(found, default=_FAR)
+
         sound: set[int] = set(spelled) - set(split)  # tokens that encode to themselves; others never come out
         for whole in sorted(split, key=at.get):
             a, b = split[whole]
-            if a in sound and b in sound and tables.first_crossing(a, b) == at[whole]:
+            if a in sound and b in sound and first_crossing(a, b) == at[whole]:
                 sound.add(whole)
-        tables.step, tables.link, tables.longest = suffix_automaton((spelled[i] for i in sorted(sound)), 512)
-        tables.ends = [[] for _ in tables.link]
+        step, link, longest = suffix_automaton((spelled[i] for i in sorted(sound)), 512)
+        ends: list[list[tuple[int, int]]] = [[] for _ in link]
         for i in sound:
             state = 0
             for c in spelled[i]:
-                state = tables.step[state * 512 + c]
-            tables.ends[state].append((len(spelled[i]), i))
-        for s in sorted(range(1, len(tables.link)), key=tables.longest.__getitem__):
-            tables.ends[s] = sorted(tables.ends[s], reverse=True) + tables.ends[tables.link[s]]
-        return tables
-
-    def first_crossing(self, a: int, b: int) -> int:
-        """Rank of the first merge across the border of tokens a and b, or far off."""
-        best, get = _FAR, self.rank.get
-        for x, x_up in self.right[a]:
-            for y, y_up in self.left[b]:
-                r = get(x * self.size + y)
-                # at equal ranks the pair further left is merged first
-                if r is not None and r < x_up and r <= y_up and r < best:
-                    best = r
-        return best
+                state = step[state * 512 + c]
+            ends[state].append((len(spelled[i]), i))
+        for s in sorted(range(1, len(link)), key=longest.__getitem__):
+            ends[s] = sorted(ends[s], reverse=True) + ends[link[s]]
+        table = lambda d: IntTable(np.array(list(d), np.int64), np.array(list(d.values()), np.int32))
+        return PrefixTables(table(step), np.array(link, np.int32), np.array(longest, np.int32), _flat(ends), table(rank), _flat(right), _flat(left), size, names, special, _pattern(data), mark)
+
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether no merge would join symbols across the border of tokens a and b, for many pairs.
+
+        A merge across the border joins a last part of a with a first part of b; it happens if its rank comes before those
+        at which the two parts are merged away (at equal ranks the pair further left is merged first).
+        """
+        right_at, right, right_up = self.right
+        left_at, left, left_up = self.left
+        wide = left_at[b + 1] - left_at[b]
+        n = (right_at[a + 1] - right_at[a]) * wide
+        pair = np.repeat(np.arange(len(a)), n)
+        inner = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+        x, y = right_at[a][pair] + inner // wide[pair], left_at[b][pair] + inner % wide[pair]
+        rank = self.rank.get(right[x].astype(np.int64) * self.size + left[y])
+        out = np.ones(len(a), bool)
+        out[pair[(rank >= 0) & (rank < right_up[x]) & (rank <= left_up[y])]] = False
+        return out
+
+    @cached_property
+    def plain(self) -> tuple[dict[int, int], list[int], list[int], list[list[tuple[int, int]]]]:
+        """step, link, longest and ends as Python's own containers: faster for one long word."""
+        there = np.flatnonzero(self.step.keys >= 0)
+        at, sizes, ids = (x.tolist() for x in self.ends)
+        both = list(zip(sizes, ids))
+        return dict(zip(self.step.keys[there].tolist(), self.step.values[there].tolist())), self.link.tolist(), self.longest.tolist(), [both[i:j] for i, j in zip(at, at[1:])]
 
 
 def _pattern(data: dict) -> str:
@@ -182,104 +248,170 @@ def _pattern(data: dict) -> str:
 
 
 class Encoder:
+    """Encodes texts unit by unit: units are what white space separates, and words are what the pattern finds in them."""
+
     def __init__(self, tables: PrefixTables):
         import regex
 
         self.t = tables
+        self.kind = np.dtype(np.uint16 if tables.size <= 1 << 16 else np.uint32)
         self.find = regex.compile(tables.pattern).findall
+        if self.find(" \n\t"):
+            raise ValueError("the file's pattern finds words with white space")
+        self.find_marked = regex.compile(tables.pattern + "|\n").findall
         marks = sorted(tables.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")").split if marks else None
         self.marks = marks
-        self.pairs: dict[int, bool] = {}
-        self.words, self.units = Recent(self.word), Recent(self.unit)
+        self.digits = [str(i) for i in range(tables.size)]
+        self.pairs, self.answers = np.full(CACHE_PAIRS, -1, np.int64), np.zeros(CACHE_PAIRS, bool)
+        self.words, self.units = Recent(CACHE_WORDS), Recent(CACHE_UNITS)
         self.odd = re.compile("[\x1c-\x1f]").search
         self.space = re.compile(r"[\x20\x09-\x0D\x85\xa0]+").split
 
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of one word."""
-        return self.sorted_words([word])[0]
+    def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """`compatible`, with the last answers remembered by a hash of the pair."""
+        key = a.astype(np.int64) * self.t.size + b
+        slot = slots(key, len(self.pairs) - 1)
+        out = self.answers[slot]
+        new = np.flatnonzero(self.pairs[slot] != key)
+        if len(new):
+            different, back = np.unique(key[new], return_inverse=True)
+            out[new] = self.t.compatible(different // self.t.size, different % self.t.size)[back]
+            self.pairs[slot[new]] = key[new]
+            # of several new pairs in one slot the last was stored
+            own = new[self.pairs[slot[new]] == key[new]]
+            self.answers[slot[own]] = out[own]
+        return out
 
-    def sorted_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of words in sorted order: a word goes on from what it has in common with the one before."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words, LOCKSTEP words at a time and long ones alone."""
+        data = [w.encode() for w in words]
+        out = [b""] * len(data)
+        order = sorted(range(len(data)), key=lambda i: -len(data[i]))
+        long = sum(len(d) > LONG for d in data)
+        for i in order[:long]:
+            out[i] = self.long_word(data[i])
+        for i in range(long, len(order), LOCKSTEP):
+            part = order[i : i + LOCKSTEP]
+            for j, ids in zip(part, self.lockstep([data[j] for j in part])):
+                out[j] = ids
+        return out
+
+    def lockstep(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words, given by falling length: the prefixes of one length of all words are settled at once."""
+        t, mark = self.t, 256 if self.t.mark else 0
+        sizes = np.array([len(w) for w in words])
+        begins = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        flat[begins + sizes - 1] += mark
+        ends_at, ends_size, ends_id = t.ends
+        # for each prefix: its last token, and the length of the prefix before that
+        last, back = (np.zeros((sizes[0] + 1, len(words)), np.int32) for _ in range(2))
+        states, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int32)
+        for end in range(1, sizes[0] + 1):
+            n = np.searchsorted(-sizes, -end, side="right")
+            symbol, state, length = flat[begins[:n] + end - 1], states[:n], lengths[:n]
+            to = t.step.get(state * 512 + symbol)
+            stuck = np.flatnonzero(to < 0)
+            while len(stuck):
+                less = t.link[state[stuck]]
+                if less.min() < 0:
+                    raise ValueError("a byte is missing from the vocabulary")
+                state[stuck], length[stuck] = less, t.longest[less]
+                to[stuck] = t.step.get(state[stuck] * 512 + symbol[stuck])
+                stuck = stuck[to[stuck] < 0]
+            state[:] = to
+            length += 1
+            open_, at = np.arange(n), ends_at[to]
+            while len(open_):
+                size, token = ends_size[at], ends_id[at]
+                fits = size <= length[open_]
+                right = fits & (size == end)
+                test = np.flatnonzero(fits & (size < end))
+                right[test] = self.joined(last[end - size[test], open_[test]], token[test])
+                done = open_[right]
+                last[end, done], back[end, done] = token[right], end - size[right]
+                open_, at = open_[~right], at[~right] + 1
+        return self._followed(sizes, last, back)
+
+    def _followed(self, sizes: np.ndarray, last: np.ndarray, back: np.ndarray) -> list[bytes]:
+        """Ids of all words by their back-pointers."""
+        end, open_, steps = sizes.copy(), np.arange(len(sizes)), []
+        while len(open_):
+            at = end[open_]
+            steps.append((open_, last[at, open_]))
+            end[open_] = back[at, open_]
+            open_ = open_[end[open_] > 0]
+        words = np.concatenate([w for w, _ in steps])
+        count = np.bincount(words, minlength=len(sizes))
+        ends = np.cumsum(count)
+        ids = np.empty(len(words), self.kind)
+        for i, (w, token) in enumerate(steps):
+            ids[ends[w] - 1 - i] = token
+        data, at = ids.tobytes(), (ends * self.kind.itemsize).tolist()
+        return [data[i:j] for i, j in zip([0, *at], at)]
+
+    def long_word(self, word: bytes) -> bytes:
+        """Packed ids of one word, prefix by prefix."""
         t = self.t
-        step, link, longest, ends, size, pairs, crossing = t.step, t.link, t.longest, t.ends, t.size, self.pairs, t.first_crossing
-        if len(pairs) > CACHE_PAIRS:
-            pairs.clear()
-        mark = 256 if t.mark else 0
-        out, before = [], b""
-        # for each prefix: its last token, where that begins, the automaton's state and the length matched there
-        last, back, states, lengths = [-1], [0], [0], [0]
-        for word in words:
-            symbols = word.encode()
-            top = len(symbols) - 1
-            end = 0
-            for x, y in zip(before, symbols):
-                if x != y or end == top:
+        step, link, longest, ends = t.plain
+        symbols = [*word[:-1], word[-1] + (256 if t.mark else 0)]
+        last, back, state, length = [-1], [0], 0, 0
+        pairs: dict[tuple[int, int], bool] = {}
+        for end, c in enumerate(symbols, 1):
+            while (to := step.get(state * 512 + c, -1)) < 0:
+                state = link[state]
+                if state < 0:
+                    raise ValueError("a byte is missing from the vocabulary")
+                length = longest[state]
+            state, length = to, length + 1
+            for n, token in ends[state]:
+                if n > length:
+                    continue
+                if n == end:
                     break
-                end += 1
-            end = min(end, len(last) - 1)
-            del last[end + 1 :], back[end + 1 :], states[end + 1 :], lengths[end + 1 :]
-            state, length = states[end], lengths[end]
-            before = symbols
-            for c in symbols[end:]:
-                if end == top:
-                    c += mark
-                key = state * 512 + c
-                while key not in step:
-                    state = link[state]
-                    if state < 0:
-                        raise ValueError("a byte is missing from the vocabulary")
-                    length = longest[state]
-                    key = state * 512 + c
-                state = step[key]
-                length += 1
-                end += 1
-                for n, token in ends[state]:
-                    if n > length:
-                        continue
-                    if n == end:
-                        break
-                    key = last[end - n] * size + token
-                    if key not in pairs:
-                        pairs[key] = crossing(last[end - n], token) == _FAR
-                    if pairs[key]:
-                        break
-                last.append(token)
-                back.append(end - n)
-                states.append(state)
-                lengths.append(length)
-            ids = []
-            while end:
-                ids.append(last[end])
-                end = back[end]
-            ids.reverse()
-            out.append(tuple(ids))
-            # the last symbol of a word is another one than the same byte inside a word
-            last.pop(), back.pop(), states.pop(), lengths.pop()
-        return out
+                pair = last[end - n], token
+                if pair not in pairs:
+                    pairs[pair] = bool(t.compatible(*(np.array([x]) for x in pair))[0])
+                if pairs[pair]:
+                    break
+            last.append(token)
+            back.append(end - n)
+        ids = []
+        while end:
+            ids.append(last[end])
+            end = back[end]
+        return np.array(ids[::-1], self.kind).tobytes()
 
     def learn(self, texts: list[str]) -> None:
-        """Encode the words of many texts that are not remembered yet in sorted order."""
+        """Encode all units of many texts that are not remembered."""
         units: set[str] = set()
         for text in texts:
             units.update(text.split())
-        known, older = self.units, self.units.older
-        split = {u: self.find(self.normal(u)) for u in units if u not in known and u not in older and len(u) <= CACHE_CHARS}
-        new = {w for ws in split.values() for w in ws}
-        known, older = self.words, self.words.older
-        got = {}
-        for w in new:
-            ids = known.get(w) or older.get(w)
-            if ids:
-                got[w] = ids
-        new = sorted(new.difference(got), key=str.encode)
-        for w, ids in zip(new, self.sorted_words(new)):
-            got[w] = ids
-            known.put(w, ids)
-        names, put = self.t.names, self.units.put
-        for u, ws in split.items():
-            ids = got[ws[0]] if len(ws) == 1 else [i for w in ws for i in got[w]]
-            put(u, (len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids])))
+        new = list(self.units.unknown({u for u in units if len(u) <= CACHE_CHARS}))
+        self.units.update(zip(new, self.encode_units(new)))
+
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """Packed ids of units; their words are found in one pass and encoded together."""
+        if not units:
+            return []
+        found = self.find_marked(self.normal("\n".join(units)))
+        words = set(found)
+        words.discard("\n")
+        fresh = list(self.words.unknown(words))
+        self.words.update(zip(fresh, self.encode_words(fresh)))
+        known, out, held = self.words, [], []
+        for w in found:
+            if w == "\n":
+                out.append(held[0] if len(held) == 1 else b"".join(held))
+                held = []
+            else:
+                held.append(known[w])
+        out.append(b"".join(held))
+        for w in fresh:
+            if len(w) > CACHE_CHARS:
+                del known[w]
+        return out
 
     @staticmethod
     def normal(text: str) -> str:
@@ -287,34 +419,25 @@ class Encoder:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma when lower-casing
         return text.lower()
 
-    def piece(self, text: str) -> list[int]:
-        """Ids of text without white space to split at or special strings."""
-        out: list[int] = []
-        words = self.words
-        for w in self.find(self.normal(text)):
-            out += words[w]
-        return out
-
-    def unit(self, unit: str) -> tuple[int, str, str]:
-        """Number of ids, the ids and the tokens of a unit, the two joined by one space."""
-        ids = self.piece(unit)
-        return len(ids), " ".join(map(str, ids)), " ".join([self.t.names[i] for i in ids])
-
-    def parts(self, text: str) -> list[tuple[int, str, str]]:
-        """The units of a text; special strings are units of one id."""
+    def packed(self, text: str) -> bytes:
+        """All ids of a text, packed; special strings are one id each."""
         if self.special and any(m in text for m in self.marks):
-            out = []
-            for p in self.special(text):
-                if p in self.t.special:
-                    out.append((1, str(self.t.special[p]), p))
-                elif p:
-                    out += self.parts(p)
-            return out
-        units = self.units
-        return [p for p in [units[u] for u in (self.space(text) if self.odd(text) else text.split())] if p[0]]
+            special = self.t.special
+            return b"".join([self.kind.type(special[p]).tobytes() if p in special else self.packed(p) for p in self.special(text) if p])
+        units = self.space(text) if self.odd(text) else text.split()
+        try:
+            return b"".join(map(self.units.__getitem__, units))
+        except KeyError:
+            known = self.units
+            new = [u for u in dict.fromkeys(units) if u not in known]
+            own = dict(zip(new, self.encode_units(new)))
+            return b"".join([known[u] if u in known else own[u] for u in units])
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.packed(text), self.kind)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for p in self.parts(text) for i in p[1].split(" ")]
+        return self.ids(text).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join([self.t.names[i] for i in ids])
@@ -340,7 +463,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: st
 
         def work(texts: list[str]) -> dict:
             e.learn(texts)
-            return {ids_col: [e.encode(t) for t in texts]}
+            return {ids_col: _lists([e.ids(t) for t in texts])}
 
         return work
 
@@ -349,16 +472,20 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: st
 
 def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds the text of each row's ids (null: '')."""
-    from pyspark.sql import functions as F
-
     tables = _broadcast(rows, vocabulary)
 
     def make() -> Callable:
         names = tables.value.names
-        return lambda texts: {out_col: [" ".join([names[int(i)] for i in t.split(" ")]) if t else "" for t in texts]}
+        return lambda lists: {out_col: [" ".join([names[i] for i in ids]) for ids in lists]}
+
+    return map_texts(rows, make, f"`{out_col}` string", ids_col)
+
 
-    joined = rows.withColumn("_ids", F.array_join(F.col(ids_col).cast("array<string>"), " "))
-    return map_texts(joined, make, f"`{out_col}` string", "_ids", True)
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    """Arrow lists of ids."""
+    ends = np.cumsum([0, *map(len, ids)])
+    values = np.concatenate([np.zeros(0, np.uint16), *ids]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
 def codec_digests(docs: DataFrame, vocabulary: str, text_col: str = "text", drop_text: bool = False, with_ids: bool = False) -> DataFrame:
@@ -367,19 +494,23 @@ def codec_digests(docs: DataFrame, vocabulary: str, text_col: str = "text", drop
 
     def make() -> Callable:
         e = _encoder(tables.value)
-        sha = lambda parts, k: hashlib.sha256(" ".join([p[k] for p in parts]).encode()).hexdigest()
+        sha = lambda parts: hashlib.sha256(" ".join(parts).encode()).hexdigest()
+        digits, names = e.digits.__getitem__, e.t.names.__getitem__
 
         def work(texts: list[str]) -> dict:
-            n, ids, decoded = [], [], []
+            n, digests, decoded, kept = [], [], [], []
             e.learn(texts)
             for t in texts:
-                parts = e.parts(t)
-                n.append(sum([p[0] for p in parts]))
-                ids.append(sha(parts, 1))
-                decoded.append(sha(parts, 2))
-            out = {"n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}
+                ids = e.ids(t)
+                some = ids.tolist()
+                n.append(len(some))
+                digests.append(sha(map(digits, some)))
+                decoded.append(sha(map(names, some)))
+                if with_ids:
+                    kept.append(ids)
+            out = {"n_tokens": n, "ids_sha256": digests, "decoded_sha256": decoded}
             if with_ids:
-                out["ids"] = [e.encode(t) for t in texts]
+                out["ids"] = _lists(kept)
             return out
 
         return work
