@@ -1,14 +1,18 @@
 """Personal data in texts: patterns propose spans, boosted trees choose among them, calibrated thresholds decide.
 
 Four kinds have base patterns (e-mail, IP address, card number, phone number); their matches always stay.  High-recall
-generators propose more, overlapping spans: phone numbers without a country code, e-mail addresses written out with (at)
-and (dot), social security and bank account numbers, and secrets that are assigned to a key.  Each candidate has features
-of its format and of its surroundings; gradient-boosted trees of depth 2 score it; its score is calibrated by kind, and it
-becomes a span from the kind's threshold on.  Of overlapping chosen candidates the best stays; one that overlaps a base span
-falls away.
-
-The trees are trained on TRAIN_ROWS generated, labelled examples (`examples`), half of which fit the trees and half the
-calibration; no corpus data is needed, so results do not depend on the table.
+generators propose more, overlapping spans: every run of 7 to 19 digits (as phone, card or social security number, by its
+length), numbers of four parts and IPv6 addresses, bank accounts, e-mail addresses written out, dates, street addresses,
+names after a title, values assigned to a key, and any long mixed string.  Most of these are no personal data.  Each
+candidate has features of its format and of the words around it; gradient-boosted trees of its kind (depth 2) score it,
+the score is calibrated, and it becomes a span from the kind's threshold on.  Of overlapping chosen candidates the best
+stays; one that overlaps a base span falls away.
+
+The trees are trained on TRAIN_ROWS generated texts (`examples`), half of which fit the trees and half the calibration
+and thresholds; no corpus data is needed, so results do not depend on the table.  A text's label says for what it was
+made: a telephone number or an order number, a key or a checksum.  Numbers of both sorts are written alike, some texts
+say what a number is and some do not, and some say something misleading; so a candidate without any context stays
+uncertain and is left alone.
 
 All patterns are matched in time linear in the text: a run of digits or letters is entered once only.  Positions are code
 points.  Defined results: null and empty texts have no spans; equal rows have equal spans.
@@ -16,8 +20,10 @@ points.  Defined results: null and empty texts have no spans; equal rows have eq
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,27 +32,58 @@ from pyspark.sql import DataFrame
 from varloom.llm.base import map_texts
 
 #: Kinds in the order in which spans of one start are listed; the first four have base patterns.
-KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret")
+KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret", "birth", "address", "name")
+EMAIL, IP, CARD, PHONE, SSN, IBAN, SECRET, BIRTH, ADDRESS, NAME = range(len(KINDS))
 BASE = KINDS[:4]
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 12_000
 SEED = 11
 #: Share of chosen candidates that must be right on the calibration half.
-PRECISION = 0.97
-CONTEXT = 24
+PRECISION = 0.95
+#: Characters before and after a candidate whose words count.
+CONTEXT = 32
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_NATIONAL = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
-_SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]{1,63}){1,4}", re.I)
-_SECRET = re.compile(r"(?i)(?<![a-z])(?:access[_-]?|api[_-]?|auth[_-]?|secret[_-]?)?(?:token|secret|key|passwd|password|pwd)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([A-Za-z0-9_+/=.-]{12,}+)")
-_HINT = re.compile(r"(?i)phone|tel|call|fax|ssn|social|iban|account|bank|mail|contact|token|secret|key|password")
 _DIGIT_OR_AT = re.compile("[0-9@]").search
 
+# what generators look for
+_RUN = re.compile(r"[0-9](?:[ ().-]{0,2}[0-9])++")
+_FOUR = re.compile(r"(?<![0-9.])[0-9]{1,4}+(?:\.[0-9]{1,4}+){3}(?![0-9.]*[0-9])")
+_SIX = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Za-z:])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:[(\[]at[)\]]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[]dot[)\]]| dot ) ?[A-Za-z0-9-]{1,63}){1,4}", re.I)
+_DATE = re.compile(
+    r"(?<![0-9/.-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}"
+    r"|[0-9]{1,2}\.? (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]{0,6} (?:19|20)[0-9]{2})(?![0-9/-])"
+)
+_STREET = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5} (?:[A-Z][a-z]{1,20} ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Square|Way)(?![A-Za-z])")
+_TITLED = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|name is|name:|signed,|contact:) ?\.? ?((?:[A-Z][a-z]{1,20})(?: [A-Z][a-z]{1,20}){0,2})")
+_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:access[_-]?|api[_-]?|auth[_-]?|secret[_-]?)?(?:token|secret|key|passwd|password|pwd)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([A-Za-z0-9_+/=.-]{12,}+)")
+_MIXED = re.compile(r"[A-Za-z0-9_+/-]{20,}+={0,2}")
+#: Characters of a word in which a mixed string may be.
+MIXED_CHARS = 20
+
+#: Stems of words that tell what stands beside them.
+HINTS = {
+    "phone": "phone tel call fax mobile cell sms whatsapp ring",
+    "person": "ssn social passport licence tax insurance citizen patient",
+    "bank": "iban account bank transfer payee swift sepa",
+    "card": "card visa mastercard amex credit debit cvv expires",
+    "mail": "mail contact write reach address send",
+    "secret": "token secret key password passwd pwd credential bearer auth",
+    "birth": "born birth dob birthday age",
+    "home": "live lives home address resides deliver",
+    "name": "name mr mrs ms dr signed sincerely",
+    "net": "host server ip login client address",
+    "number": "order invoice isbn item part serial page pages chapter figure table total sum article section ticket room",
+    "digest": "commit sha md5 checksum etag digest hash build revision version release image",
+    "event": "published released updated founded deadline meeting since until copyright press",
+}
+_HINTS = [re.compile(r"(?i)(?<![a-z])(?:" + "|".join(words.split()) + r")[a-z]{0,2}(?![a-z])") for words in HINTS.values()]
+
 
 def emails(text: str) -> list[tuple[int, int]]:
     """Matches of `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+`, found from their @."""
@@ -105,18 +142,64 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _pieces(text: str, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, digits) of what may be one number in a run of digits and separators.
+
+    The whole run if it has at most 19 digits; else each of its parts between spaces, and from a part with a + on the
+    parts up to 9 digits.
+    """
+    if start and text[start - 1] in "+(":
+        start -= 1 + (start > 1 and text[start - 1] == "(" and text[start - 2] == "+")
+    n = len(_digits(text[start:end])) if end - start < 60 else 99
+    if n <= 19:
+        yield start, end, n
+        return
+    parts = [(m.start(), m.end(), len(_digits(m[0]))) for m in re.compile("[^ ]+").finditer(text, start, end)]
+    for i, (a, b, n) in enumerate(parts):
+        if n <= 19:
+            yield a, b, n
+        if text[a] == "+" and n < 9:
+            for _, b, more in parts[i + 1 : i + 6]:
+                n += more
+                if n >= 9:
+                    yield a, b, n
+                    break
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of what the generators propose; spans may overlap."""
     out = []
     if _DIGIT_OR_AT(text):
-        out += [(m.start(), KINDS.index(k), m.end()) for k, p in (("phone", _NATIONAL), ("ssn", _SSN), ("iban", _IBAN)) for m in p.finditer(text)]
-    if "(" in text or "[" in text:
-        lower = text.lower()
-        if "(at)" in lower or "[at]" in lower:
-            out += [(m.start(), 0, m.end()) for m in _SPELLED.finditer(text)]
+        for m in _RUN.finditer(text):
+            if m.end() - m.start() < 7:
+                continue
+            for a, b, n in _pieces(text, *m.span()):
+                if n < 7:
+                    continue
+                if n <= 15:
+                    out.append((a, PHONE, b))
+                if n == 9:
+                    out.append((a, SSN, b))
+                if n >= 12:
+                    out.append((a, CARD, b))
+        for kind, pattern in ((IP, _FOUR), (IBAN, _IBAN), (BIRTH, _DATE), (ADDRESS, _STREET)):
+            out += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
+        if text.count(":") > 2:
+            out += [(m.start(), IP, m.end()) for m in _SIX.finditer(text)]
+    if "(at)" in text or "[at]" in text or " dot " in text or "(AT)" in text or "[AT]" in text:
+        out += [(m.start(), EMAIL, m.end()) for m in _SPELLED.finditer(text)]
     if "=" in text or ":" in text:
-        out += [(m.start(1), KINDS.index("secret"), m.end(1)) for m in _SECRET.finditer(text)]
-    return out
+        out += [(m.start(1), SECRET, m.end(1)) for m in _ASSIGNED.finditer(text)]
+    if any(t in text for t in ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "name", "signed", "contact:")):
+        out += [(m.start(1), NAME, m.end(1)) for m in _TITLED.finditer(text)]
+    at = 0
+    for word in [w for w in text.split() if len(w) >= MIXED_CHARS]:
+        at = text.index(word, at)
+        for m in _MIXED.finditer(word):
+            if any("0" <= c <= "9" for c in m[0]) and any(c.isalpha() for c in m[0]):
+                out.append((at + m.start(), SECRET, at + m.end()))
+        at += len(word)
+    return list(dict.fromkeys(out))
 
 
 # features and trees
@@ -129,79 +212,90 @@ def iban_ok(text: str) -> bool:
 
 def format_features(text: str, start: int, kind: int, end: int) -> list[float]:
     span = text[start:end]
-    before, after = text[max(0, start - CONTEXT) : start], text[end : end + 1]
+    before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
     digits, letters = _digits(span), sum(c.isalpha() for c in span)
-    seps = [c for c in span if c in " .-()[]"]
-    upper, lower = any(c.isupper() for c in span), any(c.islower() for c in span)
-    groups = re.split(r"[ .()\[\]-]+", span.strip("()[] "))
-    ok = kind == 5 and iban_ok(span)
-    valid = kind == 4 and span[:3] not in ("000", "666") and span[0] != "9" and span[4:6] != "00" and span[7:] != "0000"
+    groups = [len(g) for g in re.split(r"[ .()\[\]/:-]+", span.strip("+()[] ")) if g] or [0]
+    counts = Counter(span)
+    entropy = -sum(n / len(span) * math.log2(n / len(span)) for n in counts.values())
+    shift = sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:]))
+    line = before.rpartition("\n")[2]
     return [
-        *(float(kind == k) for k in range(len(KINDS))),
-        len(span), len(digits), letters, len(digits) / len(span), len(set(span)) / len(span), len(set(span)),
-        len(seps), len(set(seps)), float(ok), float(valid), float(upper and lower), float(bool(digits) and letters > 0),
-        float(groups[0][:1] in ("0", "1")), float(len(groups) > 1 and groups[1][:1] in ("0", "1")), float(len(set(digits)) <= 2),
-        float(before[-1:].isalnum()), float(after.isalnum()), float(before[-1:] in ("", " ", "\n", '"', "'")), float(after in ("", " ", ".", ",", "\n", '"', "'")),
-        float(bool(_HINT.search(before))), float(max(map(len, groups))), float(before[-1:] in ('"', "'") and after == before[-1:]),
+        len(span), len(digits), letters, len(digits) / len(span), len(counts), len(counts) / len(span), entropy, shift / len(span),
+        len(groups), groups[0], groups[-1], max(groups), min(groups),
+        *(float(c in span) for c in "+(-. /:"),
+        float(span[:1] == "+"), float(digits[:1] in ("0", "1")), float(digits[:1] == "9"), float(len(set(digits)) <= 2),
+        float(12 <= len(digits) <= 19 and luhn(digits)), float(kind == IBAN and iban_ok(span)), float(kind == IP and all(map(_small, span.split("."))) if kind == IP and "." in span else False),
+        float(any(c.isupper() for c in span)), float(any(c.islower() for c in span)), float(all(c in "0123456789abcdefABCDEF" for c in span)),
+        float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in ('"', "'") and after[:1] == before[-1:]), float(before.rstrip(" \"'")[-1:] in ("=", ":")),
+        *(float(bool(h.search(line))) for h in _HINTS), *(float(bool(h.search(after))) for h in _HINTS),
     ]
 
 
 @dataclass
 class Trees:
-    """Boosted trees of depth 2: a feature and cut at the root, one in each half, four values; calibration by kind."""
+    """Boosted trees of depth 2 of one kind: features and cuts of three nodes, four values; calibration and threshold."""
 
     start: float
-    trees: list[tuple]
-    scale: np.ndarray  # by kind: slope and shift of the calibrated log odds
-    threshold: np.ndarray
+    nodes: list[tuple[tuple[int, float], tuple[int, float], tuple[int, float]]]
+    values: list[np.ndarray]
+    slope: float = 1.0
+    shift: float = 0.0
+    threshold: float = 1.1
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.start)
-        for (f, c), halves, values in self.trees:
-            right = x[:, f] > c
-            leaf = np.where(right, 2, 0) + np.where(right, x[:, halves[1][0]] > halves[1][1], x[:, halves[0][0]] > halves[0][1])
-            out += values[leaf]
+        for nodes, values in zip(self.nodes, self.values):
+            out += values[_leaf(x, nodes)]
         return out
 
-    def probability(self, x: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        a, b = self.scale[kinds].T
-        return 1 / (1 + np.exp(-(a * self.raw(x) + b)))
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.slope * self.raw(x) + self.shift)))
+
+
+def _leaf(x: np.ndarray, nodes) -> np.ndarray:
+    (f, c), (f0, c0), (f1, c1) = nodes
+    return np.where(x[:, f] > c, 2 + (x[:, f1] > c1), x[:, f0] > c0).astype(np.int64)
 
 
-def _best_cut(x: np.ndarray, residual: np.ndarray, weight: np.ndarray, cuts: list[np.ndarray]) -> tuple[int, float]:
-    best, found = -1.0, (0, 0.0)
+def _best_cut(bins: np.ndarray, cuts: list[np.ndarray], residual: np.ndarray, weight: np.ndarray) -> tuple[int, float]:
+    """The feature and cut of greatest gain, from sums by bin."""
+    best, found = -1.0, (0, np.inf)
     total, total_w = residual.sum(), weight.sum()
-    for f, cs in enumerate(cuts):
-        for c in cs:
-            right = x[:, f] > c
-            s, w = residual[right].sum(), weight[right].sum()
-            gain = s * s / (w + 1) + (total - s) ** 2 / (total_w - w + 1)
-            if gain > best + 1e-12:
-                best, found = gain, (f, float(c))
+    for f, edges in enumerate(cuts):
+        if not len(edges):
+            continue
+        left = np.cumsum(np.bincount(bins[f], residual, len(edges) + 1))[:-1]
+        left_w = np.cumsum(np.bincount(bins[f], weight, len(edges) + 1))[:-1]
+        gain = left**2 / (left_w + 1) + (total - left) ** 2 / (total_w - left_w + 1)
+        i = int(gain.argmax())
+        if gain[i] > best + 1e-12:
+            best, found = gain[i], (f, float(edges[i]))
     return found
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 30, rate: float = 0.3) -> tuple[float, list[tuple]]:
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.2) -> Trees:
     """Gradient boosting on logistic loss with second-order leaf values."""
-    cuts = []
+    cuts, bins = [], np.empty((x.shape[1], len(x)), np.int64)
     for f in range(x.shape[1]):
         u = np.unique(x[:, f])
         mid = (u[1:] + u[:-1]) / 2
-        cuts.append(mid if len(mid) <= 12 else np.quantile(mid, np.linspace(0, 1, 12)))
+        cuts.append(mid if len(mid) <= 24 else np.unique(np.quantile(mid, np.linspace(0, 1, 24))))
+        bins[f] = np.searchsorted(cuts[f], x[:, f], side="left")
     share = np.clip(y.mean(), 0.01, 0.99)
-    start = float(np.log(share / (1 - share)))
-    score, trees = np.full(len(y), start), []
+    model = Trees(float(np.log(share / (1 - share))), [], [])
+    score = np.full(len(y), model.start)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
         residual, weight = y - p, p * (1 - p)
-        root = _best_cut(x, residual, weight, cuts)
+        root = _best_cut(bins, cuts, residual, weight)
         right = x[:, root[0]] > root[1]
-        halves = [_best_cut(x[m], residual[m], weight[m], cuts) if m.any() else (0, 0.0) for m in (~right, right)]
-        leaf = np.where(right, 2, 0) + np.where(right, x[:, halves[1][0]] > halves[1][1], x[:, halves[0][0]] > halves[0][1])
-        values = np.array([rate * residual[leaf == i].sum() / (weight[leaf == i].sum() + 1) for i in range(4)])
-        score = score + values[leaf]
-        trees.append((root, halves, values))
-    return start, trees
+        nodes = (root, *(_best_cut(bins[:, m], cuts, residual[m], weight[m]) for m in (~right, right)))
+        leaf = _leaf(x, nodes)
+        values = rate * np.bincount(leaf, residual, 4) / (np.bincount(leaf, weight, 4) + 1)
+        score += values[leaf]
+        model.nodes.append(nodes)
+        model.values.append(values)
+    return model
 
 
 def _calibrated(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -217,83 +311,171 @@ def _calibrated(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+# generated texts
+
+#: Words of generated texts.
+_FIRST = "Anna Ben Carla David Elena Frank Grace Hugo Ines Jonas Karl Laura Marie Nico Olga Paul Rosa Stefan".split()
+_LAST = "Smith Jones Garcia Martin Bauer Keller Moreau Lopez Weber Fischer Brown Clark Dubois Romero Novak Hansen".split()
+_PROSE = "the and with from after some people house said that there was long under river light we had seen no one before it und der la de que les".split()
+
+
+class _Maker:
+    """Makes one text with one thing in it; `real` things are personal data, the others only look like it."""
+
+    def __init__(self, seed: int):
+        self.r = np.random.default_rng(seed)
+
+    def pick(self, *x):
+        return x[self.r.integers(len(x))]
+
+    def some(self, n: int, letters: str) -> str:
+        return "".join(self.r.choice(list(letters), n))
+
+    def digits(self, n: int) -> str:
+        return self.some(n, "0123456789")
+
+    def n(self, low: int, high: int) -> int:
+        return int(self.r.integers(low, high))
+
+    def prose(self, low: int, high: int) -> str:
+        return " ".join(self.r.choice(_PROSE, self.n(low, high)))
+
+    def grouped(self) -> str:
+        """Digits as telephones, parts lists and tables write them alike."""
+        sep = self.pick(" ", "-", ".", "")
+        shape = self.pick((3, 3, 4), (3, 3, 4), (3, 4), (2, 2, 2, 2, 2), (4, 6), (3, 7), (1, 3, 3, 4), (2, 3, 3, 4), (3, 2, 4))
+        return sep.join(self.digits(k) for k in shape)
+
+    def key(self) -> str:
+        length = self.n(20, 64) if self.r.random() < 0.8 else self.n(64, 901)
+        return self.some(length, self.pick("0123456789abcdef", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"))
+
+    def thing(self, kind: int, real: bool) -> tuple[str, list[str], list[str]]:
+        """(text, words that say what it is, words that do not fit)."""
+        pick, digits, r = self.pick, self.digits, self.r
+        numbers = ["order", "invoice no.", "ISBN", "item", "part no.", "serial", "pages", "total", "ticket", "table", "article"]
+        if kind == PHONE:
+            if real:
+                own = pick(self.grouped(), self.grouped(), f"({digits(3)}) {digits(3)}-{digits(4)}", f"+{self.n(1, 99)} {digits(3)} {digits(3)} {digits(4)}", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}")
+                return own, ["call", "tel", "phone:", "mobile", "fax", "ring me at", "cell:"], numbers
+            return pick(self.grouped(), digits(self.n(7, 16)), digits(16), f"{digits(3)} {digits(3)} {digits(3)}"), numbers, ["call", "ring"]
+        if kind == CARD:
+            own = digits(15)
+            for check in range(10):
+                if luhn(own + str(check)) == real:
+                    own += str(check)
+                    break
+            if r.random() < 0.4:
+                own = pick(" ", "-", ".").join(own[i : i + 4] for i in range(0, 16, 4))
+            return own, ["card", "visa", "credit card", "debit card:", "card no."] if real else numbers, numbers if real else ["card"]
+        if kind == SSN:
+            return (pick(f"{digits(3)}-{digits(2)}-{digits(4)}", f"{digits(3)} {digits(2)} {digits(4)}", digits(9)), ["ssn", "social security", "SSN:", "passport", "tax id"], numbers) if real else (pick(digits(9), f"{digits(3)}-{digits(2)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(3)}"), numbers, ["social"])
+        if kind == IBAN:
+            body = self.some(4, "ABCDEFGHIKLMNOPQ") + digits(self.n(3, 5) * 4 - 2)
+            country = pick("DE", "FR", "ES", "GB", "NL")
+            check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+            own = f"{country}{check if real else (check + self.n(1, 90)) % 97:02d}{body}"
+            return own if r.random() < 0.5 else " ".join(own[i : i + 4] for i in range(0, len(own), 4)), ["IBAN", "account", "transfer to", "bank:"] if real else numbers, ["bank"] if not real else numbers
+        if kind == EMAIL:
+            name, host = self.some(self.n(3, 10), "abcdefghijklmnoprstuvw"), self.some(self.n(3, 10), "abcdefghijklmnoprstuvw")
+            if real:
+                return pick(f"{name} (at) {host} (dot) {pick('com', 'org', 'net', 'de')}", f"{name}[at]{host}.{pick('com', 'org')}", f"{name} at {host} dot {pick('com', 'org', 'net')}"), ["mail", "contact:", "write to", "e-mail"], ["table"]
+            return pick(f"look at this dot {name}", f"{name} (at) {digits(2)}.{digits(2)}", f"meet at noon dot {host}", f"x(at){digits(1)}.{digits(1)}"), ["chapter", "price"], ["write"]
+        if kind == IP:
+            if real:
+                return pick(":".join(self.some(self.n(1, 5), "0123456789abcdef") for _ in range(8)), "2001:db8::" + ":".join(self.some(4, "0123456789abcdef") for _ in range(3)), ".".join(str(self.n(0, 256)) for _ in range(4))), ["host", "server", "login from", "client", "ip"], ["version"]
+            return pick(".".join(str(self.n(0, 3000)) for _ in range(4)), ":".join(f"{self.n(0, 60):02d}" for _ in range(4)), f"{self.n(1, 9)}.{self.n(0, 30)}.{self.n(0, 30)}.{self.n(256, 5000)}"), ["version", "release", "build", "section", "chapter"], ["server"]
+        if kind == BIRTH:
+            year = self.n(1930, 2015) if real else self.n(1900, 2026)
+            own = pick(f"{self.n(1, 29):02d}/{self.n(1, 13):02d}/{year}", f"{year}-{self.n(1, 13):02d}-{self.n(1, 29):02d}", f"{self.n(1, 29)}.{self.n(1, 13)}.{year}", f"{self.n(1, 29)} {pick('January', 'Mar', 'July', 'Oct')} {year}")
+            event = ["published", "updated", "released", "since", "founded", "deadline", "copyright"]
+            return (own, ["born", "date of birth", "DOB:", "birthday", "born on"], event) if real else (own, event, ["age"])
+        if kind == ADDRESS:
+            own = f"{pick(self.n(1, 40), self.n(1, 9999))} {self.pick(*_LAST)} {pick('Street', 'St', 'Avenue', 'Road', 'Lane', 'Drive')}" if real else f"{self.n(1, 20)} {pick('Great', 'New', 'Old', 'First')} {pick('Way', 'Drive', 'Court', 'Square')}"
+            return own, ["lives at", "home address", "address:", "deliver to", "resides at"] if real else ["chapter", "total", "table", "section"], ["page"] if real else ["address"]
+        if kind == NAME:
+            own = f"{pick(*_FIRST)} {pick(*_LAST)}" if real else pick("The House", "Monday", "It", "Chapter Two", "January", "Total", "This Page")
+            return own, ["Mr", "Mrs", "Dr", "my name is", "signed,"] if real else ["name:", "contact:", "signed,", "file name:"], ["contact:", "name:"]
+        checksum = ["commit", "sha1", "md5", "checksum:", "etag", "build", "digest", "image"]
+        if real:
+            return self.key(), ['token = "', "api_key: ", 'key="', "password = ", "secret=", "Bearer", "access token"], ["build"]
+        word = self.some(self.n(3, 8), "abcdefghijklmnoprstuv")
+        return pick(self.key(), self.some(40, "0123456789abcdef"), f"{word}-{word}-{self.n(2, 99)}-{word}{word}", f"{word}/{word}/{word}{digits(2)}/{word}", f"{word}{word}{word}{digits(2)}{word}", "x" * 24 + "1"), checksum + ["https://", "page"], ["key = ", "token: "]
+
+    def text(self, kind: int) -> tuple[str, int, int, bool]:
+        """(text, start, end, real) of one thing."""
+        real = bool(self.r.random() < 0.5)
+        own, fits, strange = self.thing(kind, real)
+        draw = self.r.random()
+        lead = self.pick(*fits) if draw < 0.7 or kind == NAME else "" if draw < 0.97 else self.pick(*strange)
+        glue = "" if lead.endswith(('"', "=", "/")) or not lead else self.pick(" ", " ", ": ", " is ") if kind != NAME else self.pick(" ", ". ") if len(lead) < 4 else " "
+        head = self.prose(2, 9) + " " + lead + glue
+        end = ('"' if lead.endswith('"') else "") + self.pick(" ", ".", ", ", "\n", "")
+        return head + own + end + (" " + self.prose(1, 7) if self.r.random() < 0.8 else ""), len(head), len(head) + len(own), real
+
+
 def examples(rows: int = TRAIN_ROWS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, kinds, labels) of generated texts that hold personal data, or only what looks like it."""
-    r = np.random.default_rng(seed)
-    digits = lambda n: "".join(map(str, r.integers(0, 10, n)))
-    letters = lambda n, s="abcdefghijklmnopqrstuvwxyz": "".join(r.choice(list(s), n))
-    pick = lambda *x: x[r.integers(len(x))]
-
-    def iban(good: bool) -> str:
-        body = letters(4, "ABCDEFGHIKLMNOPQ") + digits(int(r.integers(3, 5)) * 4 - 4 + 2)
-        country = pick("DE", "FR", "ES", "GB", "NL")
-        check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
-        return f"{country}{(check if good else (check + int(r.integers(1, 90))) % 97):02d}{body}"
-
-    def made(kind: str, good: bool) -> str:
-        sep = pick("-", ".", " ")
-        if kind == "phone":
-            if good:
-                return f"{r.integers(2, 10)}{digits(2)}{sep}{r.integers(2, 10)}{digits(2)}{sep}{digits(4)}" if r.random() < 0.6 else f"({r.integers(2, 10)}{digits(2)}) {r.integers(2, 10)}{digits(2)}-{digits(4)}"
-            return f"{pick(0, 1)}{digits(2)}{sep}{pick(0, 1)}{digits(2)}{pick('-', '.', ' ')}{digits(4)}"
-        if kind == "ssn":
-            return f"{r.integers(1, 666):03d}-{r.integers(1, 100):02d}-{r.integers(1, 10000):04d}" if good else pick(f"9{digits(2)}-{digits(2)}-{digits(4)}", f"000-{digits(2)}-{digits(4)}", f"{digits(3)}-00-{digits(4)}")
-        if kind == "iban":
-            return iban(good)
-        if kind == "email":
-            name, host = letters(int(r.integers(3, 10))), letters(int(r.integers(3, 10)))
-            return f"{name} {pick('(at)', '[at]')} {host} {pick('(dot)', '[dot]')} {pick('com', 'org', 'net')}" if good else f"{pick('look', 'meet', 'x')}{pick('(at)', '[at]')}{digits(2)}.{digits(2)}"
-        n = int(r.integers(20, 64) if r.random() < 0.75 else r.integers(64, 901))
-        return letters(n, pick("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-.")) if good else pick(letters(int(r.integers(12, 24))), "-" * n, letters(2) * 8, letters(2) * (n // 2), "example.value.here")
+    """(features, kinds, labels) of the candidates that generators find in generated texts.
 
+    A candidate is right if the text's thing is personal data of its kind and the candidate covers just that.
+    """
+    make = _Maker(seed)
     x, kinds, y = [], [], []
-    while len(y) < rows:
-        kind, good = pick("phone", "ssn", "iban", "email", "secret"), bool(r.random() < 0.5)
-        lead = {"secret": pick('token = "', "api_key: ", 'key="', "password = ")}.get(kind, pick("call ", "it was ", "tel ", "", "contact: "))
-        text = letters(int(r.integers(3, 9))) + " " + lead + made(kind, good) + ('"' if lead.endswith('"') else "") + pick(" ", ".", ", ", "") + (" " + letters(6) if r.random() < 0.8 else "")
-        found = [c for c in candidates(text) if KINDS[c[1]] == kind]
-        for c in found[:1]:
-            x.append(format_features(text, *c))
-            kinds.append(c[1])
-            y.append(float(good))
+    for i in range(rows):
+        kind = i % len(KINDS)
+        text, start, end, real = make.text(kind)
+        for c in candidates(text):
+            if c[0] < end and start < c[2]:
+                x.append(format_features(text, *c))
+                kinds.append(c[1])
+                y.append(float(real and c[1] == kind and abs(c[0] - start) <= 1 and abs(c[2] - end) <= 1))
     return np.array(x), np.array(kinds), np.array(y)
 
 
-def train(rows: int = TRAIN_ROWS, seed: int = SEED) -> Trees:
+def train(rows: int = TRAIN_ROWS, seed: int = SEED) -> list[Trees]:
+    """Trees of each kind."""
     x, kinds, y = examples(rows, seed)
-    half = len(y) // 2
-    start, trees = boost(x[:half], y[:half])
-    model = Trees(start, trees, np.tile([1.0, 0.0], (len(KINDS), 1)), np.full(len(KINDS), 0.5))
-    raw = model.raw(x)
+    models, fits = [], np.arange(len(y)) < len(y) // 2
     for k in range(len(KINDS)):
-        own = (kinds == k) & (np.arange(len(y)) >= half)
-        if own.sum() < 20:
-            continue
-        model.scale[k] = _calibrated(raw[own], y[own])
-        p = np.sort(model.probability(x[own], kinds[own]))[::-1]
-        right = y[own][np.argsort(-model.probability(x[own], kinds[own]), kind="stable")]
-        good = np.flatnonzero(np.cumsum(right) / np.arange(1, len(right) + 1) >= PRECISION)
-        model.threshold[k] = max(0.5, float(p[good[-1]])) if len(good) else 1.1
-    return model
+        own = kinds == k
+        model = boost(x[own & fits], y[own & fits])
+        rest, right = x[own & ~fits], y[own & ~fits]
+        model.slope, model.shift = _calibrated(model.raw(rest), right)
+        p = model.probability(rest)
+        order = np.argsort(-p, kind="stable")
+        good = np.flatnonzero(np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= PRECISION)
+        if len(good):
+            model.threshold = max(0.5, float(p[order][good[-1]]))
+        models.append(model)
+    return models
 
 
 # texts
 
 
-def all_spans(model: Trees, texts: list[str]) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
-    """(base spans, all spans) of each text, each span as (start, kind number, end), in order."""
+def judged(models: list[Trees], texts: list[str]) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, tuple[int, int, int], float]]]:
+    """(base spans of each text, candidates that overlap none of them as (text, candidate, probability))."""
     base = [base_spans(t) for t in texts]
-    proposed = [(i, c) for i, t in enumerate(texts) for c in candidates(t)]
-    out = [list(b) for b in base]
-    if proposed:
-        x = np.array([format_features(texts[i], *c) for i, c in proposed])
-        kinds = np.array([c[1] for _, c in proposed])
-        p = model.probability(x, kinds)
-        chosen = np.flatnonzero(p >= model.threshold[kinds])
-        for j in chosen[np.argsort(-p[chosen], kind="stable")].tolist():
-            i, (a, k, b) = proposed[j]
-            if all(b <= s or e <= a for s, _, e in out[i]):
-                out[i].append((a, k, b))
+    proposed = [(i, c) for i, t in enumerate(texts) for c in candidates(t) if all(c[2] <= s or e <= c[0] for s, _, e in base[i])]
+    if not proposed:
+        return base, []
+    kinds = np.array([c[1] for _, c in proposed])
+    p = np.empty(len(proposed))
+    for k in np.unique(kinds).tolist():
+        at = np.flatnonzero(kinds == k)
+        p[at] = models[k].probability(np.array([format_features(texts[i], *c) for i, c in (proposed[j] for j in at.tolist())]))
+    return base, [(i, c, q) for (i, c), q in zip(proposed, p.tolist())]
+
+
+def all_spans(models: list[Trees], texts: list[str]) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
+    """(base spans, all spans) of each text, each span as (start, kind number, end), in order."""
+    base, scored = judged(models, texts)
+    out, taken = [list(b) for b in base], {}
+    for i, c, p in sorted((s for s in scored if s[2] >= models[s[1][1]].threshold), key=lambda s: (-s[2], s[0], s[1])):
+        own = taken.setdefault(i, [])
+        if all(c[2] <= s or e <= c[0] for s, _, e in own):
+            own.append(c)
+            out[i].append(c)
     return base, [sorted(o) for o in out]
 
 
