@@ -1,15 +1,19 @@
 """SimHash fingerprints and their near-duplicate groups, found with tables of distances to pivots.
 
-Equal fingerprints are one node; only different fingerprints are compared.  Two that differ in at most 2 bits agree in at
-least two of four blocks of 16 bits, so each fingerprint is filed under its six pairs of blocks.  A file that holds more
-than FILE_ROWS fingerprints is divided anew: those bits are given, so the same is done with blocks of 8 bits of the other
-32, and then with blocks of 4 bits of the last 16, where a file can hold 256 at most.  That loses no pair and bounds the
-comparisons however many near copies there are.
+Equal fingerprints are one node; only different fingerprints are compared.  Each has a table of its Hamming distances to
+PIVOTS reference fingerprints.  By the triangle inequality two fingerprints of which any two table entries differ by more
+than the radius are no match.  That is used twice: the entries of the first NAMING pivots, in cells of CELL, are part of the
+name of the file in which a fingerprint is looked for, and of the pairs in a file those whose tables differ by more are
+discarded; survivors are verified by their own distance.  A fingerprint has its home in one cell and visits all that a
+match's entries can lie in.  The other part of a file's name is a third of the bits: of two fingerprints that differ in 2
+bits, one third at least is equal.  So no pair is lost, and a fingerprint has three homes.
 
-Within a file, each fingerprint has a table of its Hamming distances to PIVOTS reference fingerprints.  By the triangle
-inequality a pair of which any two table entries differ by more than the radius is no match and is discarded; survivors
-are verified by their own distance.  The links then give groups as connected components over fingerprints, and each
-document gets the least doc_id of its group.
+Near copies may crowd one file beyond FILE_ROWS, where distances to pivots no longer tell them apart.  Fingerprints of
+such files are filed again, under pairs of four blocks of 16 bits, two of which must be equal; a file that is large again
+is divided by blocks of 8 bits of the other 32, and then of 4 bits of the last 16, where a file can hold 256 at most.  That
+loses no pair either and bounds the comparisons however many near copies there are.
+
+The links then give groups as connected components over fingerprints, and each document gets the least doc_id of its group.
 
 Defined results: a text without words (null, empty, white space only) has fingerprint zero and links like any other;
 texts with fewer than three words are one shingle; a null doc_id is never the least id unless all of the group's are null;
@@ -32,6 +36,9 @@ SEED = 42
 SHINGLE = 3
 RADIUS = 2
 PIVOTS = 16
+#: Pivots whose distances are part of a file's name, and distances in a cell of these.
+NAMING = 2
+CELL = 6
 #: Fingerprints in a file beyond which it is divided anew.
 FILE_ROWS = 64
 
@@ -93,42 +100,82 @@ def pivot_values(n: int = PIVOTS) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(b"pivot %d" % i, SEED)).astype(np.int64)) for i in range(n)]
 
 
-def _matches(filed: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    """Pairs within files that the pivot tables cannot discard and whose own distance is small enough."""
-    table = ", ".join(f"cast(bit_count(fp ^ ({p}L)) as tinyint) as p{i}" for i, p in enumerate(pivot_values()))
-    rows = filed.select("fp", *keys, F.expr(f"struct({table})").alias("t"))
-    left = rows.select(*keys, F.col("fp").alias("u"), F.col("t").alias("tu"))
-    right = rows.select(*keys, F.col("fp").alias("v"), F.col("t").alias("tv"))
-    near = " and ".join(f"abs(tu.p{i} - tv.p{i}) <= {radius}" for i in range(PIVOTS))
+def _tables(fp: str = "fp") -> str:
+    """SQL: the distances to all pivots."""
+    return "struct(" + ", ".join(f"cast(bit_count({fp} ^ ({p}L)) as tinyint) as p{i}" for i, p in enumerate(pivot_values())) + ")"
+
+
+def _near(radius: int) -> str:
+    """SQL: whether no two entries of the tables tu and tv differ by more than the radius."""
+    return " and ".join(f"abs(tu.p{i} - tv.p{i}) <= {radius}" for i in range(PIVOTS))
+
+
+def _close(u: DataFrame, v: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """Pairs u < v of rows with equal keys that the pivot tables cannot discard and whose own distance is small enough."""
+    left = u.select(*keys, F.col("fp").alias("u"), F.expr(_tables()).alias("tu"))
+    right = v.select(*keys, F.col("fp").alias("v"), F.expr(_tables()).alias("tv"))
     on = [left[k] == right[k] for k in keys]
-    pairs = left.join(right, on + [F.expr(f"u < v and {near} and bit_count(u ^ v) <= {radius}")])
-    return pairs.select("u", "v")
+    return left.join(right, on + [F.expr(f"u < v and {_near(radius)} and bit_count(u ^ v) <= {radius}")]).select("u", "v")
+
+
+def homes_and_visits(fingerprints: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """(fp, file) of the three homes of each fingerprint, and of all files in which its matches may have their homes."""
+    thirds = ", ".join(f"shiftleft({_bits('fp', at, n)}, 2) | {i}L" for i, (at, n) in enumerate(((0, 21), (21, 21), (42, 22))))
+    rows = fingerprints.select("fp", F.expr(f"explode(array({thirds}))").alias("third"), *[F.expr(f"bit_count(fp ^ ({p}L))").alias(f"d{i}") for i, p in enumerate(pivot_values(NAMING))])
+    cell = lambda i, by: f"cast((d{i} + {by} + {CELL}) div {CELL} as long)"
+    names, home = "array(third)", "third"
+    for i in range(NAMING):
+        names = f"flatten(transform({names}, n -> transform(sequence({cell(i, -radius)}, {cell(i, radius)}), c -> shiftleft(n, 5) | c)))"
+        home = f"shiftleft({home}, 5) | {cell(i, 0)}"
+    return rows.select("fp", F.expr(home).alias("file")), rows.select("fp", F.expr(f"explode({names})").alias("file"))
+
+
+def pair_counts(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row for different fingerprints: pairs seen in files by cells, left by the pivot tables, and verified."""
+    home, visit = homes_and_visits(fingerprints, radius)
+    left = home.select("file", F.col("fp").alias("u"), F.expr(_tables()).alias("tu"))
+    right = visit.select("file", F.col("fp").alias("v"), F.expr(_tables()).alias("tv"))
+    pairs = left.join(right, (left["file"] == right["file"]) & F.expr("u < v"))
+    near = F.expr(_near(radius))
+    return pairs.agg(F.count("*").alias("seen"), F.count_if(near).alias("left"), F.count_if(near & F.expr(f"bit_count(u ^ v) <= {radius}")).alias("verified"))
 
 
 def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All pairs u < v of different fingerprints (column fp, distinct) that differ in at most `radius` (1 or 2) bits."""
     if radius not in (1, 2):
-        raise ValueError("files by two of four equal blocks hold all pairs only up to two differing bits")
-    found = []
+        raise ValueError("files by thirds of the bits and by two of four equal blocks hold all pairs only up to two differing bits")
+    home, visit = homes_and_visits(fingerprints.select("fp"), radius)
+    large = written(visit.groupBy("file").agg(F.count("*").alias("n")).where(f"n > {FILE_ROWS}").select("file"), "simhash-large")
+    if large.isEmpty():
+        return _close(home, visit, ["file"], radius).distinct()
+    found = _close(home.join(large, "file", "left_anti"), visit, ["file"], radius)
+    crowded = written(visit.join(large, "file", "left_semi").select("fp").distinct(), "simhash-crowded")
+    return found.unionByName(_links_by_blocks(crowded, radius)).distinct()
+
+
+def _links_by_blocks(rows: DataFrame, radius: int) -> DataFrame:
+    """Pairs of fingerprints of crowded files."""
+    found: list[DataFrame] = []
     keys: list[str] = []
-    rows, free = fingerprints.select("fp"), "fp"
+    free = "fp"
     for width in (64, 32, 16):
         filed = _filed(rows, keys, free, width)
         keys = [*keys, f"k{len(keys)}"]
         if width == 16:
-            found.append(_matches(filed, keys, radius))
+            found.append(_close(filed, filed, keys, radius))
             break
         filed = written(filed, "simhash-files")
         large = written(filed.groupBy(*keys).agg(F.count("*").alias("n")).where(f"n > {FILE_ROWS}").select(*keys), "simhash-large")
         if large.isEmpty():
-            found.append(_matches(filed, keys, radius))
+            found.append(_close(filed, filed, keys, radius))
             break
-        found.append(_matches(filed.join(large, keys, "left_anti"), keys, radius))
+        rest = filed.join(large, keys, "left_anti")
+        found.append(_close(rest, rest, keys, radius))
         rows, free = filed.join(large, keys, "left_semi").select("fp", *keys, "rest"), "rest"
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.distinct()
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -141,17 +188,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each near-duplicate group: the least id (null last), then the least hash of the text; columns as in `docs`.
 
-    Texts are not moved by group: the kept rows' ids and text hashes are joined to the documents.
+    Groups are found on ids and hashes alone; texts move once, by their own id, to meet the list of rows to keep.
     """
-    key = F.xxhash64(F.col(f"`{text_col}`"))
-    light = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), key.alias("_key"))
+    key, name = F.xxhash64(F.col(f"`{text_col}`")), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
+    light = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), key.alias("_row_key"), name.alias("_row_name"))
     marked = written(add_fingerprints(light, "_text", True), "simhash-docs")
     group = grouped(marked, "_id", radius)
-    best = group.groupBy("group_fp").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"))).alias("b"))
-    kept = written(best.select(F.col("b.id").alias("_id"), F.col("b.key").alias("_key")).distinct(), "simhash-kept")
-    rows = docs.withColumn("_row_key", key)
-    rows = rows.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")), "left_semi")
-    return rows.dropDuplicates([id_col, "_row_key"]).select(*[f"`{c}`" for c in docs.columns])
+    best = group.groupBy("group_fp").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row_key").alias("key"), F.col("_row_name").alias("name"))).alias("b"))
+    kept = written(best.select(F.col("b.name").alias("_row_name"), F.col("b.key").alias("_row_key")).distinct(), "simhash-kept")
+    keys = ["_row_name", "_row_key"]
+    rows = docs.withColumns({"_row_key": key, "_row_name": name}).join(kept, keys, "left_semi")
+    if not marked.groupBy(*keys).count().where("count > 1").join(kept, keys, "left_semi").isEmpty():
+        rows = rows.dropDuplicates(keys)
+    return rows.select(*[f"`{c}`" for c in docs.columns])
 
 
 def grouped(marked: DataFrame, id_col: str, radius: int = RADIUS) -> DataFrame:
