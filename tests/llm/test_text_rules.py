@@ -57,6 +57,21 @@ def test_cascade_keeps_the_same_in_any_order(spark):
     assert {r["doc_id"]: r["kept"] for r in extra.collect()} == kept["own"] and {"words", "lines"} <= set(extra.columns)
 
 
+def test_costs_of_rules_are_net_of_the_job(spark):
+    """Windows of eight words cost many times what one comparison does, in every fit."""
+    docs = quality.few_files(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    for _ in range(2):
+        cost = {name: c for name, (_, c) in quality.QualityCascade().fit(docs).estimates.items()}
+        assert cost["repeated_windows"] > 5 * cost["too_short"] and cost["repeated_windows"] == max(cost.values())
+
+
+def test_sample_is_of_few_files(spark, tmp_path):
+    spark.range(200).selectExpr("id as doc_id", "repeat('w ', 30) as text").repartition(20).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    assert len(quality.few_files(docs, 3).inputFiles()) == 3 and quality.few_files(docs, 99) is docs
+    assert quality.few_files(spark.range(3)).count() == 3
+
+
 ITEMS = [("0", "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), ("10", "short item"), ("2", "x"), ("3", ""), ("4", None), ("5", "a b a b a b a b a b a b a b a b"), ("6", "Short ITEM"), ("7", "été à la plage aujourd'hui")]
 DOCS = [None, "", "... !!", "X y z", "a short item; a short item", "One, two three four five SIX seven eight nine ten eleven twelve thirteen. " + "w " * 400, "a b " * 40, "zz " * 300 + "été à LA plage aujourd hui", "nothing here"]
 

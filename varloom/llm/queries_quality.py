@@ -8,7 +8,7 @@ from varloom.llm import quality
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    cascade = quality.QualityCascade().fit(docs)
+    cascade = quality.QualityCascade().fit(quality.few_files(docs))
     rows = quality.judged(docs, cascade)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
