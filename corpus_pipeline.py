@@ -22,8 +22,8 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the cascade of rules keeps."""
-    rows = _packed(docs)
-    return quality.QualityCascade().fit(rows).transform(rows).where("kept").select("_doc.*")
+    cascade = quality.QualityCascade().fit(quality.few_files(docs))
+    return cascade.transform(_packed(docs)).where("kept").select("_doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
