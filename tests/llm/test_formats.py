@@ -97,10 +97,10 @@ def page_rows():
     return rows + [(100 + i, f"http://h{i % 3}.com/{r.randrange(9)}", r.choice([long, fake, "a" * r.randrange(3000)])) for i in range(150)]
 
 
-@pytest.mark.parametrize("broadcast, size", [(warc.BROADCAST_ROWS, warc.FILE_RECORDS), (0, 7)])
-def test_pages_are_those_of_the_sql(spark, tmp_path, monkeypatch, broadcast, size):
+@pytest.mark.parametrize("broadcast, classes", [(warc.BROADCAST_ROWS, warc.CLASSES), (0, ((100, 7), (1100, 2), (1 << 31, 1)))])
+def test_pages_are_those_of_the_sql(spark, tmp_path, monkeypatch, broadcast, classes):
     monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
-    monkeypatch.setattr(warc, "FILE_RECORDS", size)
+    monkeypatch.setattr(warc, "CLASSES", classes)
     spark.createDataFrame(page_rows(), PAGES).repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
     same_rows(queries_warc.op5_warc(spark, str(tmp_path)), *from_sql(queries_warc.OP5_SQL, "pages", "page_id bigint, url varchar, html varchar", page_rows()))
 
@@ -126,6 +126,18 @@ def test_index_is_in_order_and_archives_are_whole(spark, tmp_path):
     assert empty.count() == 0
 
 
+def test_null_ids_and_archives_by_size(spark, tmp_path, monkeypatch):
+    long = "y" * 1500
+    rows = [(None, "u", long), (None, "u", long), (3, "u", long), (4, "v", long), (4, "v", long), (5, "w", "z" * 70_000), (6, "w", None)]
+    for broadcast in (warc.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
+        index = warc.archive_and_index(spark.createDataFrame(rows, PAGES), f"file://{tmp_path}/{broadcast}").collect()
+        got = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in index)
+        assert got == [("3", 1500, "revisit", 4), ("4", 1500, "response", None), ("4", 1500, "response", None), ("5", 70_000, "response", None), ("6", 0, "response", None), ("None", 1500, "revisit", 4), ("None", 1500, "revisit", 4)]
+        # the page over 64 KB is in an archive of its own class
+        assert sum(r["archive"] == next(x["archive"] for x in index if x["page_id"] == 5) for r in index) == 1
+
+
 def test_loser_tree():
     r = random.Random(5)
     for k in range(7):

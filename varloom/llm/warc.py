@@ -1,8 +1,10 @@
 """WARC archives of pages, read back into a globally ordered index of captures.
 
 Writing is native: each record is a string of headers and payload, and Spark's text writer with the record separator as
-line separator makes every part file a gzip-compressed WARC file of at most FILE_RECORDS records.  Of records with equal
-payloads of at least MIN_REVISIT bytes, those with the largest id are responses and the others revisits without payload.
+line separator makes every part file a gzip-compressed WARC file.  Pages are written in classes of payload size, each with
+its own number of records in a file (CLASSES), so that no archive of several records holds more than about 256 MB.  Of
+records with equal payloads of at least MIN_REVISIT bytes, those with the largest id are responses and the others revisits
+without payload.  An archive is one gzip stream; a capture's position is that in its uncompressed bytes.
 
 Reading parses each archive by Content-Length, so payloads may hold any text, also of record headers.  The captures of one
 archive, sorted by URL key, time and id, are a run.  The index merges the runs externally: the key space is cut into
@@ -26,10 +28,12 @@ from varloom.llm.base import bounded_batches, scratch, written
 
 #: Payloads shorter than this are never revisits.
 MIN_REVISIT = 1000
-#: Records in one archive.
-FILE_RECORDS = 4000
+#: Classes of payloads: most bytes of one, and records in one archive.
+CLASSES = ((1 << 16, 4000), (1 << 22, 64), (1 << 31, 1))
 #: Repeated payloads up to which their table is broadcast; more are joined by digest.
 BROADCAST_ROWS = 100_000
+#: Stands for a null id where rows are joined by id and digest.
+NO_ID = -(1 << 63)
 #: Captures in one range of the index.
 RANGE_ROWS = 200_000
 #: Time of capture id 0; the table has none of its own.
@@ -41,17 +45,22 @@ CAPTURE = "url_key string, captured string, page_id long, url string, record_typ
 _FIELDS = [f.split()[0] for f in CAPTURE.split(", ")]
 
 
-def _records(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
-    """One column `value`: the record of each page."""
+def _records(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> tuple[DataFrame, int]:
+    """The record of each page (`value`) with its payload's bytes (`n`); and the most bytes of a payload."""
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("payload")
     ).withColumns({"digest": F.sha1(F.encode("payload", "UTF-8")), "n": F.octet_length("payload")})
     light = written(rows.select("id", "digest", "n"), "warc-digests")
     again = light.where(f"n >= {MIN_REVISIT}").groupBy("digest", "n").agg(F.max("id").alias("kept"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     again = written(again, "warc-copies").select(F.col("digest").alias("d"), F.col("n").alias("dn"), "kept")
+    same = lambda df: (df["digest"] == F.col("d")) & (df["n"] == F.col("dn"))
     if again.count() <= BROADCAST_ROWS:
-        again = F.broadcast(again)
-    rows = rows.join(again, (rows["digest"] == F.col("d")) & (rows["n"] == F.col("dn")), "left")
+        rows = rows.join(F.broadcast(again), same(rows), "left")
+    else:
+        # payloads meet their copies' id by their own id, as very many may share a digest
+        copies = light.distinct()
+        copies = copies.join(again, same(copies)).select(F.coalesce(F.col("id"), F.lit(NO_ID)).alias("ci"), "d", "dn", "kept")
+        rows = rows.join(copies, (F.coalesce(rows["id"], F.lit(NO_ID)) == F.col("ci")) & same(rows), "left")
     rows = rows.withColumn("refers", F.expr("case when kept is not null and (id is null or id <> kept) then kept end"))
     revisit = F.col("refers").isNotNull()
     uri = F.regexp_replace(F.replace(F.replace(F.coalesce("url", F.lit("-")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), r"[\x00-\x20\x7F]", "%20")
@@ -67,13 +76,18 @@ def _records(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> D
         F.coalesce(F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:capture:"), F.col("refers").cast("string"), F.lit(">")), F.lit("")),
         F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(_END),
     )
-    return rows.select(F.concat(head, block).alias("value"))
+    return rows.select("n", F.concat(head, block).alias("value")), light.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """Writes the pages as WARC files into a new folder."""
-    writer = _records(pages, id_col, url_col, payload_col).write.option("lineSep", _END).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    """Writes the pages as WARC files into a new folder, class by class; usually there is one class only."""
+    records, most = _records(pages, id_col, url_col, payload_col)
+    least = -1
+    for size, number in CLASSES:
+        if least < most:
+            some = records.where(f"n > {least} and n <= {size}").select("value")
+            some.write.mode("append").option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", number).text(path)
+        least = size
 
 
 def url_key(url: str) -> str:
