@@ -11,8 +11,8 @@ ones meet, in four steps; only the bytes that other documents may share travel.
 3. A bucket has all windows of its minimizers.  Runs of which no other version exists are settled by their least id.  The
    others are joined to one text, its suffixes are put in order and give its Burrows-Wheeler transform.  Intervals of
    suffixes with a common prefix are read off for prefixes of 8 bytes (1 where `length` is less) and then derived for 9, 10,
-   11 ... bytes: the interval of c + w is the image, under the transform's mapping, of the places of c in the interval of w.  That stops at `length`; what is still one interval
-   then are equal windows, and gets the least id of its documents.
+   11 ... bytes: the interval of c + w is the image, under the transform's mapping, of the places of c in the interval of
+   w.  That stops at `length`; what is still one interval then are equal windows, and gets the least id of its documents.
 4. Groups get these ids back, and each document removes what windows of a smaller id cover.
 
 Nothing is sampled: every window takes part.  Two different minimizers of one hash, or hashes cut short, only cost work;
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.base import bounded_batches, delete_scratch, release, scratch, written
+from varloom.llm.base import bounded_batches, delete_scratch, release, scratch, shares, written
 
 LENGTH = 50
 #: Bytes of the strings whose least hash is a window's minimizer.
@@ -41,6 +41,8 @@ HOT = 4096
 TRANSFORM_BYTES = 1 << 20
 #: Bytes of documents whose minimizers are computed at once.
 CHUNK_BYTES = 1 << 20
+#: Bytes of input for which there is a bucket and two groups, at least.
+GROUP_BYTES = 16 << 20
 
 _LAST = np.int64(2**63 - 1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -601,8 +603,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a row of packed runs per group and bucket: few enough of both
+    # buckets and groups hold a bounded part of the input; a row of packed runs per group and bucket: few enough of both
+    parts = shares(docs, GROUP_BYTES)
     groups, bits = 2 * parts, max(4, (parts - 1).bit_length())
     rows = docs.select(
         F.expr(f"cast(pmod(xxhash64(`{id_col}`, length(`{text_col}`)), {groups}) as int)").alias("g"),
