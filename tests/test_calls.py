@@ -6,7 +6,7 @@ from varloom.operators import calls as C
 from varloom.plans.query import Filter, Query, Range, Sort, UnknownColumn
 from varloom.sources import header as H
 from varloom.sources.vcf import ingest, read_table, read_vcf, write_csv
-from varloom.sources.vcf_writer import export_lines
+from varloom.sources.vcf_writer import export_lines, export_vcf
 
 HEADER = [
     "##fileformat=VCFv4.1",
@@ -20,7 +20,7 @@ HEADER = [
     "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tnormal tumor",
 ]
 RECORDS = [
-    "20\t100\t.\tA\tG\t.\tPASS\tDP=81;SPV=4.6768E-16\tGT:DP:DP4\t0/0:44:16,6,9,13\t0/1:37:1,2,3,4",
+    "20\t100\t.\tA\tG\t.\tPASS\tDP=93;SPV=2.5E-7\tGT:DP:DP4\t0/0:44:8,3,7,11\t0/1:37:1,2,3,4",
     "20\t250\trs1\tC\tT,G\t50.5\tq10;s50\tDP=9;SOMATIC\tGT:DP:DP4\t0/0:5:1,1,1,2\t0/1",
     "chr2\t7\t.\tG\tA\t.\tPASS\tDP=30\tGT:DP:DP4\t0/0:.:1,1,1,1\t1/1:12:2,2,2,2",
     "chr10\t7\t.\tG\tA\t.\tPASS\tDP=31\tGT:DP:DP4\t0/0:8:1,1,1,1\t1/1:13:2,2,2,2",
@@ -54,7 +54,7 @@ def test_read(spark, store, calls):
     rows = {(r["contig"], r["position"], r["sample_name"]): r for r in C.run_calls(calls, 1).collect()}
     assert len(rows) == 12
     r = rows["20", 100, "normal"]
-    assert (r["info:DP"], r["info:SPV"], r["sample:DP4"], r["filters"], r["id"], r["quality"]) == ("81", "4.6768E-16", "[16, 6, 9, 13]", None, None, None)
+    assert (r["info:DP"], r["info:SPV"], r["sample:DP4"], r["filters"], r["id"], r["quality"]) == ("93", "2.5E-7", "[8, 3, 7, 11]", None, None, None)
     r = rows["20", 250, "tumor"]
     assert (r["alternates"], r["filters"], r["quality"], r["info:SOMATIC"], r["sample:GT"], r["sample:DP"], r["sample:DP4"]) == ("T,G", "q10,s50", "50.5", "True", "0/1", None, None)
     assert rows["GT05182", 3, "normal"]["alternates"] is None
@@ -138,8 +138,8 @@ def test_spec(spark, store):
 
 
 def test_csv(spark, calls, tmp_path):
-    write_csv(C.run_calls(calls, 1).limit(1), ["contig", "id", "sample:GQ"], f"file://{tmp_path}/csv", {"sample:GQ": "Something!"})
-    assert spark.read.text(f"file://{tmp_path}/csv").first()[0].endswith(",,Something!")
+    write_csv(C.run_calls(calls, 1).limit(1), ["contig", "id", "sample:GQ"], f"file://{tmp_path}/csv", {"sample:GQ": "none"})
+    assert spark.read.text(f"file://{tmp_path}/csv").first()[0].endswith(",,none")
 
 
 def test_scalar_functions(spark):
@@ -153,13 +153,73 @@ def test_scalar_functions(spark):
     assert one.select(link).first()[0] == "http://h/load?g=1&file=http://x/a.vcf&name=Run&format=vcf&locus=20:5"
 
 
-@pytest.mark.parametrize("camel, snake", [("camelCase", "camel_case"), ("HTTPRequest", "http_request"), ("CamelHTTP1", "camel_http1"), ("camelC", "camel_c"), ("CamelBI1GCasesRun1", "camel_bi1g_cases_run1")])
+@pytest.mark.parametrize("camel, snake", [("tumorBamId", "tumor_bam_id"), ("VCFHeader", "vcf_header"), ("runOf2Files", "run_of2_files"), ("lastX", "last_x"), ("uri", "uri")])
 def test_snake_case(camel, snake):
     assert V.snake_case(camel) == snake
 
 
-def test_camel_case():
-    assert [V.camel_case(x) for x in ("camel_case", "http_request", "camel_bi1g_cases_run1")] == ["camelCase", "httpRequest", "camelBi1gCasesRun1"]
+def test_camel_case(spark):
+    assert [V.camel_case(x) for x in ("tumor_bam_id", "vcf_header", "run_2_files", "uri")] == ["tumorBamId", "vcfHeader", "run2Files", "uri"]
+    df = spark.sql("select 1 as run_id, array(named_struct('task_state', 'x', 'at_time', named_struct('in_hours', 2))) as task_list")
+    row = V.rename_keys(df).first().asDict(True)
+    assert row == {"runId": 1, "taskList": [{"taskState": "x", "atTime": {"inHours": 2}}]}
+    assert V.rename_keys(V.rename_keys(df), V.snake_case).schema == df.schema
+
+
+def test_number_texts_and_paths(spark):
+    one = spark.range(1)
+    assert tuple(one.select(V.count_text(F.lit(1234567)), V.ratio_text(F.lit(2 / 3)), V.preview(F.lit("x" * 50))).first()) == ("1,234,567", "0.6667", "x" * 45)
+    json = F.lit('{"a": {"b": 5}}')
+    assert tuple(one.select(V.at_path(json, "a", "b"), V.at_path(json, "a", "z", "b"), V.at_path(F.lit(None).cast("string"), "a")).first()) == ("5", None, None)
+
+
+def test_repeated_info_keys_take_the_last(spark, tmp_path):
+    path = tmp_path / "again.vcf"
+    path.write_text("\n".join([*HEADER, "7\t1\t.\tA\tC\t.\tPASS\tDP=3;SOMATIC;DP=4;SOMATIC\tGT\t0/1\t0/0", "7\t2\t.\tA\tC\t.\tPASS\tDPX=1;DP\tGT\t0/1\t0/0"]))
+    rows = {(r["position"], r["sample_name"]): (r["info:DP"], r["info:SOMATIC"]) for r in read_vcf(spark, f"file://{path}", 1).collect()}
+    assert rows == {(1, "normal"): ("4", "True"), (1, "tumor"): ("4", "True"), (2, "normal"): (None, None), (2, "tumor"): (None, None)}
+
+
+def test_a_file_without_records_empties_its_run(spark, tmp_path):
+    path, table = tmp_path / "run.vcf", f"file://{tmp_path}/calls"
+    path.write_text("\n".join([*HEADER, *RECORDS]) + "\n")
+    assert ingest(spark, f"file://{path}", 1, table)["genotype_count"] == 12 and ingest(spark, f"file://{path}", 2, table)["genotype_count"] == 12
+    path.write_text("\n".join(HEADER) + "\n")
+    facts = ingest(spark, f"file://{path}", 1, table)
+    assert facts["genotype_count"] == 0 and facts["extant_columns"] == []
+    assert {r["vcf_id"]: r["genotype_count"] for r in C.call_counts(read_table(spark, table)).collect()} == {2: 12}
+
+
+def test_header(spark, tmp_path):
+    path = tmp_path / "long.vcf"
+    path.write_text("\n".join(["##fileformat=VCFv4.1", *[f"##contig=<ID={i}>" for i in range(2500)], *HEADER[1:], RECORDS[0], "# not of the header"]))
+    header = H.read_header(spark, f"file://{path}")
+    assert len(header) == 2500 + len(HEADER) and header[-1] == HEADER[-1]
+    path.write_text("##only\n")
+    assert H.read_header(spark, f"file://{path}") == ["##only"]
+    assert H.release_of(HEADER) == 75 and H.release_of(["##reference=file:///ensembl-release-81/x.fa"]) == 81
+    of = {f.column: f for f in H.fields(HEADER)}
+    assert H.sortable(of["info:DP"], True) and not H.sortable(of["info:DP"], False) and not H.sortable(of["sample:DP4"], True) and not H.sortable(of["sample:GT"], True)
+
+
+def test_samples_that_the_header_lacks_are_an_error(spark, store, calls):
+    with pytest.raises(Exception, match="a sample is not in the header"):
+        export_lines(C.run_calls(calls, 1), HEADER[:-1] + [HEADER[-1].replace("tumor", "other")], store[1][1]["extant_columns"]).collect()
+
+
+def test_export_fails_where_a_file_is(spark, store, calls, tmp_path):
+    path = f"file://{tmp_path}/out"
+    export_vcf(C.run_calls(calls, 1), HEADER, store[1][1]["extant_columns"], path)
+    assert spark.read.text(path).count() == len(HEADER) + len(RECORDS)
+    with pytest.raises(Exception, match="(?i)exist"):
+        export_vcf(C.run_calls(calls, 1), HEADER, store[1][1]["extant_columns"], path)
+
+
+def test_query_objects(spark):
+    q = Query((Filter("A", "=", "1"),), Range("X", 5), (Sort("B", True),), 2, 50, 9)
+    assert Query.from_json(q.to_json()) == q
+    assert Query().with_defaults() == Query(sort=(Sort("contig"), Sort("position")), limit=250)
+    assert Query(sort=(Sort("position", True),)).with_defaults().sort == (Sort("contig", True), Sort("position", True)) and Query(sort=(Sort("B"),)).with_defaults().sort == (Sort("B"),)
 
 
 def test_orders_return_the_whole_run(spark):

@@ -73,6 +73,25 @@ def test_tasks(t):
     assert K.visible_tasks(t["tasks"], 2).count() == 1 and K.unfinished(t["tasks"]).isEmpty()
 
 
+def test_task_changes(spark, t):
+    states = spark.createDataFrame([("a", "SUCCESS"), ("f", "SUCCESS")], "task_id string, state string")
+    running = K.created(t["tasks"], {"vcf_id": 3, "type": "workers.annotate.run", "task_id": "f", "state": "STARTED"})
+    assert {r["task_id"]: r["state"] for r in K.refreshed(running, states).collect() if r["task_id"] in "af"} == {"a": "FAILURE", "f": "SUCCESS"}
+    assert {r["label"]: r["state"] for r in K.task_states(t["tasks"], 2).collect()} == {"annotate": "SUCCESS"}
+    assert {r["vcf_id"] for r in K.without_tasks(t["tasks"], 1).collect()} == {2, 3}
+
+
+def test_views(t):
+    assert {r["id"]: r["project"] and r["project"]["name"] for r in K.with_projects(t["runs"], t["projects"]).collect()} == {1: "one", 2: "one", 3: "two"}
+    assert K.bam_of(t["bams"], 1, "uri1") == 1
+    with pytest.raises(K.NotFound):
+        K.bam_of(t["bams"], 2, "uri1")
+    runs = K.view(t["runs"], "runs")
+    assert "vcf_header" not in runs.columns and tuple(runs.columns) == K.VIEWS["runs"] and runs.first()["num_comments"] is None
+    rows = K.calls_with_comments(t["comments"].select("vcf_id", "contig", "position", "reference", "alternates", "sample_name").distinct(), t["comments"]).collect()
+    assert [c["comment_text"] for r in rows if r["contig"] == "20" for c in r["comments"]] == ["hello", "again"]
+
+
 def test_stars(spark):
     calls = spark.createDataFrame([(1, "20", 5, "A", "G", "s"), (1, "20", 6, "A", None, "s")], "vcf_id long, contig string, position int, reference string, alternates string, sample_name string")
     stars = spark.createDataFrame([], S.STARS)
@@ -107,3 +126,21 @@ def test_folder_stream(spark, tmp_path):
     (drop / "run8.vcf").write_text(text)
     watch_folder(spark, f"file://{drop}", f"file://{tmp_path}/calls", f"file://{tmp_path}/ck").awaitTermination()
     assert {r["vcf_id"] for r in spark.read.parquet(f"file://{tmp_path}/calls").collect()} == {7, 8}
+
+
+def test_a_batch_of_more_files_than_asked_for_is_ingested_whole(spark, tmp_path):
+    """A batch that was logged with four files and is tried again by a stream of two."""
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    text = "##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\n1\t5\t.\tA\tG\t.\tPASS\t.\tGT\t0/1\n"
+    for i in range(1, 5):
+        (drop / f"run{i}.vcf").write_text(text)
+
+    def fails(path):
+        raise RuntimeError("down")
+
+    where = f"file://{drop}", f"file://{tmp_path}/calls", f"file://{tmp_path}/ck"
+    with pytest.raises(Exception, match="down"):
+        watch_folder(spark, *where, run_of=fails, files=4).awaitTermination()
+    watch_folder(spark, *where, files=2).awaitTermination()
+    assert {r["vcf_id"] for r in spark.read.parquet(where[1]).collect()} == {1, 2, 3, 4}

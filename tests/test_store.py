@@ -40,6 +40,18 @@ def test_store(spark, tmp_path):
     lines = [r[0] for r in store.export(run, "sample:DP = 37").collect()]
     assert lines[: len(HEADER)] == HEADER and len(lines) == len(HEADER) + 1
 
+    by_uri = store.create_run({"project_id": project, "uri": f"file://{tmp_path}/3.vcf", "normal_bam_uri": "b.bam"}) if (tmp_path / "3.vcf").write_text("\n".join([*HEADER, *TRUTH])) else None
+    row = store.get("runs", by_uri).first()
+    assert row["normal_bam"]["uri"] == "b.bam" and row["project"]["name"] == "p" and row["vcf_release"] == 75
+    with pytest.raises(NotFound):
+        store.create_run({"project_id": project, "uri": "x.vcf", "tumor_bam_uri": "nowhere"})
+    store.delete_tasks(by_uri)
+    store.delete("runs", by_uri)
+    assert store.table("tasks").where(F.col("vcf_id") == by_uri).isEmpty()
+    # a version that was not written to its end does not count
+    (tmp_path / "store" / "projects" / "v999999999").mkdir()
+    assert store.list("projects").count() == 1
+
     comment = store.create("comments", {**{k: v for k, v in key.items()}, "comment_text": "hm"})
     seen = store.table("comments").first()["last_modified"]
     store.edit_comment(comment, "better", seen)

@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Types of cells at query time, by the lower-case Type of a header line; any other is text.
 QUERY_TYPES = {"integer": "int", "float": "double"}
@@ -128,6 +129,29 @@ def snake_case(name: str) -> str:
     return re.sub(r"([a-z])([A-Z])", r"\1_\2", re.sub(r"(.)([A-Z][a-z]+)", r"\1_\2", name)).replace("__", "_").lower()
 
 
+def _renamed(kind: T.DataType, convert) -> T.DataType:
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(convert(f.name), _renamed(f.dataType, convert), f.nullable) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_renamed(kind.elementType, convert), kind.containsNull)
+    return kind
+
+
 def rename_keys(df, convert=camel_case):
-    """All column names in the other case."""
-    return df.select(*[cell(c).alias(convert(c)) for c in df.columns])
+    """All column names in the other case, also those inside structs and arrays."""
+    return df.select(*[cell(f.name).cast(_renamed(f.dataType, convert)).alias(convert(f.name)) for f in df.schema.fields])
+
+
+def count_text(n: Column) -> Column:
+    """A count with commas between thousands."""
+    return F.format_number(n, 0)
+
+
+def ratio_text(x: Column) -> Column:
+    """A ratio with four decimals."""
+    return F.format_string("%.4f", x.cast("double"))
+
+
+def at_path(json: Column, *path: str) -> Column:
+    """The text at a path of a JSON value; null where any part of the path is missing."""
+    return F.get_json_object(json, "$" + "".join(f"['{p}']" for p in path))

@@ -107,16 +107,21 @@ def true_positives(calls: DataFrame, run: int, query: Query) -> DataFrame:
 
 def statistics(calls: DataFrame, run: int, query: Query) -> DataFrame:
     """One row: number of records that pass and in all; with a truth run also TP, FP, FN, precision, recall and F1."""
-    kept = lambda q: reduce(lambda a, b: a & b, [F.lit(True), *[condition(f, q.type_of(f.column)) for f in q.filters], *_range_conditions(q.range)])
-    counts = run_calls(calls, run).agg(F.count_if(kept(query)).alias("number_of_records"), F.count("*").alias("total_unfiltered_count"))
+    kept = lambda filters: reduce(lambda a, b: a & b, [F.lit(True), *[condition(f, query.type_of(f.column)) for f in filters], *_range_conditions(query.range)])
+    own = F.col("vcf_id") == run
     if query.truth is None:
-        return counts
+        return run_calls(calls, run).agg(F.count_if(kept(query.filters)).alias("number_of_records"), F.count("*").alias("total_unfiltered_count"))
+    # the run and the truth run are counted in one pass
+    truth = F.col("vcf_id") == query.truth
+    counts = calls.where(own | truth).agg(
+        F.count_if(own & kept(query.filters)).alias("number_of_records"),
+        F.count_if(own).alias("total_unfiltered_count"),
+        F.count_if(truth & kept(query.truth_filters())).alias("total_truth_records"),
+    )
     found = true_positives(calls, run, query).agg(F.count("*").alias("true_positives"))
-    truth = truth_calls(calls, query).agg(F.count("*").alias("total_truth_records"))
-    # three single rows, joined by a constant
+    # two single rows, joined by a constant
     one = lambda df: df.withColumn("_one", F.lit(1))
-    row = one(counts).join(F.broadcast(one(found)), "_one").join(F.broadcast(one(truth)), "_one").drop("_one")
-    return scores(row)
+    return scores(one(counts).join(F.broadcast(one(found)), "_one").drop("_one"))
 
 
 def _range_conditions(r: Range) -> list[Column]:
@@ -169,11 +174,16 @@ def samples(calls: DataFrame, run: int) -> DataFrame:
     return run_calls(calls, run).select("sample_name").distinct().orderBy(F.col("sample_name").asc_nulls_last())
 
 
+def sample_count(calls: DataFrame, run: int) -> DataFrame:
+    return run_calls(calls, run).agg(F.countDistinct("sample_name").alias("n"))
+
+
 def extant_columns(calls: DataFrame, candidates: list[str]) -> DataFrame:
-    """(vcf_id, extant_columns): per run, the candidates that are not null somewhere; one aggregate, no shuffle of cells."""
-    flags = calls.groupBy("vcf_id").agg(*[F.bool_or(cell(c).isNotNull()).alias(f"c{i}") for i, c in enumerate(candidates)])
+    """(vcf_id, extant_columns, genotype_count): per run, the candidates that are not null somewhere, and its number of
+    calls; one aggregate, no shuffle of cells."""
+    flags = calls.groupBy("vcf_id").agg(*[F.bool_or(cell(c).isNotNull()).alias(f"c{i}") for i, c in enumerate(candidates)], F.count("*").alias("genotype_count"))
     names = F.array_compact(F.array(*[F.when(F.col(f"c{i}"), F.lit(c)) for i, c in enumerate(candidates)]))
-    return flags.select("vcf_id", names.alias("extant_columns"))
+    return flags.select("vcf_id", names.alias("extant_columns"), "genotype_count")
 
 
 def call_counts(calls: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.functions import epoch_seconds, row_key
+from varloom.functions import epoch_seconds, row_key, task_label
 from varloom.schema import CALL_KEY, STARRED
 
 
@@ -58,6 +58,28 @@ def with_bams(runs: DataFrame, bams: DataFrame) -> DataFrame:
     return runs
 
 
+def with_projects(runs: DataFrame, projects: DataFrame) -> DataFrame:
+    """Runs with their project as a struct, null where unknown."""
+    p = projects.select(F.col("id").alias("_project"), F.struct("*").alias("project"))
+    return runs.join(p, runs["project_id"] == p["_project"], "left").drop("_project")
+
+
+#: Columns of each view that clients get; others stay inside.
+VIEWS = {
+    "projects": ("id", "name", "notes"),
+    "bams": ("id", "project_id", "name", "normal", "notes", "tissues", "resection_date", "uri"),
+    "runs": ("id", "project_id", "caller_name", "created_at", "notes", "uri", "genotype_count", "num_comments", "tumor_bam_id", "normal_bam_id", "extant_columns"),
+    "comments": ("id", "vcf_id", "sample_name", "contig", "position", "reference", "alternates", "comment_text", "user", "created", "last_modified"),
+    "tasks": ("type", "state"),
+}
+
+
+def view(table: DataFrame, name: str) -> DataFrame:
+    """The columns of a view, in its order; a column that the table lacks is null."""
+    there = set(table.columns)
+    return table.select(*[F.col(c) if c in there else F.lit(None).cast("string").alias(c) for c in VIEWS[name]])
+
+
 def with_task_states(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     """Runs with the set of their tasks' states, empty where there is none."""
     states = tasks.groupBy("vcf_id").agg(F.array_sort(F.collect_set("state")).alias("task_states"))
@@ -141,6 +163,14 @@ def project_of(projects: DataFrame, project_id: int | None = None, project_name:
     return found["id"]
 
 
+def bam_of(bams: DataFrame, project: int, uri: str) -> int:
+    """The id of a project's BAM with this URI; of several the newest."""
+    found = matching(bams, project_id=project, uri=uri).agg(F.max("id").alias("id")).first()["id"]
+    if found is None:
+        raise NotFound(f"the project has no BAM at {uri}")
+    return found
+
+
 def comment_updated(comments: DataFrame, key: int, text: str, last_modified, now) -> DataFrame:
     """A new text, if the comment is still as the writer last saw it."""
     seen = by_id(comments, key).select("last_modified", "comment_text").first()
@@ -183,6 +213,25 @@ def unfinished(tasks: DataFrame) -> DataFrame:
     return tasks.where(~F.col("state").isin("SUCCESS", "FAILURE"))
 
 
+def without_tasks(tasks: DataFrame, run: int) -> DataFrame:
+    """The table without a run's tasks."""
+    return tasks.where(~F.col("vcf_id").eqNullSafe(run))
+
+
+def refreshed(tasks: DataFrame, states: DataFrame) -> DataFrame:
+    """The table with the latest `states` (task_id, state) of its unfinished tasks; others stay as they are."""
+    new = states.select("task_id", F.col("state").alias("_state"))
+    open_ = ~F.col("state").isin("SUCCESS", "FAILURE")
+    rows = tasks.join(new, "task_id", "left").withColumn("state", F.when(open_, F.coalesce("_state", "state")).otherwise(F.col("state")))
+    return rows.select(*tasks.columns)
+
+
+def task_states(tasks: DataFrame, run: int) -> DataFrame:
+    """(label, state) of a run's tasks, the latest of each type."""
+    rows = tasks.where(F.col("vcf_id") == run).groupBy("type").agg(F.max_by("state", "id").alias("state"))
+    return rows.select(task_label(F.col("type")).alias("label"), "state")
+
+
 def visible_tasks(tasks: DataFrame, run: int) -> DataFrame:
     return tasks.where((F.col("vcf_id") == run) & (F.col("state") != "SUCCESS"))
 

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from varloom import functions as V
 from varloom.operators import annotate, calls as C, catalog as K
 from varloom.plans import cql
+from varloom.folders import shared_folder
 from varloom.plans.query import Filter, Query, Range, Sort
+from varloom.schema import ANNOTATIONS, STARRED
+from varloom.sources import vcf, vcf_writer
 
 RUN, TRUTH = 1, 2
 TYPES = {"info:DP": "integer", "info:AF": "float", "position": "integer"}
@@ -111,20 +114,12 @@ _add(
 # orders and pages: the place in the order is part of the rows
 
 
-def _order_sql(order: str, n: int = 500) -> str:
-    return _with(f"SELECT {_ALL}, row_number() OVER (ORDER BY {order}) AS place FROM calls WHERE vcf_id = 1 QUALIFY place <= {n}")
-
-
-def _whole_order_sql(order: str) -> str:
-    return _with(f"SELECT {_ALL}, row_number() OVER (ORDER BY {order}) AS place FROM calls WHERE vcf_id = 1")
-
-
 def _add_order(name: str, order: str):
-    """An order of the whole run as NAME_all; as NAME its first 500 places."""
+    """An order of the whole run, also under the name it had beside a shorter one."""
 
     def put(f):
-        _add(f"{name}_all", _whole_order_sql(order))(f)
-        _add(name, _order_sql(order))(lambda s, d: f(s, d).where("place <= 500"))
+        for n in (name, f"{name}_all"):
+            _add(n, _with(f"SELECT {_ALL}, row_number() OVER (ORDER BY {order}) AS place FROM calls WHERE vcf_id = 1"))(f)
         return f
 
     return put
@@ -195,7 +190,7 @@ _add("record_closure_semi", _with(f"SELECT {_RALL} FROM calls r WHERE vcf_id = 1
 
 _add("contig_list", _with("SELECT DISTINCT contig FROM calls WHERE vcf_id = 1"))(lambda s, d: C.contigs(calls(s, d), RUN))
 _add("sample_list", _with("SELECT DISTINCT sample_name FROM calls WHERE vcf_id = 1"))(lambda s, d: C.samples(calls(s, d), RUN))
-_add("sample_count", _with("SELECT count(DISTINCT sample_name) AS n FROM calls WHERE vcf_id = 1"))(lambda s, d: C.run_calls(calls(s, d), RUN).agg(F.countDistinct("sample_name").alias("n")))
+_add("sample_count", _with("SELECT count(DISTINCT sample_name) AS n FROM calls WHERE vcf_id = 1"))(lambda s, d: C.sample_count(calls(s, d), RUN))
 _add(
     "extant_columns",
     _with("""SELECT vcf_id, concat_ws(',', CASE WHEN count("info:DP") > 0 THEN 'info:DP' END, CASE WHEN count("info:AF") > 0 THEN 'info:AF' END, CASE WHEN count(none) > 0 THEN 'info:GQ' END) AS extant
@@ -264,18 +259,32 @@ def _stars(s: SparkSession, d: str) -> DataFrame:
 _GENES = "SELECT CASE WHEN p_partkey % 25 < 22 THEN concat('chr', CAST(p_partkey % 25 + 1 AS VARCHAR)) ELSE 'chrX' END AS contig, p_partkey AS s, p_partkey + p_size AS e, p_size AS pr, p_name AS g, p_brand AS t FROM part"
 
 
-@_add(
-    "annotate_update",
-    _with(f"SELECT contig, position, reference, alternates, b.g AS gene_name, b.t AS transcript FROM (SELECT contig, position, reference, alternates, min(struct_pack(p := -pr, g := g, t := t)) AS b FROM (SELECT DISTINCT contig, position, reference, alternates FROM calls WHERE vcf_id = 1) v JOIN ({_GENES}) m USING (contig) WHERE position BETWEEN s AND e GROUP BY ALL)"),
+_FOUND = (
+    f"SELECT contig, position, reference, alternates, b.g AS gene_name, b.t AS transcript FROM (SELECT contig, position, reference, alternates, min(struct_pack(p := -pr, g := g, t := t)) AS b FROM (SELECT DISTINCT contig, position, reference, alternates FROM calls WHERE vcf_id = 1) v JOIN ({_GENES}) m USING (contig) WHERE position BETWEEN s AND e GROUP BY ALL)"
 )
+
+
 def _annotate(s: SparkSession, d: str) -> DataFrame:
     contig = F.expr("case when p_partkey % 25 < 22 then concat('chr', cast(p_partkey % 25 + 1 as string)) else 'chrX' end")
     genes = table(s, d, "part").select(
         contig.alias("contig"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"), F.col("p_size").alias("priority"),
         F.col("p_name").alias("annotations:gene_name"), F.col("p_brand").alias("annotations:transcript"), F.lit(None).cast("string").alias("annotations:effect_notation"), F.lit(None).cast("string").alias("annotations:effect_type"),
     )
-    found = annotate.annotations(C.run_calls(calls(s, d), RUN), genes, 1 << 8)
-    return found.select(*C.RECORD_KEY, V.cell("annotations:gene_name").alias("gene_name"), V.cell("annotations:transcript").alias("transcript"))
+    return annotate.annotations(C.run_calls(calls(s, d), RUN), genes, 1 << 8)
+
+
+@_add("annotate_update", _with(_FOUND))
+def _annotations(s: SparkSession, d: str) -> DataFrame:
+    return _annotate(s, d).select(*C.RECORD_KEY, V.cell("annotations:gene_name").alias("gene_name"), V.cell("annotations:transcript").alias("transcript"))
+
+
+_KEY_IS = " AND ".join(f"r.{c} = f.{c}" for c in C.RECORD_KEY)
+
+
+@_add("annotate_calls", _with(f"SELECT l_orderkey, l_partkey, l_suppkey, f.gene_name, f.transcript FROM calls r LEFT JOIN ({_FOUND}) f ON {_KEY_IS} WHERE r.vcf_id = 1"))
+def _annotated(s: SparkSession, d: str) -> DataFrame:
+    none = C.run_calls(calls(s, d), RUN).withColumns({c: F.lit(None).cast("string") for c in ANNOTATIONS})
+    return annotate.annotated(none, _annotate(s, d)).select(*_UNIQUE.split(", "), V.cell("annotations:gene_name").alias("gene_name"), V.cell("annotations:transcript").alias("transcript"))
 
 
 # scalar functions
@@ -294,3 +303,185 @@ _add("comment_links", _with(f"SELECT {_UNIQUE}, concat(contig, ':', position, '-
 _add("reads_overlap", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey < 600 AND l_partkey + l_quantity > 500 AND l_linestatus = 'F'")(
     lambda s, d: C.overlapping(table(s, d, "lineitem").withColumns({"contig": F.col("l_linestatus"), "start": F.col("l_partkey"), "end": F.col("l_partkey") + F.col("l_quantity")}), "F", 500, 600).select("l_orderkey", "l_linenumber", "l_partkey")
 )
+
+_add("ascii_text", "SELECT p_partkey, regexp_replace(concat(p_name, 'é', p_type), '[^\x00-\x7F]', '', 'g') AS t FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", V.ascii_only(F.concat("p_name", F.lit("é"), "p_type")).alias("t")))
+_add("comment_preview", "SELECT p_partkey, substr(repeat(p_name, 6), 1, 45) AS t FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", V.preview(F.repeat("p_name", F.lit(6))).alias("t")))
+_add("number_texts", "SELECT o_orderkey, format('{:,}', o_custkey * 1000) AS n, format('{:.4f}', o_custkey / 7.0::DOUBLE) AS r FROM orders")(
+    lambda s, d: table(s, d, "orders").select("o_orderkey", V.count_text(F.col("o_custkey") * 1000).alias("n"), V.ratio_text(F.col("o_custkey") / F.lit(7.0)).alias("r"))
+)
+_add("path_in_json", "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS none FROM events")(
+    lambda s, d: table(s, d, "events").select("event_id", V.at_path(F.col("props"), "k").alias("k"), V.at_path(F.col("props"), "no", "such").alias("none"))
+)
+_add("camel_case_keys", "SELECT s_suppkey AS \"sSuppkey\", s_name AS \"sName\" FROM supplier")(lambda s, d: V.rename_keys(table(s, d, "supplier").select("s_suppkey", "s_name")))
+_add("igv_links", _with(f"SELECT {_UNIQUE}, concat('http://v/load?g=1&file=http://x/', sample_name, '.vcf&name=Run&format=vcf&locus=', contig, ':', position) AS link FROM calls WHERE vcf_id = 1"))(
+    lambda s, d: C.run_calls(calls(s, d), RUN).select(*_UNIQUE.split(", "), V.igv_link("http://v/load?g=1", [(F.concat(F.lit("http://x/"), "sample_name", F.lit(".vcf")), "Run", "vcf"), (F.lit("file:///b.bam"), "Normal", "bam")], F.concat("contig", F.lit(":"), F.col("position").cast("string"))).alias("link"))
+)
+
+# the small tables through the library: customer are projects and users, orders runs, supplier BAMs, lineitem comments and stars
+
+
+def _projects(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+
+
+def _bams(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") * 3).alias("project_id"))
+
+
+def _full_runs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id"), F.col("o_custkey").alias("tumor_bam_id"), (F.col("o_custkey") * 2).alias("normal_bam_id"))
+
+
+_SEQ = "(l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey"
+
+
+def _remarks(s: SparkSession, d: str) -> DataFrame:
+    """Comments and stars on calls."""
+    more = table(s, d, "lineitem").select(*_UNIQUE.split(", "), F.col("l_shipdate").cast("timestamp").alias("at"), F.expr(_SEQ).alias("seq"), F.expr("l_quantity > 25").alias("starred"), "l_linenumber")
+    rows = calls(s, d).join(more, _UNIQUE.split(", "))
+    return rows.withColumns({"id": F.col("seq"), "created": F.col("at"), "comment_text": F.concat("reference", F.col("l_suppkey").cast("string")), "user_id": F.col("l_suppkey")})
+
+
+_REMARKS = f"""remarks AS (SELECT c.*, m.moment, m.seq, m.starred, m.l_linenumber, concat(reference, c.l_suppkey) AS comment_text FROM calls c
+  JOIN (SELECT {_UNIQUE}, l_shipdate AS moment, {_SEQ} AS seq, l_quantity > 25 AS starred, l_linenumber FROM lineitem) m USING ({_UNIQUE}))"""
+
+
+def _with_remarks(sql: str) -> str:
+    return f"WITH {_CALLS}, {_REMARKS} {sql}"
+
+
+_CALL_IS = " AND ".join(f"r.{c} = f.{c}" for c in ("vcf_id", *C.CALL_KEY))
+_CALL = ", ".join(("vcf_id", *C.CALL_KEY))
+_add("star_calls", _with_remarks(f'SELECT {_RALL}, coalesce(f.s, false) AS "{STARRED}" FROM calls r LEFT JOIN (SELECT {_CALL}, arg_max(starred, (moment, seq)) AS s FROM remarks WHERE l_linenumber <= 3 GROUP BY ALL) f ON {_CALL_IS}'))(
+    lambda s, d: K.starred(calls(s, d), _remarks(s, d).where("l_linenumber <= 3"))
+)
+_add("comments_by_row", _with_remarks("SELECT concat(contig, ':', position, '::', reference, '->', alternates) AS row_key, string_agg(comment_text, ',' ORDER BY moment, seq) AS texts FROM remarks WHERE vcf_id = 1 GROUP BY 1"))(
+    lambda s, d: K.comments_by_row(_remarks(s, d), RUN).select("row_key", F.array_join(F.transform("comments", lambda c: c["comment_text"]), ",").alias("texts"))
+)
+_add("calls_with_comments", _with_remarks(f"SELECT {', '.join('r.' + c for c in _UNIQUE.split(', '))}, f.t AS texts FROM calls r LEFT JOIN (SELECT {_CALL}, string_agg(comment_text, ',' ORDER BY moment, seq) AS t FROM remarks WHERE l_linenumber = 1 GROUP BY ALL) f ON {_CALL_IS}"))(
+    lambda s, d: K.calls_with_comments(calls(s, d), _remarks(s, d).where("l_linenumber = 1")).select(*_UNIQUE.split(", "), F.array_join(F.transform("comments", lambda c: c["comment_text"]), ",").alias("texts"))
+)
+_add("comments_with_users", "SELECT event_id AS id, c_name AS username, epoch_us(ts) / 1e6 AS created FROM events LEFT JOIN customer ON c_custkey = user_id")(
+    lambda s, d: K.with_users(table(s, d, "events").select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("created"), F.col("ts").alias("last_modified")), _projects(s, d).withColumnRenamed("name", "username")).select("id", "user.username", "created")
+)
+_add("attach_bams", "SELECT o_orderkey AS id, t.s_name AS tumor, n.s_name AS normal FROM orders LEFT JOIN supplier t ON t.s_suppkey = o_custkey LEFT JOIN supplier n ON n.s_suppkey = o_custkey * 2")(
+    lambda s, d: K.with_bams(_full_runs(s, d), _bams(s, d)).select("id", F.col("tumor_bam.name").alias("tumor"), F.col("normal_bam.name").alias("normal"))
+)
+_add("attach_projects", "SELECT o_orderkey AS id, c_name AS project FROM orders LEFT JOIN customer ON c_custkey = o_custkey")(
+    lambda s, d: K.with_projects(_full_runs(s, d), _projects(s, d)).select("id", F.col("project.name").alias("project"))
+)
+_add("project_tree", f"""WITH r AS (SELECT o_custkey AS p, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey DESC) AS run_ids, max(o_orderkey) AS newest,
+    CAST(sum(coalesce(n, 0)) AS BIGINT) AS num_comments, string_agg(coalesce(s, ''), ';' ORDER BY o_orderkey DESC) AS states
+  FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+  LEFT JOIN (SELECT user_id, string_agg(DISTINCT {_STATE}, ',' ORDER BY {_STATE}) AS s FROM events GROUP BY 1) ON user_id = o_orderkey GROUP BY 1)
+SELECT c_custkey AS id, run_ids, newest, num_comments, states, (SELECT CAST(count(*) AS BIGINT) FROM supplier WHERE s_suppkey * 3 = c_custkey) AS num_bams FROM customer LEFT JOIN r ON p = c_custkey""")(
+    lambda s, d: K.project_tree(_projects(s, d), _full_runs(s, d), _bams(s, d), _comments(s, d), _tasks(s, d)).select(
+        "id",
+        F.array_join(F.transform("vcfs", lambda v: v["id"].cast("string")), ",").alias("run_ids"),
+        "newest",
+        F.aggregate(F.transform("vcfs", lambda v: v["num_comments"]), F.lit(0).cast("long"), lambda a, x: a + x).alias("num_comments"),
+        F.array_join(F.transform("vcfs", lambda v: F.array_join(v["task_states"], ",")), ";").alias("states"),
+        F.when(F.col("bams").isNull(), 0).otherwise(F.size("bams")).cast("long").alias("num_bams"),
+    )
+)
+_add("related_runs", "SELECT o_orderkey AS id, o_custkey AS project_id FROM orders WHERE o_custkey = (SELECT o_custkey FROM orders WHERE o_orderkey = 7) AND o_orderkey <> 7")(lambda s, d: K.related_runs(_runs(s, d), 7))
+_add("runs_of_project", "SELECT o_orderkey AS id, o_custkey AS project_id FROM orders WHERE o_custkey = 7")(lambda s, d: K.newest_first(K.matching(_runs(s, d), project_id=7)))
+_add("project_by_id", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey = 7")(lambda s, d: K.by_id(_projects(s, d), 7))
+_add("projects_view", "SELECT c_custkey AS id, c_name AS name, CAST(NULL AS VARCHAR) AS notes FROM customer")(lambda s, d: K.view(_projects(s, d).withColumn("inside", F.lit(1)), "projects"))
+_add("tasks_visible", f"SELECT event_id AS id, user_id AS vcf_id, {_STATE} AS state, concat('workers.genotype.', event_type, '.run') AS type FROM events WHERE user_id = 7 AND {_STATE} <> 'SUCCESS'")(lambda s, d: K.visible_tasks(_tasks(s, d), 7))
+_add("task_states_of_run", f"SELECT concat('genotype.', event_type) AS label, arg_max({_STATE}, event_id) AS state FROM events WHERE user_id = 7 GROUP BY event_type")(lambda s, d: K.task_states(_tasks(s, d), 7))
+_add("tasks_of_other_runs", f"SELECT event_id AS id, {_STATE} AS state FROM events WHERE user_id IS DISTINCT FROM 7")(lambda s, d: K.without_tasks(_tasks(s, d), 7).select("id", "state"))
+_add("tasks_refreshed", f"SELECT event_id AS id, CASE WHEN {_STATE} = 'STARTED' AND event_id % 3 = 0 THEN 'SUCCESS' ELSE {_STATE} END AS state FROM events")(
+    lambda s, d: K.refreshed(_tasks(s, d).withColumn("task_id", F.col("id")), table(s, d, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("task_id"), F.lit("SUCCESS").alias("state"))).select("id", "state")
+)
+_STEP = "CASE WHEN event_id % 2 = 0 THEN 'extract' ELSE 'annotate' END"
+_add("runs_to_restart", f"""SELECT user_id AS vcf_id, CASE WHEN bool_or(step = 'extract') THEN 'extract,annotate' ELSE 'annotate' END AS steps
+  FROM (SELECT user_id, {_STEP} AS step, arg_max({_STATE}, event_id) AS state FROM events GROUP BY ALL) WHERE state = 'FAILURE' GROUP BY 1""")(
+    lambda s, d: K.to_restart(_tasks(s, d).withColumn("type", F.expr("concat('workers.', case when id % 2 = 0 then 'extract' else 'annotate' end, '.run')"))).select("vcf_id", F.array_join("steps", ",").alias("steps"))
+)
+
+
+@_add("default_page", _with(f"SELECT {_ALL} FROM calls WHERE vcf_id = 1 ORDER BY {_NATURAL}, {_TIES}, {_UNIQUE} LIMIT 250"))
+def _default(s: SparkSession, d: str) -> DataFrame:
+    q = Query.from_json(_query().with_defaults().to_json())
+    return C.page(C.filtered(calls(s, d), RUN, q).orderBy(*C.order_columns(q), *_UNIQUE.split(", ")), q)
+
+
+# VCF text of orders, read and written: a record for each order, with repeated INFO keys, lists, flags and short cells
+
+_HEADER = [
+    "##fileformat=VCFv4.1",
+    '##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth">',
+    '##INFO=<ID=SOMATIC,Number=0,Type=Flag,Description="Somatic">',
+    '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
+    '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Depth">',
+    '##FORMAT=<ID=DP4,Number=4,Type=Integer,Description="Strands">',
+    "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tNORMAL\tTUMOR",
+]
+_EXTANT = ["info:DP", "info:SOMATIC", "sample:GT", "sample:DP", "sample:DP4"]
+_VCF_RUN = 7
+#: Parts of a record, in SQL of both engines.
+_PARTS = {
+    "contig": "concat('chr', CAST(o_custkey % 22 + 1 AS {s}))",
+    "pos": "CAST(o_orderkey AS {s})",
+    "id": "CASE WHEN o_custkey % 3 = 0 THEN concat('rs', CAST(o_orderkey AS {s})) ELSE '.' END",
+    "ref": "CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'C' END",
+    "alt": "CASE WHEN o_orderkey % 5 = 0 THEN 'G,T' WHEN o_orderkey % 7 = 0 THEN '.' ELSE 'G' END",
+    "qual": "CASE WHEN o_custkey % 4 = 0 THEN '.' ELSE CAST(o_custkey % 90 AS {s}) END",
+    "filter": "CASE o_orderstatus WHEN 'F' THEN 'q10;s50' WHEN 'O' THEN 'PASS' ELSE '.' END",
+    "first_dp": "CAST(o_custkey % 50 AS {s})",
+    "dp": "CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 60 AS {s}) ELSE CAST(o_custkey % 50 AS {s}) END",
+    "normal_dp": "CAST(o_custkey % 40 AS {s})",
+    "normal_dp4": "concat('1,', CAST(o_custkey % 9 AS {s}), ',3,4')",
+    "tumor_dp4": "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE concat('5,6,7,', CAST(o_orderkey % 9 AS {s})) END",
+}
+_VCF = "p AS (SELECT o_orderkey, " + ", ".join(f'{x.format(s="VARCHAR")} AS "{n}"' for n, x in _PARTS.items()) + " FROM orders)"
+
+
+def _vcf_text(s: SparkSession, d: str) -> str:
+    """Writes the records as text files into a shared folder, without the header."""
+    p = table(s, d, "orders").select("o_orderkey", *[F.expr(x.format(s="string")).alias(n) for n, x in _PARTS.items()])
+    info = F.concat(F.lit("DP="), "first_dp", F.when(F.col("o_orderkey") % 3 == 0, ";SOMATIC").otherwise(""), F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit(";DP="), "dp")).otherwise(""), F.lit(";ZZ=x"))
+    line = F.concat_ws("\t", "contig", "pos", "id", "ref", "alt", "qual", "filter", info, F.lit("GT:DP:DP4"), F.concat(F.lit("0/0:"), "normal_dp", F.lit(":"), "normal_dp4"), F.coalesce(F.concat(F.lit("0/1:.:"), "tumor_dp4"), F.lit("0/1")))
+    path = shared_folder(s, "catalog-vcf")
+    p.select(line).write.text(path)
+    return path
+
+
+_NONE = "CAST(NULL AS VARCHAR)"
+_dot = lambda c: f"nullif({c}, '.')"
+
+
+@_add("vcf_read", f"""WITH {_VCF} SELECT contig, CAST(pos AS INTEGER) AS position, {_dot('id')} AS id, ref AS reference, {_dot('alt')} AS alternates, {_dot('qual')} AS quality,
+  CASE WHEN filter = 'q10;s50' THEN 'q10,s50' END AS filters, sample_name, dp AS "info:DP", CASE WHEN o_orderkey % 3 = 0 THEN 'True' END AS "info:SOMATIC",
+  CASE sample_name WHEN 'NORMAL' THEN '0/0' ELSE '0/1' END AS "sample:GT", CASE sample_name WHEN 'NORMAL' THEN normal_dp END AS "sample:DP",
+  concat('[', replace(CASE sample_name WHEN 'NORMAL' THEN normal_dp4 ELSE tumor_dp4 END, ',', ', ')) || ']' AS "sample:DP4"
+FROM p, (VALUES ('NORMAL'), ('TUMOR')) v(sample_name)""".replace("concat('[', replace(CASE", "'[' || replace(CASE").replace("END, ',', ', ')) || ']'", "END, ',', ', ') || ']'"))
+def _read(s: SparkSession, d: str) -> DataFrame:
+    rows = vcf.read_vcf(s, _vcf_text(s, d), _VCF_RUN, _HEADER)
+    return rows.select("contig", "position", "id", "reference", "alternates", "quality", "filters", "sample_name", *[V.cell(c) for c in _EXTANT])
+
+
+@_add("vcf_ingest", f"SELECT {_VCF_RUN} AS vcf_id, '{','.join(_EXTANT)}' AS extant, 75 AS vcf_release, CAST(2 * count(*) AS BIGINT) AS genotype_count FROM orders")
+def _ingest(s: SparkSession, d: str) -> DataFrame:
+    found = vcf.ingest(s, _vcf_text(s, d), _VCF_RUN, shared_folder(s, "catalog-calls"), _HEADER)
+    return s.createDataFrame([(_VCF_RUN, ",".join(found["extant_columns"]), found["vcf_release"], found["genotype_count"])], "vcf_id int, extant string, vcf_release int, genotype_count long")
+
+
+_LINES = f"""SELECT concat_ws(chr(9), contig, pos, id, ref, alt, qual, CASE filter WHEN '.' THEN 'PASS' ELSE filter END,
+  concat('DP=', dp, CASE WHEN o_orderkey % 3 = 0 THEN ';SOMATIC' ELSE '' END), 'GT:DP:DP4', concat('0/0:', normal_dp, ':', normal_dp4), concat('0/1:.:', coalesce(tumor_dp4, '.'))) AS value FROM p"""
+_TOP = "SELECT unnest([" + ", ".join("'" + x.replace("\t", "' || chr(9) || '") + "'" for x in _HEADER) + "]) AS value"
+
+
+@_add("vcf_export", f"WITH {_VCF} {_TOP} UNION ALL {_LINES}")
+def _export_all(s: SparkSession, d: str) -> DataFrame:
+    return vcf_writer.export_lines(vcf.read_vcf(s, _vcf_text(s, d), _VCF_RUN, _HEADER), _HEADER, _EXTANT)
+
+
+@_add("vcf_export_closure", f"WITH {_VCF} {_TOP} UNION ALL {_LINES} WHERE CAST(normal_dp AS INTEGER) > 35 AND contig = 'chr3'")
+def _export_some(s: SparkSession, d: str) -> DataFrame:
+    """All samples of the records of which one call matches, from an ingested table."""
+    folder = shared_folder(s, "catalog-calls")
+    vcf.ingest(s, _vcf_text(s, d), _VCF_RUN, folder, _HEADER)
+    q = Query((Filter("sample:DP", ">", "35"),), Range("chr3"), types={"sample:DP": "integer"})
+    return vcf_writer.export_lines(C.record_closure(vcf.read_table(s, folder), _VCF_RUN, q), _HEADER, _EXTANT)

@@ -59,6 +59,16 @@ class Query:
             data.get("compareToVcfId"),
         )
 
+    def to_json(self) -> dict:
+        """The query object that clients send; the inverse of `from_json`, without types."""
+        out = {
+            "filters": [{"columnName": f.column, "type": f.op, "filterValue": f.value} for f in self.filters],
+            "range": {"contig": self.range.contig, "start": self.range.start, "end": self.range.end},
+            "sortBy": [{"columnName": s.column, "order": "desc" if s.descending else "asc"} for s in self.sort],
+            "page": self.page, "limit": self.limit, "compareToVcfId": self.truth,
+        }
+        return out
+
     def type_of(self, column: str) -> str:
         return self.types.get(column, "integer" if column == "position" else "string")
 

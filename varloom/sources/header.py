@@ -3,9 +3,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import takewhile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from varloom.schema import ANNOTATIONS, INFO, SAMPLE
 
@@ -33,11 +33,32 @@ class Field:
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
-    """The lines that start with #, in order."""
-    lines = [r["value"] for r in spark.read.text(path).where(F.col("value").startswith("#")).limit(MAX_LINES + 1).collect()]
-    if len(lines) > MAX_LINES:
-        raise ValueError(f"{path} has more than {MAX_LINES} header lines")
-    return lines
+    """The first lines of one file, which start with #, up to that of the samples; no more of the file is read than needed."""
+    text, n = spark.read.text(path), 1000
+    while True:
+        lines = [r["value"] for r in text.take(min(n, MAX_LINES + 1))]
+        top = list(takewhile(lambda line: line.startswith("#"), lines))
+        last = next((i for i, line in enumerate(top) if line.startswith("#CHROM")), None)
+        if last is not None:
+            return top[: last + 1]
+        if len(top) < len(lines) or len(lines) < n:
+            return top
+        if n > MAX_LINES:
+            raise ValueError(f"{path} has more than {MAX_LINES} header lines")
+        n *= 10
+
+
+def release_of(header: list[str], default: int = 75) -> int:
+    """The gene database's release that a header names in its reference or assembly lines, else the default."""
+    for line in header:
+        if (m := re.match(r"##(?:reference|assembly|ensembl)[^=]*=.*?(?:release|ensembl)[-_ ]?([0-9]{2,3})(?![0-9])", line, re.I)):
+            return int(m[1])
+    return default
+
+
+def sortable(f: Field, seen: bool) -> bool:
+    """Whether clients may sort by a field: numbers, one of them in a record, and some value in the run."""
+    return f.type.lower() in ("integer", "float") and f.number == "1" and seen
 
 
 def samples(header: list[str]) -> list[str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varloom.folders import path_of
 from varloom.schema import CALLS, EXTANT_CANDIDATES
 from varloom.sources import header as H
 
@@ -21,6 +22,10 @@ def _list(value: Column, f: H.Field) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit("["), inner, F.lit("]")))
 
 
+def _has_key(name: str):
+    return lambda x: F.substring_index(x, "=", 1) == name
+
+
 def read_vcf(spark: SparkSession, path: str, vcf_id: int, header: list[str] | None = None) -> DataFrame:
     """Calls of a VCF file (any path that Spark reads), with the columns of the call table.
 
@@ -36,18 +41,19 @@ def read_vcf(spark: SparkSession, path: str, vcf_id: int, header: list[str] | No
         at(0).alias("contig"), at(1).try_cast("int").alias("position"), _text(at(2)).alias("id"), at(3).alias("reference"),
         _text(at(4)).alias("alternates"), _text(at(5)).alias("quality"),
         F.when(at(6) != "PASS", F.replace(_text(at(6)), F.lit(";"), F.lit(","))).alias("filters"),
-        F.str_to_map(at(7), F.lit(";"), F.lit("=")).alias("info"), F.split(at(8), ":").alias("keys"),
+        F.split(at(7), ";").alias("info"), F.split(at(8), ":").alias("keys"),
         F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("sample_name"), F.slice("p", H.FIXED + 1, len(names)).alias("cell"))).alias("s"),
     )
     rows = rows.withColumn("cells", F.split("s.cell", ":"))
     cells = {}
     for f in declared:
         if f.group == "INFO":
-            value = F.try_element_at("info", F.lit(f.name))
+            # of a key that is repeated the last one counts
+            own = F.try_element_at(F.filter("info", _has_key(f.name)), F.lit(-1))
             if f.type.lower() == "flag":
-                cells[f.column] = F.when(F.map_contains_key("info", f.name), F.lit("True"))
+                cells[f.column] = F.when(own.isNotNull(), F.lit("True"))
             else:
-                cells[f.column] = _list(_text(value), f)
+                cells[f.column] = _list(_text(F.when(own.contains("="), F.substr(own, F.lit(len(f.name) + 2)))), f)
         else:
             place = F.array_position("keys", f.name).cast("int") - 1
             cells[f.column] = _list(_text(F.get("cells", place)), f)
@@ -56,18 +62,26 @@ def read_vcf(spark: SparkSession, path: str, vcf_id: int, header: list[str] | No
     return rows.select(*[(F.col(f.name) if f.name in core else fixed.get(f.name, cells.get(f.name, F.lit(None)))).cast(f.dataType).alias(f.name) for f in CALLS.fields])
 
 
-def ingest(spark: SparkSession, path: str, vcf_id: int, table: str) -> dict:
-    """Writes a file's calls as the run's partition of the call table (again replaces it); returns what runs record."""
-    from varloom.operators.calls import call_counts, extant_columns
+def ingest(spark: SparkSession, path: str, vcf_id: int, table: str, header: list[str] | None = None) -> dict:
+    """Writes a file's calls as the run's partition of the call table (again replaces it); returns what runs record.
 
-    header = H.read_header(spark, path)
+    The header is that of the file, or given for files without one.
+    """
+    from varloom.operators.calls import extant_columns
+
+    header = header or H.read_header(spark, path)
     calls = read_vcf(spark, path, vcf_id, header)
-    writer = calls.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("vcf_id")
-    writer.parquet(table)
-    own = read_table(spark, table).where(F.col("vcf_id") == vcf_id)
-    found = extant_columns(own, EXTANT_CANDIDATES).first()
-    count = call_counts(own).first()
-    return {"vcf_header": "\n".join(header), "extant_columns": list(found["extant_columns"]) if found else [], "genotype_count": count["genotype_count"] if count else 0}
+    facts = {"vcf_header": "\n".join(header), "vcf_release": H.release_of(header), "extant_columns": [], "genotype_count": 0}
+    if calls.isEmpty():
+        # overwriting touches only partitions that the new rows have
+        old, files = path_of(spark, f"{table}/vcf_id={vcf_id}")
+        files.delete(old, True)
+        return facts
+    # position ranges skip row groups of sorted files
+    ordered = calls.sortWithinPartitions("contig", "position")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("vcf_id").parquet(table)
+    found = extant_columns(read_table(spark, table).where(F.col("vcf_id") == vcf_id), EXTANT_CANDIDATES).first()
+    return {**facts, "extant_columns": list(found["extant_columns"]), "genotype_count": found["genotype_count"]}
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """One folder with the call table and the small tables, and what clients ask of it.
 
-Small tables are rewritten as a whole by one writer: a new folder is written, then takes the old one's name.  Calls are
-partitions of one table and are only ever replaced by run.
+Small tables are rewritten as a whole by one writer, version by version.  Calls are partitions of one table and are only
+ever replaced by run.
 """
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from varloom import schema as S
+from varloom.folders import path_of
 from varloom.operators import annotate, calls as C, catalog as K
 from varloom.plans import cql
 from varloom.plans.query import Query
@@ -30,24 +31,29 @@ class Store:
 
     # tables
 
-    def _path(self, name: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _versions(self, name: str) -> list[str]:
+        """Complete versions of a small table, oldest first."""
+        path, fs = path_of(self.spark, f"{self.folder}/{name}")
+        found = [str(s.getPath()) for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(v for v in found if fs.exists(path_of(self.spark, f"{v}/_SUCCESS")[0]))
 
     def table(self, name: str) -> DataFrame:
         """A small table, empty before its first row; `calls` is the call table."""
-        path, fs = self._path(name)
         if name == "calls":
+            path, fs = path_of(self.spark, f"{self.folder}/calls")
             return read_table(self.spark, str(path)) if fs.exists(path) else self.spark.createDataFrame([], S.CALLS)
-        kind = StructType.fromDDL(TABLES[name])
-        return self.spark.read.schema(kind).parquet(str(path)) if fs.exists(path) else self.spark.createDataFrame([], kind)
+        kind, versions = StructType.fromDDL(TABLES[name]), self._versions(name)
+        return self.spark.read.schema(kind).parquet(versions[-1]) if versions else self.spark.createDataFrame([], kind)
 
     def replace(self, name: str, rows: DataFrame) -> DataFrame:
-        new, fs = self._path(f"{name}-{uuid.uuid4().hex}")
-        rows.select(*[f.name for f in StructType.fromDDL(TABLES[name]).fields]).write.parquet(str(new))
-        old, _ = self._path(name)
-        fs.delete(old, True)
-        fs.rename(new, old)
+        """Writes the next version.  Readers take the last complete one, so a writer that dies loses nothing; the version
+        before stays for those who still read it."""
+        versions = self._versions(name)
+        number = int(versions[-1].rpartition("/v")[2]) + 1 if versions else 0
+        rows.select(*[f.name for f in StructType.fromDDL(TABLES[name]).fields]).write.mode("overwrite").parquet(f"{self.folder}/{name}/v{number:09d}")
+        for old in versions[:-1]:
+            path, fs = path_of(self.spark, old)
+            fs.delete(path, True)
         return self.table(name)
 
     @staticmethod
@@ -59,7 +65,7 @@ class Store:
 
     def get(self, name: str, key: int) -> DataFrame:
         row = K.by_id(self.table(name), key)
-        return K.with_bams(row, self.table("bams")) if name == "runs" else row
+        return K.with_projects(K.with_bams(row, self.table("bams")), self.table("projects")) if name == "runs" else row
 
     def create(self, name: str, values: Mapping) -> int:
         """A new row (of a project, BAM, comment or user); gives its id."""
@@ -83,9 +89,15 @@ class Store:
     # runs
 
     def create_run(self, values: Mapping, genes: DataFrame | None = None) -> int:
-        """A run of the VCF file at values['uri']; its calls are extracted and, with gene models, annotated."""
+        """A run of the VCF file at values['uri']; its calls are extracted and, with gene models, annotated.
+
+        BAMs are given by tumor_bam_id and normal_bam_id, or by tumor_bam_uri and normal_bam_uri.
+        """
         values = dict(values)
         project = K.project_of(self.table("projects"), values.pop("project_id", None), values.pop("project_name", None))
+        for side in ("tumor", "normal"):
+            if uri := values.pop(f"{side}_bam_uri", None):
+                values[f"{side}_bam_id"] = K.bam_of(self.table("bams"), project, uri)
         runs = self.table("runs")
         if not K.matching(runs, project_id=project, uri=values["uri"]).isEmpty():
             raise K.Conflict("the project has a run of this file")
@@ -104,6 +116,12 @@ class Store:
                 raise
             self.update("tasks", task, {"state": "SUCCESS"})
 
+    def delete_tasks(self, run: int) -> None:
+        self.replace("tasks", K.without_tasks(self.table("tasks"), run))
+
+    def refresh_tasks(self, states: DataFrame) -> None:
+        self.replace("tasks", K.refreshed(self.table("tasks"), states))
+
     def restart_failed(self, run: int, genes: DataFrame | None = None) -> None:
         found = K.to_restart(self.table("tasks").where(F.col("vcf_id") == run)).first()
         if found:
@@ -129,7 +147,7 @@ class Store:
         rows.write.parquet(part)
         again = self.spark.read.schema(S.CALLS).parquet(part)
         again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("vcf_id").parquet(f"{self.folder}/calls")
-        path, fs = self._path(part.rpartition("/")[2])
+        path, fs = path_of(self.spark, part)
         fs.delete(path, True)
         found = C.extant_columns(C.run_calls(self.table("calls"), run), S.EXTANT_CANDIDATES).first()
         self._record(run, {"extant_columns": list(found["extant_columns"]) if found else []})

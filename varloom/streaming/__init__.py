@@ -20,7 +20,8 @@ def watch_folder(spark: SparkSession, folder: str, table: str, checkpoint: str,
     run_of = run_of or (lambda path: int("".join(c for c in path.rpartition("/")[2].removesuffix(".vcf") if c.isdigit())))
 
     def each(batch: DataFrame, _: int) -> None:
-        for row in batch.select("path").distinct().limit(files).collect():
+        # all files of the batch, however many it was logged with
+        for row in batch.select("path").distinct().toLocalIterator():
             ingest(batch.sparkSession, row["path"], run_of(row["path"]), table)
 
     schema = "path string, modificationTime timestamp, length long, content binary"
