@@ -56,6 +56,15 @@ def test_links_lose_no_pair(spark, monkeypatch, n, file_rows):
     assert got == {frozenset(p) for p in close(values)}
 
 
+def test_pivots_discard_nearly_all_pairs_of_documents(spark):
+    """The figures in the README, on sf0.1."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text")
+    prints = simhash.add_fingerprints(docs, drop_text=True).distinct()
+    row = simhash.pair_counts(prints).first()
+    print(prints.count(), row)
+    assert row["seen"] > 10 * row["left"] and row["left"] >= row["verified"] > 0
+
+
 def test_components(spark):
     r = random.Random(1)
     for edges in ([(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)], [(r.randrange(80), r.randrange(80)) for _ in range(60)], []):
@@ -195,13 +204,145 @@ def test_language_model(spark):
 
 def test_class_probabilities_sum_to_one():
     r = np.random.default_rng(0)
-    w = r.normal(size=(lm.FEATURES + 1, lm.CLASSES)).astype(np.float32)
-    words, classes = r.integers(1, 99, 50).astype(np.uint64), r.integers(0, lm.CLASSES, 50)
-    rows = lm.features(words, classes, np.arange(50) % 10 == 0)
-    assert np.allclose(np.exp(lm.log_classes(w, rows)).sum(axis=1), 1, atol=1e-4)
-    before = lm.log_classes(w, rows)[np.arange(50), classes].sum()
-    lm.update(w, np.zeros(lm.FEATURES + 1, np.float32), rows, classes)
-    assert lm.log_classes(w, rows)[np.arange(50), classes].sum() > before
+    w = r.normal(size=(lm.ROWS, lm.WIDE)).astype(np.float32)
+    tokens, classes = r.integers(1, 99, 50).astype(np.uint64), r.integers(0, lm.CLASSES, 50)
+    first = np.arange(50) % 10 == 0
+    rows = lm.features(tokens, classes, first)
+    for level in rows:
+        assert np.allclose(np.exp(lm.log_softmax(w, level)).sum(axis=0), 1, atol=1e-4)
+    # over all classes of one token, whose history stays the same
+    every = [lm.log_class(w, lm.features(tokens, np.where(np.arange(50) == 49, k, classes), first), np.where(np.arange(50) == 49, k, classes))[49] for k in range(lm.CLASSES)]
+    assert np.exp(every).sum() == pytest.approx(1, abs=1e-4)
+    before = lm.log_class(w, rows, classes).sum()
+    lm.update(w, np.zeros(lm.ROWS, np.float32), rows, classes)
+    assert lm.log_class(w, rows, classes).sum() > before
+
+
+MASK, MULTIPLIER = 2**64 - 1, 0x9E3779B97F4A7C15
+
+
+def plain_mix(k):
+    k = (k ^ k >> 31) * MULTIPLIER & MASK
+    k = (k ^ k >> 29) * 0xBF58476D1CE4E5B9 & MASK
+    return k ^ k >> 32
+
+
+def plain_key(word):
+    h = plain_mix(sum(plain_mix((b + 1) * MULTIPLIER & MASK) * pow(lm._BASE, i, 2**64) for i, b in enumerate(word)) + len(word) & MASK)
+    tail = word[-3:].rstrip(b".,;:!?")
+    return h & ~127 | plain_mix(int.from_bytes(tail, "big") + MULTIPLIER & MASK) & 127
+
+
+def plain_tokens(text):
+    return [plain_key(w) for w in (text or "").encode().lower().split()] + [int(lm.END)]
+
+
+def test_keys_of_words(monkeypatch):
+    r = random.Random(8)
+    texts = [None, "", "a", " \x0b\x0c x.,!  é\n", "Z" * 900, "ab, ...", ";;;;"] + ["".join(r.choice("abCD é.,\n\t") for _ in range(r.randint(0, 90))) for _ in range(80)]
+    for chunk in (lm.CHUNK_BYTES, 7):
+        monkeypatch.setattr(lm, "CHUNK_BYTES", chunk)
+        keys, sizes = lm.tokens_of(texts)
+        assert sizes.tolist() == [len(plain_tokens(t)) for t in texts] and keys.tolist() == [k for t in texts for k in plain_tokens(t)]
+    keys, sizes = lm.tokens_of([])
+    assert len(keys) == len(sizes) == 0
+
+
+def plain_scores(rows, minibatch):
+    """The whole model in loops over tokens, one partition: counts, training, scores."""
+    number = lambda i: zlib.crc32(str(i).encode())
+    train = [(i, plain_tokens(t)) for i, t in rows if number(i) % 10]
+    c = Counter(k for _, t in train for k in t)
+    pairs = Counter(p for _, t in train for p in zip([int(lm.END), *t], t))
+    top = sorted(c, key=lambda k: (-c[k], k))[: lm.TOP]
+    own = {k: i for i, k in enumerate(top)}
+    class_of = lambda k: own.get(k, lm.TOP + (k & 127))
+    total, distinct = [0] * lm.CLASSES, [0] * lm.CLASSES
+    for k, n in c.items():
+        total[class_of(k)] += n
+        distinct[class_of(k)] += 1
+    share = [n + 0.1 * (v + 1) for n, v in zip(total, distinct)]
+    w = {}
+    for a in range(16):
+        part = share[16 * a : 16 * a + 16]
+        w.setdefault(lm.FEATURES, []).append(math.log(sum(part) / sum(share)))
+        w[lm.FEATURES + 1 + a] = [math.log(x / sum(part)) for x in part]
+
+    def rows_of(t, i):
+        one, two = (t[i - 1] if i >= 1 else 0), (t[i - 2] if i >= 2 else 0)
+        c1, c2 = (class_of(one) + 1 if i >= 1 else 0), (class_of(two) + 1 if i >= 2 else 0)
+        part = class_of(t[i]) // 16
+        keys = [one * MULTIPLIER + 1, two * MULTIPLIER + 2, ((one * MULTIPLIER + two) & MASK) * MULTIPLIER + 3, (c1 * 997 + c2) * MULTIPLIER + 4]
+        keys = [(k & MASK) ^ (k & MASK) >> 31 for k in keys]
+        up = lambda k: (k * MULTIPLIER & MASK) >> 49
+        return [[up(k) for k in keys] + [lm.FEATURES], [up(k + (part + 1) * 0xD6E8FEB86659FD93 & MASK) for k in keys] + [lm.FEATURES + 1 + part]]
+
+    def probabilities(some):
+        z = [sum(w.setdefault(r, [0.0] * 16)[j] for r in some) for j in range(16)]
+        e = [math.exp(x - max(z)) for x in z]
+        return [x / sum(e) for x in e]
+
+    for share_of in range(lm.ROUNDS):
+        tokens = [(t, i) for d, t in train if number(d) // 10 % lm.ROUNDS == share_of for i in range(len(t))]
+        squares = Counter()
+        for at in range(0, len(tokens), minibatch):
+            change = {}
+            for t, i in tokens[at : at + minibatch]:
+                k = class_of(t[i])
+                for some, right in zip(rows_of(t, i), (k // 16, k % 16)):
+                    error = probabilities(some)
+                    error[right] -= 1
+                    for r in some:
+                        change[r] = [x + y for x, y in zip(change.get(r, [0.0] * 16), error)]
+            for r, x in change.items():
+                squares[r] += sum(y * y for y in x) / 16
+                w[r] = [a - lm.RATE / math.sqrt(1 + squares[r]) * y for a, y in zip(w[r], x)]
+    out = []
+    for d, text in rows:
+        t, score = plain_tokens(text), 0.0
+        for i, k in enumerate(t):
+            a, b = rows_of(t, i)
+            q = class_of(k)
+            m = probabilities(a)[q // 16] * probabilities(b)[q % 16]
+            if k not in own:
+                m *= (c[k] + 0.1) / (total[q] + 0.1 * (distinct[q] + 1))
+            before = t[i - 1] if i else int(lm.END)
+            score += math.log10((pairs[before, k] + lm.PRIOR * m) / (c[before] + lm.PRIOR))
+        out.append((d, score))
+    return out
+
+
+def few_documents():
+    r = random.Random(4)
+    words = [f"w{i}{x}" for i in range(60) for x in ("ing", "ed.", "a")] + ["the", "of"] * 20
+    return [(i, " ".join(r.choice(words[: 10 + 3 * i]) for _ in range(r.randint(0, 30)))) for i in range(70)] + [(200, None), (201, "unseen x y")]
+
+
+def test_scores_are_those_of_plain_loops(spark):
+    """The query's operator on documents of one partition."""
+    rows = few_documents()
+    got = {x["doc_id"]: x["score"] for x in lm.score_texts(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()}
+    want = dict(plain_scores(rows, lm.MINIBATCH))
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], rel=1e-3) for i in want)
+
+
+def test_mini_batches_are_those_of_plain_loops(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm, "MINIBATCH", 50)
+    rows, seen = few_documents(), lm._Seen()
+    number = lambda i: zlib.crc32(str(i).encode())
+    seen.add([t for _, t in rows], np.array([number(i) % 10 == 0 for i, _ in rows]))
+    sent = [(b, 0, data) for b, data in seen.packed(2)]
+    out = list(lm._add_up(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*sent)], names=["bucket", "g", "data"])])))
+    of_kind = lambda k: [d for o in out for kind, d in zip(o.column("kind").to_pylist(), o.column("data").to_pylist()) if kind == k]
+    model = lm._model([{"data": d} for d in of_kind(2)])
+    for share in range(lm.ROUNDS):
+        weights = model.weights.copy()
+        lm.train_on(model, weights, np.zeros(lm.ROWS, np.float32), [t for i, t in rows if number(i) % 10 and number(i) // 10 % lm.ROUNDS == share])
+        model.weights = weights
+    (*_, got), = lm.group_scores(model, [[t for _, t in rows]], of_kind(0))
+    assert got.tolist() == pytest.approx([s for _, s in plain_scores(rows, 50)], rel=1e-3)
 
 
 def test_word_pairs_grow_with_the_text(spark):
@@ -220,37 +361,43 @@ def test_word_pairs_grow_with_the_text(spark):
     assert mean(right) > mean(wrong) + 0.5
 
 
-def test_features_of_words_and_pairs():
-    assert lm.TOP == lm.SUFFIXES == 32 and lm.FEATURES == 8192
-    words, classes, first = np.array([5, 6, 7, 5, 9, 7], np.uint64), np.zeros(6, np.int64), np.arange(6) % 3 == 0
-    rows = lm.features(words, classes, first)
-    assert len(rows) == 4 and rows[2][2] != rows[2][5] and rows[3][2] == rows[3][5]
+def test_held_out_documents_of_the_shared_tables(spark, capsys):
+    """The figures in the README, on sf0.01: log10 per token of held-out documents, by base and by model."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = lm.score_texts(docs).where("held_out").selectExpr("sum(score) / sum(n_tokens) as model", "sum(base_score) / sum(n_tokens) as base").first()
+    with capsys.disabled():
+        print(f"held out: base {held['base']:.3f}, model {held['model']:.3f}")
+    assert held["model"] > held["base"] + 0.3
 
 
 @pytest.mark.parametrize("chunk", [1 << 20, 3])
-def test_pair_counts_of_groups(monkeypatch, chunk):
-    monkeypatch.setattr(lm, "PAIR_TOKENS", chunk)
+def test_counts_of_groups(monkeypatch, chunk):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm, "COUNT_TOKENS", chunk)
     texts = {0: [("a b a b", False), ("b c", True)], 1: [("A b", False), (None, False)]}
-    want = Counter()
-    sent = {}
+    tokens, pairs, sent = Counter(), Counter(), {}
     for g, rows in texts.items():
         seen = lm._Seen()
+        seen.add([t for t, _ in rows], np.array([out for _, out in rows]))
         for t, out in rows:
-            seen.add(t, out)
-            w = [lm.END, *lm.tokens_of(t)]
+            w = [int(lm.END), *plain_tokens(t)]
             for p in zip(w, w[1:]):
-                want[p] += not out
+                tokens[p[1]] += not out
+                pairs[p] += not out
         for b, data in seen.packed(3):
             sent.setdefault(b, []).append((g, data))
-    import pyarrow as pa
-
     rows = [(b, g, data) for b in sorted(sent) for g, data in sent[b]]
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["bucket", "g", "data"])
-    got = {}
+    answers = {}
     for out in lm._add_up(iter([batch])):
-        for kind, data in zip(out.column("kind").to_pylist(), out.column("data").to_pylist()):
+        for kind, g, data in zip(*[out.column(c).to_pylist() for c in ("kind", "g", "data")]):
             if kind == 0:
-                _, _, keys, counts = lm._unpacked(data)
-                got |= dict(zip(keys.tolist(), counts.tolist()))
-    key = lambda p: int(lm.pair_keys(*(np.array([lm.token_hash(x)], np.uint64) for x in p))[0])
-    assert got == {key(p): c for p, c in want.items() if c}
+                answers.setdefault(g, []).append(data)
+    key = lambda p: int(lm.pair_keys(*(np.array([x], np.uint64) for x in p))[0])
+    by_key = {key(p): c for p, c in pairs.items()}
+    for g, rows in texts.items():
+        own = [[int(lm.END), *plain_tokens(t)] for t, _ in rows]
+        of_tokens, of_pairs = lm._answered(answers[g])
+        assert of_tokens.tolist() == [tokens[k] for k in sorted({k for w in own for k in w[1:]})]
+        assert of_pairs.tolist() == [by_key[k] for k in sorted({key(p) for w in own for p in zip(w, w[1:])})]

@@ -2,92 +2,176 @@
 
 log M(word | history) = log P(class | history) + log P(word | class).  The TOP most frequent training tokens are a class
 each; all other words fall into SUFFIXES classes by a hash of their last letters, so that also words never seen have one.
-P(class | history) is a maximum-entropy model over hashed features of the history: the word before, the one before that
-(skip), both as an n-gram, and the n-gram of both words' classes.  P(word | class) is the smoothed share of the word in
-its class.  The score is P(word | history) = (c(before, word) + PRIOR M(word | history)) / (c(before) + PRIOR), with the
-counts c of training documents; the word before the first is the end.  A training document's own pairs are counted too.
+Classes are factored once more, into WIDE parts of WIDE classes: P(class | history) = P(part | history) P(class | part,
+history), two softmaxes of WIDE outputs.  Both are maximum-entropy models over hashed features of the history: the word
+before, the one before that (skip), both as an n-gram, and the n-gram of both words' classes; in the second each feature
+is joined with the part.  P(word | class) is the smoothed share of the word in its class.  The score is
+P(word | history) = (c(before, word) + PRIOR M(word | history)) / (c(before) + PRIOR), with the counts c of training
+documents; the word before the first is the end.  A training document's own pairs are counted too.
 
-Counting.  Documents are dealt into groups by id.  A group sends each different token and each different pair of words
-(a hash of 48 bits) once, with its count in training documents, to the token's or pair's bucket; buckets add up and
-answer each group with the counts of its own.  Vocabulary and pairs, which grow with the input, are thus never in one
-place; the driver gets sums by class and the few most frequent tokens.
+Tokens are keys of 64 bits, 57 of a hash and 7 of their suffix class, made for all words of a batch at once in numpy.  Two
+of a million different tokens share a key with a probability under 1e-5, and are then counted as one.
+
+Counting.  Documents are dealt into groups by id.  A group sends each different token and each different pair of tokens
+(a hash of 48 bits) once, with its count in training documents, to the key's bucket; buckets add up and answer each group
+with the counts of its own.  Vocabulary and pairs, which grow with the input, are thus never in one place, and the numbers
+of groups and buckets grow with the input too; the driver gets sums by class and the few most frequent tokens.
 
 Training.  ROUNDS rounds, each over another share of the training documents, all of which are used once.  In a round each
-partition starts from the common weights (a few MB, of fixed size), makes gradient updates in mini-batches of sparse
+partition starts from the common weights (2.1 MB, of fixed size), makes gradient updates in mini-batches of sparse
 rows, and gives its change; the changes are averaged, weighted by tokens, block by block in Spark, and only the new
-weights reach the driver.
+weights reach the driver.  Scores therefore depend on how the documents are partitioned, as every such average does.
 
 Defined results: a null or empty text is the end token alone; a null id counts as the text '' in the choice of held-out
 documents (crc32 0: held out); with no training tokens all counts are 0 and classes are equally likely.
 """
 from __future__ import annotations
 
-import hashlib
-import zlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.base import bounded_batches, scratch
+from varloom.llm.base import bounded_batches, scratch, shares
 
-TOP = 32
-SUFFIXES = 32
+TOP = 128
+SUFFIXES = 128
 CLASSES = TOP + SUFFIXES
-#: Rows of the feature table (two bytes name one).
-FEATURE_BITS = 13
+#: Outputs of each of the two softmaxes.
+WIDE = 16
+#: Rows of the feature table; after them come the biases, one of the parts and one of each part's classes.
+FEATURE_BITS = 15
 FEATURES = 1 << FEATURE_BITS
+ROWS = FEATURES + 1 + WIDE
 SMOOTH = 0.1
 #: Counts that the class model is worth beside those of word pairs (chosen on held-out documents of even ids of sf0.1).
 PRIOR = 200.0
-#: Tokens of a group whose pairs are summed at once.
-PAIR_TOKENS = 1 << 20
+#: Tokens of a group whose counts are summed at once.
+COUNT_TOKENS = 1 << 20
 ROUNDS = 3
 RATE = 0.15
 MINIBATCH = 8192
-#: Tokens of which a worker remembers the codes.
-CACHE_TOKENS = 300_000
+#: Bytes of text whose words are hashed at once.
+CHUNK_BYTES = 1 << 19
+#: Bytes of input for which there is a group of documents, at least.
+GROUP_BYTES = 16 << 20
 #: Blocks of the weights that are averaged apart.
 BLOCKS = 16
-#: The end of a text, which no word equals.
-END = b" "
 
 _M = np.uint64(0x9E3779B97F4A7C15)
-
-
-def tokens_of(text: str | None) -> list[bytes]:
-    """Words of the text with A-Z lower-cased, then the end."""
-    out = (text or "").encode().lower().split()
-    out.append(END)
+_SUFFIX_MASK = np.uint64(SUFFIXES - 1)
+#: The end of a text: a key of suffix class 0.
+END = np.uint64(0xE220A8397B1DCD00)
+
+# words
+
+
+def _mixed(k: np.ndarray) -> np.ndarray:
+    k = (k ^ (k >> np.uint64(31))) * _M
+    k = (k ^ (k >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return k ^ (k >> np.uint64(32))
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_STRIPPED = np.zeros(256, bool)
+_STRIPPED[list(b".,;:!?")] = True
+_SPACE_AT = re.compile(rb"[\x20\x09-\x0D]").search
+with np.errstate(over="ignore"):
+    _VALUES = _mixed(np.arange(1, 257, dtype=np.uint64) * _M)
+#: A number and its inverse modulo 2**64.
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 2**64)
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, up to the n-th; remembered for usual sizes."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS
+    out = []
+    for x in (_BASE, _INVERSE):
+        p = np.full(n, x, np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p))
+    if n <= 4 * CHUNK_BYTES:
+        _POWERS[:] = out
     return out
 
 
-def suffix_class(token: bytes) -> int:
-    return TOP + zlib.crc32(token[-3:].rstrip(b".,;:!?")) % SUFFIXES
+def _keys_of_piece(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, key) of each word; the bytes begin and end with white space.
+
+    A word's hash is the sum of its bytes' values times powers of the base, from sums over all bytes before.
+    """
+    space = _SPACE[x]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers(len(x))
+    sums = _VALUES[x]
+    sums *= up[: len(x)]
+    np.cumsum(sums, out=sums)
+    sizes = ends - starts
+    h = _mixed((sums[ends - 1] - sums[starts - 1]) * down[starts] + sizes.astype(np.uint64))
+    # the last three bytes, less punctuation at the end
+    tail = x[ends - 1].astype(np.uint64)
+    tail |= np.where(sizes > 1, x[ends - 2], 0).astype(np.uint64) << np.uint64(8)
+    tail |= np.where(sizes > 2, x[ends - 3], 0).astype(np.uint64) << np.uint64(16)
+    for _ in range(3):
+        tail = np.where(_STRIPPED[(tail & np.uint64(255)).astype(np.int64)], tail >> np.uint64(8), tail)
+    return starts, (h & ~_SUFFIX_MASK) | (_mixed(tail + _M) & _SUFFIX_MASK)
+
+
+def word_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, key) of each word of lower-cased bytes that begin and end with white space, piece by piece."""
+    found, at = [], 0
+    with np.errstate(over="ignore"):
+        while at < len(data) - 1:
+            cut = m.start() if at + CHUNK_BYTES < len(data) and (m := _SPACE_AT(data, at + CHUNK_BYTES)) else len(data) - 1
+            starts, keys = _keys_of_piece(np.frombuffer(data, np.uint8, cut + 1 - at, at))
+            found.append((starts + at, keys))
+            at = cut
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(map(np.concatenate, zip(none, *found)))
+
+
+def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all tokens (A-Z lower-cased; each text's end is one) and the number of tokens of each text."""
+    parts = [(t or "").encode() for t in texts]
+    data = b" " + b" ".join(parts).lower() + b" "
+    spaced = np.array([len(p) + 1 for p in parts], np.int64)
+    starts, words = word_keys(data)
+    sizes = np.diff(np.searchsorted(starts, np.cumsum([1, *spaced]))) + 1
+    ends = np.cumsum(sizes) - 1
+    out = np.empty(len(words) + len(parts), np.uint64)
+    is_word = np.ones(len(out), bool)
+    is_word[ends] = False
+    out[is_word], out[ends] = words, END
+    return out, sizes
+
+
+def firsts(sizes: np.ndarray) -> np.ndarray:
+    """Marks the first token of each text."""
+    out = np.zeros(int(sizes.sum()), bool)
+    out[np.cumsum(sizes) - sizes] = True
+    return out
 
 
-def token_hash(token: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(token, digest_size=8).digest(), "little")
+def before_each(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The token before each; before the first of a text that is the end."""
+    out = np.roll(tokens, 1)
+    out[first] = END
+    return out
 
 
-def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """48 bits for each pair of words, of which the token hashes are given."""
+def pair_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """48 bits for each pair of tokens."""
     with np.errstate(over="ignore"):
-        k = before * _M + words
-        k = (k ^ (k >> np.uint64(31))) * _M
-        k = (k ^ (k >> np.uint64(29))) * _M
-    return k >> np.uint64(16)
-
-
-def before_each(at: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
-    """The number of the token before each; before the first of a text that is the end's."""
-    out = np.roll(at, 1)
-    out[first] = end
-    return out
+        return _mixed(before * _M + tokens) >> np.uint64(16)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,24 +187,56 @@ def held_out(id_col: str) -> str:
     return f"(crc32(coalesce(cast(`{id_col}` as string), '')) % 10 = 0)"
 
 
+class Places:
+    """Places of keys in a sorted array of different ones, all hashes of `width` bytes.
+
+    Hashes are spread evenly, so a key is few places after the first one with the same upper bits.
+    """
+
+    def __init__(self, keys: np.ndarray, width: int):
+        self.keys, bits = keys, max(1, (len(keys) - 1).bit_length())
+        self.shift = np.uint64(8 * width - bits)
+        sizes = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.starts = np.cumsum(sizes) - sizes
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """The places of keys that are all there."""
+        out = self.starts[(wanted >> self.shift).astype(np.int64)]
+        before = np.flatnonzero(self.keys[out] != wanted)
+        while len(before):
+            out[before] += 1
+            before = before[self.keys[out[before]] != wanted[before]]
+        return out
+
+
+# model
+
+
 @dataclass
 class Model:
-    top: list[bytes]
+    top: np.ndarray  # keys of the most frequent tokens, falling
     total: int  # N, training tokens
     distinct: int  # V
     class_total: np.ndarray
     class_distinct: np.ndarray
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES + 1, CLASSES), np.float32))
-
-    def class_of(self) -> dict[bytes, int]:
-        return {t: i for i, t in enumerate(self.top)}
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((ROWS, WIDE), np.float32))
 
     def start(self) -> Model:
-        """The last row of the weights is the bias; it starts with the classes' shares."""
-        share = (self.class_total + SMOOTH * (self.class_distinct + 1)) / max(1e-9, (self.class_total + SMOOTH * (self.class_distinct + 1)).sum())
-        self.weights[-1] = np.log(share)
+        """The biases start with the classes' shares."""
+        share = (self.class_total + SMOOTH * (self.class_distinct + 1)).reshape(WIDE, WIDE)
+        self.weights[FEATURES] = np.log(share.sum(axis=1) / share.sum())
+        self.weights[FEATURES + 1 :] = np.log(share / share.sum(axis=1, keepdims=True))
         return self
 
+    def classes(self, tokens: np.ndarray) -> np.ndarray:
+        out = (tokens & _SUFFIX_MASK).astype(np.int64) + TOP
+        if len(self.top):
+            order = np.argsort(self.top)
+            at = np.minimum(np.searchsorted(self.top[order], tokens), len(order) - 1)
+            hit = self.top[order[at]] == tokens
+            out[hit] = order[at[hit]]
+        return out
+
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + SMOOTH) / (self.total + SMOOTH * (self.distinct + 1)))
 
@@ -130,49 +246,56 @@ class Model:
         return np.where(classes < len(self.top), 0.0, rest)
 
 
-def features(words: np.ndarray, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Rows of the feature table for each token: hashes of its history; `first` marks the first token of a text."""
-    at = np.arange(len(words))
+def features(tokens: np.ndarray, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rows of the table for each token, for the part and then for the class in it: hashes of its history, and the bias."""
+    at = np.arange(len(tokens))
     since = at - np.maximum.accumulate(np.where(first, at, 0))
-    one, two = np.roll(words, 1), np.roll(words, 2)
-    one[since < 1], two[since < 2] = 0, 0
+    one, two = np.roll(tokens, 1), np.roll(tokens, 2)
     c1, c2 = np.roll(classes, 1) + 1, np.roll(classes, 2) + 1
-    c1[since < 1], c2[since < 2] = 0, 0
+    one[since < 1], two[since < 2], c1[since < 1], c2[since < 2] = 0, 0, 0, 0
+    part = classes // WIDE
     with np.errstate(over="ignore"):
+        salt = (part + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         keys = (one * _M + np.uint64(1), two * _M + np.uint64(2), (one * _M + two) * _M + np.uint64(3), (c1 * 997 + c2).astype(np.uint64) * _M + np.uint64(4))
-        out = np.empty((len(keys), len(words)), np.int16)
+        out = np.empty((2, len(keys) + 1, len(tokens)), np.uint16)
         for i, k in enumerate(keys):
-            k = (k ^ (k >> np.uint64(31))) * _M
-            out[i] = (k >> np.uint64(64 - FEATURE_BITS)).astype(np.int16)
+            k ^= k >> np.uint64(31)
+            out[0, i] = (k * _M) >> np.uint64(64 - FEATURE_BITS)
+            out[1, i] = ((k + salt) * _M) >> np.uint64(64 - FEATURE_BITS)
+    out[0, -1], out[1, -1] = FEATURES, FEATURES + 1 + part
     return out
 
 
-def log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Scores of all classes, less their logarithmic sum."""
-    z = weights[rows[0]]
+def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Logarithms of the probabilities of all outputs (first axis) for each token."""
+    z = np.take(weights, rows[0], axis=0)
     for r in rows[1:]:
-        z += weights[r]
-    z += weights[-1]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        z += np.take(weights, r, axis=0)
+    z = np.ascontiguousarray(z.T)
+    z -= z.max(axis=0)
+    z -= np.log(np.exp(z).sum(axis=0))
     return z
 
 
+def log_class(weights: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """log P(class | history) of each token's own class."""
+    at = np.arange(len(classes))
+    return log_softmax(weights, rows[0])[classes // WIDE, at] + log_softmax(weights, rows[1])[classes % WIDE, at]
+
+
 def update(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
-    """One mini-batch of gradient updates, with step sizes by row."""
-    p = log_classes(weights, rows)
+    """One mini-batch of gradient updates: only rows of features that occur are touched, with step sizes by row."""
+    n = len(classes)
+    p = np.concatenate([log_softmax(weights, r) for r in rows], axis=1)
     np.exp(p, out=p)
-    p[np.arange(len(classes)), classes] -= 1
-    change = np.zeros_like(weights)
-    change[-1] = p.sum(axis=0)
-    for r in rows:
-        order = np.argsort(r, kind="stable")
-        ids = r[order]
-        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        change[ids[starts]] += np.add.reduceat(np.take(p, order, axis=0), starts, axis=0)
-    squares += np.einsum("ij,ij->i", change, change) / np.float32(CLASSES)
-    change *= (RATE / np.sqrt(1 + squares))[:, None]
-    weights -= change
+    p[np.concatenate([classes // WIDE, classes % WIDE]), np.arange(2 * n)] -= 1
+    # sums by feature row of the errors of all tokens that have it; rows that do not occur stay as they are
+    flat, change = rows.transpose(1, 0, 2).ravel().astype(np.int64), np.empty((WIDE, ROWS), np.float32)
+    for j, errors in enumerate(p.astype(np.float64)):
+        change[j] = np.bincount(flat, np.tile(errors, rows.shape[1]), ROWS)
+    squares += np.einsum("ij,ij->j", change, change) / np.float32(WIDE)
+    change *= RATE / np.sqrt(1 + squares)
+    weights -= change.T
 
 
 # counting
@@ -196,81 +319,55 @@ def _of_planes(data: bytes, n: int, width: int, at: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_NO_PAIRS = np.zeros(0, np.uint64)
-
+Counts = tuple[np.ndarray, np.ndarray]  # keys in order, and how often each occurs
+#: Bytes of a key of a token and of a pair; a count has five.
+_WIDTHS = (8, 6)
 
-def _packed(tokens: list[bytes], counts, keys: np.ndarray = _NO_PAIRS, pairs: np.ndarray = _NO_PAIRS) -> bytes:
-    """Tokens and keys of pairs with their counts (those of pairs in five bytes)."""
-    sizes = np.array([len(tokens), len(keys)], np.uint32).tobytes()
-    return sizes + np.asarray(counts, np.int64).tobytes() + _planes(keys, 6) + _planes(pairs, 5) + b"\n".join(tokens)
 
+def _packed(tokens: Counts, pairs: Counts) -> bytes:
+    sizes = np.array([len(tokens[0]), len(pairs[0])], np.uint32).tobytes()
+    return sizes + b"".join(_planes(x, w) for (keys, counts), k in zip((tokens, pairs), _WIDTHS) for x, w in ((keys, k), (counts, 5)))
 
-def _unpacked(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(data, np.uint32, 2).tolist()
-    at = 8 + 8 * n
-    keys, pairs = _of_planes(data, m, 6, at), _of_planes(data, m, 5, at + 6 * m).astype(np.int64)
-    return data[at + 11 * m :].split(b"\n") if n else [], np.frombuffer(data, np.int64, n, 8), keys, pairs
 
+def _unpacked(data: bytes) -> tuple[Counts, Counts]:
+    out, at = [], 8
+    for n, k in zip(np.frombuffer(data, np.uint32, 2).tolist(), _WIDTHS):
+        out.append((_of_planes(data, n, k, at), _of_planes(data, n, 5, at + k * n).astype(np.int64)))
+        at += (k + 5) * n
+    return out[0], out[1]
 
-class _Numbers(dict):
-    """Tokens in the order in which they came."""
 
-    def __missing__(self, token: bytes) -> int:
-        self[token] = n = len(self)
-        return n
+def _joined(parts: list[Counts]) -> Counts:
+    return np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in parts]]), np.concatenate([np.zeros(0, np.int64), *[c for _, c in parts]])
 
 
 class _Seen:
     """A group's different tokens and pairs with their counts in training documents."""
 
     def __init__(self):
-        self.numbers = _Numbers()
-        self.end = self.numbers[END]
-        self.counts = np.zeros(0, np.int64)
-        self.texts: dict[bool, list[np.ndarray]] = {False: [], True: []}
-        self.waiting = 0
-        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, text: str | None, out: bool) -> None:
-        tokens = tokens_of(text)
-        self.texts[out].append(np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens)))
-        self.waiting += len(tokens)
-        if self.waiting >= PAIR_TOKENS:
-            self.settle()
-
-    def settle(self) -> None:
-        self.counts = np.r_[self.counts, np.zeros(len(self.numbers) - len(self.counts), np.int64)]
-        for out, texts in self.texts.items():
-            if texts:
-                sizes = np.array([len(x) for x in texts])
-                at, first = np.concatenate(texts), np.zeros(int(sizes.sum()), bool)
-                first[np.cumsum(sizes) - sizes] = True
-                keys, n = np.unique(before_each(at, first, self.end) << 32 | at, return_counts=True)
-                self.pairs.append((keys, n * (not out)))
-                if not out:
-                    self.counts += np.bincount(at, minlength=len(self.counts))
-        if len(self.pairs) > 1:
-            self.pairs = [summed(*map(np.concatenate, zip(*self.pairs)))]
-        self.texts, self.waiting = {False: [], True: []}, 0
+        self.parts: tuple[list[Counts], list[Counts]] = ([], [])
+
+    def add(self, texts: list[str | None], out: np.ndarray) -> None:
+        tokens, sizes = tokens_of(texts)
+        train = ~np.repeat(out, sizes)
+        both = tokens, pair_keys(before_each(tokens, firsts(sizes)), tokens)
+        for i in range(0, len(tokens), COUNT_TOKENS):
+            now = slice(i, i + COUNT_TOKENS)
+            for keys, parts in zip(both, self.parts):
+                parts.append(np.unique(keys[now][train[now]], return_counts=True))
+                other = np.unique(keys[now][~train[now]])
+                parts.append((other, np.zeros(len(other), np.int64)))
+                if sum(len(k) for k, _ in parts[1:]) > max(COUNT_TOKENS, len(parts[0][0])):
+                    parts[:] = [summed(*_joined(parts))]
 
     def packed(self, buckets: int) -> Iterator[tuple[int, bytes]]:
-        """(bucket, data) of each bucket that holds some of them."""
-        self.settle()
-        tokens = list(self.numbers)
-        hashes = np.array([token_hash(t) for t in tokens], np.uint64)
-        b = np.array([zlib.crc32(t) for t in tokens], np.int64) % buckets
-        by_bucket = np.argsort(b, kind="stable")
-        token_cut = np.searchsorted(b[by_bucket], np.arange(buckets + 1))
-        pairs, n = self.pairs[0]
-        keys = pair_keys(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF])
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        # buckets are ranges of keys
-        pair_cut = np.searchsorted((keys >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+        """(bucket, data) of each bucket that holds some of them; buckets are ranges of keys."""
+        tokens, pairs = (summed(*_joined(p)) for p in self.parts)
+        cuts = [np.searchsorted((keys >> np.uint64(8 * width - 32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64)) for (keys, _), width in zip((tokens, pairs), _WIDTHS)]
         for k in range(buckets):
-            some, part = by_bucket[token_cut[k] : token_cut[k + 1]], slice(pair_cut[k], pair_cut[k + 1])
-            if len(some) or part.start < part.stop:
-                yield k, _packed([tokens[i] for i in some], self.counts[some], keys[part], n[part])
+            (a, b), (c, d) = (cut[k : k + 2].tolist() for cut in cuts)
+            if a < b or c < d:
+                yield k, _packed((tokens[0][a:b], tokens[1][a:b]), (pairs[0][c:d], pairs[1][c:d]))
 
 
 def _send_counts(buckets: int):
@@ -282,46 +379,47 @@ def _send_counts(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen = None, _Seen()
-        for batch in batches:
-            for g, text, out in zip(*[batch.column(c).to_pylist() for c in ("g", "text", "held_out")]):
-                if now is not None and g != now:
-                    yield from sent(now, seen)
-                    seen = _Seen()
-                now = g
-                seen.add(text, out)
+        for g, part in _by_group(batches):
+            if now is not None and g != now:
+                yield from sent(now, seen)
+                seen = _Seen()
+            now = g
+            seen.add(part.column("text").to_pylist(), part.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
         if now is not None:
             yield from sent(now, seen)
 
     return run
 
 
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Stretches of rows of one group."""
+    for batch in batches:
+        g = batch.column("g").to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]).tolist() if len(g) else []
+        for low, high in zip(cut, [*cut[1:], len(g)]):
+            yield int(g[low]), batch.slice(low, high - low)
+
+
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's sums: to each group its tokens and pairs with their counts (kind 0); sums by class and top tokens (kind 2)."""
+    """A bucket's sums: to each group the counts of its tokens and pairs, in the order of their keys (kind 0); sums by class
+    and top tokens (kind 2)."""
 
     def settled(bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
-        total: dict[bytes, int] = {}
-        some = []
-        for _, data in rows:
-            tokens, counts, keys, pairs = _unpacked(data)
-            for t, c in zip(tokens, counts.tolist()):
-                total[t] = total.get(t, 0) + c
-            some.append((keys, pairs))
-        all_keys, all_pairs = summed(*map(np.concatenate, zip(*some)))
-        del some
+        tokens, pairs = (summed(*_joined(list(parts))) for parts in zip(*[_unpacked(data) for _, data in rows]))
         for i in range(0, len(rows), 200):
             part, out = rows[i : i + 200], []
             for _, data in part:
-                tokens, _, keys, _ = _unpacked(data)
-                pairs = all_pairs[np.searchsorted(all_keys, keys)] if len(keys) else _NO_PAIRS
-                out.append(_packed(tokens, [total[t] for t in tokens], keys[pairs > 0], pairs[pairs > 0]))
+                found = [total[np.searchsorted(keys, own)] for (keys, total), (own, _) in zip((tokens, pairs), _unpacked(data))]
+                out.append(np.array([len(n) for n in found], np.uint32).tobytes() + b"".join(_planes(n, 5) for n in found))
             yield _rows(len(part), g=[g for g, _ in part], kind=[0] * len(part), bucket=[bucket] * len(part), data=out)
-        sums = np.zeros((2, CLASSES), np.int64)
-        for t, c in total.items():
-            if c:
-                sums[0, (k := suffix_class(t))] += c
-                sums[1, k] += 1
-        best = sorted(((-c, t) for t, c in total.items() if c))[:TOP]
-        yield _rows(1, g=[-1], kind=[2], bucket=[bucket], data=[sums.tobytes() + _packed([t for _, t in best], [-c for c, _ in best])])
+        known = tokens[1] > 0
+        keys, counts = tokens[0][known], tokens[1][known]
+        suffix = (keys & _SUFFIX_MASK).astype(np.int64)
+        sums = np.array([np.bincount(suffix, counts, SUFFIXES), np.bincount(suffix, minlength=SUFFIXES)], np.float64).astype(np.int64)
+        best = np.lexsort((keys, -counts))[:TOP]
+        order = np.argsort(keys[best])
+        top = keys[best][order], counts[best][order]
+        yield _rows(1, g=[-1], kind=[2], bucket=[bucket], data=[sums.tobytes() + _packed(top, (keys[:0], counts[:0]))])
 
     now, held = None, []
     for batch in batches:
@@ -337,74 +435,39 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _model(stats: Iterator) -> Model:
     """Sums of all buckets; each bucket has one row of fixed size."""
-    sums, best = np.zeros((2, CLASSES), np.int64), []
+    sums, best = np.zeros((2, SUFFIXES), np.int64), []
     for row in stats:
         data = bytes(row["data"])
-        sums += np.frombuffer(data, np.int64, 2 * CLASSES).reshape(2, CLASSES)
-        tokens, counts, _, _ = _unpacked(data[16 * CLASSES :])
-        best = sorted([*best, *zip((-counts).tolist(), tokens)])[:TOP]
-    total, distinct = int(sums[0].sum()), int(sums[1].sum())
-    sums = sums.astype(np.float64)
-    for i, (c, t) in enumerate(best):
-        k = suffix_class(t)
-        sums[:, k] -= (-c, 1)
-        sums[:, i] = (-c, 1)
-    return Model([t for _, t in best], total, distinct, sums[0], sums[1]).start()
+        sums += np.frombuffer(data, np.int64, 2 * SUFFIXES).reshape(2, SUFFIXES)
+        keys, counts = _unpacked(data[16 * SUFFIXES :])[0]
+        best = sorted([*best, *zip((-counts).tolist(), keys.tolist())])[:TOP]
+    classes = np.concatenate([np.zeros((2, TOP)), sums], axis=1)
+    for i, (c, key) in enumerate(best):
+        classes[:, TOP + (key & (SUFFIXES - 1))] -= (-c, 1)
+        classes[:, i] = (-c, 1)
+    return Model(np.array([k for _, k in best], np.uint64), int(sums[0].sum()), int(sums[1].sum()), classes[0], classes[1]).start()
 
 
 # training
 
 
-class _Codes(dict):
-    """(hash, class) of tokens as one integer, remembered."""
-
-    def __init__(self, top: dict[bytes, int]):
-        super().__init__()
-        self.top = top
-
-    def __missing__(self, token: bytes) -> int:
-        k = self.top.get(token)
-        code = zlib.crc32(token) * CLASSES + (suffix_class(token) if k is None else k)
-        if len(self) < CACHE_TOKENS:
-            self[token] = code
-        return code
-
-
-#: What a worker process remembers between tasks; one entry, for the top tokens in use.
-_REMEMBERED: dict[tuple[bytes, ...], _Codes] = {}
-
-
-def _codes(model: Model) -> _Codes:
-    key = tuple(model.top)
-    if key not in _REMEMBERED:
-        _REMEMBERED.clear()
-        _REMEMBERED[key] = _Codes(model.class_of())
-    return _REMEMBERED[key]
-
-
-def _coded(codes: _Codes, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lists = [tokens_of(t) for t in texts]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    all_codes = np.fromiter(map(codes.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
-    first = np.zeros(len(all_codes), bool)
-    first[np.cumsum(sizes) - sizes] = True
-    return (all_codes // CLASSES).astype(np.uint64) + np.uint64(1), all_codes % CLASSES, first
+def train_on(model: Model, weights: np.ndarray, squares: np.ndarray, texts: list[str | None]) -> int:
+    """Updates the weights in place, in mini-batches; gives the number of tokens."""
+    tokens, sizes = tokens_of(texts)
+    classes = model.classes(tokens)
+    rows = features(tokens, classes, firsts(sizes))
+    for i in range(0, len(tokens), MINIBATCH):
+        update(weights, squares, rows[:, :, i : i + MINIBATCH], classes[i : i + MINIBATCH])
+    return len(tokens)
 
 
 def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        weights, squares = model.weights.copy(), np.zeros(FEATURES + 1, np.float32)
-        codes, seen = _codes(model), 0
+        model, seen = shared.value, 0
+        weights, squares = model.weights.copy(), np.zeros(ROWS, np.float32)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            if not texts:
-                continue
-            words, classes, first = _coded(codes, texts)
-            rows = features(words, classes, first)
-            for i in range(0, len(words), MINIBATCH):
-                update(weights, squares, rows[:, i : i + MINIBATCH], classes[i : i + MINIBATCH])
-            seen += len(words)
+            if len(batch):
+                seen += train_on(model, weights, squares, batch.column("text").to_pylist())
         if seen:
             # a partition's change counts by its tokens
             change = np.array_split((weights - model.weights) * np.float32(seen), BLOCKS)
@@ -461,69 +524,73 @@ def with_pairs(own: np.ndarray, before: np.ndarray, pairs: np.ndarray) -> np.nda
     return np.log10(pairs + PRIOR * 10.0**own) - np.log10(before + PRIOR)
 
 
-def score_batch(model: Model, words: np.ndarray, classes: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(base, class model) log10 probability of each token."""
-    rows = features(words, classes, first)
-    chosen = np.empty(len(words))
-    for i in range(0, len(words), MINIBATCH):
-        k = classes[i : i + MINIBATCH]
-        chosen[i : i + MINIBATCH] = log_classes(model.weights, rows[:, i : i + MINIBATCH])[np.arange(len(k)), k]
-    return model.base(counts), chosen / np.log(10) + model.in_class(counts, classes)
+def class_model(model: Model, tokens: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """log10 M(word | history) of each token."""
+    classes = model.classes(tokens)
+    rows = features(tokens, classes, first)
+    out = np.empty(len(tokens))
+    for i in range(0, len(tokens), MINIBATCH):
+        out[i : i + MINIBATCH] = log_class(model.weights, rows[:, :, i : i + MINIBATCH], classes[i : i + MINIBATCH])
+    return out / np.log(10) + model.in_class(counts, classes)
+
+
+def score_batch(model: Model, tokens: np.ndarray, sizes: np.ndarray, token_counts: tuple[Places, np.ndarray], pair_counts: tuple[Places, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(n_tokens, n_known, base_score, score) of each text, with the counts of all its tokens and pairs."""
+    first, starts = firsts(sizes), np.cumsum(sizes) - sizes
+    counts = token_counts[1][token_counts[0].of(tokens)]
+    before = before_each(counts, first)
+    before[first] = counts[np.cumsum(sizes)[0] - 1]  # the count of the end, which ends every text
+    pairs = pair_counts[1][pair_counts[0].of(pair_keys(before_each(tokens, first), tokens))]
+    own = with_pairs(class_model(model, tokens, counts, first), before, pairs)
+    add = lambda x: np.add.reduceat(x, starts)
+    return sizes, add((counts > 0).astype(np.int64)), add(model.base(counts)), add(own)
+
+
+def _answered(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of a group's tokens and pairs from its answers in the order of buckets, which are ranges of keys."""
+    out = []
+    for d in data:
+        n, m = np.frombuffer(d, np.uint32, 2).tolist()
+        out.append((_of_planes(d, n, 5, 8).astype(np.int64), _of_planes(d, m, 5, 8 + 5 * n).astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def group_scores(model: Model, texts: list[list[str | None]], answers: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """`score_batch` of each batch of a group's texts.  Answers name no keys: the group has the same ones again."""
+    coded = [tokens_of(t) for t in texts]
+    both = [(tokens, pair_keys(before_each(tokens, firsts(sizes)), tokens)) for tokens, sizes in coded]
+    keys = [np.unique(np.concatenate(x)) for x in zip(*both)]
+    del both
+    counts = _answered(answers)
+    if any(len(k) != len(n) for k, n in zip(keys, counts)):
+        raise ValueError("a group's documents have changed since they were counted")
+    known = [(Places(k, width), n) for k, n, width in zip(keys, counts, _WIDTHS)]
+    for tokens, sizes in coded:
+        yield score_batch(model, tokens, sizes, *known)
 
 
 def _score(shared):
-    """Rows of a group: first its tokens' and pairs' counts by bucket (kind 0), then its documents (kind 1)."""
+    """Rows of a group: first the counts of its tokens and pairs by bucket (kind 0), then its documents (kind 1)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(answers: list[bytes], docs: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        top = model.class_of()
-        now, number, counts, words, classes, hashes, keys, pairs = None, {}, None, None, None, None, None, None
-        held: list[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            kinds, groups, data = (batch.column(c).to_pylist() for c in ("kind", "g", "data"))
-            docs: list[int] = []
-
-            def scored() -> Iterator[pa.RecordBatch]:
-                nonlocal counts, words, classes, hashes, keys, pairs, held
-                if not docs:
-                    return
-                if counts is None:
-                    tokens = [t for x in held for t in x[0]]
-                    counts, keys, pairs = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
-                    keys, pairs = np.r_[keys, np.uint64(1 << 63)], np.r_[pairs, 0]
-                    hashes = np.array([token_hash(t) for t in tokens], np.uint64)
-                    number.update(zip(tokens, range(len(tokens))))
-                    words = np.array([zlib.crc32(t) for t in tokens], np.uint64) + np.uint64(1)
-                    classes = np.array([top[t] if t in top else suffix_class(t) for t in tokens], np.int64)
-                    held = []
-                part = batch.take(pa.array(docs, pa.int64()))
-                lists = [tokens_of(t) for t in part.column("text").to_pylist()]
-                sizes = np.array([len(x) for x in lists], np.int64)
-                at = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
-                starts = np.cumsum(sizes) - sizes
-                first = np.zeros(len(at), bool)
-                first[starts] = True
-                base, own = score_batch(model, words[at], classes[at], counts[at], first)
-                before = before_each(at, first, number[END])
-                wanted = pair_keys(hashes[before], hashes[at])
-                found = np.searchsorted(keys, wanted)
-                own = with_pairs(own, counts[before], np.where(keys[found] == wanted, pairs[found], 0))
-                known = np.add.reduceat((counts[at] > 0).astype(np.int64), starts)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("held_out"), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), model.total)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(own, starts))],
-                    names=[f.split()[0] for f in SCORES.split(", ")],
-                )
-
-            for i, (kind, g) in enumerate(zip(kinds, groups)):
-                if g != now:
-                    yield from scored()
-                    docs = []
-                    now, number, counts, held = g, {}, None, []
-                if kind == 0:
-                    held.append(_unpacked(data[i]))
-                else:
-                    docs.append(i)
-            yield from scored()
+        for part, scores in zip(docs, group_scores(model, [d.column("text").to_pylist() for d in docs], answers)):
+            arrays = [pa.array(x) for x in (*scores[:2], np.full(len(part), model.total), *scores[2:])]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), *arrays], names=[f.split()[0] for f in SCORES.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, answers, docs = None, [], []
+        for g, part in _by_group(batches):
+            if g != now:
+                if docs:
+                    yield from scored(answers, docs)
+                now, answers, docs = g, [], []
+            n = int((part.column("kind").to_numpy(zero_copy_only=False) == 0).sum())
+            answers += part.column("data").to_pylist()[:n]
+            if n < len(part):
+                docs.append(part.slice(n))
+        if docs:
+            yield from scored(answers, docs)
 
     return run
 
@@ -532,7 +599,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Counts, trains and scores: (id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = shares(docs, GROUP_BYTES)
     groups = 2 * parts
     rows = docs.select(
         F.expr(f"cast(pmod(xxhash64(`{id_col}`, length(`{text_col}`)), {groups}) as int)").alias("g"),
