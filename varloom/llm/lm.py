@@ -241,9 +241,9 @@ class Model:
         return np.log10((counts + SMOOTH) / (self.total + SMOOTH * (self.distinct + 1)))
 
     def in_class(self, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """log10 P(word | class); a top token is its whole class."""
-        rest = np.log10((counts + SMOOTH) / (self.class_total[classes] + SMOOTH * (self.class_distinct[classes] + 1)))
-        return np.where(classes < len(self.top), 0.0, rest)
+        """P(word | class); a top token is its whole class."""
+        rest = (counts + SMOOTH) / (self.class_total[classes] + SMOOTH * (self.class_distinct[classes] + 1))
+        return np.where(classes < len(self.top), 1.0, rest)
 
 
 def features(tokens: np.ndarray, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -518,32 +518,32 @@ def fit(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def with_pairs(own: np.ndarray, before: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """log10 P(word | history) from the class model's log10 probability and the counts of the word before and of the pair."""
-    pairs = np.minimum(pairs, before)
-    return np.log10(pairs + PRIOR * 10.0**own) - np.log10(before + PRIOR)
+class Known:
+    """What scoring needs of a group's different tokens, computed once for each: by the token's place."""
 
+    def __init__(self, model: Model, keys: np.ndarray, counts: np.ndarray):
+        self.places, self.counts, self.classes = Places(keys, _WIDTHS[0]), counts, model.classes(keys)
+        self.base, self.share = model.base(counts), model.in_class(counts, self.classes)
+        self.weight = np.log10(counts + PRIOR)
 
-def class_model(model: Model, tokens: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """log10 M(word | history) of each token."""
-    classes = model.classes(tokens)
-    rows = features(tokens, classes, first)
-    out = np.empty(len(tokens))
-    for i in range(0, len(tokens), MINIBATCH):
-        out[i : i + MINIBATCH] = log_class(model.weights, rows[:, :, i : i + MINIBATCH], classes[i : i + MINIBATCH])
-    return out / np.log(10) + model.in_class(counts, classes)
 
-
-def score_batch(model: Model, tokens: np.ndarray, sizes: np.ndarray, token_counts: tuple[Places, np.ndarray], pair_counts: tuple[Places, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(n_tokens, n_known, base_score, score) of each text, with the counts of all its tokens and pairs."""
+def score_batch(model: Model, tokens: np.ndarray, sizes: np.ndarray, known: Known, pair_places: Places, pair_counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(n_tokens, n_known, base_score, score) of each text; `known` and the pairs hold all of the texts' own."""
     first, starts = firsts(sizes), np.cumsum(sizes) - sizes
-    counts = token_counts[1][token_counts[0].of(tokens)]
-    before = before_each(counts, first)
-    before[first] = counts[np.cumsum(sizes)[0] - 1]  # the count of the end, which ends every text
-    pairs = pair_counts[1][pair_counts[0].of(pair_keys(before_each(tokens, first), tokens))]
-    own = with_pairs(class_model(model, tokens, counts, first), before, pairs)
+    at = known.places.of(tokens)
+    before = np.roll(at, 1)
+    before[first] = at[sizes[0] - 1]  # the end, which ends every text
+    classes = known.classes[at]
+    rows = features(tokens, classes, first)
+    own = np.empty(len(tokens))
+    for i in range(0, len(tokens), MINIBATCH):
+        own[i : i + MINIBATCH] = log_class(model.weights, rows[:, :, i : i + MINIBATCH], classes[i : i + MINIBATCH])
+    own = np.exp(own) * known.share[at]  # M(word | history)
+    pairs = pair_counts[pair_places.of(pair_keys(before_each(tokens, first), tokens))]
+    pairs = np.minimum(pairs, known.counts[before])
+    score = np.log10(pairs + PRIOR * own) - known.weight[before]
     add = lambda x: np.add.reduceat(x, starts)
-    return sizes, add((counts > 0).astype(np.int64)), add(model.base(counts)), add(own)
+    return sizes, add((known.counts[at] > 0).astype(np.int64)), add(known.base[at]), add(score)
 
 
 def _answered(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -564,9 +564,9 @@ def group_scores(model: Model, texts: list[list[str | None]], answers: list[byte
     counts = _answered(answers)
     if any(len(k) != len(n) for k, n in zip(keys, counts)):
         raise ValueError("a group's documents have changed since they were counted")
-    known = [(Places(k, width), n) for k, n, width in zip(keys, counts, _WIDTHS)]
+    known, pair_places = Known(model, keys[0], counts[0]), Places(keys[1], _WIDTHS[1])
     for tokens, sizes in coded:
-        yield score_batch(model, tokens, sizes, *known)
+        yield score_batch(model, tokens, sizes, known, pair_places, counts[1])
 
 
 def _score(shared):
