@@ -18,6 +18,8 @@ NOT_SPACE_CLASS = r"[^\x20\x09-\x0D]"
 
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
+#: Collections of garbage, a second apart, after a step whose shuffle files are to go.
+RELEASES = 6
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -106,12 +108,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of steps that are over: they go when the JVM collects what refers to them.
 
-    The first collection frees what the second needs gone, as events of the step may still be on their way.
+    A collection frees what the next needs gone, as events of the step may still be on their way, on a busy machine for
+    some seconds.  Nothing depends on it but the disk in use.
     """
-    for _ in range(3):
+    for _ in range(RELEASES):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(1.0)
 
 
 def delete_scratch(spark: SparkSession, path: str) -> None:
