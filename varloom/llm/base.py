@@ -1,10 +1,9 @@
 """What several text operators share: whole-text batches, scratch folders, byte classes."""
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +17,8 @@ NOT_SPACE_CLASS = r"[^\x20\x09-\x0D]"
 
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
-#: Collections of garbage, a second apart, after a step whose shuffle files are to go.
-RELEASES = 6
+#: Spark's setting under which a query deletes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -98,25 +97,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Writes within it delete their shuffle files as they end: what they wrote is read from then on.
+
+    Files lost with an executor during a write are made anew as ever, as nothing is deleted before its end.
+    """
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared scratch folder and read again: cuts lineage so that a lost executor costs one stage."""
     path = scratch(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of steps that are over: they go when the JVM collects what refers to them.
-
-    A collection frees what the next needs gone, as events of the step may still be on their way, on a busy machine for
-    some seconds.  Nothing depends on it but the disk in use.
-    """
-    for _ in range(RELEASES):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1.0)
-
-
 def delete_scratch(spark: SparkSession, path: str) -> None:
     """Remove a folder that `scratch` named, by Hadoop's file system API."""
     jvm = spark.sparkContext._jvm

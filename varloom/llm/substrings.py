@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.base import bounded_batches, delete_scratch, release, scratch, shares, written
+from varloom.llm.base import bounded_batches, delete_scratch, scratch, shares, shuffles_freed, written
 
 LENGTH = 50
 #: Bytes of the strings whose least hash is a window's minimizer.
@@ -617,16 +617,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = rows.selectExpr("g", "1 as kind", "id", "text", "cast(null as int) as bucket", "cast(null as binary) as data")
     both = shared.unionByName(whole).repartitionById(parts, "g").sortWithinPartitions("g", "kind")
     path = scratch(spark, "substring-runs")
-    both.mapInArrow(_cut_runs(bits, length), ROW).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    del both, shared, sent
-    release(spark)
+    with shuffles_freed(spark):
+        both.mapInArrow(_cut_runs(bits, length), ROW).write.option("compression", "zstd").partitionBy("kind").parquet(path)
     cut = spark.read.schema(ROW).parquet(path)
     entries = cut.where("kind = 1").select("bucket", "g", "data")
     answers = entries.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(length), ROW)
     answers = written(answers, "substring-answers")
-    # the runs have been answered: their files and shuffle make room for the documents
+    # the runs have been answered: their files make room for the documents
     delete_scratch(spark, f"{path}/kind=1")
-    release(spark)
     cut = spark.read.schema(ROW).parquet(path)
     last = answers.unionByName(cut.where("kind = 2")).repartitionById(parts, "g").sortWithinPartitions("g", "kind")
     out = last.mapInArrow(_remove(length), "id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
