@@ -1,10 +1,11 @@
-"""What several text operators share: whole-text batches, scratch folders, byte classes."""
+"""What several text operators share: whole-text batches, scratch folders, byte classes, integers by byte."""
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -119,6 +120,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The lower bytes of integers, byte by byte: in order or small, they compress well."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def of_planes(data: bytes, n: int, width: int, at: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
 def delete_scratch(spark: SparkSession, path: str) -> None:
     """Remove a folder that `scratch` named, by Hadoop's file system API."""
     jvm = spark.sparkContext._jvm

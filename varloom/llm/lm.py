@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.base import bounded_batches, scratch, shares
+from varloom.llm.base import bounded_batches, of_planes, planes, scratch, shares
 
 TOP = 128
 SUFFIXES = 128
@@ -308,17 +308,6 @@ def _rows(n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _ROW.items()], names=list(_ROW))
 
 
-def _planes(x: np.ndarray, width: int) -> bytes:
-    """The lower bytes of integers, byte by byte: in order or small, they compress well."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def _of_planes(data: bytes, n: int, width: int, at: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
-    return out.view("<u8").ravel()
-
-
 Counts = tuple[np.ndarray, np.ndarray]  # keys in order, and how often each occurs
 #: Bytes of a key of a token and of a pair; a count has five.
 _WIDTHS = (8, 6)
@@ -326,13 +315,13 @@ _WIDTHS = (8, 6)
 
 def _packed(tokens: Counts, pairs: Counts) -> bytes:
     sizes = np.array([len(tokens[0]), len(pairs[0])], np.uint32).tobytes()
-    return sizes + b"".join(_planes(x, w) for (keys, counts), k in zip((tokens, pairs), _WIDTHS) for x, w in ((keys, k), (counts, 5)))
+    return sizes + b"".join(planes(x, w) for (keys, counts), k in zip((tokens, pairs), _WIDTHS) for x, w in ((keys, k), (counts, 5)))
 
 
 def _unpacked(data: bytes) -> tuple[Counts, Counts]:
     out, at = [], 8
     for n, k in zip(np.frombuffer(data, np.uint32, 2).tolist(), _WIDTHS):
-        out.append((_of_planes(data, n, k, at), _of_planes(data, n, 5, at + k * n).astype(np.int64)))
+        out.append((of_planes(data, n, k, at), of_planes(data, n, 5, at + k * n).astype(np.int64)))
         at += (k + 5) * n
     return out[0], out[1]
 
@@ -410,7 +399,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, out = rows[i : i + 200], []
             for _, data in part:
                 found = [total[np.searchsorted(keys, own)] for (keys, total), (own, _) in zip((tokens, pairs), _unpacked(data))]
-                out.append(np.array([len(n) for n in found], np.uint32).tobytes() + b"".join(_planes(n, 5) for n in found))
+                out.append(np.array([len(n) for n in found], np.uint32).tobytes() + b"".join(planes(n, 5) for n in found))
             yield _rows(len(part), g=[g for g, _ in part], kind=[0] * len(part), bucket=[bucket] * len(part), data=out)
         known = tokens[1] > 0
         keys, counts = tokens[0][known], tokens[1][known]
@@ -551,7 +540,7 @@ def _answered(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for d in data:
         n, m = np.frombuffer(d, np.uint32, 2).tolist()
-        out.append((_of_planes(d, n, 5, 8).astype(np.int64), _of_planes(d, m, 5, 8 + 5 * n).astype(np.int64)))
+        out.append((of_planes(d, n, 5, 8).astype(np.int64), of_planes(d, m, 5, 8 + 5 * n).astype(np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 

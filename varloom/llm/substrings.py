@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.base import bounded_batches, delete_scratch, scratch, shares, shuffles_freed, written
+from varloom.llm.base import bounded_batches, delete_scratch, of_planes, planes, scratch, shares, shuffles_freed, written
 
 LENGTH = 50
 #: Bytes of the strings whose least hash is a window's minimizer.
@@ -123,6 +123,10 @@ def _short(m: np.ndarray, bits: int) -> np.ndarray:
     return ((m << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
 
 
+def _deltas(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0), axis=0)
+
+
 def _squeezed(data: bytes) -> bytes:
     """Runs are text, of which Spark's shuffle compression alone leaves most."""
     return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
@@ -318,7 +322,7 @@ class _Group:
                 elif ids[d] < least[e]:
                     least[e] = int(ids[d])
                 out[d].append((i, e))
-        return [np.array(o, np.uint32).tobytes() for o in out]
+        return [_packed_places(np.array(o, np.uint32).reshape(-1, 2)) for o in out]
 
     def sent(self) -> Iterator[pa.RecordBatch]:
         if not self.entries:
@@ -333,13 +337,24 @@ class _Group:
         for lo, hi in zip(cut, np.r_[cut[1:], len(order)]):
             e = order[lo:hi]
             some = [strings[i] for i in e]
-            data = b"".join([np.uint32(len(e)).tobytes(), e.astype(np.uint32).tobytes(), np.array([len(s) for s in some], np.uint32).tobytes(), keys[e].tobytes(), least[e].tobytes(), *some])
+            sizes, short = np.array([len(s) for s in some], np.uint32), _short(keys[e], self.bits)
+            data = b"".join([np.uint32(len(e)).tobytes(), planes(_deltas(e), 4), planes(sizes, 4), planes(short, 4), planes(least[e], 8), *some])
             rows.append((int(b[e[0]]), _squeezed(data)))
         for i in range(0, len(rows), 500):
             part = rows[i : i + 500]
             yield _rows(len(part), g=[self.g] * len(part), kind=[1] * len(part), bucket=[r[0] for r in part], data=[r[1] for r in part])
 
 
+def _packed_places(places: np.ndarray) -> bytes:
+    """Rows of (start, number of the run), as differences modulo 2**32 and byte by byte."""
+    return _deltas(places).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _places(data: bytes) -> np.ndarray:
+    deltas = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint32)
+    return np.cumsum(deltas, axis=0, dtype=np.uint32)
+
+
 def _member(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(table):
         return np.zeros(len(keys), bool)
@@ -449,9 +464,9 @@ def _settle_bucket(bucket: int, rows: list[tuple], length: int) -> Iterator[pa.R
     for g, data in rows:
         data = _unsqueezed(data)
         n = int(np.frombuffer(data, np.uint32, 1)[0])
-        e, sizes = np.frombuffer(data, np.uint32, n, 4), np.frombuffer(data, np.uint32, n, 4 + 4 * n)
-        keys, ids = np.frombuffer(data, np.uint64, n, 4 + 8 * n).tolist(), np.frombuffer(data, np.int64, n, 4 + 16 * n).tolist()
-        at, here = 4 + 24 * n, []
+        e, sizes = np.cumsum(of_planes(data, n, 4, 4)), of_planes(data, n, 4, 4 + 4 * n)
+        keys, ids = of_planes(data, n, 4, 4 + 8 * n).tolist(), of_planes(data, n, 8, 4 + 12 * n).view(np.int64).tolist()
+        at, here = 4 + 20 * n, []
         for k, i, size in zip(keys, ids, sizes.tolist()):
             u = known.setdefault((k, data[at : at + size]), len(least))
             at += size
@@ -493,7 +508,7 @@ def _settle_bucket(bucket: int, rows: list[tuple], length: int) -> Iterator[pa.R
         for _, e, here in part:
             c = count[here]
             at = np.repeat(first[here], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            data.append(b"".join([np.uint32(len(e)).tobytes(), e.tobytes(), c.astype(np.uint32).tobytes(), stretch_size[at].astype(np.uint32).tobytes(), minima[stretch[at]].tobytes()]))
+            data.append(_squeezed(b"".join([np.uint32(len(e)).tobytes(), planes(_deltas(e), 4), planes(c, 4), planes(stretch_size[at], 4), planes(minima[stretch[at]], 8)])))
         yield _rows(len(part), g=[o[0] for o in part], kind=[1] * len(part), bucket=[bucket] * len(part), data=data)
 
 
@@ -558,14 +573,14 @@ class _Answers:
             return
         e, c, size, least = [], [], [], []
         for data in self.raw:
+            data = _unsqueezed(data)
             n = int(np.frombuffer(data, np.uint32, 1)[0])
-            e.append(np.frombuffer(data, np.uint32, n, 4))
-            c.append(np.frombuffer(data, np.uint32, n, 4 + 4 * n))
+            e.append(np.cumsum(of_planes(data, n, 4, 4)))
+            c.append(of_planes(data, n, 4, 4 + 4 * n))
             total = int(c[-1].sum())
-            size.append(np.frombuffer(data, np.uint32, total, 4 + 8 * n))
-            least.append(np.frombuffer(data, np.int64, total, 4 + 8 * n + 4 * total))
-        join = lambda x, t: np.concatenate([np.zeros(0, t), *x]).astype(np.int64)
-        e, c, self.size, self.least = join(e, np.uint32), join(c, np.uint32), join(size, np.uint32), join(least, np.int64)
+            size.append(of_planes(data, total, 4, 4 + 8 * n))
+            least.append(of_planes(data, total, 8, 4 + 8 * n + 4 * total))
+        e, c, self.size, self.least = (np.concatenate([np.zeros(0, np.uint64), *x]).view(np.int64) for x in (e, c, size, least))
         at = np.cumsum(c) - c
         self.first, self.count = np.zeros(len(e), np.int64), np.zeros(len(e), np.int64)
         self.first[e], self.count[e] = at, c
@@ -573,7 +588,7 @@ class _Answers:
 
     def spans(self, held: bytes, own: int, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the bytes to remove from the document with id `own`, joined and in order."""
-        pairs = np.frombuffer(held, np.uint32).reshape(-1, 2).astype(np.int64)
+        pairs = _places(held).astype(np.int64)
         none = np.zeros(0, np.int64)
         if not len(pairs):
             return none, none
