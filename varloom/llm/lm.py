@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.base import bounded_batches, of_planes, planes, scratch, shares
+from varloom.llm.base import bounded_batches, of_planes, planes, scratch, shares, shuffles_freed
 
 TOP = 128
 SUFFIXES = 128
@@ -596,7 +596,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     sent = rows.select("g", "text", "held_out").repartitionById(parts, "g").sortWithinPartitions("g").mapInArrow(_send_counts(parts), "bucket int, g int, data binary")
     path = scratch(spark, "lm-counts")
-    sent.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_add_up, ROW).write.option("compression", "zstd").parquet(path)
+    with shuffles_freed(spark):
+        sent.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_add_up, ROW).write.option("compression", "zstd").parquet(path)
     counted = spark.read.schema(ROW).parquet(path)
     model = _model(counted.where("kind = 2").select("data").toLocalIterator())
     model = fit(docs, model, id_col, text_col, rounds)
