@@ -95,6 +95,15 @@ def test_blocks_of_items_keep_all_columns(spark, monkeypatch):
     assert row["_doc"].asDict() == {"doc_id": 1, "a b": "k"} and (row["n_hit"], row["n_items"], row["text"]) == (3, 3, "short item and x")
 
 
+def test_pieces_of_an_item_have_all_its_windows(monkeypatch):
+    for most in (1, 30, 100, decontam.BLOCK_WORDS):
+        monkeypatch.setattr(decontam, "BLOCK_WORDS", most)
+        for n in (0, 1, 12, 13, 14, 15, 27, 200):
+            words = [b"%d" % i for i in range(n)]
+            got = [w for piece in decontam._pieces(words) for w in decontam.windows_of(piece)]
+            assert got == decontam.windows_of(words)
+
+
 def test_decontamination_without_rows(spark):
     docs = spark.createDataFrame([(1, "a b", 3)], "doc_id long, text string, n_words long")
     none = spark.createDataFrame([], "item_id string, text string")

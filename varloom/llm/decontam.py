@@ -7,8 +7,8 @@ has one word), and buckets of windows by their last block.  Sliding over a docum
 class skips as many words as no window can end in; a block with shift 0 names the windows that may end here, and these
 are compared word by word.
 
-Items are read from Spark in blocks of bounded size (BLOCK_WORDS words of windows); each block's tables are broadcast and
-searched in one pass over the documents.  A benchmark of one block (the usual case) needs no shuffle at all; with
+Items are read from Spark in blocks of bounded size (BLOCK_WORDS words of windows), a longer item in pieces; each block's
+tables are broadcast and searched in one pass over the documents.  A benchmark of one block (the usual case) needs no shuffle at all; with
 more, the hits of all blocks are brought together by document.
 
 Defined results: null texts and items have no words; an item without words has no window; an item without an id counts
@@ -91,18 +91,24 @@ class WuManber:
                 end += 1
 
 
+def _pieces(words: list[bytes]) -> Iterator[list[bytes]]:
+    """An item's words in pieces that have all its windows, each at most about BLOCK_WORDS words of windows."""
+    most = max(1, BLOCK_WORDS // WINDOW)
+    for low in range(0, max(1, len(words) - WINDOW + 1) if words else 0, most):
+        yield words[low : low + most + WINDOW - 1]
+
+
 def _items_in_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[dict[object, list[bytes]]]:
-    """Items as words, in blocks of at most BLOCK_WORDS words of windows (or one item)."""
+    """Items as words, in blocks of at most BLOCK_WORDS words of windows (or one piece of an item)."""
     block: dict[object, list[bytes]] = {}
     held = 0
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).dropDuplicates()
     for row in rows.sortWithinPartitions("i").toLocalIterator():
-        words = text_words(row["t"])
-        cost = len(words) * min(len(words), WINDOW)
-        if block and held + cost > BLOCK_WORDS:
-            yield block
-            block, held = {}, 0
-        if words:
+        for words in _pieces(text_words(row["t"])):
+            cost = len(words) * min(len(words), WINDOW)
+            if block and held + cost > BLOCK_WORDS:
+                yield block
+                block, held = {}, 0
             key = row["i"] if row["i"] not in block else (row["i"], len(block))
             block[key] = words
             held += cost
