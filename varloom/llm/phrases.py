@@ -38,12 +38,12 @@ COVERED = 80
 NO_LANG = "und"
 
 #: Words in a block, and bytes of text that become words at a time.
-BLOCK_WORDS = 4 << 20
+BLOCK_WORDS = 8 << 20
 CHUNK = 8 << 20
 #: Occurrences of a prefix beyond which its next word divides it, of a task's prefixes together, and prefixes of one length
 #: that may be divided.
-SPLIT = 2_000_000
-TASK_WORDS = 3_000_000
+SPLIT = 1_000_000
+TASK_WORDS = 2_000_000
 MOST_HOT = 4_000_000
 
 #: 0xFF is no byte of any text: it marks an end.
@@ -152,8 +152,9 @@ def projected(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     seq = np.concatenate([ids, np.zeros(MOST_WORDS - 1, ids.dtype)])
     a, b, c, d = (seq[i : len(ids) + i] for i in range(MOST_WORDS))
     at = np.flatnonzero((a > 0) & (b > 0))
-    a, b, c, d = a[at], b[at], c[at], d[at]
-    return counted(packed(a, b), packed(c, np.where(c > 0, d, 0)), np.ones(len(at), np.int64))
+    k1, k2 = packed(a[at], b[at]), packed(c[at], np.where(c[at] > 0, d[at], 0))
+    del seq, a, b, c, d
+    return counted(k1, k2, np.ones(len(at), np.int64))
 
 
 def to_blob(k1: np.ndarray, k2: np.ndarray, m: np.ndarray) -> bytes:
@@ -174,8 +175,8 @@ def projections(blocks: DataFrame, entries: DataFrame, words: DataFrame) -> Data
         for batch in batches:
             for i in range(batch.num_rows):
                 data = batch.column("ids")[i].as_py()
-                local = of_planes(data, len(data) // 4, 4, 0).astype(np.int64)
-                number = np.zeros(local.max(initial=0) + 1, np.int64)
+                local = of_planes(data, len(data) // 4, 4, 0).astype(np.int32)
+                number = np.zeros(local.max(initial=0) + 1, np.uint32)
                 number[batch.column("nth")[i].values.to_numpy()] = batch.column("id")[i].values.to_numpy()
                 k1, k2, m = projected(number[local])
                 if len(m):
