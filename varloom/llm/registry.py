@@ -4,7 +4,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that hold QUERIES and ORACLE_SQL.
-MODULES = ("queries_quality", "queries_tokens", "queries_chat", "queries_warc", "queries_pii", "queries_decontam", "queries_dedup", "queries_lm", "queries_divergence", "queries_phrases")
+MODULES = ("queries_quality", "queries_tokens", "queries_chat", "queries_warc", "queries_pii", "queries_decontam", "queries_dedup", "queries_lm", "queries_divergence", "queries_phrases", "queries_minhash")
 
 
 def queries() -> dict:
