@@ -7,8 +7,11 @@ of unequal minima a quarter agree by chance, which is taken off.  A pair is drop
 have so few equal bits once in 10^9 times; all others are decided on the full sets, made of the texts again.
 
 All pairs of a bucket are never listed.  First each class is compared with one leader of each of its buckets, and the
-best of these is decided; that is repeated with other leaders among classes that are not connected yet.  Only then are the
-connected classes of a bucket compared with those outside the largest connected part, and again only those whose bits agree.
+best of these is decided; that is repeated with other leaders among classes that are not connected yet.  What remains are
+classes outside the largest connected part of a bucket, and classes whose bits agree with theirs.  Of these the full sets are
+laid out shingle by shingle, the rarest first: two sets of the wanted similarity have one of their first few in common (as many
+as may be missing, and one).  Pairs that do are decided.  A class that is no copy has rare shingles enough of its own and meets
+nothing, however many classes are nearly like it.
 
 A link is lost only if all of BANDS bands miss it (7e-10 at a similarity of 0.85, less above) or by the estimate (1e-9).
 
@@ -24,7 +27,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.llm.base import map_texts, shares, written
@@ -166,6 +169,14 @@ def _likely(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {_equal(a, b)} >= {least_equal(percent)}"
 
 
+def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, n, text) of classes: each has the text of one of its documents."""
+    needed = written(nodes.join(classes.select("node", "n", "row_name", "row_key"), "node"), "minhash-needed")
+    if needed.count() <= BROADCAST_CLASSES:
+        needed = F.broadcast(needed)
+    return docs.join(needed, ["row_name", "row_key"]).select("node", "n", "text").dropDuplicates(["node"])
+
+
 def decided(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs (u, v) of classes, which are a written table, whose full sets are similar enough.
 
@@ -175,11 +186,7 @@ def decided(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     spark = docs.sparkSession
     if pairs.isEmpty():
         return pairs
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes.select("node", "n", "row_name", "row_key"), "node")
-    needed = written(needed, "minhash-needed")
-    if needed.count() <= BROADCAST_CLASSES:
-        needed = F.broadcast(needed)
-    texts = written(docs.join(needed, ["row_name", "row_key"]).select("node", "n", "text").dropDuplicates(["node"]), "minhash-texts")
+    texts = written(_texts(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), classes, docs), "minhash-texts")
     sizes = texts.select("node", "n")
     load = pairs.groupBy("u").agg(F.count("*").alias("members")).join(sizes.withColumnRenamed("node", "u"), "u")
     load = load.select("u", "n", F.expr(f"cast(ceil(members * n / {MEMBER_SHINGLES}) as long)").alias("parts"))
@@ -231,17 +238,40 @@ def _to_leaders(filed: DataFrame, state: DataFrame, turn: int, tried: DataFrame
     return best.select("u", "v")
 
 
-def _across(filed: DataFrame, state: DataFrame, percent: int) -> DataFrame:
-    """(u, v): all likely pairs of a bucket that are not connected, by comparing what is outside its largest connected part."""
+def _open(filed: DataFrame, state: DataFrame, percent: int) -> DataFrame:
+    """(node, outside): classes outside the largest connected part of a bucket that some class of it, not connected with them,
+    may link with, and these other classes."""
     rows = filed.join(state.select("node", "n", "comp", *SIGNATURE), "node")
     parts = rows.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
     open_ = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("comp", "m").alias("largest")).where("parts > 1").select("bucket", "largest")
     rows = written(rows.join(open_, "bucket"), "minhash-open")
     pack = F.struct("node", "n", "comp", *SIGNATURE)
-    left = rows.where("comp <> largest").select("bucket", pack.alias("a"))
-    right = rows.select("bucket", "largest", pack.alias("b"))
-    on = F.expr(f"a.comp <> b.comp and (b.comp = largest or a.node < b.node) and {_likely('a', 'b', percent)}")
-    return left.join(right, (left["bucket"] == right["bucket"]) & on).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+    left, right = rows.where("comp <> largest").select("bucket", pack.alias("a")), rows.select(F.col("bucket").alias("b_bucket"), pack.alias("b"))
+    on = F.expr(f"bucket = b_bucket and a.comp <> b.comp and {_likely('a', 'b', percent)}")
+    nodes = left.join(right, on, "left_semi").select("a.node", F.lit(True).alias("outside")).unionByName(right.join(left, on, "left_semi").select("b.node", F.lit(False).alias("outside")))
+    return nodes.groupBy("node").agg(F.bool_or("outside").alias("outside"))
+
+
+def _across(nodes: DataFrame, state: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(u, v): pairs of the open classes that are not connected and may be similar enough by their rarest shingles."""
+    texts = _texts(nodes.select("node"), classes, docs)
+
+    def make() -> Callable:
+        return lambda texts: {"shingles": [s.astype(np.int64) for s in shingle_sets(texts)]}
+
+    rows = written(map_texts(texts, make, "shingles array<long>", "text", True).select("node", "n", F.explode("shingles").alias("shingle")), "minhash-shingles")
+    # one that no other has is never in common, but is among the first
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = rows.join(shared, "shingle").withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")))
+    many = ranked.groupBy("node").agg(F.count("*").alias("many"))
+    first = ranked.join(many, "node").where(f"n - many + nth <= n - ceil({percent} * n / 100) + 1").select("node", "shingle", (F.col("n") - F.col("many") + F.col("nth")).alias("at"))
+    row = F.struct("node", "n", "comp", "at", *SIGNATURE)
+    first = written(first.join(state.drop("at"), "node").join(nodes, "node").select("shingle", "outside", row.alias("a")), "minhash-first")
+    other = first.select(F.col("shingle").alias("b_shingle"), F.col("a").alias("b"))
+    # after the first that both have, at most what is left of either can be in common
+    enough = f"(1 + least(a.n - a.at, b.n - b.at)) * {100 + percent} >= {percent} * (a.n + b.n)"
+    on = F.expr(f"shingle = b_shingle and a.comp <> b.comp and {enough} and {_likely('a', 'b', percent)}")
+    return first.where("outside").join(other, on).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -259,7 +289,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     state, edges, tried = _state(classes.drop("bands"), None), None, None
     source = rows.select("row_name", "row_key", "text")
     for turn in range(ROUNDS + 1):
-        found = _to_leaders(filed, state, turn, tried, percent) if turn < ROUNDS else _untried(_across(filed, state, percent), tried)
+        if turn < ROUNDS:
+            found = _to_leaders(filed, state, turn, tried, percent)
+        else:
+            open_ = written(_open(filed, state, percent), "minhash-outside")
+            if open_.isEmpty():
+                break
+            found = _untried(_across(open_, state, classes, source, percent), tried)
         pairs = written(found, "minhash-pairs")
         tried = _untried(pairs, None) if tried is None else tried.unionByName(_untried(pairs, None))
         new = written(decided(pairs, classes, source, percent), "minhash-links")
