@@ -25,7 +25,7 @@ RECORDS = [
     "chr2\t7\t.\tG\tA\t.\tPASS\tDP=30\tGT:DP:DP4\t0/0:.:1,1,1,1\t1/1:12:2,2,2,2",
     "chr10\t7\t.\tG\tA\t.\tPASS\tDP=31\tGT:DP:DP4\t0/0:8:1,1,1,1\t1/1:13:2,2,2,2",
     "X\t9\t.\tT\tC\t.\tPASS\t.\tGT:DP:DP4\t0/0:21:1,1,1,1\t1/1:14:2,2,2,2",
-    "GT05182\t3\t.\tT\t.\t.\t.\tDP=2\tGT:DP:DP4\t0/0:22:1,1,1,1\t1/1:15:2,2,2,2",
+    "KI270728\t3\t.\tT\t.\t.\t.\tDP=2\tGT:DP:DP4\t0/0:22:1,1,1,1\t1/1:15:2,2,2,2",
 ]
 TRUTH = [RECORDS[0], RECORDS[2], "20\t999\t.\tA\tC\t.\tPASS\tDP=1\tGT:DP:DP4\t0/0:1:1,1,1,1\t0/1:1:1,1,1,1"]
 
@@ -57,7 +57,7 @@ def test_read(spark, store, calls):
     assert (r["info:DP"], r["info:SPV"], r["sample:DP4"], r["filters"], r["id"], r["quality"]) == ("93", "2.5E-7", "[8, 3, 7, 11]", None, None, None)
     r = rows["20", 250, "tumor"]
     assert (r["alternates"], r["filters"], r["quality"], r["info:SOMATIC"], r["sample:GT"], r["sample:DP"], r["sample:DP4"]) == ("T,G", "q10,s50", "50.5", "True", "0/1", None, None)
-    assert rows["GT05182", 3, "normal"]["alternates"] is None
+    assert rows["KI270728", 3, "normal"]["alternates"] is None
     assert store[1][1]["genotype_count"] == 12
     assert set(store[1][1]["extant_columns"]) == {"info:DP", "info:SOMATIC", "info:SPV", "sample:GT", "sample:DP", "sample:DP4"}
 
@@ -70,7 +70,7 @@ def test_ingest_again_replaces(spark, store, calls):
 
 def test_typed_filters_and_order(calls):
     got = C.query_calls(calls, 1, query(Filter("sample_name", "=", "tumor"), Filter("info:DP", "<", "50"), sort=(Sort("contig"),), limit=250)).collect()
-    assert [(r["contig"], r["position"]) for r in got] == [("chr2", 7), ("chr10", 7), ("20", 250), ("GT05182", 3)]
+    assert [(r["contig"], r["position"]) for r in got] == [("chr2", 7), ("chr10", 7), ("20", 250), ("KI270728", 3)]
     got = C.query_calls(calls, 1, query(Filter("sample:DP", ">", "12"), sort=(Sort("sample:DP", True),))).collect()
     assert [r["sample:DP"] for r in got] == ["44", "37", "22", "21", "15", "14", "13"]
     with pytest.raises(ValueError):
@@ -89,11 +89,11 @@ def test_null_order_and_pages(calls):
 
 
 def test_contigs_samples_range(calls):
-    assert [r[0] for r in C.contigs(calls, 1).collect()] == ["X", "20", "chr2", "chr10", "GT05182"]
+    assert [r[0] for r in C.contigs(calls, 1).collect()] == ["X", "20", "chr2", "chr10", "KI270728"]
     assert [r[0] for r in C.samples(calls, 1).collect()] == ["normal", "tumor"]
     assert C.filtered(calls, 1, query(range=Range("20", 100, 250))).count() == 2
     down = calls.where("vcf_id = 1 and sample_name = 'normal'").orderBy(*V.contig_order("contig", True)).select("contig").collect()
-    assert [r[0] for r in down] == ["chr2", "chr10", "20", "20", "GT05182", "X"]
+    assert [r[0] for r in down] == ["chr2", "chr10", "20", "20", "KI270728", "X"]
 
 
 def test_statistics(calls):
@@ -113,10 +113,10 @@ def test_closure_and_export(spark, store, calls):
     some = C.record_closure(calls, 1, query(Filter("sample:DP", "=", "37")))
     assert some.count() == 2
     # a record without an alternate is found again: null parts of the key are equal
-    assert C.record_closure(calls, 1, query(Filter("contig", "=", "GT05182"))).count() == 2
+    assert C.record_closure(calls, 1, query(Filter("contig", "=", "KI270728"))).count() == 2
     lines = [r[0] for r in export_lines(C.run_calls(calls, 1), header, extant).collect()]
     assert lines[: len(header)] == header
-    assert [x.split("\t")[0] for x in lines[len(header) :]] == ["X", "20", "20", "chr2", "chr10", "GT05182"]
+    assert [x.split("\t")[0] for x in lines[len(header) :]] == ["X", "20", "20", "chr2", "chr10", "KI270728"]
     line = next(x for x in lines if "\t250\t" in x).split("\t")
     assert line[:7] == ["20", "250", "rs1", "C", "T,G", "50.5", "q10;s50"] and line[7] == "DP=9;SOMATIC" and line[9:] == ["0/0:5:1,1,1,2", "0/1:.:."]
 

@@ -144,3 +144,14 @@ def test_a_batch_of_more_files_than_asked_for_is_ingested_whole(spark, tmp_path)
         watch_folder(spark, *where, run_of=fails, files=4).awaitTermination()
     watch_folder(spark, *where, files=2).awaitTermination()
     assert {r["vcf_id"] for r in spark.read.parquet(where[1]).collect()} == {1, 2, 3, 4}
+
+
+def test_fuzzy_values(spark):
+    from varloom.operators.search import fuzzy_values
+
+    table = spark.createDataFrame([("Lincoln",), ("lincoln",), ("Lemon, cold",), ("nothing",), (None,), ("a.b*c",), ("axbxc",), ("lncln",)], "v string")
+    got = [(r["typed"], r["value"], r["gaps"]) for r in fuzzy_values(table, "v", ["Lncln", "a.b*", "", "zz"], 3).orderBy("typed", "rank").collect()]
+    assert got == [("", "a.b*c", 0), ("", "axbxc", 0), ("", "lncln", 0), ("Lncln", "lncln", 0), ("Lncln", "Lincoln", 2), ("Lncln", "lincoln", 2), ("a.b*", "a.b*c", 0)]
+    assert fuzzy_values(table, "v", []).count() == 0
+    with pytest.raises(ValueError):
+        fuzzy_values(table, "v", ["x" * 101])

@@ -6,7 +6,10 @@ import sys
 import duckdb
 import pytest
 
-from varloom.plans import catalog
+from varloom.plans import catalog, catalog_sources
+
+OWN = catalog.queries() | catalog_sources.queries()
+SQL = catalog.oracle_sql() | catalog_sources.oracle_sql()
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -16,13 +19,13 @@ def _cell(v):
     return f"{v:.9g}" if isinstance(v, float) else v.isoformat() if hasattr(v, "isoformat") else repr(v)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_gives_the_rows_of_its_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
         db.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    found = catalog.queries()[name](spark, SF)
-    want = db.execute(catalog.oracle_sql()[name])
+    found = OWN[name](spark, SF)
+    want = db.execute(SQL[name])
     columns = [d[0] for d in want.description]
     assert sorted(columns) == sorted(found.columns)
     rows = sorted(tuple(map(_cell, r)) for r in found.select(*[f"`{c}`" for c in columns]).collect())
@@ -35,7 +38,7 @@ def test_entry(spark):
     row = e.entry(spark).first()
     assert row["number_of_records"] == row["true_positives"] + row["false_positives"]
     assert row["total_truth_records"] == row["true_positives"] + row["false_negatives"]
-    assert set(catalog.queries()) <= set(e.queries())
+    assert set(OWN) <= set(e.queries())
 
 
 @pytest.mark.parametrize("with_pipeline, leftovers", [(True, False), (False, False), (True, True)])

@@ -1,10 +1,15 @@
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_calls import HEADER, RECORDS, TRUTH
+from varloom.operators import catalog as K
 from varloom.operators.catalog import Conflict, NotFound
 from varloom.plans.cql import QueryError
 from varloom.store import Store
+from varloom.streaming import follow_tasks
 
 
 def test_store(spark, tmp_path):
@@ -65,3 +70,98 @@ def test_store(spark, tmp_path):
     assert "annotations:gene_name" in [r["column_name"] for r in view["spec"].collect()]
     store.delete("comments", comment)
     assert store.latest_comments().isEmpty() and store.table("calls").where(F.col("vcf_id") == truth).count() == 6
+
+
+def test_of_two_writers_one_begins_again(spark, tmp_path):
+    """Both read one version; the slower one finds the next version taken and works on what the other wrote."""
+    folder = f"file://{tmp_path}/store"
+    one, two = Store(spark, folder), Store(spark, folder)
+    one.create("projects", {"name": "a"})
+    seen = []
+
+    def slow(table):
+        seen.append(table.count())
+        if len(seen) == 1:
+            two.create("projects", {"name": "b"})
+        return table.where("name <> 'a'")
+
+    one.change("projects", slow)
+    assert seen == [1, 2] and [r["name"] for r in one.table("projects").collect()] == ["b"]
+    comment = one.create("comments", {"vcf_id": 1, "comment_text": "first"})
+    at = one.table("comments").first()["last_modified"]
+    asked = []
+
+    def late(table):
+        if not asked:
+            asked.append(1)
+            two.edit_comment(comment, "theirs", at)
+        return K.comment_updated(table, comment, "mine", at, one.now())
+
+    with pytest.raises(Conflict):
+        one.change("comments", late)
+    assert one.table("comments").first()["comment_text"] == "theirs"
+
+
+def test_a_claim_of_a_dead_writer_ends(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/store")
+    assert store._claimed("projects", 0) and not store._claimed("projects", 0)
+    monkeypatch.setattr("varloom.store.TRIES", 2)
+    with pytest.raises(Conflict):
+        store.create("projects", {"name": "a"})
+    monkeypatch.setattr("varloom.store.LEASE_S", 0)
+    assert store.create("projects", {"name": "a"}) == 1
+
+
+def test_one_star_is_one_row(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    (tmp_path / "1.vcf").write_text("\n".join([*HEADER, *RECORDS]) + "\n")
+    store.create("projects", {"name": "p"})
+    run = store.create_run({"project_name": "p", "uri": f"file://{tmp_path}/1.vcf"})
+    key = {"vcf_id": run, "contig": "20", "position": 100, "reference": "A", "alternates": "G", "sample_name": "tumor"}
+    none = {**key, "contig": "KI270728", "position": 3, "reference": "T", "alternates": None}
+    written = lambda: [p for p in (tmp_path / "store").rglob("stars*/**/*.parquet") if spark.read.parquet(f"file://{p}").count()]
+    for i, (k, starred) in enumerate(((key, True), (none, True), (key, False), (key, True))):
+        store.star({**k, "starred": starred})
+        assert len(written()) == i + 1 and all(spark.read.parquet(f"file://{p}").count() == 1 for p in written())
+    on = lambda: sorted(r["contig"] for r in K.starred(store.table("calls"), store.table("stars")).where("`annotations:starred`").collect())
+    assert on() == ["20", "KI270728"]
+    store.compact_stars()
+    assert on() == ["20", "KI270728"] and store._version("stars").count() == 2
+    store.star({**none, "starred": False})
+    assert on() == ["20"]
+    store.compact_stars()
+    store.compact_stars()
+    assert on() == ["20"] and [n for n, _ in store._star_logs()] == []
+
+
+def test_clients_get_views(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.create("users", {"username": "u", "email": "e"})
+    store.create("projects", {"name": "p"})
+    store.create("bams", {"project_name": "p", "uri": "b.bam", "resection_date": "2014"})
+    store.create("comments", {"vcf_id": 1, "comment_text": "x", "user_id": 1, "position": 4})
+    assert store.json("bams").first()["json"] == '{"id":1,"projectId":1,"name":null,"normal":null,"notes":null,"tissues":null,"resectionDate":"2014","uri":"b.bam"}'
+    assert '"user":{"id":1,"username":"u"}' in store.json("comments").first()["json"] and "email" not in store.json("comments").first()["json"]
+    assert store.shown("runs").columns[:3] == ["id", "project_id", "caller_name"] and "vcf_header" not in store.shown("runs").columns
+
+
+def test_task_events_in_any_order(spark, tmp_path):
+    """Batches of shuffled events, with a restart in between and one batch that comes twice."""
+    r, events = random.Random(2), []
+    for task in range(40):
+        states = ["STARTED", "RETRY", *r.sample(["SUCCESS", "FAILURE", "STARTED", "RETRY"], 3)]
+        events += [(str(task), s, datetime(2020, 1, 1) + timedelta(seconds=r.randrange(1000))) for s in states[: r.randint(1, 5)]]
+    r.shuffle(events)
+    schema, want = "task_id string, state string, at timestamp", {}
+    for task, state, at in sorted(events, key=lambda e: (e[2], e[1])):
+        if want.get(task) not in ("SUCCESS", "FAILURE"):
+            want[task] = state
+    cut = len(events) // 3
+    for n in range(3):
+        part = events[n * cut : (n + 1) * cut if n < 2 else None]
+        spark.createDataFrame(part + (events[:5] if n else []), schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in")
+        follow_tasks(stream, f"file://{tmp_path}/ledger", f"file://{tmp_path}/checkpoint").awaitTermination()
+    rows = spark.read.schema(schema).parquet(f"file://{tmp_path}/ledger")
+    assert {x["task_id"]: x["state"] for x in K.ledger(rows.unionByName(rows)).collect()} == want
+    assert {x["task_id"]: x["state"] for x in K.ledger(spark.createDataFrame(events, schema)).collect()} == want

@@ -142,6 +142,12 @@ def rename_keys(df, convert=camel_case):
     return df.select(*[cell(f.name).cast(_renamed(f.dataType, convert)).alias(convert(f.name)) for f in df.schema.fields])
 
 
+def json_rows(df, convert=camel_case):
+    """One column `json`: each row as JSON text with names in the other case; nulls are written."""
+    renamed = rename_keys(df, convert)
+    return renamed.select(F.to_json(F.struct(*[cell(c) for c in renamed.columns]), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def count_text(n: Column) -> Column:
     """A count with commas between thousands."""
     return F.format_number(n, 0)

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions import cell
+from varloom.operators.calls import same
 from varloom.schema import ANNOTATIONS, RECORD_KEY
 
 #: Bases in a bin of the interval join.
@@ -29,5 +30,5 @@ def annotations(calls: DataFrame, genes: DataFrame, bin_size: int = BIN) -> Data
 def annotated(calls: DataFrame, found: DataFrame) -> DataFrame:
     """The calls with new annotations where there are any, else their old ones."""
     new = found.select(*[F.col(c).alias(f"_{c}") for c in RECORD_KEY], *[cell(c).alias(f"_{c}") for c in ANNOTATIONS])
-    rows = calls.join(new, [calls[c] == new[f"_{c}"] for c in RECORD_KEY], "left")
+    rows = calls.join(new, same(calls, new, RECORD_KEY, "_"), "left")
     return rows.select(*[F.coalesce(cell(f"_{c}"), cell(c)).alias(c) if c in ANNOTATIONS else cell(c) for c in calls.columns])

@@ -3,13 +3,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varloom.folders import shared_folder
 from varloom.functions import cell, contig_order, literal, ratio, typed
 from varloom.plans.query import Filter, Query, Range
-from varloom.schema import CALL_KEY, RECORD_KEY
+from varloom.schema import CALL_ID, CALL_KEY, NULLABLE, RECORD_KEY
 
 TRUE_POSITIVE = "tag:true-positive"
 
@@ -85,13 +85,24 @@ def truth_calls(calls: DataFrame, query: Query) -> DataFrame:
     return where_all(in_range(run_calls(calls, query.truth), query.range), query.truth_filters(), query.types)
 
 
+def same(left: DataFrame, right: DataFrame, names: tuple[str, ...], prefix: str = "") -> Column:
+    """Whether rows have one key; `right` has its columns under the prefix.  A missing reference or alternate equals itself."""
+    equal = lambda c: left[c].eqNullSafe(right[prefix + c]) if c in NULLABLE else left[c] == right[prefix + c]
+    return reduce(lambda a, b: a & b, [equal(c) for c in names])
+
+
+def call_key(calls: DataFrame) -> tuple[str, ...]:
+    """What tells calls apart: one text where the table has it, which spares a bucketed table the exchange, else their parts."""
+    return (CALL_ID,) if CALL_ID in calls.columns else CALL_KEY
+
+
 def compared(calls: DataFrame, run: int, query: Query) -> DataFrame:
     """The run's calls with the tag whether the truth run has the same call; repeated truth calls repeat rows."""
+    key = call_key(calls)
     left = filtered(calls, run, query)
-    right = run_calls(calls, query.truth).select(*[F.col(c).alias(f"t_{c}") for c in CALL_KEY])
-    on = [left[c] == right[f"t_{c}"] for c in CALL_KEY]
-    rows = left.join(right, on, "left")
-    return rows.withColumn(TRUE_POSITIVE, F.col("t_contig").isNotNull()).drop(*[f"t_{c}" for c in CALL_KEY])
+    right = run_calls(calls, query.truth).select(*[F.col(c).alias(f"t_{c}") for c in key])
+    rows = left.join(right, same(left, right, key, "t_"), "left")
+    return rows.withColumn(TRUE_POSITIVE, F.col(f"t_{key[0]}").isNotNull()).drop(*right.columns)
 
 
 def query_calls(calls: DataFrame, run: int, query: Query, natural_desc: bool = False) -> DataFrame:
@@ -101,8 +112,11 @@ def query_calls(calls: DataFrame, run: int, query: Query, natural_desc: bool = F
 
 
 def true_positives(calls: DataFrame, run: int, query: Query) -> DataFrame:
-    right = truth_calls(calls, query).select(*CALL_KEY)
-    return filtered(calls, run, query).join(right, list(CALL_KEY))
+    """The run's calls that the truth run has too, once for each time that it has them."""
+    key = call_key(calls)
+    left = filtered(calls, run, query)
+    right = truth_calls(calls, query).select(*[F.col(c).alias(f"t_{c}") for c in key])
+    return left.join(right, same(left, right, key, "t_")).drop(*right.columns)
 
 
 def statistics(calls: DataFrame, run: int, query: Query) -> DataFrame:
@@ -142,7 +156,7 @@ def record_closure(calls: DataFrame, run: int, query: Query) -> DataFrame:
     """All samples' calls of every record of which one call matches; null parts of the key are equal."""
     keys = filtered(calls, run, query).select(*[F.col(c).alias(f"k_{c}") for c in RECORD_KEY]).distinct()
     rows = run_calls(calls, run)
-    return rows.join(keys, reduce(lambda a, b: a & b, [rows[c].eqNullSafe(keys[f"k_{c}"]) for c in RECORD_KEY]), "left_semi")
+    return rows.join(keys, same(rows, keys, RECORD_KEY, "k_"), "left_semi")
 
 
 def export_order(df: DataFrame, *ties: str) -> DataFrame:
@@ -154,14 +168,18 @@ def with_places(ordered: DataFrame) -> DataFrame:
     """All rows of an ordered frame with their places, from 1: the row's number in its range of the order, after the
     rows of the ranges before.  The driver gets one count for each range.
 
-    The ordered rows are kept on the executors' disks, so that counts and rows are of the same ranges.
+    The ordered rows are written to a shared folder, so that counts and rows are of the same ranges whatever becomes of an
+    executor; the folder goes when the session ends.
     """
-    kept = ordered.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)).persist(StorageLevel.DISK_ONLY)
+    spark, path = ordered.sparkSession, shared_folder(ordered.sparkSession, "places")
+    numbered = ordered.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33))
+    numbered.write.parquet(path)
+    kept = spark.read.schema(numbered.schema).parquet(path)
     offsets, before = [], 0
     for r in sorted(kept.groupBy("_range").count().collect()):
         offsets.append((r["_range"], before))
         before += r["count"]
-    first = ordered.sparkSession.createDataFrame(offsets, "_range long, _before long")
+    first = spark.createDataFrame(offsets, "_range long, _before long")
     place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return kept.join(F.broadcast(first), "_range").withColumn("place", place).drop("_range", "_at", "_before")
 

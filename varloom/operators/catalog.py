@@ -8,9 +8,11 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from varloom.functions import epoch_seconds, row_key, task_label
-from varloom.schema import CALL_KEY, STARRED
+from varloom.operators.calls import same
+from varloom.schema import CALL_KEY, STARRED, STARS
 
 
 class NotFound(LookupError):
@@ -109,8 +111,9 @@ def comments_by_row(comments: DataFrame, run: int) -> DataFrame:
 
 
 def calls_with_comments(calls: DataFrame, comments: DataFrame) -> DataFrame:
-    found = comments.groupBy("vcf_id", *CALL_KEY).agg(F.array_sort(F.collect_list(F.struct("created", "id", "comment_text"))).alias("comments"))
-    return calls.join(found, ["vcf_id", *CALL_KEY], "left")
+    key = ("vcf_id", *CALL_KEY)
+    found = comments.groupBy(*[F.col(c).alias(f"c_{c}") for c in key]).agg(F.array_sort(F.collect_list(F.struct("created", "id", "comment_text"))).alias("comments"))
+    return calls.join(found, same(calls, found, key, "c_"), "left").drop(*[f"c_{c}" for c in key])
 
 
 def latest(table: DataFrame, n: int = 5, by: str = "created") -> DataFrame:
@@ -184,24 +187,35 @@ def comment_updated(comments: DataFrame, key: int, text: str, last_modified, now
 # stars: a table of events, the latest of a call counts
 
 
-def star_event(calls: DataFrame, stars: DataFrame, values: Mapping, at) -> DataFrame:
-    """The events with one more; the call must exist."""
+def star_row(calls: DataFrame, values: Mapping, at, seq: int) -> DataFrame:
+    """One event; the call must exist."""
     row = calls.where(F.col("vcf_id") == values["vcf_id"])
     for name in CALL_KEY:
         row = row.where(F.col(name).eqNullSafe(F.lit(values[name])))
     if row.isEmpty():
         raise NotFound("no such call")
+    fields = {**values, "at": at, "seq": seq}
+    return calls.sparkSession.range(1).select(*[F.lit(fields.get(f.name)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(STARS).fields])
+
+
+def star_event(calls: DataFrame, stars: DataFrame, values: Mapping, at) -> DataFrame:
+    """The events with one more; the call must exist."""
     last = stars.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("n")).first()["n"]
-    fields = {**values, "at": at, "seq": last + 1}
-    one = stars.sparkSession.range(1).select(*[F.lit(fields.get(f.name)).cast(f.dataType).alias(f.name) for f in stars.schema.fields])
-    return stars.unionByName(one)
+    return stars.unionByName(star_row(calls, values, at, last + 1))
+
+
+def latest_stars(events: DataFrame) -> DataFrame:
+    """The latest event of each call."""
+    key = ["vcf_id", *CALL_KEY]
+    found = events.groupBy(*key).agg(F.max_by(F.struct("starred", "at", "seq"), F.struct("at", "seq")).alias("e"))
+    return found.select(*key, "e.starred", "e.at", "e.seq")
 
 
 def starred(calls: DataFrame, stars: DataFrame) -> DataFrame:
     """Calls with their star: the latest event, else what the table has, else false."""
     key = ["vcf_id", *CALL_KEY]
     now = stars.groupBy(*key).agg(F.max_by("starred", F.struct("at", "seq")).alias("_star"))
-    rows = calls.join(now, [calls[c].eqNullSafe(now[c]) for c in key], "left").drop(*[now[c] for c in key])
+    rows = calls.join(now, same(calls, now, tuple(key)), "left").drop(*[now[c] for c in key])
     old = F.col(f"`{STARRED}`") if STARRED in calls.columns else F.lit(None).cast("boolean")
     return rows.withColumn(STARRED, F.coalesce("_star", old, F.lit(False))).drop("_star")
 
@@ -218,6 +232,16 @@ def without_tasks(tasks: DataFrame, run: int) -> DataFrame:
     return tasks.where(~F.col("vcf_id").eqNullSafe(run))
 
 
+def ledger(events: DataFrame) -> DataFrame:
+    """(task_id, state, at) from events (task_id, state, at), in whatever order they come: the first terminal state of a task
+    stays, and before there is one its latest counts.  Equal times go by the state's name.  For tables and for streams."""
+    terminal = F.col("state").isin("SUCCESS", "FAILURE")
+    order = F.struct("at", "state")
+    rows = events.groupBy("task_id").agg(F.min(F.when(terminal, order)).alias("end"), F.max(order).alias("last"))
+    now = F.coalesce("end", "last")
+    return rows.select("task_id", now["state"].alias("state"), now["at"].alias("at"))
+
+
 def refreshed(tasks: DataFrame, states: DataFrame) -> DataFrame:
     """The table with the latest `states` (task_id, state) of its unfinished tasks; others stay as they are."""
     new = states.select("task_id", F.col("state").alias("_state"))

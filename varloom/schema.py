@@ -26,6 +26,10 @@ EXTANT_CANDIDATES = [*INFO_COLUMNS, *SAMPLE_COLUMNS, *ANNOTATIONS]
 #: A record, a sample's call, and their keys.
 RECORD_KEY = ("contig", "position", "reference", "alternates")
 CALL_KEY = (*RECORD_KEY, "sample_name")
+#: A call's key as one text, where a table has it.
+CALL_ID = "call_id"
+#: Parts of a key that may be missing in a file (`.`), and then are equal to each other.
+NULLABLE = ("reference", "alternates")
 
 _TYPES = {"vcf_id": T.LongType(), "position": T.IntegerType(), STARRED: T.BooleanType()}
 CALLS = T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in (*CORE, *ANNOTATIONS, STARRED, *INFO_COLUMNS, *SAMPLE_COLUMNS)])

@@ -81,18 +81,18 @@ def query_types(header: list[str]) -> dict[str, str]:
 def spec(spark: SparkSession, header: list[str], extant: list[str]) -> DataFrame:
     """One row per column to show: declared fields that are extant, the sample's name and the annotations.
 
-    (supercolumn, subcolumn, column_name, path, type, number, description, ord)
+    (supercolumn, subcolumn, column_name, path, type, number, description, sortable, ord)
     """
     there, rows = set(extant), []
     for f in fields(header):
         if f.column in there:
             top = "INFO" if f.group == "INFO" else "SAMPLE"
-            rows.append((top, f.name, f.column, [top, f.name], f.type.lower(), f.number, f.description))
-    rows.append(("SAMPLE", "name", "sample_name", ["SAMPLE", "name"], "string", "1", "Sample Name"))
+            rows.append((top, f.name, f.column, [top, f.name], f.type.lower(), f.number, f.description, sortable(f, True)))
+    rows.append(("SAMPLE", "name", "sample_name", ["SAMPLE", "name"], "string", "1", "Sample Name", False))
     for c in ANNOTATIONS:
         if c in there:
-            rows.append(("annotations", c.partition(":")[2], c, c.split(":"), "string", "1", ""))
-    schema = "supercolumn string, subcolumn string, column_name string, path array<string>, type string, number string, description string, ord int"
+            rows.append(("annotations", c.partition(":")[2], c, c.split(":"), "string", "1", "", False))
+    schema = "supercolumn string, subcolumn string, column_name string, path array<string>, type string, number string, description string, sortable boolean, ord int"
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema)
 
 

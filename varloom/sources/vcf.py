@@ -1,10 +1,12 @@
 """Reading VCF text as calls: one row for each record and sample, cells as text.  All native; files are split as text is."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.folders import path_of
+from varloom.functions import cell
 from varloom.schema import CALLS, EXTANT_CANDIDATES
 from varloom.sources import header as H
 
@@ -35,31 +37,36 @@ def read_vcf(spark: SparkSession, path: str, vcf_id: int, header: list[str] | No
     header = header or H.read_header(spark, path)
     names = H.samples(header)
     declared = [f for f in H.fields(header) if H.known(f)]
-    parts = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", "\t").alias("p"))
+    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    return calls_of_lines(lines, vcf_id, names, declared)
+
+
+def calls_of_lines(lines: DataFrame, vcf_id: int, names: list[str], declared: list[H.Field]) -> DataFrame:
+    """Calls of record lines (column `value`): a record's own parts are read once, then it is repeated for its samples."""
     at = lambda i: F.get(F.col("p"), F.lit(i))
-    rows = parts.select(
-        at(0).alias("contig"), at(1).try_cast("int").alias("position"), _text(at(2)).alias("id"), at(3).alias("reference"),
-        _text(at(4)).alias("alternates"), _text(at(5)).alias("quality"),
-        F.when(at(6) != "PASS", F.replace(_text(at(6)), F.lit(";"), F.lit(","))).alias("filters"),
-        F.split(at(7), ";").alias("info"), F.split(at(8), ":").alias("keys"),
-        F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("sample_name"), F.slice("p", H.FIXED + 1, len(names)).alias("cell"))).alias("s"),
-    )
-    rows = rows.withColumn("cells", F.split("s.cell", ":"))
-    cells = {}
+    own = {}
     for f in declared:
         if f.group == "INFO":
             # of a key that is repeated the last one counts
-            own = F.try_element_at(F.filter("info", _has_key(f.name)), F.lit(-1))
+            entry = F.try_element_at(F.filter("info", _has_key(f.name)), F.lit(-1))
             if f.type.lower() == "flag":
-                cells[f.column] = F.when(own.isNotNull(), F.lit("True"))
+                own[f.column] = F.when(entry.isNotNull(), F.lit("True"))
             else:
-                cells[f.column] = _list(_text(F.when(own.contains("="), F.substr(own, F.lit(len(f.name) + 2)))), f)
-        else:
-            place = F.array_position("keys", f.name).cast("int") - 1
-            cells[f.column] = _list(_text(F.get("cells", place)), f)
-    fixed = {"vcf_id": F.lit(vcf_id).cast("long"), "sample_name": F.col("s.sample_name")}
-    core = {"contig", "position", "id", "reference", "alternates", "quality", "filters"}
-    return rows.select(*[(F.col(f.name) if f.name in core else fixed.get(f.name, cells.get(f.name, F.lit(None)))).cast(f.dataType).alias(f.name) for f in CALLS.fields])
+                own[f.column] = _list(_text(F.when(entry.contains("="), F.substr(entry, F.lit(len(f.name) + 2)))), f)
+    records = lines.select(F.split("value", "\t").alias("p")).select("p", F.split(at(7), ";").alias("info")).select(
+        at(0).alias("contig"), at(1).try_cast("int").alias("position"), _text(at(2)).alias("id"), at(3).alias("reference"),
+        _text(at(4)).alias("alternates"), _text(at(5)).alias("quality"),
+        F.when(at(6) != "PASS", F.replace(_text(at(6)), F.lit(";"), F.lit(","))).alias("filters"),
+        *[c.alias(n) for n, c in own.items()], F.split(at(8), ":").alias("keys"),
+        F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("sample_name"), F.slice("p", H.FIXED + 1, len(names)).alias("cell")).alias("samples"),
+    )
+    rows = records.withColumn("s", F.explode("samples")).withColumn("cells", F.split("s.cell", ":"))
+    cells = {"vcf_id": F.lit(vcf_id), "sample_name": F.col("s.sample_name")}
+    for f in declared:
+        if f.group == "FORMAT":
+            cells[f.column] = _list(_text(F.get("cells", F.array_position("keys", f.name).cast("int") - 1)), f)
+    there = set(records.columns)
+    return rows.select(*[cells.get(f.name, cell(f.name) if f.name in there else F.lit(None)).cast(f.dataType).alias(f.name) for f in CALLS.fields])
 
 
 def ingest(spark: SparkSession, path: str, vcf_id: int, table: str, header: list[str] | None = None) -> dict:
@@ -67,21 +74,37 @@ def ingest(spark: SparkSession, path: str, vcf_id: int, table: str, header: list
 
     The header is that of the file, or given for files without one.
     """
-    from varloom.operators.calls import extant_columns
-
     header = header or H.read_header(spark, path)
-    calls = read_vcf(spark, path, vcf_id, header)
-    facts = {"vcf_header": "\n".join(header), "vcf_release": H.release_of(header), "extant_columns": [], "genotype_count": 0}
-    if calls.isEmpty():
+    seen = Observation()
+    # position ranges skip row groups of sorted files
+    write_run(observed(read_vcf(spark, path, vcf_id, header), seen), table)
+    found = facts(seen)
+    if not found["genotype_count"]:
         # overwriting touches only partitions that the new rows have
         old, files = path_of(spark, f"{table}/vcf_id={vcf_id}")
         files.delete(old, True)
-        return facts
-    # position ranges skip row groups of sorted files
+    return {"vcf_header": "\n".join(header), "vcf_release": H.release_of(header), **found}
+
+
+def observed(calls: DataFrame, seen: Observation) -> DataFrame:
+    """The calls of one run; once they have been written, `seen` has what runs record of them.  They are read only once."""
+    there = [F.bool_or(cell(c).isNotNull()).alias(c) for c in EXTANT_CANDIDATES]
+    return calls.observe(seen, F.count("*").alias("genotype_count"), *there)
+
+
+def facts(seen: Observation) -> dict:
+    try:
+        found = seen.get
+    except Py4JJavaError:
+        # a plan that turns out to have no rows leaves out what observes them
+        return {"extant_columns": [], "genotype_count": 0}
+    return {"extant_columns": [c for c in EXTANT_CANDIDATES if found[c]], "genotype_count": found["genotype_count"]}
+
+
+def write_run(calls: DataFrame, table: str) -> None:
+    """Writes a run's calls as its partition, in place of what it was, sorted within files."""
     ordered = calls.sortWithinPartitions("contig", "position")
     ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("vcf_id").parquet(table)
-    found = extant_columns(read_table(spark, table).where(F.col("vcf_id") == vcf_id), EXTANT_CANDIDATES).first()
-    return {**facts, "extant_columns": list(found["extant_columns"]), "genotype_count": found["genotype_count"]}
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varloom.folders import path_of, shared_folder
 from varloom.functions import cell, vcf_cell
 from varloom.schema import RECORD_KEY
 from varloom.sources import header as H
@@ -57,3 +58,45 @@ def export_lines(calls: DataFrame, header: list[str], extant: list[str]) -> Data
 def export_vcf(calls: DataFrame, header: list[str], extant: list[str], path: str) -> None:
     """Writes text files whose names sort in the file's order; a folder that exists is an error."""
     export_lines(calls, header, extant).write.mode("errorifexists").text(path)
+
+
+def export_file(calls: DataFrame, header: list[str], extant: list[str], path: str) -> None:
+    """One file with the header and all records in the order of export; a file that exists is an error."""
+    write_one(export_lines(calls, header, extant), path)
+
+
+def write_one(lines: DataFrame, path: str) -> None:
+    """Ordered lines (column `value`) as one text file: tasks write parts of it, which the file system then joins in order.
+
+    Where it can, it joins them without moving a byte; elsewhere their bytes are copied one after the other, some at a time.
+    The file has its name only when it is whole.
+    """
+    spark = lines.sparkSession
+    target, fs = path_of(spark, path)
+    if fs.exists(target):
+        raise FileExistsError(path)
+    parts, _ = path_of(spark, shared_folder(spark, "parts") if fs.getScheme() == "file" else f"{path}.parts")
+    lines.select("value").write.text(str(parts))
+    names = sorted(str(s.getPath()) for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-") and s.getLen())
+    whole, _ = path_of(spark, f"{path}.writing")
+    try:
+        if fs.getScheme() == "hdfs" and names:
+            first, *rest = [path_of(spark, n)[0] for n in names]
+            fs.rename(first, whole)
+            if rest:
+                gateway = spark.sparkContext._gateway
+                array = gateway.new_array(gateway.jvm.org.apache.hadoop.fs.Path, len(rest))
+                for i, p in enumerate(rest):
+                    array[i] = p
+                fs.concat(whole, array)
+        else:
+            out = fs.create(whole, True)
+            for n in names:
+                part = fs.open(path_of(spark, n)[0])
+                spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                part.close()
+            out.close()
+        if not fs.rename(whole, target):
+            raise FileExistsError(path)
+    finally:
+        fs.delete(parts, True)

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from varloom.operators.catalog import ledger
 from varloom.schema import CALL_KEY
 from varloom.sources.vcf import ingest
 
@@ -29,6 +30,18 @@ def watch_folder(spark: SparkSession, folder: str, table: str, checkpoint: str,
     return source.select("path").writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def follow_tasks(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the state of each task of a stream of events (task_id, state, at): see `catalog.ledger`.
+
+    Each batch appends only the tasks that it changed.  Its rows are events themselves, so `catalog.ledger` of the table is the
+    state of all tasks, and a batch that is written twice changes nothing.
+    """
+    def each(batch: DataFrame, _: int) -> None:
+        batch.write.mode("append").parquet(table)
+
+    return ledger(events).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def latest_stars(events: DataFrame) -> DataFrame:
     """The star of each call, by its latest event; for streams (complete or update mode) and for tables."""
     return events.groupBy("vcf_id", *CALL_KEY).agg(F.max_by("starred", F.struct("at", "seq")).alias("starred"))
