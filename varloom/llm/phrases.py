@@ -39,11 +39,13 @@ NO_LANG = "und"
 
 #: Words in a block, and bytes of text that become words at a time.
 BLOCK_WORDS = 8 << 20
-CHUNK = 8 << 20
+CHUNK = 4 << 20
+#: Words of a block whose occurrences are sorted and counted together.
+SLICE = 1 << 20
 #: Occurrences of a prefix beyond which its next word divides it, of a task's prefixes together, and prefixes of one length
 #: that may be divided.
-SPLIT = 1_000_000
-TASK_WORDS = 2_000_000
+SPLIT = 500_000
+TASK_WORDS = 1_000_000
 MOST_HOT = 4_000_000
 
 #: 0xFF is no byte of any text: it marks an end.
@@ -148,12 +150,15 @@ def counted(k1: np.ndarray, k2: np.ndarray, m: np.ndarray) -> tuple[np.ndarray,
 
 
 def projected(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences of all prefixes that a frequent word follows: (first, second), (third, fourth) words, and how many."""
-    seq = np.concatenate([ids, np.zeros(MOST_WORDS - 1, ids.dtype)])
-    a, b, c, d = (seq[i : len(ids) + i] for i in range(MOST_WORDS))
+    """Occurrences of all prefixes that a frequent word follows: (first, second), (third, fourth) words, and how many.
+
+    The last MOST_WORDS - 1 numbers begin no prefix: they are those after the slice, or zeros.
+    """
+    n = len(ids) - MOST_WORDS + 1
+    a, b, c, d = (ids[i : n + i] for i in range(MOST_WORDS))
     at = np.flatnonzero((a > 0) & (b > 0))
     k1, k2 = packed(a[at], b[at]), packed(c[at], np.where(c[at] > 0, d[at], 0))
-    del seq, a, b, c, d
+    del a, b, c, d
     return counted(k1, k2, np.ones(len(at), np.int64))
 
 
@@ -167,7 +172,7 @@ def of_blob(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def projections(blocks: DataFrame, entries: DataFrame, words: DataFrame) -> DataFrame:
-    """(n, data): each block's sorted and counted occurrences."""
+    """(n, data): the sorted and counted occurrences of each slice of a block."""
     known = entries.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("nth", "id")).alias("k"))
     rows = blocks.select("block", "ids").join(known, "block").select("ids", F.col("k.nth").alias("nth"), F.col("k.id").alias("id"))
 
@@ -178,9 +183,12 @@ def projections(blocks: DataFrame, entries: DataFrame, words: DataFrame) -> Data
                 local = of_planes(data, len(data) // 4, 4, 0).astype(np.int32)
                 number = np.zeros(local.max(initial=0) + 1, np.uint32)
                 number[batch.column("nth")[i].values.to_numpy()] = batch.column("id")[i].values.to_numpy()
-                k1, k2, m = projected(number[local])
-                if len(m):
-                    yield pa.RecordBatch.from_arrays([pa.array([len(m)], pa.int64()), pa.array([to_blob(k1, k2, m)], pa.binary())], names=["n", "data"])
+                ids = np.concatenate([number[local], np.zeros(MOST_WORDS - 1, np.uint32)])
+                del data, local
+                for at in range(0, len(ids) - MOST_WORDS + 1, SLICE):
+                    k1, k2, m = projected(ids[at : at + SLICE + MOST_WORDS - 1])
+                    if len(m):
+                        yield pa.RecordBatch.from_arrays([pa.array([len(m)], pa.int64()), pa.array([to_blob(k1, k2, m)], pa.binary())], names=["n", "data"])
 
     return rows.mapInArrow(run, "n long, data binary")
 
@@ -299,6 +307,7 @@ def frequent_phrases(rows: DataFrame, single: np.ndarray, tasks: int, split: int
     def run(table: pa.Table) -> pa.Table:
         parts = [of_blob(d, n) for n, d in zip(table.column("n").to_pylist(), table.column("data").to_pylist())]
         k1, k2, m = counted(*(np.concatenate(x) for x in zip(*parts)))
+        del parts
         words, out = [*_unpacked(k1), *_unpacked(k2)], []
         grow(words, m, (), 0, len(m), least, out)
         two, three = sent.value
