@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -204,6 +205,25 @@ def test_patterns_take_linear_time(models):
     pii.all_spans(models, ["+1" + x * (300_000 // len(x)) for x in hard])
 
 
+def test_many_spans_take_linear_time(models):
+    """10 MB of telephone numbers, mail addresses and other candidates: base spans and candidates are found by bisection."""
+    line = "call +1 (743) 555-3824 or 5553824, mail jo@x.org\n"
+    text = line * (10_000_000 // len(line))
+    base = pii.base_spans(text)
+    taken = pii._Taken(base)
+    began = time.perf_counter()
+    found = sum(taken.free(a, a + 9) for a in range(0, len(text), 20))
+    assert len(base) > 200_000 and 0 < found < len(text) // 20 and time.perf_counter() - began < 10
+    small = line * 200
+    want_base, want = pii.all_spans(models, [small])
+    assert all(b <= a for (_, _, b), (a, _, _) in zip(want[0], want[0][1:])) and set(want_base[0]) <= set(want[0])
+    began = time.perf_counter()
+    base, every = pii.all_spans(models, [line * 8000])
+    took = time.perf_counter() - began
+    print(f"{8000 * len(line)} characters with {len(every[0])} spans: {took:.1f} s")
+    assert len(every[0]) == 40 * len(want[0]) and took < 60
+
+
 @pytest.mark.parametrize("block", [decontam.BLOCK_WORDS, 30])
 def test_items_without_an_id_count_for_hits(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr(decontam, "BLOCK_WORDS", block)

@@ -22,12 +22,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from varloom.llm.base import map_texts
 
@@ -432,8 +435,9 @@ def examples(rows: int = TRAIN_ROWS, seed: int = SEED) -> tuple[np.ndarray, np.n
     return np.array(x), np.array(kinds), np.array(y)
 
 
+@cache
 def train(rows: int = TRAIN_ROWS, seed: int = SEED) -> list[Trees]:
-    """Trees of each kind."""
+    """Trees of each kind; a process makes them once, as they are the same every time."""
     x, kinds, y = examples(rows, seed)
     models, fits = [], np.arange(len(y)) < len(y) // 2
     for k in range(len(KINDS)):
@@ -453,10 +457,37 @@ def train(rows: int = TRAIN_ROWS, seed: int = SEED) -> list[Trees]:
 # texts
 
 
+class _Taken:
+    """Places of a text that spans cover, as sorted parts without overlaps: whether a span is free takes one bisection."""
+
+    def __init__(self, spans: list[tuple[int, int, int]] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, _, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i == 0 or self.ends[i - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        """Adds a span that is free."""
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 def judged(models: list[Trees], texts: list[str]) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, tuple[int, int, int], float]]]:
     """(base spans of each text, candidates that overlap none of them as (text, candidate, probability))."""
     base = [base_spans(t) for t in texts]
-    proposed = [(i, c) for i, t in enumerate(texts) for c in candidates(t) if all(c[2] <= s or e <= c[0] for s, _, e in base[i])]
+    proposed = []
+    for i, t in enumerate(texts):
+        taken = _Taken(base[i])
+        proposed += [(i, c) for c in candidates(t) if taken.free(c[0], c[2])]
     if not proposed:
         return base, []
     kinds = np.array([c[1] for _, c in proposed])
@@ -472,9 +503,9 @@ def all_spans(models: list[Trees], texts: list[str]) -> tuple[list[list[tuple[in
     base, scored = judged(models, texts)
     out, taken = [list(b) for b in base], {}
     for i, c, p in sorted((s for s in scored if s[2] >= models[s[1][1]].threshold), key=lambda s: (-s[2], s[0], s[1])):
-        own = taken.setdefault(i, [])
-        if all(c[2] <= s or e <= c[0] for s, _, e in own):
-            own.append(c)
+        own = taken.setdefault(i, _Taken())
+        if own.free(c[0], c[2]):
+            own.add(c[0], c[2])
             out[i].append(c)
     return base, [sorted(o) for o in out]
 
@@ -527,7 +558,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         return work
 
-    from pyspark.sql import functions as F
-
-    rows = map_texts(docs, make, "_redacted string", text_col)
-    return rows.select(*[F.when(F.col(f"`{c}`").isNotNull(), F.col("_redacted")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    # all columns travel in one struct, whatever their names
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text_col}`").alias("_text"))
+    rows = map_texts(packed, make, "_redacted string", "_text", True)
+    own = F.col("_doc").getField
+    return rows.select(*[F.when(own(c).isNotNull(), F.col("_redacted")).alias(c) if c == text_col else own(c).alias(c) for c in docs.columns])
