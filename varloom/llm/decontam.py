@@ -168,7 +168,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "ite
 def _in_blocks(docs, first, second, blocks, text_col, drop_text) -> DataFrame:
     """The same with several blocks of items: the hits of each block by row, brought together by row."""
     spark = docs.sparkSession
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-rows")
+    # all columns travel in one struct, whatever their names
+    keyed = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "decontam-rows")
+    own = F.col("_doc").getField
     parts = []
 
     def hits(search) -> DataFrame:
@@ -185,7 +187,7 @@ def _in_blocks(docs, first, second, blocks, text_col, drop_text) -> DataFrame:
 
             return work
 
-        return map_texts(keyed.select("_row", F.col(text_col).alias("text")), make, "_spans array<int>, _items array<string>", "text", True).where("size(_spans) > 0")
+        return map_texts(keyed.select("_row", own(text_col).alias("text")), make, "_spans array<int>, _items array<string>", "text", True).where("size(_spans) > 0")
 
     parts.append(written(hits(first), "decontam-hits"))
     block = second
@@ -199,21 +201,20 @@ def _in_blocks(docs, first, second, blocks, text_col, drop_text) -> DataFrame:
         every = every.unionByName(p)
     found = every.groupBy("_row").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))
     new = [f.split()[0] for f in RESULT.split(", ")]
-    both = keyed.drop(*[n for n in new if n != text_col]).join(found, "_row", "left")
+    both = keyed.join(found, "_row", "left").select("_doc", own(text_col).alias("text"), "_spans", "_items")
 
     def judge(batches):
         import pyarrow as pa
 
         for b in batches:
             rows = []
-            for t, s, i in zip(b.column(text_col).to_pylist(), b.column("_spans").to_pylist(), b.column("_items").to_pylist()):
+            for t, s, i in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), b.column("_items").to_pylist()):
                 n = len(text_words(t))
                 s = s or []
                 rows.append((n, *_judged(n, _union(list(zip(s[::2], s[1::2]))), set(i or []))))
-            kept = [(c, b.column(c)) for c in b.schema.names if c not in ("_row", "_spans", "_items") and not (drop_text and c == text_col)]
             made = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([a for _, a in kept] + made, names=[c for c, _ in kept] + new)
+            yield pa.RecordBatch.from_arrays([b.column("_doc"), *made], names=["_doc", *new])
 
-    kept_fields = [f for f in both.schema.fields if f.name not in ("_row", "_spans", "_items") and not (drop_text and f.name == text_col)]
-    shape = StructType(kept_fields + StructType.fromDDL(RESULT).fields)
-    return both.mapInArrow(judge, shape)
+    judged = both.mapInArrow(judge, StructType([both.schema["_doc"], *StructType.fromDDL(RESULT).fields]))
+    kept = [c for c in docs.columns if not (c == text_col and drop_text) and (c not in new or c == text_col)]
+    return judged.select(*[own(c).alias(c) for c in kept], *new)
