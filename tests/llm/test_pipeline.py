@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.llm.test_groups import close, groups, near_copies, plain_fingerprint
 from tests.llm.test_text_rules import TEXTS, plain_spans
+from varloom.llm import decontam
 
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my nu xi omicron"
 
@@ -90,6 +91,19 @@ def test_stages(spark, tmp_path):
         assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_columns_keep_their_values_whatever_their_names(spark, tmp_path, monkeypatch):
+    """Each stage on its own leaves columns alone that have the names which operators use inside."""
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 100)
+    inner = ["_row_key", "_row_name", "_redacted", "_row", "_doc", "_text", "_spans", "_items", "_q", "fp", "spans", "contaminated", "node"]
+    rows = [(i, t, *[f"{c}{i}" for c in inner]) for i, t in enumerate(r[1] for r in documents())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in inner))
+    spark.createDataFrame([(f"b{i}", ITEM + f" x{i}") for i in range(40)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        assert out.columns == docs.columns and got and all([r[c] for c in inner] == [f"{c}{r['doc_id']}" for c in inner] for r in got), name
+
+
 def test_run_and_empty_documents(spark, tmp_path):
     docs = spark.createDataFrame(documents(), SCHEMA)
     for name, frame in (("some", docs), ("none", docs.limit(0))):

@@ -197,10 +197,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     best = group.groupBy("group_fp").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row_key").alias("key"), F.col("_row_name").alias("name"))).alias("b"))
     kept = written(best.select(F.col("b.name").alias("_row_name"), F.col("b.key").alias("_row_key")).distinct(), "simhash-kept")
     keys = ["_row_name", "_row_key"]
-    rows = docs.withColumns({"_row_key": key, "_row_name": name}).join(kept, keys, "left_semi")
+    # all columns travel in one struct, whatever their names
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), key.alias("_row_key"), name.alias("_row_name"))
+    rows = packed.join(kept, keys, "left_semi")
     if not marked.groupBy(*keys).count().where("count > 1").join(kept, keys, "left_semi").isEmpty():
         rows = rows.dropDuplicates(keys)
-    return rows.select(*[f"`{c}`" for c in docs.columns])
+    return rows.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
 def grouped(marked: DataFrame, id_col: str, radius: int = RADIUS) -> DataFrame:
