@@ -194,10 +194,10 @@ def _effects(s: SparkSession, d: str) -> DataFrame:
 
 # small tables as clients get them, and tasks by their events
 
-_MOMENT = f"SELECT user_id AS task_id, {P.STATE_SQL} AS state, ts AS at FROM events"
+_MOMENT = f"SELECT user_id AS task_id, {P.STATE_SQL} AS state, ts AS moment FROM events"
 
 
-@_add("tasks_ledger", f"""SELECT task_id, coalesce(arg_min(state, (at, state)) FILTER (WHERE state IN ('SUCCESS', 'FAILURE')), arg_max(state, (at, state))) AS state FROM ({_MOMENT}) GROUP BY 1""")
+@_add("tasks_ledger", f"""SELECT task_id, coalesce(arg_min(state, (moment, state)) FILTER (WHERE state IN ('SUCCESS', 'FAILURE')), arg_max(state, (moment, state))) AS state FROM ({_MOMENT}) GROUP BY 1""")
 def _ledger(s: SparkSession, d: str) -> DataFrame:
     """The first terminal state of each task, else its latest."""
     events = P.tasks(s, d).join(P.table(s, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at")), "id")
@@ -236,8 +236,8 @@ _TYPED = ("grn mt", "lace", "qzx", "e")
 
 @_add("fuzzy_values", """WITH v AS (SELECT DISTINCT p_name AS value FROM part), t AS (SELECT * FROM (VALUES """ + ", ".join(f"('{t}', '{'.*?'.join(t)}')" for t in _TYPED) + """) x(typed, pattern)),
 f AS (SELECT typed, value, regexp_extract(lower(value), pattern, 0, 's') AS part FROM v, t WHERE regexp_matches(lower(value), pattern, 's')),
-r AS (SELECT typed, value, CAST(length(part) - length(typed) AS INT) AS gaps, instr(lower(value), part) AS at FROM f)
-SELECT typed, value, gaps, CAST(row_number() OVER (PARTITION BY typed ORDER BY gaps, at, length(value), value) AS INT) AS rank FROM r QUALIFY rank <= 12""")
+r AS (SELECT typed, value, CAST(length(part) - length(typed) AS INT) AS gaps, instr(lower(value), part) AS place FROM f)
+SELECT typed, value, gaps, CAST(row_number() OVER (PARTITION BY typed ORDER BY gaps, place, length(value), value) AS INT) AS rank FROM r QUALIFY rank <= 12""")
 def _fuzzy(s: SparkSession, d: str) -> DataFrame:
     """Names of parts that hold the typed letters in order."""
     return search.fuzzy_values(P.table(s, d, "part"), "p_name", list(_TYPED), 12)
