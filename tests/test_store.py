@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_calls import HEADER, RECORDS, TRUTH
+from varloom.folders import path_of, shared_folder
 from varloom.operators import catalog as K
 from varloom.operators.catalog import Conflict, NotFound
 from varloom.plans.cql import QueryError
@@ -165,3 +166,20 @@ def test_task_events_in_any_order(spark, tmp_path):
     rows = spark.read.schema(schema).parquet(f"file://{tmp_path}/ledger")
     assert {x["task_id"]: x["state"] for x in K.ledger(rows.unionByName(rows)).collect()} == want
     assert {x["task_id"]: x["state"] for x in K.ledger(spark.createDataFrame(events, schema)).collect()} == want
+
+
+def test_runs_are_annotated_with_effects(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    (tmp_path / "1.vcf").write_text("\n".join([*HEADER, *RECORDS]) + "\n")
+    store.create("projects", {"name": "p"})
+    transcripts = spark.createDataFrame([("20", "G1", "T1", "+", [(91, 111)], 94, 102, "ATGGCTTAA")], "contig string, gene_name string, transcript string, strand string, exons array<struct<start: long, end: long>>, cds_start long, cds_end long, sequence string")
+    run = store.create_run({"project_name": "p", "uri": f"file://{tmp_path}/1.vcf"}, transcripts)
+    rows, _ = store.calls(run, "annotations:gene_name = G1")
+    got = rows.collect()
+    assert {(r["position"], r["annotations:transcript"], r["annotations:effect_type"], r["annotations:effect_notation"]) for r in got} == {(100, "T1", "Stop Loss", "p.*3Eext")} and len(got) == 2
+    assert "annotations:effect_type" in store.get("runs", run).first()["extant_columns"]
+
+
+def test_files_of_a_session_go_with_it(spark):
+    path, files = path_of(spark, shared_folder(spark, "gone"))
+    assert files.exists(path.getParent()) and files.cancelDeleteOnExit(path.getParent()) and not files.cancelDeleteOnExit(path.getParent())

@@ -231,7 +231,7 @@ def _spec(s: SparkSession, d: str) -> DataFrame:
     return header.spec(s, found["vcf_header"].split("\n"), found["extant_columns"]).select("column_name", "type", "sortable", "ord")
 
 
-_TYPED = ("grn mt", "lace", "qzx", "e")
+_TYPED = ("sml rg", "bl", "qzx", "e")
 
 
 @_add("fuzzy_values", """WITH v AS (SELECT DISTINCT p_name AS value FROM part), t AS (SELECT * FROM (VALUES """ + ", ".join(f"('{t}', '{'.*?'.join(t)}')" for t in _TYPED) + """) x(typed, pattern)),
