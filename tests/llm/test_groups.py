@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from varloom.llm import lm, simhash, substrings
+from varloom.llm.base import shares, text_shares
 from varloom.llm.components import components
 
 SCHEMA = "doc_id long, text string"
@@ -401,3 +402,12 @@ def test_counts_of_groups(monkeypatch, chunk):
         of_tokens, of_pairs = lm._answered(answers[g])
         assert of_tokens.tolist() == [tokens[k] for k in sorted({k for w in own for k in w[1:]})]
         assert of_pairs.tolist() == [by_key[k] for k in sorted({key(p) for w in own for p in zip(w, w[1:])})]
+
+
+def test_shares_count_true_bytes(spark, tmp_path):
+    """Texts that compress to nearly nothing still get as many shares as their bytes need."""
+    docs = spark.createDataFrame([(i, "é" * 100_000) for i in range(50)] + [(99, None)], SCHEMA)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    assert text_shares(docs, "text", 1_000_000) == 10 > shares(docs, 1_000_000)
+    assert text_shares(docs.limit(0), "text", 1) == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,6 +8,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: White space between words, in every contract: space and \t \n \v \f \r.
@@ -45,6 +46,13 @@ def shares(df: DataFrame, size: int) -> int:
     return max(least, -(-estimate // size)) if estimate < UNKNOWN_BYTES else least
 
 
+def text_shares(docs: DataFrame, text_col: str, size: int) -> int:
+    """The same by the texts' true bytes in UTF-8, which one scan of the column sums: files that compress well count in full."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`"))), F.lit(0)).alias("n")).first()["n"]
+    return max(least, -(-total // size))
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list[str]], dict[str, list | pa.Array]]],

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.base import bounded_batches, delete_scratch, of_planes, planes, scratch, shares, shuffles_freed, written
+from varloom.llm.base import bounded_batches, delete_scratch, of_planes, planes, scratch, shuffles_freed, text_shares, written
 
 LENGTH = 50
 #: Bytes of the strings whose least hash is a window's minimizer.
@@ -41,8 +41,8 @@ HOT = 4096
 TRANSFORM_BYTES = 1 << 20
 #: Bytes of documents whose minimizers are computed at once.
 CHUNK_BYTES = 1 << 20
-#: Bytes of input for which there is a bucket and two groups, at least.
-GROUP_BYTES = 16 << 20
+#: Bytes of text for which there is a bucket and two groups, at least.
+GROUP_BYTES = 32 << 20
 
 _LAST = np.int64(2**63 - 1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -619,7 +619,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     bounded_batches(spark)
     # buckets and groups hold a bounded part of the input; a row of packed runs per group and bucket: few enough of both
-    parts = shares(docs, GROUP_BYTES)
+    parts = text_shares(docs, text_col, GROUP_BYTES)
     groups, bits = 2 * parts, max(4, (parts - 1).bit_length())
     rows = docs.select(
         F.expr(f"cast(pmod(xxhash64(`{id_col}`, length(`{text_col}`)), {groups}) as int)").alias("g"),
