@@ -68,6 +68,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
     """Of each text the sorted hashes of its distinct shingles (A-Z lower-cased)."""
+    if not texts:
+        return []
     data = b" \xff ".join(t.encode().lower() for t in texts) + b" \xff"
     coded = pa.array(data.split(), pa.binary()).dictionary_encode()
     hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()], np.uint64)
