@@ -7,6 +7,7 @@ from varloom.functions import cell
 from varloom.operators.annotate import annotated
 from varloom.operators.effects import AMINO_ACIDS, BASES, effects, top_effects
 from varloom.schema import ANNOTATIONS
+from varloom.sources.transcripts import read_sequences, read_transcripts
 
 TRANSCRIPT = "contig string, gene_name string, transcript string, strand string, exons array<struct<start: long, end: long>>, cds_start long, cds_end long, sequence string"
 VARIANT = "contig string, position int, reference string, alternates string"
@@ -111,3 +112,22 @@ def test_annotations_of_calls(spark, genes):
     calls = spark.createDataFrame([("1", 104, "G", "A"), ("1", 9999, "G", "A")], VARIANT).selectExpr("*", *[f"cast(null as string) as `{c}`" for c in ANNOTATIONS])
     rows = {r["position"]: r for r in annotated(calls, top_effects(calls, genes)).select("position", *[cell(c) for c in ANNOTATIONS]).collect()}
     assert rows[104]["annotations:effect_notation"] == "p.A2T" and rows[9999]["annotations:gene_name"] is None
+
+
+def test_transcripts_from_files(spark, tmp_path):
+    gtf, cds = tmp_path / "g.gtf", tmp_path / "c.fa"
+    more = 'gene_id "E1"; gene_version "3"; transcript_id "{t}"; {g}tag "x";'
+    line = lambda f, a, b, t, g='gene_name "F"; ', strand="+": "\t".join(["1", "db", f, str(a), str(b), ".", strand, ".", more.format(t=t, g=g)])
+    gtf.write_text("\n".join([
+        "#!genome", "", "short\tline", line("exon", 91, 115, "F1"), line("exon", 131, 160, "F1"), line("CDS", 101, 115, "F1"), line("CDS", 131, 145, "F1"), line("stop_codon", 146, 148, "F1"),
+        line("gene", 1, 999, "F1"), line("exon", 5, 3, "F1"), line("exon", 91, 160, "N.A", g=""), line("exon", 200, 208, "L1", strand="-"), line("CDS", 200, 208, "L1", strand="-"),
+    ]) + "\n")
+    cds.write_text(f">F1.12 cds chromosome:1\r\n{CDS[:10]}\r\n{CDS[10:].lower()}\r\n>N.A.2\nACG\n>other\n\n>L1\nATGGCT\nTAA")
+    rows = {r["transcript"]: r for r in read_transcripts(spark, f"file://{gtf}", f"file://{cds}").collect()}
+    assert set(rows) == {"F1", "N.A", "L1"}
+    f = rows["F1"]
+    assert (f["gene_name"], [tuple(e) for e in f["exons"]], f["cds_start"], f["cds_end"], f["sequence"]) == ("F", EXONS, 101, 148, CDS)
+    assert (rows["N.A"]["gene_name"], rows["N.A"]["cds_start"], rows["N.A"]["sequence"]) == ("E1", None, "ACG") and rows["L1"]["strand"] == "-" and rows["L1"]["sequence"] == "ATGGCTTAA"
+    assert {r["transcript"] for r in read_sequences(spark, f"file://{cds}", True).collect()} == {"F1.12", "N.A.2", "other", "L1"}
+    got = effects(spark.createDataFrame([("1", 104, "G", "A")], VARIANT), read_transcripts(spark, f"file://{gtf}", f"file://{cds}")).collect()
+    assert {(r["transcript"], r["notation"]) for r in got} == {("F1", "p.A2T"), ("N.A", "non-coding-transcript")}

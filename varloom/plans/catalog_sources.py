@@ -11,7 +11,7 @@ from varloom.functions import cell, json_rows
 from varloom.operators import calls as C, catalog as K, effects, search
 from varloom.plans import catalog as P
 from varloom.schema import CALL_KEY, RECORD_KEY
-from varloom.sources import bam, call_table, header, vcf, vcf_format, vcf_writer
+from varloom.sources import bam, call_table, header, transcripts as transcript_files, vcf, vcf_format, vcf_writer
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -184,14 +184,40 @@ SELECT concat('chr', g % 22 + 1) AS contig, CAST(position AS INT) AS position, r
     WHEN 'SpliceDonor' THEN 'splice-donor' WHEN 'SpliceAcceptor' THEN 'splice-acceptor' WHEN 'IntronicSpliceSite' THEN 'intronic-splice-site'
     WHEN 'FivePrimeUTR' THEN '5'' UTR' WHEN 'ThreePrimeUTR' THEN '3'' UTR' ELSE 'intronic' END AS notation FROM e""")
 def _effects(s: SparkSession, d: str) -> DataFrame:
+    return _top_effects(s, d, transcripts(s, d))
+
+
+def _top_effects(s: SparkSession, d: str, of: DataFrame) -> DataFrame:
     variants = P.table(s, d, "lineitem").select(
         F.expr("concat('chr', cast(l_partkey % 22 + 1 as string))").alias("contig"), F.expr("cast(l_partkey * 100 + l_orderkey % 70 as int)").alias("position"),
         F.expr(_REF).alias("reference"), F.expr(_ALT).alias("alternates"),
     )
-    found = effects.top_effects(variants, transcripts(s, d))
+    found = effects.top_effects(variants, of)
     return found.select(*RECORD_KEY, *[cell(f"annotations:{c}").alias(n) for c, n in (("gene_name", "gene_name"), ("transcript", "transcript"), ("effect_type", "effect"), ("effect_notation", "notation"))])
 
 
+def gene_files(s: SparkSession, d: str) -> tuple[str, str]:
+    """The same transcripts as features and sequences in files; stop codons are apart from CDS there."""
+    rows = transcripts(s, d).withColumn("forward", F.col("strand") == "+")
+    stop = F.expr("if(forward, struct('stop_codon' as f, cds_end - 2 as a, cds_end as b), struct('stop_codon' as f, cds_start as a, cds_start + 2 as b))")
+    low, high = F.expr("if(forward, cds_start, cds_start + 3)"), F.expr("if(forward, cds_end - 3, cds_end)")
+    exons = F.transform("exons", lambda e: F.struct(F.lit("exon").alias("f"), e["start"].alias("a"), e["end"].alias("b")))
+    parts = F.filter(F.transform("exons", lambda e: F.struct(F.lit("CDS").alias("f"), F.greatest(e["start"], low).alias("a"), F.least(e["end"], high).alias("b"))), lambda e: e["a"] <= e["b"])
+    every = F.when(F.col("cds_start").isNull(), exons).otherwise(F.concat(exons, parts, F.array(stop)))
+    name = F.concat("gene_name", F.lit("-"), "transcript")
+    lines = rows.select("contig", "strand", F.explode(every).alias("e"), F.concat(F.lit('gene_id "x"; gene_name "'), "gene_name", F.lit('"; transcript_id "'), name, F.lit('"; level 2;')).alias("more"))
+    gtf, cds = shared_folder(s, "catalog-gtf"), shared_folder(s, "catalog-cds")
+    lines.select(F.concat_ws("\t", "contig", F.lit("x"), "e.f", F.col("e.a").cast("string"), F.col("e.b").cast("string"), F.lit("."), "strand", F.lit("."), "more")).write.text(gtf)
+    rows.where("sequence is not null").select(F.concat(F.lit(">"), name, F.lit(".7 cds\n"), F.expr("substr(sequence, 1, 20)"), F.lit("\n"), F.expr("lower(substr(sequence, 21))"))).write.text(cds)
+    return gtf, cds
+
+
+@_add("effects_from_files", _SQL["effect_prediction"])
+def _effects_of_files(s: SparkSession, d: str) -> DataFrame:
+    found = transcript_files.read_transcripts(s, *gene_files(s, d))
+    return _top_effects(s, d, found.withColumn("transcript", F.substring_index("transcript", "-", -1)))
+
+
 # small tables as clients get them, and tasks by their events
 
 _MOMENT = f"SELECT user_id AS task_id, {P.STATE_SQL} AS state, ts AS moment FROM events"
