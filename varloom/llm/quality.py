@@ -1,10 +1,10 @@
 """Quality rules as a short-circuit cascade of native expressions.
 
 Each rule is a SQL predicate that is true for a document to reject.  `QualityCascade.fit` measures every rule on a
-bounded sample (SAMPLE_ROWS documents of at most SAMPLE_FILES files): its rejection rate, and the time of evaluating it over
-the sample repeated REPEATS times, less that of a rule that looks at nothing.  Rules are then tried in the order of rejection
-per cost, inside one CASE expression, so that a document pays for a rule only if all rules before it passed it.  The order
-never changes which documents are kept, only what that costs.
+bounded sample (SAMPLE_ROWS documents of at most SAMPLE_FILES files): its rejection rate, and its time, all in one job: between two
+rules the clock is read, and what reading it takes is taken off.  Rules are then tried in the order of rejection per cost, inside
+one CASE expression, so that a document pays for a rule only if all rules before it passed it.  The order never changes which
+documents are kept, only what that costs.
 
 Repeated windows are told by 64-bit hashes of their words: two different windows share one with a probability of 5e-20.
 
@@ -14,7 +14,6 @@ order; an empty table gives an empty table and keeps the rules' own order; repea
 from __future__ import annotations
 
 import re
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,8 +24,12 @@ SAMPLE_ROWS = 1000
 SAMPLE_FILES = 8
 #: Documents longer than this are left out of the sample (not of the cascade), which bounds the sample's bytes.
 SAMPLE_CHARS = 1_000_000
-#: How often a rule is evaluated on each document of the sample, and in how many jobs, the fastest of which counts.
-REPEATS, JOBS = 4, 2
+#: How often a rule is evaluated on each document of the sample; the first time is for the compiler and does not count.
+REPEATS = 4
+#: SQL: nanoseconds of a clock on the executor, read anew wherever it stands.
+CLOCK = "cast(java_method('java.lang.System', 'nanoTime') as long)"
+#: Seconds that any rule takes at least.
+LEAST_COST = 1e-6
 #: Words in a window of which repetition counts.
 WINDOW = 8
 
@@ -78,7 +81,8 @@ class Rule:
     reject: str
 
 
-#: Thresholds of the rules.  The first two are the contract's base rules.
+#: Thresholds of the rules.  The first two are the contract's base rules.  What a rule uses twice it computes once itself: else
+#: Spark would do so ahead of all rules, on nobody's account.
 RULES = (
     Rule("too_short", "size(words) < 20"),
     Rule("repeated_windows", f"100 * transform(array({window_hashes('words')}), win -> {covered_words('win')})[0] > 30 * size(words)"),
@@ -86,7 +90,7 @@ RULES = (
     Rule("exclamations", "2 * length(regexp_replace(text, '[^!]+', '')) > size(words)"),
     Rule("upper_case", "10 * length(regexp_replace(text, '[^A-Z]+', '')) > 4 * length(text)"),
     Rule("duplicate_lines", f"10 * ({n_dup_lines('lines')}) > 4 * size(lines)"),
-    Rule("few_distinct_words", "20 * size(array_distinct(words)) < size(words) and size(array_distinct(words)) < 200"),
+    Rule("few_distinct_words", "transform(array(size(array_distinct(words))), d -> 20 * d < size(words) and d < 200)[0]"),
     Rule("long_words", "length(text) > 40 * size(words)"),
 )
 
@@ -119,28 +123,28 @@ class QualityCascade:
             return self
         taken = df.select(F.col(f"`{text_col}`").alias("text")).where(f"text is null or length(text) <= {SAMPLE_CHARS}")
         taken = taken.sample(False, min(1.0, rows / total), seed=7) if total > rows else taken
-        sample = prepared(taken).select(F.explode(F.sequence(F.lit(1), F.lit(REPEATS))).alias("_time"), "_q").persist()
-        try:
-            n = max(1, sample.count())
-
-            def measured(verdict: Column) -> tuple[int, float]:
-                hits, best = 0, float("inf")
-                for _ in range(JOBS):
-                    began = time.perf_counter()
-                    hits = sample.agg(F.count_if(verdict).alias("n")).first()["n"]
-                    best = min(best, time.perf_counter() - began)
-                return hits, best
-
-            nothing = measured(F.expr("_q.text is null and _time < 0"))[1]
-            found = {r.name: measured(_verdict(r)) for r in self.rules}
-        finally:
-            sample.unpersist()
+        sample = prepared(taken).select("_q", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))).alias("_time"))
+        # a step ends with the clock, which is read once the verdict is there; the first two look at nothing
+        nothing = "_q.text is null and _time < 0"
+        verdicts = [nothing, nothing, *[_qualified(r.reject) for r in self.rules]]
+        steps = [F.expr(f"if({v}, struct(true as hit, {CLOCK} as t), struct(false as hit, {CLOCK} as t))").alias(f"s{i}") for i, v in enumerate(verdicts)]
+        timed = sample.select("_time", *steps).where("_time > 1")
+        ends = range(1, len(verdicts))
+        row = timed.agg(F.count("*").alias("n"), *[F.count_if(F.col(f"s{i}.hit")).alias(f"hits{i}") for i in ends], *[F.sum(F.col(f"s{i}.t") - F.col(f"s{i - 1}.t")).alias(f"took{i}") for i in ends]).first()
+        n = row["n"]
+        if not n:
+            return self
+        found = {r.name: (row[f"hits{i}"] / n, (row[f"took{i}"] - row["took1"]) / n / 1e9) for i, r in enumerate(self.rules, 2)}
         out = QualityCascade(self.rules)
-        # a rule that costs no more than nothing counts as a microsecond
-        out.estimates = {name: (hits / n, max(t - nothing, 1e-6 * n) / n) for name, (hits, t) in found.items()}
-        out.rules = tuple(sorted(self.rules, key=lambda r: -out.estimates[r.name][0] / out.estimates[r.name][1]))
+        out.estimates = {name: (rejected, max(cost, LEAST_COST)) for name, (rejected, cost) in found.items()}
+        out.rules = out.ordered(self.rules, out.estimates)
         return out
 
+    @staticmethod
+    def ordered(rules: tuple[Rule, ...], estimates: dict[str, tuple[float, float]]) -> tuple[Rule, ...]:
+        """By rejection per cost."""
+        return tuple(sorted(rules, key=lambda r: -estimates[r.name][0] / estimates[r.name][1])) if estimates else tuple(rules)
+
     def transform(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         """Adds failed_rule (string: the first rule of the cascade that rejects, or null) and kept (boolean)."""
         rows = prepared(df.drop("failed_rule", "kept", "_q"), text_col)
@@ -175,13 +179,17 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
 
 
-#: The rules that the base columns decide already.
+#: The rules that the base columns decide already, and those that only compare them.
 BASE_RULES = ("too_short", "repeated_windows")
+OF_COLUMNS = {"symbols": Rule("symbols", "10 * n_symbols > n_words"), "duplicate_lines": Rule("duplicate_lines", "10 * n_dup_lines > 4 * size(lines)")}
 
 
 def judged(df: DataFrame, cascade: QualityCascade, text_col: str = "text") -> DataFrame:
     """`measures` and the cascade's verdict: kept is false where base_failed, else as the other rules decide."""
-    rest = QualityCascade(tuple(r for r in cascade.rules if r.name not in BASE_RULES))
+    # rules that find their counts in the base columns cost no more than a comparison
+    rules = tuple(OF_COLUMNS.get(r.name, r) for r in cascade.rules if r.name not in BASE_RULES)
+    costs = {name: (rejected, LEAST_COST if name in OF_COLUMNS else cost) for name, (rejected, cost) in cascade.estimates.items()}
+    rest = QualityCascade(QualityCascade.ordered(rules, costs))
     rows = measures(df, text_col)
     rows = rows.withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(rest.failed()))
     return rows.drop("_q").withColumn("kept", F.col("failed_rule").isNull())
