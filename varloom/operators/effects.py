@@ -36,16 +36,18 @@ BIN = 1 << 16
 
 
 def translated(codons: str) -> str:
-    """SQL: the amino acids of whole codons; codons with other letters are X."""
-    i = lambda at: f"(locate(substr({codons}, 3 * i + {at}, 1), '{BASES}') - 1)"
-    known = f"{i(1)} >= 0 and {i(2)} >= 0 and {i(3)} >= 0"
-    one = f"if({known}, substr('{AMINO_ACIDS}', 16 * {i(1)} + 4 * {i(2)} + {i(3)} + 1, 1), 'X')"
-    return f"if(length({codons}) < 3, '', array_join(transform(sequence(0, length({codons}) div 3 - 1), i -> {one}), ''))"
+    """SQL: the amino acids of whole codons; codons with other letters are X.  A single codon, as most are, takes no array."""
+
+    def one(i: str) -> str:
+        at = lambda n: f"(locate(substr({codons}, 3 * {i} + {n}, 1), '{BASES}') - 1)"
+        return f"if(least({at(1)}, {at(2)}, {at(3)}) >= 0, substr('{AMINO_ACIDS}', 16 * {at(1)} + 4 * {at(2)} + {at(3)} + 1, 1), 'X')"
+
+    return f"case when length({codons}) < 3 then '' when length({codons}) = 3 then {one('0')} else array_join(transform(sequence(0, length({codons}) div 3 - 1), i -> {one('i')}), '') end"
 
 
 def _common(a: str, b: str) -> str:
-    """SQL: how many letters two texts begin with alike."""
-    return f"aggregate(sequence(1, greatest(1, least(length({a}), length({b})))), 0, (n, i) -> if(n = i - 1 and length({a}) >= i and length({b}) >= i and substr({a}, i, 1) = substr({b}, i, 1), i, n))"
+    """SQL: how many letters two texts begin with alike; two single letters are compared at once."""
+    return f"if(length({a}) = 1 and length({b}) = 1, int({a} = {b}), aggregate(sequence(1, greatest(1, least(length({a}), length({b})))), 0, (n, i) -> if(n = i - 1 and length({a}) >= i and length({b}) >= i and substr({a}, i, 1) = substr({b}, i, 1), i, n)))"
 
 
 def _opposite(text: str) -> str:

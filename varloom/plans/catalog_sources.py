@@ -192,7 +192,7 @@ def _top_effects(s: SparkSession, d: str, of: DataFrame) -> DataFrame:
         F.expr("concat('chr', cast(l_partkey % 22 + 1 as string))").alias("contig"), F.expr("cast(l_partkey * 100 + l_orderkey % 70 as int)").alias("position"),
         F.expr(_REF).alias("reference"), F.expr(_ALT).alias("alternates"),
     )
-    found = effects.top_effects(variants, of)
+    found = effects.top_effects(variants, of, 1 << 10)
     return found.select(*RECORD_KEY, *[cell(f"annotations:{c}").alias(n) for c, n in (("gene_name", "gene_name"), ("transcript", "transcript"), ("effect_type", "effect"), ("effect_notation", "notation"))])
 
 
