@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.test_calls import HEADER, RECORDS, TRUTH
 from varloom.folders import path_of, shared_folder
-from varloom.operators import catalog as K
+from varloom.operators import calls as C, catalog as K
 from varloom.operators.catalog import Conflict, NotFound
 from varloom.plans.cql import QueryError
 from varloom.store import Store
@@ -183,3 +183,31 @@ def test_runs_are_annotated_with_effects(spark, tmp_path):
 def test_files_of_a_session_go_with_it(spark):
     path, files = path_of(spark, shared_folder(spark, "gone"))
     assert files.exists(path.getParent()) and files.cancelDeleteOnExit(path.getParent()) and not files.cancelDeleteOnExit(path.getParent())
+
+
+def test_a_store_in_buckets(spark, tmp_path):
+    """The same answers, and runs are compared without moving their calls; another session finds the runs."""
+    for i, records in ((1, RECORDS), (2, TRUTH)):
+        (tmp_path / f"{i}.vcf").write_text("\n".join([*HEADER, *records]) + "\n")
+    genes = spark.createDataFrame([("20", 50, 300, 1, "G1", "T1", "n", "e")], "contig string, start int, end int, priority int, `annotations:gene_name` string, `annotations:transcript` string, `annotations:effect_notation` string, `annotations:effect_type` string")
+    plain, dealt = Store(spark, f"file://{tmp_path}/plain"), Store(spark, f"file://{tmp_path}/dealt", 4)
+    for store in (plain, dealt):
+        store.create("projects", {"name": "p"})
+        run, truth = (store.create_run({"project_name": "p", "uri": f"file://{tmp_path}/{i}.vcf"}, genes) for i in (1, 2))
+        store.star({"vcf_id": run, "contig": "20", "position": 100, "reference": "A", "alternates": "G", "sample_name": "tumor", "starred": True})
+    asked = {"filters": [{"columnName": "sample_name", "type": "=", "filterValue": "tumor"}], "compareToVcfId": truth, "page": 0, "limit": 100}
+    answers = []
+    for store in (plain, dealt, Store(spark, f"file://{tmp_path}/dealt", 4)):
+        rows, stats = store.calls(run, asked)
+        assert "call_id" not in rows.columns
+        names = sorted(rows.columns)
+        answers.append(([tuple(r[c] for c in names) for r in rows.collect()], stats.first(), [r[0] for r in store.export(run, "sample:DP = 37").collect()], store.get("runs", run).first()["extant_columns"]))
+        spark.sql(f"DROP TABLE IF EXISTS {store._name}") if store._name else None
+    assert answers[0] == answers[1] == answers[2] and len(answers[0][0]) == 6 and answers[0][1]["true_positives"] == 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = C.compared(dealt.table("calls"), run, dealt.typed(run, asked))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -7,6 +7,7 @@ partitions of one table and are only ever replaced by run.
 """
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
 from collections.abc import Callable, Mapping
@@ -24,6 +25,7 @@ from varloom.operators import annotate, calls as C, catalog as K
 from varloom.operators.effects import top_effects
 from varloom.plans import cql
 from varloom.plans.query import Query
+from varloom.sources import call_table
 from varloom.sources import header as H
 from varloom.sources.bam import search_reads
 from varloom.sources.vcf import facts, ingest, observed, read_table, write_run
@@ -35,8 +37,11 @@ TRIES, WAIT_S, LEASE_S = 20, 0.2, 600
 
 
 class Store:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
+        """With `buckets`, calls lie in so many buckets of their key, and comparing runs moves none of them.  A folder has the
+        same number for good."""
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+        self._name = f"calls_{hashlib.sha256(self.folder.encode()).hexdigest()[:16]}" if buckets else None
 
     # tables
 
@@ -48,6 +53,8 @@ class Store:
 
     def table(self, name: str) -> DataFrame:
         """A small table, empty before its first row; `calls` is the call table."""
+        if name == "calls" and self.buckets:
+            return self.spark.table(self._bucketed())
         if name == "calls":
             path, fs = path_of(self.spark, f"{self.folder}/calls")
             return read_table(self.spark, str(path)) if fs.exists(path) else self.spark.createDataFrame([], S.CALLS)
@@ -62,6 +69,15 @@ class Store:
         kind, versions = StructType.fromDDL(TABLES[name]), self._versions(name)
         return self.spark.read.schema(kind).parquet(versions[-1]) if versions else self.spark.createDataFrame([], kind)
 
+    def _bucketed(self) -> str:
+        """The name of the call table in this session's catalog, which learns of runs that other sessions wrote."""
+        if not self.spark.catalog.tableExists(self._name):
+            path, fs = path_of(self.spark, f"{self.folder}/calls")
+            fs.mkdirs(path)
+            call_table.create(self.spark, self._name, None, self.buckets, str(path))
+            self.spark.sql(f"ALTER TABLE {self._name} RECOVER PARTITIONS")
+        return self._name
+
     def _next(self, name: str) -> int:
         versions = self._versions(name)
         return int(versions[-1].rpartition("/v")[2]) + 1 if versions else 0
@@ -202,7 +218,7 @@ class Store:
 
     def _extract(self, run: int, _) -> None:
         uri = K.by_id(self.table("runs"), run).first()["uri"]
-        found = ingest(self.spark, uri, run, f"{self.folder}/calls")
+        found = call_table.ingest(self.spark, uri, run, self._bucketed()) if self.buckets else ingest(self.spark, uri, run, f"{self.folder}/calls")
         self._record(run, found)
 
     def _record(self, run: int, values: Mapping) -> None:
@@ -216,11 +232,15 @@ class Store:
         calls = C.run_calls(self.table("calls"), run)
         # transcripts tell what a variant does, gene models what it lies in
         found = top_effects(calls, genes) if "exons" in genes.columns else annotate.annotations(calls, genes)
-        rows = annotate.annotated(calls, found)
+        rows = annotate.annotated(calls, found).select(*[f"`{c}`" for c in S.CALLS.names])
         # a run that is read cannot be replaced: its new rows, sorted already, lie beside it for a while
         part, seen = f"{self.folder}/calls-{uuid.uuid4().hex}", Observation()
         observed(rows, seen).sortWithinPartitions("contig", "position").write.parquet(part)
-        write_run(self.spark.read.schema(S.CALLS).parquet(part), f"{self.folder}/calls")
+        again = self.spark.read.schema(S.CALLS).parquet(part)
+        if self.buckets:
+            call_table.write(again, self._bucketed())
+        else:
+            write_run(again, f"{self.folder}/calls")
         path, fs = path_of(self.spark, part)
         fs.delete(path, True)
         self._record(run, {"extant_columns": facts(seen)["extant_columns"]})
@@ -245,7 +265,7 @@ class Store:
     def calls(self, run: int, query: Query | Mapping | str) -> tuple[DataFrame, DataFrame]:
         """The records of a query's page, with stars, and its statistics."""
         q, table = self.typed(run, query).with_defaults(), self.table("calls")
-        return C.query_calls(K.starred(table, self.table("stars")), run, q), C.statistics(table, run, q)
+        return C.query_calls(K.starred(table, self.table("stars")), run, q).drop(S.CALL_ID), C.statistics(table, run, q)
 
     def export(self, run: int, query: Query | Mapping | str) -> DataFrame:
         """Lines of a VCF file with all samples of the records that match; order and page of the query do not count."""
