@@ -12,6 +12,7 @@ from tests.llm.test_groups import groups, near_copies
 from tests.llm.test_text_rules import TEXTS
 from varloom.llm import divergence, minhash, phrases, registry
 from varloom.llm.queries_divergence import OP12_SQL
+from varloom.llm.queries_minhash import OP11_SQL
 from varloom.llm.queries_phrases import OP13_SQL
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -117,6 +118,14 @@ def sql_rows(folder, sql):
     return columns, sorted(map(str, found.fetchall()))
 
 
+def test_minhash_query_gives_the_rows_of_its_sql(spark, tmp_path):
+    folder = tables(spark, tmp_path, [(i, t, "en", None, None) for i, t in hard_rows()])
+    columns, want = sql_rows(f"{folder}/some", OP11_SQL)
+    op = registry.queries()["op11_minhash_dedup"]
+    assert sorted(map(str, map(tuple, op(spark, f"{folder}/some").select(*columns).collect()))) == want
+    assert op(spark, f"{folder}/none").count() == 0
+
+
 def corpus(seed=3, n=400):
     r = random.Random(seed)
     words = ["alpha", "Beta", "gamma", "délta", "ß", "x9y", "日本", "in", "of", "the", "co-op", "É", "é", "don't"]
