@@ -21,7 +21,9 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
@@ -43,6 +45,13 @@ LONGEST = 1 << SMALLEST + 3 * (LEVELS - 1)
 MAX_CONTIGS = 1_000_000
 #: Compressed bytes of a task that scans without an interval, and reads in a batch.
 SPLIT_BYTES, BATCH = 64 << 20, 10_000
+#: Reads that are encoded at once.
+PIECE = 2_000
+#: What each read has before its name, with the length of all that follows.
+_HEAD = np.dtype([("size", "<i4"), ("ref", "<i4"), ("start", "<i4"), ("name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("cigar", "<u2"), ("flag", "<u2"), ("bases", "<u4"), ("next_ref", "<i4"), ("next_start", "<i4"), ("length", "<i4")])
+_CODES = np.array([max(0, BASES.find(chr(i))) if chr(i) in BASES else len(BASES) - 1 for i in range(128)], "u1")
+#: The bin of reads without a place: what the format has for an interval of no bases before the first.
+_NO_BIN = (8 ** (LEVELS - 1) - 1) // 7 - 1
 
 
 def _first_bin(level: int) -> int:
@@ -60,6 +69,15 @@ def bin_of(start: int, end: int) -> int:
     return _first_bin(level) + (start >> _shift(level))
 
 
+def bins_of_reads(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The smallest bin of each interval."""
+    last, out = np.maximum(start, end - 1), np.zeros(len(start), np.int64)
+    for level in range(LEVELS):
+        within = start >> _shift(level) == last >> _shift(level)
+        out[within] = _first_bin(level) + (start[within] >> _shift(level))
+    return out
+
+
 def bins_of(start: int, end: int) -> list[int]:
     """All bins that the interval touches."""
     last = max(start, end - 1)
@@ -84,14 +102,28 @@ class Index:
     bins: list[dict[int, list[list[int]]]]
     windows: list[dict[int, int]]
 
-    def add(self, ref: int, start: int, end: int, at: int, after: int) -> None:
-        ranges = self.bins[ref].setdefault(bin_of(start, end), [])
-        if ranges and ranges[-1][1] == at:
-            ranges[-1][1] = after
-        else:
-            ranges.append([at, after])
-        for w in range(start >> SMALLEST, (max(start, end - 1) >> SMALLEST) + 1):
-            self.windows[ref].setdefault(w, at)
+    def add(self, ref: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, after: np.ndarray) -> None:
+        """Adds reads with a place, in order; reads of one bin that follow each other are one range."""
+        if not len(ref):
+            return
+        bins = bins_of_reads(start, end)
+        new = np.flatnonzero(np.concatenate([[True], (ref[1:] != ref[:-1]) | (bins[1:] != bins[:-1]) | (at[1:] != after[:-1])]))
+        last = np.concatenate([new[1:], [len(ref)]]) - 1
+        for r, b, low, high in zip(ref[new].tolist(), bins[new].tolist(), at[new].tolist(), after[last].tolist()):
+            ranges = self.bins[r].setdefault(b, [])
+            if ranges and ranges[-1][1] == low:
+                ranges[-1][1] = high
+            else:
+                ranges.append([low, high])
+        # starts ascend, so a read is the first in those of its windows that lie beyond all reads before it
+        first, final = start >> SMALLEST, np.maximum(start, end - 1) >> SMALLEST
+        contigs = np.concatenate([[0], np.flatnonzero(ref[1:] != ref[:-1]) + 1, [len(ref)]]).tolist()
+        for low, high in zip(contigs, contigs[1:]):
+            windows = self.windows[int(ref[low])]
+            reach = np.maximum.accumulate(np.concatenate([[next(reversed(windows), -1)], final[low:high]]))
+            for i in np.flatnonzero(final[low:high] > reach[:-1]).tolist():
+                for w in range(max(int(first[low + i]), int(reach[i]) + 1), int(final[low + i]) + 1):
+                    windows[w] = int(at[low + i])
 
     def to_bytes(self) -> bytes:
         out = [b"BAI\1", struct.pack("<i", len(self.bins))]
@@ -143,30 +175,98 @@ class Index:
         return sorted({r[0] for bins in self.bins for ranges in bins.values() for r in ranges} | {at for w in self.windows for at in w.values() if at})
 
 
-def encode(contig: int, row: dict) -> tuple[bytes, int, int]:
-    """One read as bytes, with its interval (-1 where it is not placed)."""
-    placed = contig >= 0 and row["start"] is not None
-    start = row["start"] if placed else -1
-    cigar = parsed_cigar(row.get("cigar"))
-    if placed and not cigar and row.get("end") is not None and row["end"] > start:
-        cigar = [(row["end"] - start, "M")]
-    end = start + max(1, covered(cigar)) if placed else 0
-    if end > LONGEST:
+@dataclass
+class Encoded:
+    """Reads as bytes, one after the other between `offsets`, with their contigs and intervals (-1 where they are not placed)."""
+
+    data: memoryview
+    offsets: np.ndarray
+    ref: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+
+def _pieces(data: bytes, lengths: np.ndarray) -> pa.Array:
+    """An array of the data, cut into pieces of these lengths."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _cigars(texts: pa.Array, plain: np.ndarray, length: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Cigars as bytes, their numbers of operations and the bases that they cover.  `plain` reads that have none match over `length`."""
+    found = texts.dictionary_encode()
+    parsed = [parsed_cigar(x) for x in found.dictionary.to_pylist()] + [[]]
+    codes = found.indices.fill_null(len(parsed) - 1).to_numpy(zero_copy_only=False)
+    count, over = np.array([len(c) for c in parsed])[codes], np.array([covered(c) for c in parsed])[codes]
+    plain = plain & (count == 0)
+    if len(parsed) > 1:
+        own = pa.array([b"".join(struct.pack("<I", n << 4 | OPERATIONS.index(op)) for n, op in c) for c in parsed], pa.large_binary()).take(pa.array(codes))
+    else:
+        own = pa.scalar(b"", pa.large_binary())
+    over, count = np.where(plain, length, over), np.where(plain, 1, count)
+    matches = _pieces((np.where(plain, length, 0) << 4 & 0xFFFFFFFF).astype("<u4").tobytes(), np.full(len(plain), 4))
+    return pc.if_else(pa.array(plain), matches, own), count, over
+
+
+def _bases(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """Sequences as bytes, two bases in each, and their numbers of bases."""
+    texts = [(x or "").upper().replace("*", "") for x in texts]
+    n = np.array([len(x) for x in texts], np.int64)
+    size = (n + 1) // 2
+    letters = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    codes = np.zeros(2 * int(size.sum()), "u1")
+    codes[np.repeat(2 * (np.cumsum(size) - size) - (np.cumsum(n) - n), n) + np.arange(len(letters))] = np.where(letters < 128, _CODES[np.minimum(letters, 127)], len(BASES) - 1)
+    return _pieces((codes[::2] << 4 | codes[1::2]).tobytes(), size), n
+
+
+def _marks(texts: list[str | None], n: np.ndarray) -> pa.Array:
+    """Qualities as bytes, one for each base."""
+    if not n.any() and not any(x and x != "*" for x in texts):
+        return _pieces(b"", n)
+    marks = [bytes(ord(c) - 33 for c in x) if x and (x != "*" or k == 1) else bytes([NO_QUALITY]) * k for x, k in zip(texts, n.tolist())]
+    if any(len(m) != k for m, k in zip(marks, n.tolist())):
+        raise ValueError("a quality has as many marks as the sequence has bases")
+    return _pieces(b"".join(marks), n)
+
+
+def encoded(rows: pa.RecordBatch, place: dict[str, int]) -> Encoded:
+    """Reads as bytes; `place` numbers the contigs."""
+    count = rows.num_rows
+    column = lambda c: rows.column(c) if c in rows.schema.names else pa.nulls(count, pa.int32() if c in _NUMBERS else pa.string())
+    valid = lambda c: column(c).is_valid().to_numpy(zero_copy_only=False)
+    number = lambda c: column(c).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+    contigs = column("contig").dictionary_encode()
+    ref = np.array([*[place[c] for c in contigs.dictionary.to_pylist()], -1], np.int64)[contigs.indices.fill_null(-1).to_numpy(zero_copy_only=False)]
+    placed = (ref >= 0) & valid("start")
+    start = np.where(placed, number("start"), -1)
+    if (placed & (start < 0)).any():
+        raise ValueError("positions count from 0")
+    length = np.where(placed & valid("end"), number("end") - start, 0)
+    cigar, operations, over = _cigars(column("cigar"), length > 0, length)
+    end = np.where(placed, start + np.maximum(1, over), 0)
+    if (end > LONGEST).any():
         raise ValueError(f"positions reach {LONGEST} at most")
-    name = (row.get("name") or "*").encode()
-    if len(name) > 254:
+    names = column("name").fill_null("").cast(pa.large_binary())
+    names = pc.if_else(pc.equal(pc.binary_length(names), 0), pa.scalar(b"*", pa.large_binary()), names)
+    letters = pc.binary_length(names).to_numpy(zero_copy_only=False)
+    if (letters > 254).any():
         raise ValueError("names have 254 bytes at most")
-    seq = (row.get("sequence") or "").upper().replace("*", "")
-    codes = [max(0, BASES.find(b)) if b in BASES else len(BASES) - 1 for b in seq] + [0] * (len(seq) % 2)
-    quality = row.get("quality")
-    marks = bytes(ord(c) - 33 for c in quality) if quality and (quality != "*" or len(seq) == 1) else bytes([NO_QUALITY]) * len(seq)
-    if len(marks) != len(seq):
-        raise ValueError("a quality has as many marks as the sequence has bases")
-    flag = row.get("flag") if row.get("flag") is not None else 0 if placed else FLAG_UNMAPPED
-    body = struct.pack("<iiBBHHHIiii", contig if placed else -1, start, len(name) + 1, row.get("mapping_quality") or 0, bin_of(start, end) if placed else _first_bin(LEVELS - 1) - 1, len(cigar), flag, len(seq), -1, -1, 0)
-    body += name + b"\0" + b"".join(struct.pack("<I", n << 4 | OPERATIONS.index(op)) for n, op in cigar)
-    body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2])) + marks
-    return struct.pack("<i", len(body)) + body, start, end
+    sequences, bases = _bases(column("sequence").to_pylist())
+    qualities = _marks(column("quality").to_pylist(), bases)
+    flag = np.where(valid("flag"), number("flag"), np.where(placed, 0, FLAG_UNMAPPED))
+    head = np.zeros(count, _HEAD)
+    for name, values in (("mapq", number("mapping_quality")), ("flag", flag), ("cigar", operations)):
+        if ((values < 0) | (values > np.iinfo(_HEAD[name]).max)).any():
+            raise ValueError(f"a read's {name} is out of its range")
+        head[name] = values
+    head["size"] = _HEAD.itemsize - 4 + letters + 1 + 4 * operations + (bases + 1) // 2 + bases
+    head["ref"], head["start"], head["name"], head["bases"] = np.where(placed, ref, -1), start, letters + 1, bases
+    head["bin"] = np.where(placed, bins_of_reads(start, end), _NO_BIN)
+    head["next_ref"] = head["next_start"] = -1
+    none, zero = pa.scalar(b"", pa.large_binary()), pa.scalar(b"\0", pa.large_binary())
+    data = pc.binary_join_element_wise(_pieces(head.tobytes(), np.full(count, _HEAD.itemsize)), names, zero, cigar, sequences, qualities, none)
+    _, offsets, whole = data.buffers()
+    return Encoded(memoryview(whole or b""), np.frombuffer(offsets, np.int64)[data.offset : data.offset + count + 1], ref, start, end)
 
 
 def decode(body: bytes, contigs: list[str]) -> tuple:
@@ -358,25 +458,20 @@ class ReadsWriter(DataSourceArrowWriter):
         system, folder = system_of(self.path)
         system.create_dir(folder)
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.bam"
-        place, out, before = {c: i for i, c in enumerate(self.contigs)}, None, (-1, -1)
+        place, out, before = {c: i for i, c in enumerate(self.contigs)}, None, -1
         index = Index([{} for _ in self.contigs], [{} for _ in self.contigs])
-        for batch in iterator:
-            for row in batch.to_pylist():
-                if out is None:
-                    out = bgzf.Writer(system.open_output_stream(f"{folder}/_{name}"))
-                    write_header(out, self.contigs)
-                ref = place[row["contig"]] if row["contig"] is not None else -1
-                data, start, end = encode(ref, row)
-                key = (ref, start) if start >= 0 else (len(place), 0)
-                if key < before:
-                    raise ValueError("reads must come in the order of contig and start")
-                before = key
-                if out.held and len(out.held) + len(data) > bgzf.BLOCK:
-                    out.flush()
-                at = out.tell()
-                out.write(data)
-                if start >= 0:
-                    index.add(ref, start, end, at, out.tell())
+        for rows in (batch.slice(i, PIECE) for batch in iterator for i in range(0, batch.num_rows, PIECE)):
+            if out is None:
+                out = bgzf.Writer(system.open_output_stream(f"{folder}/_{name}"))
+                write_header(out, self.contigs)
+            reads = encoded(rows, place)
+            placed = reads.start >= 0
+            key = np.where(placed, reads.ref << 32 | np.maximum(reads.start, 0), len(place) << 32)
+            if key[0] < before or (key[1:] < key[:-1]).any():
+                raise ValueError("reads must come in the order of contig and start")
+            before = key[-1]
+            at, after = out.write_pieces(reads.data, reads.offsets)
+            index.add(*[x[placed] for x in (reads.ref, reads.start, reads.end, at, after)])
         if out is None:
             return _Written([])
         out.close()
@@ -413,9 +508,12 @@ def write_reads(reads: DataFrame, path: str, mode: str = "overwrite") -> None:
     if len(contigs) > MAX_CONTIGS:
         raise ValueError(f"more than {MAX_CONTIGS} contigs")
     rows = reads.select(*[(F.col(f.name) if f.name in reads.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in READS])
-    # unplaced reads come last
-    order = [(F.col("contig").isNull() | F.col("start").isNull()).asc(), *contig_order("contig"), F.col("start").asc_nulls_last()]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.format("reads").option("contigs", json.dumps(contigs)).mode(mode).save(path)
+    # one number orders all: the contig's place and the start; unplaced reads come last
+    places = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(contigs)), "array<string>")).alias("_place", "_contig"))
+    key = F.when(F.col("contig").isNotNull() & F.col("start").isNotNull(), F.shiftleft(F.col("_place").cast("long"), 32) + F.col("start")).otherwise((1 << 63) - 1)
+    rows = rows.join(F.broadcast(places), F.col("contig") == F.col("_contig"), "left").withColumn("_key", key).drop("_place", "_contig")
+    ordered = rows.repartitionByRange("_key").sortWithinPartitions("_key").drop("_key")
+    ordered.write.format("reads").option("contigs", json.dumps(contigs)).mode(mode).save(path)
 
 
 def read_reads(spark: SparkSession, path: str) -> DataFrame:
