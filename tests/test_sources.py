@@ -251,6 +251,19 @@ def test_runs_in_buckets_are_compared_without_an_exchange(spark, buckets):
     assert CALL_ID in calls.columns and call_table.buckets_of(spark, name) == 4
 
 
+def test_ingest_sorts_lines_and_not_calls(spark, files, tmp_path):
+    """Calls of a hundred columns are not held for a sort, and lie in order within files."""
+    ingest(spark, f"file://{files}/1.vcf", 1, f"file://{tmp_path}/calls")
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plan = next(p for i in reversed(range(runs.size())) if "InsertIntoHadoopFs" in (p := runs.apply(i).physicalPlanDescription()))
+    tree = plan.split("(1)")[0]
+    assert tree.count("Sort") == 1 and tree.index("Sort") > tree.index("Generate")
+    for name in os.listdir(tmp_path / "calls" / "vcf_id=1"):
+        if name.endswith(".parquet"):
+            at = [(r["contig"], r["position"]) for r in spark.read.parquet(f"file://{tmp_path}/calls/vcf_id=1/{name}").collect()]
+            assert at == sorted(at)
+
+
 def test_buckets_replace_runs(spark, buckets, files, tmp_path):
     name, _ = buckets
     call_table.ingest(spark, f"file://{files}/2.vcf", 2, name)

@@ -11,6 +11,10 @@ from varloom.schema import CALLS, EXTANT_CANDIDATES
 from varloom.sources import header as H
 
 
+#: Files that a task may have open at once.  With more than none Spark does not sort by run first, and these rows are of one run.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
 def _text(value: Column) -> Column:
     return F.when((value != ".") & (value != ""), value)
 
@@ -28,8 +32,9 @@ def _has_key(name: str):
     return lambda x: F.substring_index(x, "=", 1) == name
 
 
-def read_vcf(spark: SparkSession, path: str, vcf_id: int, header: list[str] | None = None) -> DataFrame:
-    """Calls of a VCF file (any path that Spark reads), with the columns of the call table.
+def read_vcf(spark: SparkSession, path: str, vcf_id: int, header: list[str] | None = None, ordered: bool = False) -> DataFrame:
+    """Calls of a VCF file (any path that Spark reads), with the columns of the call table; `ordered` by contig and position
+    within partitions.  Lines are sorted then, not calls: these have a hundred columns, and there is one for each sample.
 
     `.` and '' are null; FILTER PASS is null; several filters or alternates are joined by commas.  Fields that the header
     does not declare, or that the call table has no column for, are left out.
@@ -38,6 +43,9 @@ def read_vcf(spark: SparkSession, path: str, vcf_id: int, header: list[str] | No
     names = H.samples(header)
     declared = [f for f in H.fields(header) if H.known(f)]
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    if ordered:
+        place = F.get(F.split("value", "\t", 3), F.lit(1)).try_cast("int")
+        lines = lines.withColumns({"_contig": F.substring_index("value", "\t", 1), "_position": place}).sortWithinPartitions("_contig", "_position").select("value")
     return calls_of_lines(lines, vcf_id, names, declared)
 
 
@@ -77,7 +85,7 @@ def ingest(spark: SparkSession, path: str, vcf_id: int, table: str, header: list
     header = header or H.read_header(spark, path)
     seen = Observation()
     # position ranges skip row groups of sorted files
-    write_run(observed(read_vcf(spark, path, vcf_id, header), seen), table)
+    write_run(observed(read_vcf(spark, path, vcf_id, header, True), seen), table, True)
     found = facts(seen)
     if not found["genotype_count"]:
         # overwriting touches only partitions that the new rows have
@@ -101,10 +109,16 @@ def facts(seen: Observation) -> dict:
     return {"extant_columns": [c for c in EXTANT_CANDIDATES if found[c]], "genotype_count": found["genotype_count"]}
 
 
-def write_run(calls: DataFrame, table: str) -> None:
-    """Writes a run's calls as its partition, in place of what it was, sorted within files."""
-    ordered = calls.sortWithinPartitions("contig", "position")
-    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("vcf_id").parquet(table)
+def write_run(calls: DataFrame, table: str, ordered: bool = False) -> None:
+    """Writes a run's calls as its partition, in place of what it was, sorted within files; `ordered` calls are so already."""
+    rows = calls if ordered else calls.sortWithinPartitions("contig", "position")
+    spark = calls.sparkSession
+    before = spark.conf.get(WRITERS)
+    spark.conf.set(WRITERS, "2")
+    try:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("vcf_id").parquet(table)
+    finally:
+        spark.conf.set(WRITERS, before)
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:
