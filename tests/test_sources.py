@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tests.test_calls import HEADER, RECORDS, TRUTH, query
 from varloom.operators import annotate, calls as C, catalog as K
+from varloom.plans.catalog_sources import bucketed
 from varloom.plans.query import Filter
 from varloom.schema import ANNOTATIONS, CALL_ID
 from varloom.sources import bam, bgzf, call_table, vcf_format, vcf_writer
@@ -251,6 +252,14 @@ def test_runs_in_buckets_are_compared_without_an_exchange(spark, buckets):
     assert CALL_ID in calls.columns and call_table.buckets_of(spark, name) == 4
 
 
+def test_buckets_grow_with_the_table(spark, monkeypatch):
+    """A task reads one bucket, which has no more calls in a larger table."""
+    assert [call_table.buckets_for(n, 8) for n in (0, 4_000_000, 4_000_001, 216_000_000)] == [8, 8, 9, 432]
+    monkeypatch.setattr(call_table, "BUCKET_ROWS", 500)
+    calls = bucketed(spark, "/root/testdata/sf0.001", 2)
+    assert len(calls.inputFiles()) > 12  # files of 12 buckets and two runs, not of two buckets
+
+
 def test_ingest_sorts_lines_and_not_calls(spark, files, tmp_path):
     """Calls of a hundred columns are not held for a sort, and lie in order within files."""
     ingest(spark, f"file://{files}/1.vcf", 1, f"file://{tmp_path}/calls")

@@ -97,11 +97,11 @@ _CELLS = ["info:DP", "info:AF"]
 _SOME = ", ".join(f'r."{c}"' for c in ("vcf_id", *CALL_KEY, *_CELLS))
 
 
-def bucketed(s: SparkSession, d: str, buckets: int = 8) -> DataFrame:
-    """The shared call table in buckets."""
-    name = f"calls_{uuid.uuid4().hex}"
-    call_table.create(s, name, _CELLS, buckets, shared_folder(s, "catalog-buckets"))
-    call_table.write(P.calls(s, d), name)
+def bucketed(s: SparkSession, d: str, least: int = 8) -> DataFrame:
+    """The shared call table in buckets, the more the larger it is."""
+    name, rows = f"calls_{uuid.uuid4().hex}", P.calls(s, d)
+    call_table.create(s, name, _CELLS, call_table.buckets_for(rows.count(), least), shared_folder(s, "catalog-buckets"))
+    call_table.write(rows, name)
     return s.table(name)
 
 

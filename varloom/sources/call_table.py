@@ -14,6 +14,8 @@ from varloom.sources.vcf import facts, observed, read_vcf
 
 #: Enough that a bucket of the longest run fits into a task's memory.
 BUCKETS = 64
+#: Calls of all runs that a bucket should hold at most, where their number is known.
+BUCKET_ROWS = 500_000
 MODE = "spark.sql.sources.partitionOverwriteMode"
 
 
@@ -34,6 +36,11 @@ def create(spark: SparkSession, name: str, columns: list[str] | None = None, buc
     )
 
 
+def buckets_for(calls: int, least: int = 1) -> int:
+    """How many buckets so many calls need: a task reads, sorts and joins one of them."""
+    return max(least, -(-calls // BUCKET_ROWS))
+
+
 def buckets_of(spark: SparkSession, name: str) -> int:
     rows = spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Num Buckets'").collect()
     return int(rows[0]["data_type"])
