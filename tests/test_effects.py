@@ -108,6 +108,26 @@ def test_coding_changes_against_whole_proteins(spark):
     assert [(k, got[k], w) for k, w in want.items() if got[k] not in kinds[w]] == []
 
 
+def test_records_move_once(spark, genes):
+    """Records are dealt to the bins of transcripts and stay there; only those in several bins are brought together again."""
+    rows = [("1", at, ref, alt) for at, ref, alt, _, _ in CASES]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = top_effects(spark.createDataFrame(rows, VARIANT), genes, 32)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ENSURE_REQUIREMENTS") == 1 and plan.count("REPARTITION_BY_COL") == 4
+        want = sorted(map(str, found.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for size in (7, 1 << 16):
+        assert sorted(map(str, top_effects(spark.createDataFrame(rows, VARIANT), genes, size).collect())) == want
+    # exons that overlap or adjoin
+    odd = spark.createDataFrame([("1", "O", "O1", "+", [(91, 120), (110, 140)], None, None, None), ("1", "A", "A1", "+", [(91, 100), (101, 140)], None, None, None)], TRANSCRIPT)
+    got = effects(spark.createDataFrame([("1", 115, "A", "C"), ("1", 101, "A", "C"), ("1", 140, "A", "C")], VARIANT), odd, 16).collect()
+    assert sorted((r["position"], r["transcript"], r["effect"]) for r in got) == [(p, n, "NoncodingTranscript") for p in (101, 115, 140) for n in ("A1", "O1")]
+
+
 def test_annotations_of_calls(spark, genes):
     calls = spark.createDataFrame([("1", 104, "G", "A"), ("1", 9999, "G", "A")], VARIANT).selectExpr("*", *[f"cast(null as string) as `{c}`" for c in ANNOTATIONS])
     rows = {r["position"]: r for r in annotated(calls, top_effects(calls, genes)).select("position", *[cell(c) for c in ANNOTATIONS]).collect()}

@@ -66,19 +66,40 @@ def prepared(transcripts: DataFrame) -> DataFrame:
     return rows.drop("parts").withColumn("sequence", F.upper("sequence"))
 
 
-def changes(calls: DataFrame) -> DataFrame:
-    """(record key, alternate, start, end, before, after): each alternate of each variant without common ends.
+def regions() -> Column:
+    """SQL over prepared transcripts: exons and what lies between them, with the coding part of an exon.
+
+    A change inside one region needs no look at the exons.  Where exons overlap there is one region of no kind.
+    """
+    exon = "struct(cast(e.start as long) as low, cast(e.end as long) as high, true as exon, get(filter(coding, c -> c.start >= e.start and c.end <= e.end), 0) as c)"
+    gap = "struct(cast(get(up, i - 1).end + 1 as long) as low, cast(e.start - 1 as long) as high, false as exon, get(filter(coding, c -> false), 0) as c)"
+    whole = "struct(cast(low as long) as low, cast(high as long) as high, cast(null as boolean) as exon, get(filter(coding, c -> false), 0) as c)"
+    apart = "forall(sequence(0, size(up) - 1), i -> i = 0 or get(up, i).start > get(up, i - 1).end)"
+    parts = f"filter(flatten(transform(up, (e, i) -> if(i = 0, array({exon}), array({gap}, {exon})))), r -> r.low <= r.high)"
+    return F.expr(f"if({apart}, {parts}, array({whole}))")
+
+
+def records(calls: DataFrame, bin_size: int = BIN) -> tuple[DataFrame, DataFrame]:
+    """(record key, bin) of the records that can touch only one bin of positions, and of others in each of theirs."""
+    rows = calls.select(*RECORD_KEY).where("alternates is not null and reference is not null and position is not null")
+    # an insertion lies between two bases, of which one may be beside the reference
+    rows = rows.withColumns({"_first": F.expr(f"(cast(position as long) - 1) div {bin_size}"), "_last": F.expr(f"(cast(position as long) + length(reference)) div {bin_size}")})
+    one = rows.where("_first = _last").select(*RECORD_KEY, F.col("_first").alias("bin"))
+    return one, rows.where("_first < _last").select(*RECORD_KEY, F.explode(F.sequence("_first", "_last")).alias("bin"))
+
+
+def changes(rows: DataFrame) -> DataFrame:
+    """(record key, bin, alternate, start, end, before, after): each alternate of each record without common ends.
 
     An insertion lies between its end and its start, which is one more.
     """
-    rows = calls.select(*RECORD_KEY).distinct().where("alternates is not null")
     rows = rows.withColumn("alternate", F.explode(F.split("alternates", ",\\s*"))).withColumns({"ref": F.upper(ascii_only(F.col("reference"))), "alt": F.upper(ascii_only(F.col("alternate")))})
     rows = rows.where("alt rlike '^[ACGTN]+$' and ref rlike '^[ACGTN]+$' and ref <> alt").withColumn("head", F.expr(_common("ref", "alt")))
     rows = rows.withColumns({"ref": F.expr("substr(ref, head + 1)"), "alt": F.expr("substr(alt, head + 1)")})
     rows = rows.withColumn("tail", F.expr(_common("reverse(ref)", "reverse(alt)")))
     start = F.col("position").cast("long") + F.col("head")
     before = F.expr("substr(ref, 1, length(ref) - tail)")
-    return rows.select(*RECORD_KEY, "alternate", start.alias("start"), (start + F.length(before) - 1).alias("end"), before.alias("before"), F.expr("substr(alt, 1, length(alt) - tail)").alias("after"))
+    return rows.select(*RECORD_KEY, "bin", "alternate", start.alias("start"), (start + F.length(before) - 1).alias("end"), before.alias("before"), F.expr("substr(alt, 1, length(alt) - tail)").alias("after"))
 
 
 def effects(calls: DataFrame, transcripts: DataFrame, bin_size: int = BIN) -> DataFrame:
@@ -86,12 +107,20 @@ def effects(calls: DataFrame, transcripts: DataFrame, bin_size: int = BIN) -> Da
 
     The join is on contig and bin of positions, so no contig is compared with all its transcripts.
     """
-    low, high = F.least("start", "end"), F.greatest("start", "end")
-    left = changes(calls).withColumns({"low": low, "high": high}).withColumn("bin", F.explode(F.expr(f"sequence(low div {bin_size}, high div {bin_size})")))
-    right = prepared(transcripts).select(F.col("contig").alias("t_contig"), F.explode(F.expr(f"sequence(low div {bin_size}, high div {bin_size})")).alias("t_bin"), F.struct("low", "high", "strand", "exons", "coding", "coding_bases", "cds_start", "cds_end", "sequence").alias("t"), "gene_name", "transcript")
-    # a pair that shares several bins meets in the first of them
-    on = (F.col("contig") == F.col("t_contig")) & F.expr(f"bin = t_bin and start <= t.high and `end` >= t.low and t_bin = greatest(low, t.low) div {bin_size}")
-    return _judged(left.join(right, on)).select(*RECORD_KEY, "alternate", "gene_name", "transcript", "effect", "notation")
+    one, more = (_effects(rows, transcripts, bin_size) for rows in records(calls, bin_size))
+    return one.unionByName(more).select(*RECORD_KEY, "alternate", "gene_name", "transcript", "effect", "notation")
+
+
+def _effects(rows: DataFrame, transcripts: DataFrame, bin_size: int) -> DataFrame:
+    """Effects of records that lie in bins.  Records move once, as narrow as they are, to their bins' transcripts."""
+    left = changes(rows.repartition("contig", "bin").distinct()).withColumns({"low": F.least("start", "end"), "high": F.greatest("start", "end")})
+    right = prepared(transcripts).withColumnRenamed("contig", "t_contig").withColumn("t_bin", F.explode(F.expr(f"sequence(cast(low div {bin_size} as long), cast(high div {bin_size} as long))")))
+    right = right.repartition("t_contig", "t_bin").withColumn("up", F.array_sort("exons")).withColumn("of_bin", F.filter(regions(), lambda r: (F.expr(f"t_bin * {bin_size}L") <= r["high"]) & (F.expr(f"(t_bin + 1) * {bin_size}L") > r["low"])))
+    right = right.select("t_contig", "t_bin", F.struct("low", "high", "strand", "exons", "coding", "coding_bases", "cds_start", "cds_end", "sequence").alias("t"), "gene_name", "transcript", F.explode("of_bin").alias("g"))
+    # a pair that shares several bins or regions meets in the first of them
+    first = "greatest(low, t.low)"
+    on = (F.col("contig") == F.col("t_contig")) & F.expr(f"bin = t_bin and start <= t.high and `end` >= t.low and t_bin = {first} div {bin_size} and {first} between g.low and g.high")
+    return _judged(left.join(right, on)).select(*RECORD_KEY, "bin", "alternate", "gene_name", "transcript", "effect", "notation")
 
 
 def _judged(rows: DataFrame) -> DataFrame:
@@ -99,18 +128,21 @@ def _judged(rows: DataFrame) -> DataFrame:
     all comparisons below."""
     forward = "t.strand = '+'"
     touched = "e -> e.start <= `end` and e.end >= start"
+    # most changes lie inside an exon or between two; only others look at all exons
+    rows = rows.withColumn("inside", F.expr("coalesce(g.exon is not null and low >= g.low and high <= g.high, false)"))
+    coded = "g.c.start <= `end` and g.c.end >= start"
     rows = rows.withColumns(
         {
             # bases in the transcript's direction
             "a": F.expr(f"if({forward}, before, {_opposite('before')})"), "b": F.expr(f"if({forward}, after, {_opposite('after')})"),
-            "exon": F.expr(f"filter(t.exons, {touched})"), "part": F.expr(f"filter(t.coding, {touched})"),
+            "exon": F.expr(f"if(inside, int(g.exon), size(filter(t.exons, {touched})))"), "part": F.expr(f"if(inside, if({coded}, array(g.c), null), filter(t.coding, {touched}))"),
             # how far the change lies behind an exon with a donor site, and before one with an acceptor site
-            "donor": F.expr(f"array_min(filter(transform(slice(t.exons, 1, greatest(size(t.exons) - 1, 0)), e -> if({forward}, start - e.end, e.start - `end`)), d -> d > 0))"),
-            "acceptor": F.expr(f"array_min(filter(transform(slice(t.exons, 2, size(t.exons)), e -> if({forward}, e.start - `end`, start - e.end)), d -> d > 0))"),
+            "donor": F.expr(f"if(inside, if({forward}, start - g.low + 1, g.high + 1 - `end`), array_min(filter(transform(slice(t.exons, 1, greatest(size(t.exons) - 1, 0)), e -> if({forward}, start - e.end, e.start - `end`)), d -> d > 0)))"),
+            "acceptor": F.expr(f"if(inside, if({forward}, g.high + 1 - `end`, start - g.low + 1), array_min(filter(transform(slice(t.exons, 2, size(t.exons)), e -> if({forward}, e.start - `end`, start - e.end)), d -> d > 0)))"),
         }
     )
     # the first coding base that is changed, or before which an insertion goes
-    rows = rows.withColumn("of", F.expr("if(size(part) = 1, get(part, 0), null)"))
+    rows = rows.withColumn("of", F.expr("if(inside, if(part is null, null, g.c), if(size(part) = 1, get(part, 0), null))"))
     rows = rows.withColumn("c", F.expr(f"if({forward}, of.before + start - of.start, of.before + of.end - `end`)"))
     rows = rows.withColumn("c", F.expr("if(of.start <= start and of.end >= `end`, c, null)"))
     rows = rows.withColumns({"k": F.expr("cast(c div 3 as int)"), "r": F.expr("cast(c % 3 as int)"), "shift": F.expr("(length(b) - length(a)) % 3 <> 0")})
@@ -123,13 +155,13 @@ def _judged(rows: DataFrame) -> DataFrame:
     over_acceptor = f"exists(slice(t.exons, 2, size(t.exons)), e -> if({forward}, {low_edge}, {high_edge}))"
     five = f"if({forward}, least(start, `end`) < t.cds_start, greatest(start, `end`) > t.cds_end)"
     effect = f"""case
-      when exists(t.exons, e -> start <= e.start and `end` >= e.end) then 'ExonLoss'
-      when {over_donor} then 'SpliceDonor' when {over_acceptor} then 'SpliceAcceptor'
-      when size(exon) = 0 then case
+      when if(inside, g.exon and start <= g.low and `end` >= g.high, exists(t.exons, e -> start <= e.start and `end` >= e.end)) then 'ExonLoss'
+      when not inside and {over_donor} then 'SpliceDonor' when not inside and {over_acceptor} then 'SpliceAcceptor'
+      when exon = 0 then case
         when donor <= {SPLICE} then 'SpliceDonor' when acceptor <= {SPLICE} then 'SpliceAcceptor'
         when donor <= {NEAR_DONOR} or acceptor <= {NEAR_ACCEPTOR} then 'IntronicSpliceSite' else 'Intronic' end
       when t.cds_start is null then 'NoncodingTranscript'
-      when c is null then case when {five} then if(size(part) > 0, 'StartLoss', 'FivePrimeUTR') else if(size(part) > 0, 'StopLoss', 'ThreePrimeUTR') end
+      when c is null then case when {five} then if(part is not null and size(part) > 0, 'StartLoss', 'FivePrimeUTR') else if(part is not null and size(part) > 0, 'StopLoss', 'ThreePrimeUTR') end
       when t.coding_bases <> length(t.sequence) or t.coding_bases % 3 <> 0 or t.sequence is null then 'IncompleteTranscript'
       when shift then 'FrameShift'
       when p = q then if(k = 0 and old <> new, 'AlternateStartCodon', 'Silent')
@@ -166,8 +198,9 @@ def top_effects(calls: DataFrame, transcripts: DataFrame, bin_size: int = BIN) -
 
     Ties go by gene, transcript and notation.
     """
-    found = effects(calls, transcripts, bin_size)
+    one, more = (_effects(rows, transcripts, bin_size) for rows in records(calls, bin_size))
     best = F.min(F.struct(priority(F.col("effect")).alias("at"), "gene_name", "transcript", "notation", "effect")).alias("b")
-    rows = found.groupBy(*RECORD_KEY).agg(best)
+    # what lies in one bin is together already
+    rows = one.groupBy("bin", *RECORD_KEY).agg(best).drop("bin").unionByName(more.groupBy(*RECORD_KEY).agg(best))
     values = (F.col("b.gene_name"), F.col("b.transcript"), F.col("b.notation"), effect_words(F.col("b.effect")))
     return rows.select(*RECORD_KEY, *[v.alias(c) for c, v in zip(ANNOTATIONS, values)])
